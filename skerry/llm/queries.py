@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, html, mil, quality_rules, sharding
+from . import bpe, decontaminate, html, mil, quality_rules, sharding, substring
 from .frames import table
 
 
@@ -36,12 +36,16 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mil.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.deduplicated(table(spark, sf_dir, "documents"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op3_quality_rules, op5_html_extraction, op6_sharding, op7_decontamination, op8_quality_classifier, op10_bpe]
+    own = [op3_quality_rules, op5_html_extraction, op6_sharding, op7_decontamination, op8_quality_classifier, op9_substring_dedup, op10_bpe]
     return {f.__name__: f for f in own}
 
 
