@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,11 +22,17 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """The same rows read back from a written table: cuts the lineage and survives a lost executor."""
+    """The same rows read back from a written table: cuts the lineage and survives a lost executor.
+
+    Shuffle files that only the written plan needed are deleted once the driver collects its garbage, so that happens here."""
     spark = df.sparkSession
     path = shared_dir(spark)
+    schema = df.schema
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    del df
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(schema).parquet(path)
 
 
 def body(name: str = "text") -> Column:
