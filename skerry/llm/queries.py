@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, html, jaccard, mil, quality_rules, sharding, substring
+from . import bpe, decontaminate, html, jaccard, line_dedup, mil, quality_rules, sharding, substring
 from .frames import table
 
 
@@ -24,6 +24,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digest(table(spark, sf_dir, "documents"))
+
+
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.main_texts(table(spark, sf_dir, "pages"))
 
@@ -49,7 +53,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op2_jaccard_join, op3_quality_rules, op5_html_extraction, op6_sharding, op7_decontamination, op8_quality_classifier, op9_substring_dedup, op10_bpe]
+    own = [op2_jaccard_join, op3_quality_rules, op4_line_dedup, op5_html_extraction, op6_sharding, op7_decontamination, op8_quality_classifier, op9_substring_dedup, op10_bpe]
     return {f.__name__: f for f in own}
 
 
