@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, html, jaccard, line_dedup, mil, quality_rules, sharding, substring
+from . import bpe, decontaminate, html, jaccard, line_dedup, mil, pii, quality_rules, sharding, substring
 from .frames import table
 
 
@@ -16,6 +16,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(table(spark, sf_dir, "documents"))
+
+
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -53,7 +57,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op2_jaccard_join, op3_quality_rules, op4_line_dedup, op5_html_extraction, op6_sharding, op7_decontamination, op8_quality_classifier, op9_substring_dedup, op10_bpe]
+    own = [op1_pii, op2_jaccard_join, op3_quality_rules, op4_line_dedup, op5_html_extraction, op6_sharding, op7_decontamination, op8_quality_classifier, op9_substring_dedup, op10_bpe]
     return {f.__name__: f for f in own}
 
 
