@@ -59,9 +59,9 @@ def f5_stac_search(dets: DataFrame) -> DataFrame:
     return footprints(dets).where(X.polygon_meets_envelope(ring_of(), AREA)).select("scene_id", "sensed").orderBy(F.desc_nulls_last("sensed"), "scene_id")
 
 
-@query(f"SELECT scene_id, sensed FROM ({_FOOT}) f WHERE lon1 >= -5.8 AND lon0 <= -5.2 AND lat1 >= 35.6 AND lat0 <= 36.2 AND sensed > TIMESTAMP '1992-01-02 12:00:00' AND sensed < TIMESTAMP '1992-01-20' ORDER BY sensed DESC, scene_id LIMIT 20", "fx_detections")
+@query(f"SELECT scene_id, sensed FROM ({_FOOT}) f WHERE lon1 >= -5.8 AND lon0 <= -5.2 AND lat1 >= 35.6 AND lat0 <= 36.2 AND sensed > TIMESTAMP '1995-01-04' AND sensed < TIMESTAMP '1995-01-12' ORDER BY sensed DESC, scene_id LIMIT 20", "fx_detections")
 def f6_catalogue_search(dets: DataFrame) -> DataFrame:
-    found = footprints(dets).where(X.polygon_meets_envelope(ring_of(), AREA) & F.expr("sensed > TIMESTAMP '1992-01-02 12:00:00' and sensed < TIMESTAMP '1992-01-20'"))
+    found = footprints(dets).where(X.polygon_meets_envelope(ring_of(), AREA) & F.expr("sensed > TIMESTAMP '1995-01-04' and sensed < TIMESTAMP '1995-01-12'"))
     return R.page(found.select("scene_id", "sensed"), [F.desc("sensed"), F.col("scene_id")], 20)
 
 
