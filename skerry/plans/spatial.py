@@ -115,7 +115,7 @@ def b9_cluster_anomaly(dets):
 
 def _two_runs(dets):
     slim = dets.select("det_id", "scene_id", "confidence", *B.BOX)
-    return slim, slim.where("scene_id % 5 <> 0 or confidence > 0.1").withColumn("confidence", F.col("confidence") + F.when(F.col("scene_id") % 3 == 0, 0.05).otherwise(0.0))
+    return slim, slim.where("confidence > 0.02").withColumn("confidence", F.col("confidence") + F.when(F.col("scene_id") % 3 == 0, 0.05).otherwise(0.0))
 
 
 @query(None, "fx_detections")
