@@ -16,5 +16,8 @@ def spark(tmp_path_factory):
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
+    import __spark_entry__
+
+    __spark_entry__._found_by_workers(session)
     yield session
     session.stop()
