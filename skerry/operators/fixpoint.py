@@ -4,14 +4,19 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def folder(spark: SparkSession) -> str:
+    """A new path in the folder that the cluster shares; a local default only where none is set, as in tests."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/skerry-scratch"
+    return f"{base.rstrip('/')}/round-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/skerry-scratch"
-    path, schema = f"{base.rstrip('/')}/round-{uuid.uuid4().hex}", df.schema
+    path, schema = folder(spark), df.schema
     df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)
 

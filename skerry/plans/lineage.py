@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from skerry.functions import exprs as X
+from skerry.operators import fixpoint
 from skerry.operators import provenance as H
 from skerry.operators import tasking as T
 from skerry.sources import files
@@ -167,3 +168,33 @@ def c2_parse_interval(runs):
     at = F.date_format("created_at", "yyyy-MM-dd HH:mm:ss")
     text = F.when(F.col("id") % 3 == 0, at).when(F.col("id") % 3 == 1, F.concat(F.lit("../"), at)).otherwise(F.concat(at, F.lit("/..")))
     return runs.select("id", X.parse_interval(text).alias("i")).select("id", F.col("i.begin").cast("timestamp_ntz").alias("begin_at"), F.col("i.finish").cast("timestamp_ntz").alias("end_at"))
+
+
+@query("SELECT det_id, concat('{\"type\":\"Feature\",\"id\":', CAST(det_id AS VARCHAR), ',\"geometry\":{\"type\":\"Point\",\"coordinates\":[', CAST(tile_index AS VARCHAR), ',', CAST(execution_id AS VARCHAR), ']},\"properties\":{\"source\":\"', source, '\"}}') AS feature FROM fx_detections", "fx_detections")
+def s7_ogc_features(dets):
+    placed = dets.select("det_id", "source", F.col("tile_index").cast("long").alias("longitude"), F.col("execution_id").alias("latitude"), *[F.lit(None).cast("long").alias(k) for k in ("x_min", "y_min", "x_max", "y_max")])
+    return files.ogc_features(placed, ("source",))
+
+
+@query("SELECT id, created_at, image_id, model_name, status, round(inference_ms, 2) AS inference_ms, num_detections, concat('{\"type\":\"Point\",\"coordinates\":[', CAST(id AS VARCHAR), ',1]}') AS footprint FROM fx_executions", "fx_executions")
+def s1_executions_round_trip(runs):
+    """Written as CSV with quoted GeoJSON cells and read again."""
+    cell = F.to_json(files.point_geometry(F.col("id"), F.lit(1).cast("long")))
+    path = fixpoint.folder(runs.sparkSession)
+    files.write_csv(runs.select("id", "created_at", "image_id", "model_name", "model_version", "status", "inference_ms", "num_detections", cell.alias("footprint")), path)
+    return files.read_executions_csv(runs.sparkSession, path).drop("model_version").withColumn("inference_ms", F.round("inference_ms", 2))
+
+
+@query("SELECT scene_id, x_min, y_min, x_max, y_max, count(*) AS n FROM fx_ground_truth GROUP BY ALL", "fx_ground_truth")
+def s4_manifest_round_trip(truths):
+    """One nested JSON record for each scene, written and read again."""
+    path = fixpoint.folder(truths.sparkSession)
+    files.write_manifest(truths, path)
+    back = truths.sparkSession.read.schema("scene_id long, ground_truth array<struct<bbox:array<double>>>").json(path)
+    flat = back.select("scene_id", F.explode("ground_truth.bbox").alias("b")).select("scene_id", *[F.get("b", F.lit(k)).alias(c) for k, c in enumerate(("x_min", "y_min", "x_max", "y_max"))])
+    return flat.groupBy(*flat.columns).agg(F.count("*").alias("n"))
+
+
+@query("SELECT target_zone, count(*) AS cues, count(execution_id) AS answered FROM fx_cues GROUP BY target_zone", "fx_cues")
+def t7_replays(cues):
+    return cues.groupBy("target_zone").agg(F.count("*").alias("cues"), F.count("execution_id").alias("answered"))
