@@ -2,7 +2,7 @@
 
 Rows with equal texts form an indivisible group. Groups above a fixed share of a bin are packed one by one; the many
 smaller ones are first gathered into a fixed number of bundles by hash, so the list that is packed has a bound that does
-not depend on the corpus. Items enter, largest first, the bin with the least room that still holds them.
+not depend on the corpus. Items enter, largest first, the bin with the least room that still holds them, found in a tree.
 
 Nulls: a null text counts as an empty one. Rows without doc_id are placed like others. An empty table gives no rows.
 Repeated rows keep one slot each. Other columns are ignored.
@@ -10,8 +10,6 @@ Repeated rows keep one slot each. Other columns are ignored.
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,21 +23,62 @@ LARGE = 1 / 200
 BUNDLES = 256
 
 
-def best_fit_decreasing(sizes: list[int], capacity: int) -> list[int]:
-    """The bin of each item, in the order given. An item above the capacity gets a bin of its own.
+class Rooms:
+    """Open bins by (room, bin) in a treap: a search tree that mixed priorities keep balanced."""
+
+    def __init__(self) -> None:
+        self.root: list | None = None  # [key, priority, left, right]
 
-    Open bins are kept ordered by (room, bin): the tightest that fits is one binary search away."""
-    rooms: list[tuple[int, int]] = []
+    def add(self, key: tuple[int, int]) -> None:
+        low, high = self._cut(self.root, key)
+        self.root = self._join(self._join(low, [key, (key[0] * 0x9E3779B1 ^ key[1] * 0x85EBCA77) & 0xFFFFFFFF, None, None]), high)
+
+    def take_tightest(self, size: int) -> tuple[int, int] | None:
+        """Removes and returns the least (room, bin) with room for the size."""
+        low, high = self._cut(self.root, (size, -1))
+        if high is None:
+            self.root = low
+            return None
+        parent, node = None, high
+        while node[2] is not None:
+            parent, node = node, node[2]
+        if parent is None:
+            high = node[3]
+        else:
+            parent[2] = node[3]
+        self.root = self._join(low, high)
+        return node[0]
+
+    def _cut(self, node: list | None, key: tuple[int, int]) -> tuple[list | None, list | None]:
+        """The tree in two: keys below, and keys from `key` on."""
+        if node is None:
+            return None, None
+        if node[0] < key:
+            node[3], high = self._cut(node[3], key)
+            return node, high
+        low, node[2] = self._cut(node[2], key)
+        return low, node
+
+    def _join(self, low: list | None, high: list | None) -> list | None:
+        if low is None or high is None:
+            return high if low is None else low
+        if low[1] > high[1]:
+            low[3] = self._join(low[3], high)
+            return low
+        high[2] = self._join(low, high[2])
+        return high
+
+
+def best_fit_decreasing(sizes: list[int], capacity: int) -> list[int]:
+    """The bin of each item, in the order given. An item above the capacity gets a bin of its own."""
+    rooms = Rooms()
     place, opened = [0] * len(sizes), 0
     for i in sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)):
-        at = bisect_left(rooms, (sizes[i], -1))
-        if at < len(rooms):
-            room, number = rooms.pop(at)
-        else:
-            room, number = max(capacity, sizes[i]), opened
-            opened += 1
-        place[i] = number
-        insort(rooms, (room - sizes[i], number))
+        found = rooms.take_tightest(sizes[i])
+        if found is None:
+            found, opened = (max(capacity, sizes[i]), opened), opened + 1
+        place[i] = found[1]
+        rooms.add((found[0] - sizes[i], found[1]))
     return place
 
 
