@@ -45,8 +45,6 @@ class Disclosure:
     support: int = 3
     generalise: float = 0.90
     remove: float = 0.97
-    #: Up to so many candidate terms are broadcast to the count of all words; beyond, all words are counted and joined.
-    broadcast_terms: int = 200_000
 
 
 def digits(value: Column) -> Column:
@@ -130,12 +128,9 @@ def disclosing(docs: DataFrame, scanned: DataFrame, options: Disclosure) -> Data
     pairs = seen.select("entity", "context", F.explode("terms.term").alias("term")).distinct().groupBy("entity", "term").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= options.support)
     pairs = settle(pairs.join(each, "entity"))
     total = scanned.agg(F.sum("n_words").alias("n")).first()["n"] or 0
-    terms = pairs.select("term").distinct()
     words = docs.where("text is not null").select(F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("term"))
     if pairs.isEmpty():
         return pairs.select("entity", "term", F.lit(0.0).alias("disclosure"))
-    if terms.count() <= options.broadcast_terms:
-        words = words.join(F.broadcast(terms), "term", "left_semi")
     counts = words.groupBy("term").agg(F.count("*").alias("n_t"))
     share = 1 - F.log(F.greatest(F.col("n_t"), F.col("n_te")) / F.col("n_te")) / F.log(F.lit(float(max(total, 2))) / F.col("n_e"))
     return pairs.join(counts, "term").select("entity", "term", share.alias("disclosure")).where(F.col("disclosure") >= options.generalise)
