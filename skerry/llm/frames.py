@@ -24,16 +24,20 @@ def shared_dir(spark: SparkSession) -> str:
 def settle(df: DataFrame) -> DataFrame:
     """The same rows read back from a written table: cuts the lineage and survives a lost executor.
 
-    Shuffle files that only the written plan needed are deleted once the driver collects its garbage, so that happens here."""
+    Spark deletes the shuffle files of plans that nothing refers to once the driver has collected its garbage. It collects
+    rarely by itself, so that happens here, before the next plan writes its own."""
     spark = df.sparkSession
-    path = shared_dir(spark)
-    schema = df.schema
-    df.write.parquet(path)
-    del df
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    path, schema = shared_dir(spark), df.schema
+    df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 
+def broadcast_if_small(ids: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """A table of ids, marked for broadcast if it has no more than `rows` rows; else a join shuffles."""
+    return F.broadcast(ids) if ids.count() <= rows else ids
+
+
 def body(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))

@@ -9,8 +9,9 @@ Two documents link when 100 * |A and B| >= 80 * |A or B|. Documents with one set
   enough for 14 equal parts at the least similarity that links, so that none at all has a chance of about exp(-14).
 * The boundary is the largest size whose subsets cost fewer rows than its list keys.
 
-Lists of one set are dropped. Members of a list are not paired with each other: `linking` tests them by class. Every test
-compares the two whole sets. Shingles are compared by 64-bit hash.
+Lists of one set are dropped. Members of a list are not paired with each other: `linking` tests them by class. Pairs that
+share a list are first held against a bound: each set has 512 parity bits, and sets whose bits differ in k places differ
+in at least k elements. Every test compares the two whole sets. Shingles are compared by 64-bit hash.
 
 Null and empty texts, and texts without words, have no shingles and link with nothing. A null doc_id can be linked but
 gives no component_id to others. Rows with equal doc_id each give a row. An empty table gives no rows.
@@ -25,10 +26,10 @@ from math import ceil, comb, exp
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .frames import settle
+from .frames import broadcast_if_small, settle
 from .linking import classes, in_buckets
 from .text import U64, blocks, lower_ascii, mix, utf8, windows, words
 
@@ -121,6 +122,24 @@ def set_key(s: np.ndarray) -> int:
     return int(np.int64(mix(np.array([mix(s).sum(dtype=U64) + U64(len(s))], U64)).view(np.int64)[0]))
 
 
+PARITY = 8
+
+
+def parity(s: np.ndarray) -> np.ndarray:
+    """64 * PARITY bits: bit i tells whether an odd number of elements hash to i."""
+    place = (mix(s ^ U64(0x5851F42D4C957F2D)) % U64(64 * PARITY)).astype(np.int64)
+    odd = (np.bincount(place, minlength=64 * PARITY) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.int64)
+
+
+def possible(a: str, b: str, percent: int = PERCENT) -> Column:
+    """Whether the marks of two sets (their sizes and parity bits) leave room for a link."""
+    A, B = F.col(a), F.col(b)
+    differ = sum((F.bit_count(A[f"w{k}"].bitwiseXOR(B[f"w{k}"])) for k in range(PARITY)), F.lit(0))
+    fits = (F.least(A["n"], B["n"]) * 100 >= F.greatest(A["n"], B["n"]) * percent)
+    return fits & (differ * (100 + percent) <= (A["n"] + B["n"]) * (100 - percent))
+
+
 def _each(batch: pa.RecordBatch, place: int) -> Iterator[tuple[int, int, list[np.ndarray]]]:
     data, offsets = utf8(batch.column(place))
     for i, j in blocks(offsets):
@@ -128,15 +147,17 @@ def _each(batch: pa.RecordBatch, place: int) -> Iterator[tuple[int, int, list[np
 
 
 def shingle_keys(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and set_key (null for an empty set) of every row."""
+    """doc_id, tid, n_shingles, set_key (null for an empty set) and parity bits w0, w1, ... of every row (doc_id, tid, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, found in _each(batch, 1):
+            for i, j, found in _each(batch, 2):
                 keys = pa.array([set_key(s) if len(s) else None for s in found], pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([len(s) for s in found], pa.int64()), keys], names=["doc_id", "n_shingles", "set_key"])
+                bits = np.stack([parity(s) for s in found])
+                columns = [batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array([len(s) for s in found], pa.int64()), keys, *[pa.array(bits[:, k]) for k in range(PARITY)]]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "tid", "n_shingles", "set_key", *[f"w{k}" for k in range(PARITY)]])
 
-    return docs.select("doc_id", "text").mapInArrow(run, docs.select("doc_id").schema.simpleString()[7:-1] + ",n_shingles:bigint,set_key:bigint")
+    return docs.select("doc_id", "tid", "text").mapInArrow(run, docs.select("doc_id", "tid").schema.simpleString()[7:-1] + ",n_shingles:bigint,set_key:bigint" + "".join(f",w{k}:bigint" for k in range(PARITY)))
 
 
 def signature_rows(docs: DataFrame) -> DataFrame:
@@ -174,16 +195,25 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
+def wanted_marks(keys: DataFrame, members: DataFrame, mark: Column) -> DataFrame:
+    """(id, mark) of the sets that share a list with another."""
+    each = keys.where("set_key is not null").groupBy(F.col("set_key").alias("id")).agg(F.first(mark).alias("mark"))
+    return settle(each.join(members.select("id").distinct(), "id", "left_semi"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of every row."""
-    rows = docs.select("doc_id", "text")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("tid"), "text")
     keys = settle(shingle_keys(rows))
     members = in_buckets(signature_rows(rows))
-    first = keys.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("doc_id"))
-    wanted = members.select(F.col("id").alias("set_key")).distinct().join(first, "set_key").where("doc_id is not null")
-    texts = settle(rows.join(wanted, "doc_id").groupBy(F.col("set_key").alias("id")).agg(F.first("text").alias("text")))
-    comp = classes(members, lambda pairs: verified(pairs, texts))
-    named = keys.join(comp.withColumnRenamed("id", "set_key"), "set_key", "left").withColumn("comp", F.coalesce("comp", "set_key"))
+    # one text for each set that shares a list, found by its hash whichever rows hold it
+    one = keys.where("set_key is not null").groupBy("set_key").agg(F.min("tid").alias("tid"))
+    wanted = broadcast_if_small(settle(members.select(F.col("id").alias("set_key")).distinct().join(one, "set_key")))
+    texts = settle(rows.join(wanted, "tid").groupBy(F.col("set_key").alias("id")).agg(F.first("text").alias("text")))
+    mark = F.struct(F.col("n_shingles").alias("n"), *[f"w{k}" for k in range(PARITY)])
+    marks = wanted_marks(keys, members, mark)
+    comp = classes(members, lambda pairs: verified(pairs, texts), marks, possible)
+    named = keys.select("doc_id", "n_shingles", "set_key").join(comp.withColumnRenamed("id", "set_key"), "set_key", "left").withColumn("comp", F.coalesce("comp", "set_key"))
     least = named.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("least"))
     return named.join(least, "comp", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
 

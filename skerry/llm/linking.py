@@ -1,17 +1,17 @@
 """Classes of items that links join, found from shared signatures without testing all pairs that share one.
 
-Signatures put items into buckets; items that are linked share at least one bucket. First each item is tested against
-the least item of the bucket-mates it shares most signatures with; the links found give classes. Then, until nothing is
-left, items are tested against bucket-mates of other classes only. Every pair that shares a bucket is in the end either
-in one class or tested, so no link between classes is lost, while a bucket of thousands of near copies costs about
-one test for each member.
+Signatures put items into buckets; items that are linked share at least one bucket. First each item is tested against two of
+the least items of its buckets, those it shares most with; the links found give classes. Then items are tested against all
+bucket-mates of other classes. Every pair that shares a bucket is in the end either in one class or tested, so no link
+between classes is lost, while copies that are linked through one another cost about one test each. A cheap bound on marks of the two items, where the caller has one, rules out most pairs that
+share a bucket but cannot be linked before anything is read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -26,55 +26,56 @@ def components(links: DataFrame) -> DataFrame:
     both = settle(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = settle(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("comp")))
     while True:
-        near = both.join(labels, both["b"] == labels["id"]).groupBy("a").agg(F.min("comp").alias("near"))
-        moved = labels.join(near, labels["id"] == near["a"]).select("id", F.col("comp").alias("before"), F.least("comp", "near").alias("comp"))
+        own = labels.select(F.col("id").alias("a"), "comp", F.col("comp").alias("before"))
+        near = both.join(labels, both["b"] == labels["id"]).select("a", "comp", F.lit(None).cast("long").alias("before"))
+        moved = near.union(own).groupBy("a").agg(F.min("comp").alias("comp"), F.max("before").alias("before"))
         jump = labels.select(F.col("id").alias("to"), F.col("comp").alias("next"))
-        labels_next = settle(moved.join(jump, moved["comp"] == F.col("to")).select("id", "before", F.least("comp", "next").alias("comp")))
-        if labels_next.where("comp <> before").isEmpty():
-            return labels_next.select("id", "comp")
-        labels = labels_next.select("id", "comp")
+        new = settle(moved.join(jump, moved["comp"] == F.col("to")).select(F.col("a").alias("id"), "before", F.least("comp", "next").alias("comp")))
+        labels = new.select("id", "comp")
+        if new.where("comp <> before").isEmpty():
+            return labels
 
 
-def classes(members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def classes(members: DataFrame, verify: Callable[[DataFrame], DataFrame], marks: DataFrame | None = None, possible: Callable[[str, str], Column] | None = None) -> DataFrame:
     """(id, comp) of the items that have a link.
 
     members: (sig, id), the rows of buckets with at least two items, each once. verify: takes pairs (a, b) and returns
-    those that are linked."""
+    those that are linked. marks: (id, mark); possible(a, b): a condition on the columns of two marks that holds for every
+    linked pair."""
     ids = Window.partitionBy("id").orderBy(F.desc("n"), "pivot")
     pivots = members.groupBy("sig").agg(F.min("id").alias("pivot"))
-    stars = settle(members.join(pivots, "sig").where("id <> pivot").groupBy("id", "pivot").agg(F.count("*").alias("n")))
-    best = stars.withColumn("r", F.row_number().over(ids)).where("r <= 2").select(F.col("pivot").alias("a"), F.col("id").alias("b"))
-    tested = settle(best)
-    links = settle(verify(tested))
-    comp = components(links)
-    rest = stars.select(F.col("pivot").alias("a"), F.col("id").alias("b"))
-    for pairs in (lambda c: _apart(rest, c), lambda c: _across(members, c)):
-        todo = settle(pairs(comp).join(tested, ["a", "b"], "left_anti"))
-        if todo.isEmpty():
-            continue
-        found = settle(verify(todo))
-        tested = tested.union(todo)
-        if not found.isEmpty():
-            links = links.union(found)
-            comp = components(links)
-    return comp
-
-
-def _apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
-    """Pairs whose ends are not in one class yet."""
-    left = comp.select(F.col("id").alias("a"), F.col("comp").alias("ca"))
-    right = comp.select(F.col("id").alias("b"), F.col("comp").alias("cb"))
-    named = pairs.join(left, "a", "left").join(right, "b", "left")
-    return named.where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
-
-
-def _across(members: DataFrame, comp: DataFrame) -> DataFrame:
-    """Pairs of bucket-mates of different classes."""
+    stars = members.join(pivots, "sig").where("id <> pivot").groupBy("id", "pivot").agg(F.count("*").alias("n"))
+    if marks is not None:
+        of_id, of_pivot = marks.select("id", F.col("mark").alias("_mi")), marks.select(F.col("id").alias("pivot"), F.col("mark").alias("_mp"))
+        stars = stars.join(of_id, "id").join(of_pivot, "pivot").where(possible("_mi", "_mp")).select("id", "pivot", "n")
+    stars = settle(stars)
+    tested = settle(stars.withColumn("r", F.row_number().over(ids)).where("r <= 2").select(F.col("pivot").alias("a"), F.col("id").alias("b")))
+    comp = components(settle(verify(tested)))
+    todo = settle(_across(members, comp, marks, possible).join(tested, ["a", "b"], "left_anti"))
+    found = settle(verify(todo))
+    if found.isEmpty():
+        return comp
+    # the new links join classes: only those are labelled again
+    ends = found.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(comp, "id", "left_anti").select("id", F.col("id").alias("comp"))
+    every = settle(comp.union(ends))
+    of = lambda end: every.select(F.col("id").alias(end), F.col("comp").alias(f"c{end}"))
+    between = found.join(of("a"), "a").join(of("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    joined = components(between).select(F.col("id").alias("comp"), F.col("comp").alias("_into"))
+    return settle(every.join(joined, "comp", "left").select("id", F.coalesce("_into", "comp").alias("comp")))
+
+
+def _across(members: DataFrame, comp: DataFrame, marks: DataFrame | None, possible: Callable[[str, str], Column] | None) -> DataFrame:
+    """Pairs of bucket-mates of different classes that the bound does not rule out."""
     named = members.join(comp, "id", "left").select("sig", "id", F.coalesce("comp", "id").alias("comp"))
     open_ = named.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("sig")
-    left = settle(named.join(open_, "sig"))
-    right = left.select("sig", F.col("id").alias("b"), F.col("comp").alias("cb"))
-    return left.withColumnRenamed("id", "a").join(right, "sig").where("a < b and comp <> cb").select("a", "b").distinct()
+    left = named.join(open_, "sig")
+    left = settle(left.join(marks, "id") if marks is not None else left.withColumn("mark", F.lit(None).cast("int")))
+    a = left.select("sig", F.col("id").alias("a"), F.col("comp").alias("ca"), F.col("mark").alias("ma"))
+    b = left.select("sig", F.col("id").alias("b"), F.col("comp").alias("cb"), F.col("mark").alias("mb"))
+    able = (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb"))
+    if possible is not None:
+        able = able & possible("ma", "mb")
+    return a.withColumnRenamed("sig", "sa").join(b, (F.col("sa") == F.col("sig")) & able).select("a", "b").distinct()
 
 
 def in_buckets(rows: DataFrame) -> DataFrame:

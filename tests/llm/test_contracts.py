@@ -132,6 +132,14 @@ def test_near_duplicates(spark, docs, hard):
         assert sorted((tuple(r) for r in jaccard.near_duplicates(df).collect()), key=repr) == classes_of(rows)
 
 
+def test_near_duplicates_among_rows_of_one_id_or_none(spark):
+    words = [f"w{k}" for k in range(80)]
+    a, b, c = " ".join(words), " ".join(words[:-1] + ["x"]), "quite another text that links with nothing here"
+    rows = [(5, c), (5, a), (5, a), (None, b), (3, b + " y"), (None, c), (9, None)]
+    got = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((tuple(r) for r in got.collect()), key=repr) == classes_of(rows)
+
+
 def test_every_linked_pair_shares_a_signature():
     import random
 
