@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import settle
+from .frames import broadcast_if_small, settle
 from .linking import classes, in_buckets
 from .text import U64, blocks, mix, prefix_hash, span_hash, utf8
 
@@ -210,7 +210,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def line_classes(rows: DataFrame) -> DataFrame:
     """(key, comp) of the lines that link with another text."""
     members = in_buckets(probe_rows(rows))
-    wanted = members.select("id").distinct()
+    wanted = broadcast_if_small(settle(members.select("id").distinct()))
     texts = settle(line_texts(rows).join(wanted, "id").groupBy("id").agg(F.first("text").alias("text")))
     return classes(members, lambda pairs: verified(pairs, texts)).withColumnRenamed("id", "key")
 
