@@ -1,10 +1,11 @@
 """Classes of items that links join, found from shared signatures without testing all pairs that share one.
 
-Signatures put items into buckets; items that are linked share at least one bucket. First each item is tested against two of
-the least items of its buckets, those it shares most with; the links found give classes. Then items are tested against all
+Signatures put items into buckets; items that are linked share at least one bucket. First each item is tested against the
+least and the largest item of each of its buckets; the links found give classes. Then items are tested against all
 bucket-mates of other classes. Every pair that shares a bucket is in the end either in one class or tested, so no link
-between classes is lost, while copies that are linked through one another cost about one test each. A cheap bound on marks of the two items, where the caller has one, rules out most pairs that
-share a bucket but cannot be linked before anything is read.
+between classes is lost, while copies that are linked through one another cost a few tests each. A cheap bound on marks of
+the two items, where the caller has one, rules out most pairs that share a bucket but cannot be linked before anything is
+read.
 """
 
 from __future__ import annotations
@@ -13,7 +14,6 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .frames import settle
 
@@ -42,22 +42,20 @@ def classes(members: DataFrame, verify: Callable[[DataFrame], DataFrame], marks:
     members: (sig, id), the rows of buckets with at least two items, each once. verify: takes pairs (a, b) and returns
     those that are linked. marks: (id, mark); possible(a, b): a condition on the columns of two marks that holds for every
     linked pair."""
-    ids = Window.partitionBy("id").orderBy(F.desc("n"), "pivot")
-    pivots = members.groupBy("sig").agg(F.min("id").alias("pivot"))
-    stars = members.join(pivots, "sig").where("id <> pivot").groupBy("id", "pivot").agg(F.count("*").alias("n"))
+    ends = members.groupBy("sig").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).select("sig", F.explode(F.array("lo", "hi")).alias("pivot"))
+    stars = members.join(ends, "sig").where("id <> pivot").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
     if marks is not None:
-        of_id, of_pivot = marks.select("id", F.col("mark").alias("_mi")), marks.select(F.col("id").alias("pivot"), F.col("mark").alias("_mp"))
-        stars = stars.join(of_id, "id").join(of_pivot, "pivot").where(possible("_mi", "_mp")).select("id", "pivot", "n")
-    stars = settle(stars)
-    tested = settle(stars.withColumn("r", F.row_number().over(ids)).where("r <= 2").select(F.col("pivot").alias("a"), F.col("id").alias("b")))
+        of = lambda end: marks.select(F.col("id").alias(end), F.col("mark").alias(f"_m{end}"))
+        stars = stars.join(of("a"), "a").join(of("b"), "b").where(possible("_ma", "_mb")).select("a", "b")
+    tested = settle(stars)
     comp = components(settle(verify(tested)))
     todo = settle(_across(members, comp, marks, possible).join(tested, ["a", "b"], "left_anti"))
     found = settle(verify(todo))
     if found.isEmpty():
         return comp
     # the new links join classes: only those are labelled again
-    ends = found.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(comp, "id", "left_anti").select("id", F.col("id").alias("comp"))
-    every = settle(comp.union(ends))
+    fresh = found.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(comp, "id", "left_anti").select("id", F.col("id").alias("comp"))
+    every = settle(comp.union(fresh))
     of = lambda end: every.select(F.col("id").alias(end), F.col("comp").alias(f"c{end}"))
     between = found.join(of("a"), "a").join(of("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
     joined = components(between).select(F.col("id").alias("comp"), F.col("comp").alias("_into"))
