@@ -3,7 +3,7 @@
 Lines of at least 24 code points link if their edit distance is at most 1, or 2 from 40 code points of the shorter on.
 A line is cut into threshold-plus-one even segments; a line within the threshold keeps one of them whole, at a place
 that its length narrows to a few. The lines' substrings at those places are the probes of a length-aware index. Candidates
-are verified by banded bit-parallel edit distance, a whole batch of pairs at a time. Equal lines are one item. Of each
+that parity bits of their grams do not rule out are verified by banded bit-parallel edit distance, a whole batch of pairs at a time. Equal lines are one item. Of each
 class of linked lines the first stays, by doc_id, then line number; the others go.
 
 Shorter lines and blank lines always stay, for they say nothing of their documents. Null and empty texts have one empty
@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .frames import broadcast_if_small, settle
@@ -207,12 +207,47 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
+#: Length of the grams and number of 64-bit words of the parity bits of a line.
+GRAM, PARITY = 4, 4
+
+
+def parity(text: str) -> np.ndarray:
+    """64 * PARITY bits: bit i tells whether an odd number of the line's grams hash to i. An edit touches at most GRAM grams
+    of either line, so lines within k edits differ in at most 2 * GRAM * k bits."""
+    points = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(U64) + U64(1)
+    total, down = prefix_hash(mix(points))
+    at = np.arange(max(0, len(points) - GRAM + 1))
+    place = (span_hash(total, down, at, at + GRAM) % U64(64 * PARITY)).astype(np.int64)
+    return np.packbits((np.bincount(place, minlength=64 * PARITY) & 1).astype(np.uint8)).view(np.int64)
+
+
+def line_marks(texts: DataFrame) -> DataFrame:
+    """(id, mark): length and parity bits of each line."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lines = batch.column(1).to_pylist()
+            bits = np.stack([parity(x) for x in lines]) if lines else np.zeros((0, PARITY), np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in lines], pa.int64()), *[pa.array(bits[:, k]) for k in range(PARITY)]], names=["id", "n", *[f"w{k}" for k in range(PARITY)]])
+
+    marks = texts.select("id", "text").mapInArrow(run, "id long, n long" + "".join(f", w{k} long" for k in range(PARITY)))
+    return marks.select("id", F.struct("n", *[f"w{k}" for k in range(PARITY)]).alias("mark"))
+
+
+def possible(a: str, b: str) -> Column:
+    """Whether the marks of two lines leave room for a link."""
+    A, B = F.col(a), F.col(b)
+    limit = F.when(F.least(A["n"], B["n"]) < LONG, 1).otherwise(2)
+    differ = sum((F.bit_count(A[f"w{k}"].bitwiseXOR(B[f"w{k}"])) for k in range(PARITY)), F.lit(0))
+    return (F.abs(A["n"] - B["n"]) <= limit) & (differ <= 2 * GRAM * limit)
+
+
 def line_classes(rows: DataFrame) -> DataFrame:
     """(key, comp) of the lines that link with another text."""
     members = in_buckets(probe_rows(rows))
     wanted = broadcast_if_small(settle(members.select("id").distinct()))
     texts = settle(line_texts(rows).join(wanted, "id").groupBy("id").agg(F.first("text").alias("text")))
-    return classes(members, lambda pairs: verified(pairs, texts)).withColumnRenamed("id", "key")
+    return classes(members, lambda pairs: verified(pairs, texts), settle(line_marks(texts)), possible).withColumnRenamed("id", "key")
 
 
 def removed_lines(rows: DataFrame) -> DataFrame:

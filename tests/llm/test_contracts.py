@@ -257,6 +257,8 @@ def test_banded_distance_equals_the_table():
     points = lambda s: np.frombuffer(s.encode("utf-32-le"), np.uint32)
     got = line_dedup.within([points(x) for x in a], [points(x) for x in b], limit)
     assert got.tolist() == [near(x, y, k) for x, y, k in zip(a, b, limit.tolist(), strict=True)] and 0 < got.sum() < len(a)
+    bits = [sum(bin(int(p) ^ int(q)).count("1") for p, q in zip(line_dedup.parity(x).view(np.uint64), line_dedup.parity(y).view(np.uint64), strict=True)) for x, y in zip(a, b, strict=True)]
+    assert all(n <= 2 * line_dedup.GRAM * k for n, k, hit in zip(bits, limit.tolist(), got.tolist(), strict=True) if hit)
 
 
 # --- 5
