@@ -147,9 +147,9 @@ statement("w9_unnest_timeline", "SELECT zone_id, pos, x FROM (SELECT zone_id, po
 statement("w10_scenario_rank", "SELECT l.link, round(avg(e.image_size_mb * 8 / l.mbps), 4) AS raw_s, CAST(rank() OVER (ORDER BY avg(e.image_size_mb * 8 / l.mbps)) AS INT) AS place FROM fx_executions e CROSS JOIN fx_links l GROUP BY l.link")
 
 
-@query("SELECT e.id, p.processor, round(inference_ms / 1000 * tdp_watts * least(cpu_usage_pct / 100, 1.0), 8) AS joules, round(inference_ms / 1000 * tdp_watts * least(cpu_usage_pct / 100, 1.0) / 3600, 9) AS wh FROM fx_executions e, fx_processors p", "fx_executions", "fx_processors")
+@query("SELECT e.id, p.processor, inference_ms / 1000 * tdp_watts * least(cpu_usage_pct / 100, 1.0) AS joules, inference_ms / 1000 * tdp_watts * least(cpu_usage_pct / 100, 1.0) / 3600 AS wh FROM fx_executions e, fx_processors p", "fx_executions", "fx_processors")
 def e1_run_energy(runs, processors):
-    return R.run_energy(runs, processors).select("id", "processor", F.round("joules", 8).alias("joules"), F.round("wh", 9).alias("wh"))
+    return R.run_energy(runs, processors).select("id", "processor", "joules", "wh")
 
 
 statement("e2_inference_energy", "SELECT e.model_name, p.processor, round(avg(inference_ms) / 1000 * avg(coalesce(cpu_usage_pct, 50)) / 100 * 4 * max(tdp_watts), 3) AS joules, round(avg(inference_ms) / 1000 * avg(coalesce(cpu_usage_pct, 50)) / 100 * 4 * max(tdp_watts) / 3600 / 60 * 100, 5) AS battery_pct FROM fx_executions e CROSS JOIN fx_processors p WHERE status = 'success' GROUP BY e.model_name, p.processor")
@@ -161,7 +161,7 @@ def e3_orbit_budget(runs, satellites):
     return R.orbit_budget(energy, satellites).select("model_name", "satellite", F.round("available_wh", 6).alias("available_wh"), "max_images", "feasible")
 
 
-statement("e4_profile_energy", "SELECT e.id, round(least(greatest(cpu_usage_pct / (100 * cpu_limit), 0), 1) * tdp_watts * inference_ms / 1000, 8) AS joules FROM fx_executions e LEFT JOIN fx_profiles p ON e.constraint_profile = p.profile")
+statement("e4_profile_energy", "SELECT e.id, least(greatest(cpu_usage_pct / (100 * cpu_limit), 0), 1) * tdp_watts * inference_ms / 1000 AS joules FROM fx_executions e LEFT JOIN fx_profiles p ON e.constraint_profile = p.profile")
 
 
 @query("SELECT e.id, l.link, round(image_size_mb / (mbps / 8), 4) AS raw_s, round((2.0 + 0.5 * num_detections + 55) / 1024 / (mbps / 8), 6) AS small_s, round(image_size_mb * 1024 / (2.0 + 0.5 * num_detections + 55), 3) AS ratio, round((1 - (2.0 + 0.5 * num_detections + 55) / (image_size_mb * 1024)) * 100, 4) AS saving_pct FROM fx_executions e, fx_links l", "fx_executions", "fx_links")
