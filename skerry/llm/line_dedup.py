@@ -6,7 +6,11 @@ that its length narrows to a few. The lines' substrings at those places are the
 that parity bits of their grams do not rule out are verified by banded bit-parallel edit distance, a whole batch of pairs at a time. Equal lines are one item. Of each
 class of linked lines the first stays, by doc_id, then line number; the others go.
 
-Shorter lines and blank lines always stay, for they say nothing of their documents. Null and empty texts have one empty
+With `Repeats.share` the distance grows with the length: one edit in `share` code points, where that is more than two.
+Such lines meet by the SKETCH smallest of their grams of SPAN code points, an n-th repeat of a gram in a line being
+a gram of its own, among lines of about their length; k edits leave all but SPAN * k of a line's grams.
+
+Blank lines always stay, and so do lines of less than 24 code points unless `Repeats.short` lets equal ones go. Null and empty texts have one empty
 line. A null doc_id comes last. Rows equal in doc_id and text are one document and keep the same lines. Very long lines
 are read whole. An empty table gives no rows.
 """
@@ -15,6 +19,8 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
+from math import log
 
 import numpy as np
 import pyarrow as pa
@@ -26,11 +32,25 @@ from .linking import classes, in_buckets
 from .text import U64, blocks, mix, prefix_hash, span_hash, utf8
 
 LEAST, LONG = 24, 40
+#: Code points of a gram, and grams that a line is known by; ratio between two classes of length.
+SPAN, SKETCH, STEP = 12, 12, 1.125
+#: Distances up to this are found in a band, wider ones by diagonals.
+BAND = 2
 _LAST = (1 << 63) - 1
 
 
-def threshold(length: np.ndarray) -> np.ndarray:
-    return np.where(length < LEAST, -1, np.where(length < LONG, 1, 2))
+@dataclass(frozen=True)
+class Repeats:
+    """share: code points for each edit of long lines, 0 for two edits at any length. short: whether lines of less than
+    LEAST code points that hold a word are removed where they equal an earlier one."""
+
+    share: int = 0
+    short: bool = False
+
+
+def threshold(length: np.ndarray, share: int = 0) -> np.ndarray:
+    most = np.maximum(2, length // share) if share else 2
+    return np.where(length < LEAST, -1, np.where(length < LONG, 1, most))
 
 
 def lines_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -52,11 +72,11 @@ def lines_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return points, start[order], end[order], row, number
 
 
-def probes(length: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int, np.ndarray]]:
+def probes(length: np.ndarray, share: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int, np.ndarray]]:
     """For lines of these lengths: (which lines, place, size, segment, length of the indexed line) of all their probes."""
     for less in range(3):
         other = length - less
-        limit = threshold(other)
+        limit = threshold(other, share)
         for t in (1, 2):
             chosen = np.flatnonzero((limit == t) & (less <= t))
             if not len(chosen):
@@ -77,6 +97,69 @@ def probes(length: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndar
                         yield chosen[ok], at[ok], size[ok], i, l[ok]
 
 
+def sketches(points: np.ndarray, start: np.ndarray, end: np.ndarray, share: int) -> tuple[np.ndarray, np.ndarray]:
+    """(sig, which) of lines of at least SPAN + SKETCH code points: their smallest grams with each class of length that
+    lines within the distance may have in common with them."""
+    total, down = prefix_hash(mix(points.astype(U64) + U64(1)))
+    grams = end - start - SPAN + 1
+    heads = np.concatenate([[0], np.cumsum(grams)])
+    line = np.repeat(np.arange(len(grams)), grams)
+    at = np.arange(heads[-1]) - heads[line] + start[line]
+    cut = U64(20)
+    high = line.astype(U64) << U64(44)
+    key = np.sort(high | (mix(span_hash(total, down, at, at + SPAN)) >> cut))
+    # equal grams of a line lie side by side: all but the first are named anew by their rank
+    run = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    rank = np.arange(len(key)) - np.repeat(run, np.diff(np.append(run, len(key))))
+    again = rank > 0
+    if again.any():
+        key[again] = high[again] | (mix(key[again] ^ high[again] ^ mix(rank[again].astype(U64))) >> cut)
+        key.sort()
+    low = key[heads[:-1, None] + np.arange(SKETCH)] & ((U64(1) << U64(44)) - U64(1))
+    length = end - start
+    near, far = (np.floor(np.log(n) / log(STEP)).astype(U64) for n in (length, length + length // share))
+    sigs, which = [], []
+    for kind, lines in ((near, np.arange(len(length))), (far, np.flatnonzero(far != near))):
+        sigs.append(mix(low[lines] ^ mix(kind[lines] * U64(8) + U64(7))[:, None]).ravel())
+        which.append(np.repeat(lines, SKETCH))
+    return np.concatenate(sigs), np.concatenate(which)
+
+
+def _far(a: list[np.ndarray], b: list[np.ndarray], limit: np.ndarray) -> np.ndarray:
+    """Whether the edit distance of each pair is at most its limit, by the furthest places that e edits reach on each
+    diagonal; all pairs move together. How far two lines agree from a place on is found by halving, on hashes of spans."""
+    la, lb = np.array([len(x) for x in a]), np.array([len(x) for x in b])
+    ha, hb = (prefix_hash(mix(np.concatenate(x).astype(U64) + U64(1))) for x in (a, b))
+    oa, ob = np.cumsum(la) - la, np.cumsum(lb) - lb
+    most = int(limit.max())
+    # reach[p, d + most + 1]: place in a on diagonal d (place in b less place in a); far below zero where none is reached
+    none = -(1 << 40)
+    reach = np.full((len(a), 2 * most + 3), none, np.int64)
+    out = np.zeros(len(a), bool)
+    live = np.flatnonzero(np.abs(la - lb) <= limit)
+    for e in range(most + 1):
+        d = np.arange(-e, e + 1)
+        at = d + most + 1
+        old = reach[live]
+        new = np.maximum(np.maximum(old[:, at] + 1, old[:, at - 1]), old[:, at + 1] + 1) if e else np.zeros((len(live), 1), np.int64)
+        new = np.minimum(np.minimum(new, la[live, None]), lb[live, None] - d)
+        row, column = np.nonzero((new >= 0) & (new + d >= 0))
+        p, x = live[row], new[row, column]
+        y = x + d[column]
+        low, high = np.zeros_like(x), np.minimum(la[p] - x, lb[p] - y)
+        x0, y0 = oa[p] + x, ob[p] + y
+        while len(todo := np.flatnonzero(low < high)):
+            middle = (low[todo] + high[todo] + 1) // 2
+            equal = span_hash(*ha, x0[todo], x0[todo] + middle) == span_hash(*hb, y0[todo], y0[todo] + middle)
+            low[todo], high[todo] = np.where(equal, middle, low[todo]), np.where(equal, high[todo], middle - 1)
+        reach[p, column + most + 1 - e] = x + low
+        out[live] = reach[live, (lb - la)[live] + most + 1] >= la[live]
+        live = live[~out[live] & (limit[live] > e)]
+        if not len(live):
+            break
+    return out
+
+
 def within(a: list[np.ndarray], b: list[np.ndarray], limit: np.ndarray) -> np.ndarray:
     """Whether the edit distance of each pair is at most its limit.
 
@@ -87,8 +170,18 @@ def within(a: list[np.ndarray], b: list[np.ndarray], limit: np.ndarray) -> np.nd
     la, lb = np.array([len(x) for x in a], np.int64), np.array([len(x) for x in b], np.int64)
     limit = limit.astype(np.int64)
     out = np.zeros(n, bool)
-    order = np.lexsort((lb,))
+    far = np.flatnonzero(limit > BAND)
+    far = far[np.argsort(limit[far], kind="stable")]
     i = 0
+    while i < len(far):
+        j = i + 1
+        while j < len(far) and (j - i + 1) * (2 * limit[far[j]] + 3) < 200_000:
+            j += 1
+        part, i = far[i:j], j
+        out[part] = _far([a[k] for k in part], [b[k] for k in part], limit[part])
+    order = np.lexsort((lb,))
+    order = order[limit[order] <= BAND]
+    i, n = 0, len(order)
     while i < n:
         j = i + 1
         while j < n and (j - i + 1) * (la[order[i : j + 1]].max() + 8) < 2_000_000 and j - i < 4096:
@@ -142,33 +235,42 @@ def _blocks(batch: pa.RecordBatch, place: int) -> Iterator[tuple]:
         yield i, points, start, end, row, number, total, down, span_hash(total, down, start, end)
 
 
-def line_keys(rows: DataFrame) -> DataFrame:
-    """(rid, id, line_no, key) of the lines that are long enough; rows: (rid, id, text)."""
+def line_keys(rows: DataFrame, options: Repeats) -> DataFrame:
+    """(rid, id, line_no, key) of the lines that may go; rows: (rid, id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, _, start, end, row, number, _, _, key in _blocks(batch, 2):
-                keep = np.flatnonzero(end - start >= LEAST)
+            for i, points, start, end, row, number, _, _, key in _blocks(batch, 2):
+                may = end - start >= LEAST
+                if options.short:
+                    dark = np.concatenate([[0], np.cumsum((points != 32) & ((points < 9) | (points > 13)))])
+                    may |= dark[end] > dark[start]
+                keep = np.flatnonzero(may)
                 which = pa.array(row[keep] + i)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(which), batch.column(1).take(which), pa.array(number[keep].astype(np.int32)), pa.array(key[keep].view(np.int64))], names=["rid", "id", "line_no", "key"])
 
     return rows.select("rid", "id", "text").mapInArrow(run, "rid long, id long, line_no int, key long")
 
 
-def probe_rows(rows: DataFrame) -> DataFrame:
+def probe_rows(rows: DataFrame, share: int) -> DataFrame:
     """(sig, id): the probes of the different lines of each batch; id is the line's key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, start, end, _, _, total, down, key in _blocks(batch, 0):
+            for _, points, start, end, _, _, total, down, key in _blocks(batch, 0):
                 long = np.flatnonzero(end - start >= LEAST)
                 _, once = np.unique(key[long], return_index=True)
                 long = long[once]
                 sigs, ids = [], []
-                for which, at, size, i, l in probes((end - start)[long]):
+                for which, at, size, i, l in probes((end - start)[long], share):
                     head = start[long[which]] + at
                     sigs.append(mix(span_hash(total, down, head, head + size) ^ mix(l.astype(U64) * U64(8) + U64(i))))
                     ids.append(key[long[which]])
+                wide = long[threshold((end - start)[long], share) > 2]
+                if len(wide):
+                    sig, which = sketches(points, start[wide], end[wide], share)
+                    sigs.append(sig)
+                    ids.append(key[wide[which]])
                 if sigs:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.concatenate(ids).view(np.int64))], names=["sig", "id"])
 
@@ -190,7 +292,7 @@ def line_texts(rows: DataFrame) -> DataFrame:
     return rows.select("text").mapInArrow(run, "id long, text string")
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame, share: int) -> DataFrame:
     """The pairs (a, b) of line keys that link; texts: (id, text)."""
     left = texts.select(F.col("id").alias("a"), F.col("text").alias("ta"))
     right = texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
@@ -201,7 +303,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             for i, j in blocks(offsets, 1 << 19):
                 part = batch.slice(i, j - i)
                 a, b = ([np.frombuffer(t.encode("utf-32-le"), np.uint32) for t in part.column(c).to_pylist()] for c in (2, 3))
-                limit = threshold(np.array([min(len(x), len(y)) for x, y in zip(a, b, strict=True)]))
+                limit = threshold(np.array([min(len(x), len(y)) for x, y in zip(a, b, strict=True)], np.int64), share)
                 yield part.filter(pa.array(within(a, b, limit))).select(["a", "b"])
 
     return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
@@ -234,37 +336,38 @@ def line_marks(texts: DataFrame) -> DataFrame:
     return marks.select("id", F.struct("n", *[f"w{k}" for k in range(PARITY)]).alias("mark"))
 
 
-def possible(a: str, b: str) -> Column:
+def possible(a: str, b: str, share: int = 0) -> Column:
     """Whether the marks of two lines leave room for a link."""
     A, B = F.col(a), F.col(b)
-    limit = F.when(F.least(A["n"], B["n"]) < LONG, 1).otherwise(2)
+    n = F.least(A["n"], B["n"])
+    limit = F.when(n < LONG, 1).otherwise(F.greatest(F.lit(2), F.floor(n / share)) if share else 2)
     differ = sum((F.bit_count(A[f"w{k}"].bitwiseXOR(B[f"w{k}"])) for k in range(PARITY)), F.lit(0))
     return (F.abs(A["n"] - B["n"]) <= limit) & (differ <= 2 * GRAM * limit)
 
 
-def line_classes(rows: DataFrame) -> DataFrame:
+def line_classes(rows: DataFrame, share: int) -> DataFrame:
     """(key, comp) of the lines that link with another text."""
-    members = in_buckets(probe_rows(rows))
+    members = in_buckets(probe_rows(rows, share))
     wanted = broadcast_if_small(settle(members.select("id").distinct()))
     texts = settle(line_texts(rows).join(wanted, "id").groupBy("id").agg(F.first("text").alias("text")))
-    return classes(members, lambda pairs: verified(pairs, texts), settle(line_marks(texts)), possible).withColumnRenamed("id", "key")
+    return classes(members, lambda pairs: verified(pairs, texts, share), settle(line_marks(texts)), lambda a, b: possible(a, b, share)).withColumnRenamed("id", "key")
 
 
-def removed_lines(rows: DataFrame) -> DataFrame:
+def removed_lines(rows: DataFrame, options: Repeats) -> DataFrame:
     """(rid, gone): the numbers of the lines of each row that go; rows: (rid, id, text)."""
-    lines = settle(line_keys(rows))
-    named = lines.join(line_classes(rows), "key", "left").withColumn("comp", F.coalesce("comp", "key"))
+    lines = settle(line_keys(rows, options))
+    named = lines.join(line_classes(rows, options.share), "key", "left").withColumn("comp", F.coalesce("comp", "key"))
     first = named.groupBy("comp").agg(F.min(F.struct("id", "rid", "line_no")).alias("first"), F.count("*").alias("n")).where("n > 1").select("comp", "first")
     gone = named.join(first, "comp").where("struct(id, rid, line_no) <> first")
     return gone.groupBy("rid").agg(F.collect_set("line_no").alias("gone"))
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
+def deduplicated(docs: DataFrame, options: Repeats | None = None) -> DataFrame:
     """All columns of docs, text without the lines that go, and n_lines and n_removed."""
     rid = F.xxhash64("doc_id", "text")
     keyed = docs.select(rid.alias("_rid"), *docs.columns)
     rows = docs.select(rid.alias("rid"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("id"), "text")
-    joined = keyed.join(removed_lines(rows).withColumnRenamed("rid", "_rid"), "_rid", "left").drop("_rid")
+    joined = keyed.join(removed_lines(rows, options or Repeats()).withColumnRenamed("rid", "_rid"), "_rid", "left").drop("_rid")
     place = docs.columns.index("text")
     schema = docs.schema.simpleString()[7:-1] + ",n_lines:bigint,n_removed:bigint"
 
@@ -286,9 +389,9 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, schema)
 
 
-def digest(docs: DataFrame) -> DataFrame:
+def digest(docs: DataFrame, options: Repeats | None = None) -> DataFrame:
     """doc_id, n_lines, n_removed and kept_sha256 of every row."""
-    out = deduplicated(docs.select("doc_id", "text"))
+    out = deduplicated(docs.select("doc_id", "text"), options)
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 

@@ -29,7 +29,7 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.digest(table(spark, sf_dir, "documents"))
+    return line_dedup.digest(table(spark, sf_dir, "documents"), line_dedup.Repeats(share=32, short=True))
 
 
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
