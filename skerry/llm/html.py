@@ -3,9 +3,10 @@
 A page is read as a run of text blocks, each under the path of block-level tags from the root to it (with the class and
 id words that name a part of a page). Per path, the text length and the punctuation of its blocks are divided by the
 number of blocks; both ratios are smoothed over neighbouring paths in page order, fused by their product, and paths above
-a share of the standard deviation hold the content. Inside an article or main element every path that is no boilerplate
-is content, as the page says so itself; menus, headers, footers, sidebars, adverts, notices, forms, scripts, styles and
-comments never are.
+a share of the standard deviation hold the content. Paths inside an article or main element weigh more, as the page says
+so itself; menus, headers, footers, sidebars, adverts, notices, forms, scripts, styles and comments are no content. The
+mark that a class, an id or a form puts on all below it is void where that element holds most of the page's text, and
+some of what is in an article or main element if the page has one.
 
 Null and empty pages give an empty text. Broken markup (unclosed tags, a missing end) is read as browsers do: a new block
 closes an open paragraph. Whole pages are read, whatever their length. Repeated rows give repeated results.
@@ -35,13 +36,15 @@ ROLES = frozenset({"navigation", "banner", "contentinfo", "complementary", "sear
 #: Closed by any block that opens after them.
 SHUT_BY_BLOCK = frozenset({"p", "h1", "h2", "h3", "h4", "h5", "h6"})
 SIBLINGS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
+_HEADING = re.compile(r"(?:^|/)h[1-6](?:\.[^/]*)?$")
 _PUNCTUATION = re.compile(r"[,.;:!?，。；：！？、]")
 
 
 def text_blocks(page: str) -> list[tuple[str, bool, bool, str]]:
     """(path, is boilerplate, is in an article or main element, text) of each block, in page order."""
-    stack: list[tuple[str, bool, bool]] = []  # label, boilerplate so far, in an article so far
-    out: list[tuple[str, bool, bool, str]] = []
+    stack: list[tuple[str, bool, bool, tuple[int, ...]]] = []  # label, boilerplate so far, in an article so far, marks that may be void
+    out: list[tuple[str, bool, bool, tuple[int, ...], str]] = []
+    n_marks = 0
     run: list[str] = []
     raw: str | None = None
 
@@ -50,8 +53,8 @@ def text_blocks(page: str) -> list[tuple[str, bool, bool, str]]:
             text = _WHITE.sub(" ", entities.unescape("".join(run))).strip()
             run.clear()
             if text:
-                _, bad, good = stack[-1] if stack else ("", False, False)
-                out.append(("/".join(x[0] for x in stack), bad, good, text))
+                _, bad, good, marked = stack[-1] if stack else ("", False, False, ())
+                out.append(("/".join(x[0] for x in stack), bad, good, marked, text))
 
     for m in _TOKEN.finditer(page):
         token = m[0]
@@ -93,19 +96,30 @@ def text_blocks(page: str) -> list[tuple[str, bool, bool, str]]:
                 if label == name or (name in ("dt", "dd") and label in ("dt", "dd")) or (name in ("td", "th") and label in ("td", "th")):
                     del stack[k:]
                     break
-        bad, good = stack[-1][1:] if stack else (False, False)
+        bad, good, marked = stack[-1][1:] if stack else (False, False, ())
         named = {a[0].lower(): a[1] or a[2] or a[3] for a in _NAMED.findall(rest)} if rest else {}
         marks = " ".join(named.get(k, "") for k in ("class", "id")).strip()
         main = name in ("article", "main") or named.get("role", "").lower() in ("main", "article")
         if name == "header" and good:
             pass  # the heading of an article is part of it
-        elif name in BOILERPLATE or named.get("role", "").lower() in ROLES or "hidden" in named or named.get("aria-hidden", "").lower() == "true":
+        elif (name in BOILERPLATE and name != "form") or named.get("role", "").lower() in ROLES or "hidden" in named or named.get("aria-hidden", "").lower() == "true":
             bad = True
-        if marks and not main and name not in ("html", "body") and PART.search(marks):
-            bad = True
-        stack.append((f"{name}.{'.'.join(marks.lower().split())}" if marks else name, bad, good or main))
+        if name == "form" or (marks and not main and name not in ("html", "body") and PART.search(marks)):
+            marked = (*marked, n_marks)
+            n_marks += 1
+        stack.append((f"{name}.{'.'.join(marks.lower().split())}" if marks else name, bad, good or main, marked))
     flush()
-    return out
+    if not n_marks:
+        return [(path, bad, good, text) for path, bad, good, _, text in out]
+    held, mains = [0] * n_marks, [False] * n_marks
+    for _, bad, good, marked, text in out:
+        for k in marked:
+            held[k] += len(text)
+            mains[k] |= good and not bad
+    most = sum(len(b[4]) for b in out) / 2
+    needed = any(good and not bad for _, bad, good, _, _ in out)
+    void = [h > most and (m or not needed) for h, m in zip(held, mains, strict=True)]
+    return [(path, bad or not all(void[k] for k in marked), good, text) for path, bad, good, marked, text in out]
 
 
 def smooth(values: list[float], radius: int = 1) -> list[float]:
@@ -118,28 +132,34 @@ def smooth(values: list[float], radius: int = 1) -> list[float]:
     return out
 
 
-def main_text(page: str | None, share: float = 0.3) -> str:
-    """The content blocks of a page, joined by line breaks."""
-    found = text_blocks(page or "")
-    candidates = [b for b in found if not b[1]]
-    if any(b[2] for b in candidates):
-        return "\n".join(b[3] for b in candidates if b[2])
+def main_text(page: str | None, share: float = 0.3, weight: float = 4.0) -> str:
+    """The content blocks of a page, joined by line breaks; paths in an article or main element have the weight."""
+    candidates = [b for b in text_blocks(page or "") if not b[1]]
     if not candidates:
         return ""
     sums: dict[str, list[float]] = {}
-    for path, _, _, text in candidates:
+    inside: dict[str, float] = {}
+    for path, _, good, text in candidates:
         s = sums.setdefault(path, [0, 0, 0])
         s[0] += 1
         s[1] += len(text)
         s[2] += len(_PUNCTUATION.findall(text))
+        inside[path] = weight if good else 1.0
     text_ratio = smooth([s[1] / s[0] for s in sums.values()])
     punctuation_ratio = smooth([s[2] / s[0] for s in sums.values()])
-    fused = {p: t * (1 + c) for p, t, c in zip(sums, text_ratio, punctuation_ratio, strict=True)}
+    fused = {p: inside[p] * t * (1 + c) for p, t, c in zip(sums, text_ratio, punctuation_ratio, strict=True)}
     mean = sum(fused.values()) / len(fused)
     threshold = share * (sum((x - mean) ** 2 for x in fused.values()) / len(fused)) ** 0.5 if len(fused) > 1 else 0
-    chosen = {p for p, x in fused.items() if x >= threshold}
     # headings belong to the content that follows them
-    return "\n".join(text for path, _, _, text in candidates if path in chosen or re.search(r"(?:^|/)h[1-6](?:\.[^/]*)?$", path))
+    out: list[str] = []
+    follows = False
+    for path, _, _, text in reversed(candidates):
+        own = fused[path] >= threshold
+        if not _HEADING.search(path):
+            follows = own
+        if own or follows:
+            out.append(text)
+    return "\n".join(reversed(out))
 
 
 def main_texts(pages: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from collections import Counter
 
 import numpy as np
 
-from skerry.llm import line_dedup
+from skerry.llm import html, line_dedup
 from skerry.llm.frames import table
 from skerry.llm.queries import op4_line_dedup
 
@@ -87,3 +87,15 @@ def test_wide_distances_and_sketches():
         if hit:
             sets = [set(line_dedup.sketches(points(z), np.array([0]), np.array([len(z)]), 32)[0].tolist()) for z in (x, y)]
             assert sets[0] & sets[1]
+
+
+def test_pages_go_by_ratios_and_marks_can_be_void():
+    body = [f"Paragraph {k} of the body, which is long, has commas, and says a good deal more than any card does." for k in range(6)]
+    cards = "".join(f"<article><h3>Card {k}</h3><p>Teaser.</p></article>" for k in range(3))
+    plain = "".join(f"<p>{x}</p>" for x in body)
+    got = html.main_text(f"<body><nav>Menu</nav><div class=text>{plain}</div>{cards}</body>").split("\n")
+    assert [x for x in got if x.startswith("Paragraph")] == body and "Menu" not in got
+    for inner in (plain, f"<main>{plain}</main>"):
+        for open_, close in (("<form id=f>", "</form>"), ("<div class='with-sidebar'>", "</div>")):
+            assert html.main_text(f"<body>{open_}<div class=menu>a b c</div><div>{inner}</div>{close}<footer>foot</footer></body>") == "\n".join(body)
+    assert html.main_text(f"<body><article><p>{body[0]}</p></article><div class=comments>{plain}</div></body>") == body[0]
