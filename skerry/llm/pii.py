@@ -7,8 +7,9 @@ term t reveals of an entity e:
     disclosure(t, e) = PMI(t; e) / IC(e) = 1 - log(n(t) / n(t, e)) / log(N / n(e))
 
 where n(e) counts the different contexts of e, n(t, e) those that hold t, n(t) all occurrences of t in the corpus and N all
-words. It is 1 if t only ever stands beside e. Terms with n(t, e) of at least `support` and a disclosure of at least
-`generalise` get a span of kind `term` wherever they stand beside e: in `sanitised` they are generalised to a label, and
+words. It is 1 if t only ever stands beside e. The same is counted for classes of entities (all of a kind, all addresses
+of an e-mail domain) over all their contexts. Terms with n(t, e) of at least `support`, or of two where so many contexts
+by chance are less likely than `chance` (a Chernoff bound), and a disclosure of at least `generalise` get a span of kind `term` wherever they stand beside e: in `sanitised` they are generalised to a label, and
 from `remove` on they are taken out. Counts cover all rows of all texts.
 
 Null and empty texts have no spans. Rows equal in doc_id and text have the same spans; a null doc_id changes nothing.
@@ -45,6 +46,7 @@ class Disclosure:
     support: int = 3
     generalise: float = 0.90
     remove: float = 0.97
+    chance: float = 1e-6
 
 
 def digits(value: Column) -> Column:
@@ -88,6 +90,13 @@ def entity(kind: str, value: Column) -> Column:
     return F.concat(F.lit(f"{kind}:"), F.lower(value) if kind == "email" else value if kind == "ip" else digits(value))
 
 
+def with_classes(entity: Column) -> Column:
+    """The entity and the classes that it belongs to."""
+    kind = F.concat(F.substring_index(entity, ":", 1), F.lit(":*"))
+    domain = F.when(F.startswith(entity, F.lit("email:")), F.concat(F.lit("email:@"), F.substring_index(entity, "@", -1)))
+    return F.array_compact(F.array(entity, kind, domain))
+
+
 def terms_near(text: Column, span: Column, reach: int) -> Column:
     """Whole words of the context of a span, with their places in the text."""
     low = F.greatest(F.lit(0), span["start"] - reach)
@@ -123,9 +132,9 @@ def scan(docs: DataFrame, options: Disclosure) -> DataFrame:
 
 def disclosing(docs: DataFrame, scanned: DataFrame, options: Disclosure) -> DataFrame:
     """(entity, term, disclosure) of the pairs above the first threshold."""
-    seen = scanned.select(F.explode("contexts").alias("c")).select("c.entity", "c.context", "c.terms")
-    each = seen.select("entity", "context").distinct().groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= options.support)
-    pairs = seen.select("entity", "context", F.explode("terms.term").alias("term")).distinct().groupBy("entity", "term").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= options.support)
+    seen = scanned.select(F.explode("contexts").alias("c")).select(F.explode(with_classes(F.col("c.entity"))).alias("entity"), "c.context", "c.terms")
+    each = seen.select("entity", "context").distinct().groupBy("entity").agg(F.count("*").alias("n_e")).where("n_e >= 2")
+    pairs = seen.select("entity", "context", F.explode("terms.term").alias("term")).distinct().groupBy("entity", "term").agg(F.count("*").alias("n_te")).where("n_te >= 2")
     pairs = settle(pairs.join(each, "entity"))
     total = scanned.agg(F.sum("n_words").alias("n")).first()["n"] or 0
     words = docs.where("text is not null").select(F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("term"))
@@ -133,7 +142,11 @@ def disclosing(docs: DataFrame, scanned: DataFrame, options: Disclosure) -> Data
         return pairs.select("entity", "term", F.lit(0.0).alias("disclosure"))
     counts = words.groupBy("term").agg(F.count("*").alias("n_t"))
     share = 1 - F.log(F.greatest(F.col("n_t"), F.col("n_te")) / F.col("n_te")) / F.log(F.lit(float(max(total, 2))) / F.col("n_e"))
-    return pairs.join(counts, "term").select("entity", "term", share.alias("disclosure")).where(F.col("disclosure") >= options.generalise)
+    # contexts with the term if its occurrences were dealt to places at random; a context has some reach / 3 words
+    mean = F.col("n_t") * F.col("n_e") * F.lit(options.reach / 3 / max(total, 2))
+    unlikely = F.col("n_te") * (1 + F.log(mean / F.col("n_te"))) - mean <= F.log(F.lit(options.chance))
+    enough = (F.col("n_te") >= options.support) | (unlikely & (mean < F.col("n_te")))
+    return pairs.join(counts, "term").where(enough).select("entity", "term", share.alias("disclosure")).where(F.col("disclosure") >= options.generalise)
 
 
 def personal_data(docs: DataFrame, options: Disclosure | None = None) -> DataFrame:
@@ -142,6 +155,7 @@ def personal_data(docs: DataFrame, options: Disclosure | None = None) -> DataFra
     scanned = settle(scan(docs.select("doc_id", "text"), options))
     telling = disclosing(docs, scanned, options)
     near = scanned.where(F.size("contexts") > 0).select("rid", F.explode("contexts").alias("c")).select("rid", "c.entity", F.explode("c.terms").alias("t"))
+    near = near.withColumn("entity", F.explode(with_classes(F.col("entity"))))
     marked = near.select("rid", "entity", "t.term", "t.start", "t.end").join(telling, ["entity", "term"])
     best = marked.groupBy("rid", "start", "end").agg(F.max("disclosure").alias("disclosure"))
     terms = best.groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("start", "end", "disclosure"))).alias("term"))

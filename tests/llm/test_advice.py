@@ -5,7 +5,7 @@ from collections import Counter
 
 import numpy as np
 
-from skerry.llm import html, line_dedup
+from skerry.llm import html, line_dedup, pii
 from skerry.llm.frames import table
 from skerry.llm.queries import op4_line_dedup
 
@@ -99,3 +99,16 @@ def test_pages_go_by_ratios_and_marks_can_be_void():
         for open_, close in (("<form id=f>", "</form>"), ("<div class='with-sidebar'>", "</div>")):
             assert html.main_text(f"<body>{open_}<div class=menu>a b c</div><div>{inner}</div>{close}<footer>foot</footer></body>") == "\n".join(body)
     assert html.main_text(f"<body><article><p>{body[0]}</p></article><div class=comments>{plain}</div></body>") == body[0]
+
+
+def test_terms_of_two_contexts_and_of_classes(spark):
+    letters = "abcdefghij"
+    filler = [(1000 + k, "plain words without any name " * 100) for k in range(300)]
+    two = [(k, f"{w} said that Zebedee has the address zed@one.org since {w}") for k, w in enumerate(("apples", "pears"))]
+    domain = [(10 + k, f"{w * 5} from Quillworks at {w}@quill.org with {w * 6}") for k, w in enumerate(letters[:4])]
+    once = [(20, "nothing but Solitary beside lone@else.org here")]
+    rows = filler + two + domain + once
+    got = {r.doc_id: r for r in pii.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    terms = {i: {t[int(a) : int(b)] for kind, a, b in (s.split(":") for s in got[i].spans.split(",") if s) if kind == "term"} for i, t in rows}
+    assert all("Zebedee" in terms[i] for i, _ in two) and all("Quillworks" in terms[i] for i, _ in domain)
+    assert not terms[20] & {"Solitary"} and all(not terms[i] for i, _ in filler)
