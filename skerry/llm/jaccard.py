@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .frames import broadcast_if_small, settle
-from .linking import classes, in_buckets
+from .linking import classes
 from .text import U64, blocks, lower_ascii, mix, utf8, windows, words
 
 SHINGLE = 5

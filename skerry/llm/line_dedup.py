@@ -1,56 +1,37 @@
 """Line dedup by a segment-partition edit join.
 
-Lines of at least 24 code points link if their edit distance is at most 1, or 2 from 40 code points of the shorter on.
-A line is cut into threshold-plus-one even segments; a line within the threshold keeps one of them whole, at a place
-that its length narrows to a few. The lines' substrings at those places are the probes of a length-aware index. Candidates
-that parity bits of their grams do not rule out are verified by banded bit-parallel edit distance, a whole batch of pairs at a time. Equal lines are one item. Of each
-class of linked lines the first stays, by doc_id, then line number; the others go.
-
-With `Repeats.share` the distance grows with the length: one edit in `share` code points, where that is more than two.
-Such lines meet by the SKETCH smallest of their grams of SPAN code points, an n-th repeat of a gram in a line being
-a gram of its own, among lines of about their length; k edits leave all but SPAN * k of a line's grams.
-
-Blank lines always stay, and so do lines of less than 24 code points unless `Repeats.short` lets equal ones go. Null and empty texts have one empty
-line. A null doc_id comes last. Rows equal in doc_id and text are one document and keep the same lines. Very long lines
-are read whole. An empty table gives no rows.
+Lines link if they are equal, or if their edit distance is at most 1 where the shorter has 24 code points or more, at most
+2 from 40 on. A line is cut into threshold-plus-one even segments, its rows of the index; a line within the threshold keeps
+one of them whole, at a place that its length narrows to a few. The substrings at those places are the probes of a
+length-aware index. Candidates that parity bits of their letters and letter pairs do not rule out are verified by banded
+bit-parallel edit distance, a whole batch of pairs at a time. Equal lines are one item. Of each class of linked lines the
+first stays, by doc_id, then line number; the others go.
+
+Lines without a word always stay. Null and empty texts have one empty line. A null doc_id comes last; ids of any type that
+has an order will do. Rows equal in doc_id and text are one document and keep the same lines. Very long lines are read
+whole. An empty table gives no rows. Columns of any names go through; a column of docs named n_lines or n_removed is
+replaced in `deduplicated` and kept in `without_repeated_lines`.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
-from dataclasses import dataclass
-from math import log
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .frames import broadcast_if_small, settle
-from .linking import classes, in_buckets
+from .frames import broadcast_if_small, columns, numbered, settle, with_fields
+from .linking import classes, stars
 from .text import U64, blocks, mix, prefix_hash, span_hash, utf8
 
+#: Least code points for a distance of 1 and of 2.
 LEAST, LONG = 24, 40
-#: Code points of a gram, and grams that a line is known by; ratio between two classes of length.
-SPAN, SKETCH, STEP = 12, 12, 1.125
-#: Distances up to this are found in a band, wider ones by diagonals.
-BAND = 2
-_LAST = (1 << 63) - 1
 
 
-@dataclass(frozen=True)
-class Repeats:
-    """share: code points for each edit of long lines, 0 for two edits at any length. short: whether lines of less than
-    LEAST code points that hold a word are removed where they equal an earlier one."""
-
-    share: int = 0
-    short: bool = False
-
-
-def threshold(length: np.ndarray, share: int = 0) -> np.ndarray:
-    most = np.maximum(2, length // share) if share else 2
-    return np.where(length < LEAST, -1, np.where(length < LONG, 1, most))
+def threshold(length: np.ndarray) -> np.ndarray:
+    return (length >= LEAST).astype(np.int64) + (length >= LONG)
 
 
 def lines_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -72,11 +53,11 @@ def lines_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return points, start[order], end[order], row, number
 
 
-def probes(length: np.ndarray, share: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int, np.ndarray]]:
-    """For lines of these lengths: (which lines, place, size, segment, length of the indexed line) of all their probes."""
+def probes(length: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int, np.ndarray, bool]]:
+    """For lines of these lengths: (which lines, place, size, segment, length of the indexed line, is a row of the index)."""
     for less in range(3):
         other = length - less
-        limit = threshold(other, share)
+        limit = threshold(other)
         for t in (1, 2):
             chosen = np.flatnonzero((limit == t) & (less <= t))
             if not len(chosen):
@@ -94,70 +75,7 @@ def probes(length: np.ndarray, share: int = 0) -> Iterator[tuple[np.ndarray, np.
                     at = place + k
                     ok = (at >= low) & (at <= high)
                     if ok.any():
-                        yield chosen[ok], at[ok], size[ok], i, l[ok]
-
-
-def sketches(points: np.ndarray, start: np.ndarray, end: np.ndarray, share: int) -> tuple[np.ndarray, np.ndarray]:
-    """(sig, which) of lines of at least SPAN + SKETCH code points: their smallest grams with each class of length that
-    lines within the distance may have in common with them."""
-    total, down = prefix_hash(mix(points.astype(U64) + U64(1)))
-    grams = end - start - SPAN + 1
-    heads = np.concatenate([[0], np.cumsum(grams)])
-    line = np.repeat(np.arange(len(grams)), grams)
-    at = np.arange(heads[-1]) - heads[line] + start[line]
-    cut = U64(20)
-    high = line.astype(U64) << U64(44)
-    key = np.sort(high | (mix(span_hash(total, down, at, at + SPAN)) >> cut))
-    # equal grams of a line lie side by side: all but the first are named anew by their rank
-    run = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-    rank = np.arange(len(key)) - np.repeat(run, np.diff(np.append(run, len(key))))
-    again = rank > 0
-    if again.any():
-        key[again] = high[again] | (mix(key[again] ^ high[again] ^ mix(rank[again].astype(U64))) >> cut)
-        key.sort()
-    low = key[heads[:-1, None] + np.arange(SKETCH)] & ((U64(1) << U64(44)) - U64(1))
-    length = end - start
-    near, far = (np.floor(np.log(n) / log(STEP)).astype(U64) for n in (length, length + length // share))
-    sigs, which = [], []
-    for kind, lines in ((near, np.arange(len(length))), (far, np.flatnonzero(far != near))):
-        sigs.append(mix(low[lines] ^ mix(kind[lines] * U64(8) + U64(7))[:, None]).ravel())
-        which.append(np.repeat(lines, SKETCH))
-    return np.concatenate(sigs), np.concatenate(which)
-
-
-def _far(a: list[np.ndarray], b: list[np.ndarray], limit: np.ndarray) -> np.ndarray:
-    """Whether the edit distance of each pair is at most its limit, by the furthest places that e edits reach on each
-    diagonal; all pairs move together. How far two lines agree from a place on is found by halving, on hashes of spans."""
-    la, lb = np.array([len(x) for x in a]), np.array([len(x) for x in b])
-    ha, hb = (prefix_hash(mix(np.concatenate(x).astype(U64) + U64(1))) for x in (a, b))
-    oa, ob = np.cumsum(la) - la, np.cumsum(lb) - lb
-    most = int(limit.max())
-    # reach[p, d + most + 1]: place in a on diagonal d (place in b less place in a); far below zero where none is reached
-    none = -(1 << 40)
-    reach = np.full((len(a), 2 * most + 3), none, np.int64)
-    out = np.zeros(len(a), bool)
-    live = np.flatnonzero(np.abs(la - lb) <= limit)
-    for e in range(most + 1):
-        d = np.arange(-e, e + 1)
-        at = d + most + 1
-        old = reach[live]
-        new = np.maximum(np.maximum(old[:, at] + 1, old[:, at - 1]), old[:, at + 1] + 1) if e else np.zeros((len(live), 1), np.int64)
-        new = np.minimum(np.minimum(new, la[live, None]), lb[live, None] - d)
-        row, column = np.nonzero((new >= 0) & (new + d >= 0))
-        p, x = live[row], new[row, column]
-        y = x + d[column]
-        low, high = np.zeros_like(x), np.minimum(la[p] - x, lb[p] - y)
-        x0, y0 = oa[p] + x, ob[p] + y
-        while len(todo := np.flatnonzero(low < high)):
-            middle = (low[todo] + high[todo] + 1) // 2
-            equal = span_hash(*ha, x0[todo], x0[todo] + middle) == span_hash(*hb, y0[todo], y0[todo] + middle)
-            low[todo], high[todo] = np.where(equal, middle, low[todo]), np.where(equal, high[todo], middle - 1)
-        reach[p, column + most + 1 - e] = x + low
-        out[live] = reach[live, (lb - la)[live] + most + 1] >= la[live]
-        live = live[~out[live] & (limit[live] > e)]
-        if not len(live):
-            break
-    return out
+                        yield chosen[ok], at[ok], size[ok], i, l[ok], less == 0 and k == 0
 
 
 def within(a: list[np.ndarray], b: list[np.ndarray], limit: np.ndarray) -> np.ndarray:
@@ -170,18 +88,8 @@ def within(a: list[np.ndarray], b: list[np.ndarray], limit: np.ndarray) -> np.nd
     la, lb = np.array([len(x) for x in a], np.int64), np.array([len(x) for x in b], np.int64)
     limit = limit.astype(np.int64)
     out = np.zeros(n, bool)
-    far = np.flatnonzero(limit > BAND)
-    far = far[np.argsort(limit[far], kind="stable")]
+    order = np.argsort(lb, kind="stable")
     i = 0
-    while i < len(far):
-        j = i + 1
-        while j < len(far) and (j - i + 1) * (2 * limit[far[j]] + 3) < 200_000:
-            j += 1
-        part, i = far[i:j], j
-        out[part] = _far([a[k] for k in part], [b[k] for k in part], limit[part])
-    order = np.lexsort((lb,))
-    order = order[limit[order] <= BAND]
-    i, n = 0, len(order)
     while i < n:
         j = i + 1
         while j < n and (j - i + 1) * (la[order[i : j + 1]].max() + 8) < 2_000_000 and j - i < 4096:
@@ -235,64 +143,65 @@ def _blocks(batch: pa.RecordBatch, place: int) -> Iterator[tuple]:
         yield i, points, start, end, row, number, total, down, span_hash(total, down, start, end)
 
 
-def line_keys(rows: DataFrame, options: Repeats) -> DataFrame:
-    """(rid, id, line_no, key) of the lines that may go; rows: (rid, id, text)."""
+def line_keys(rows: DataFrame) -> DataFrame:
+    """(rid, doc_id, line_no, key) of the lines that hold a word; rows: (rid, doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, points, start, end, row, number, _, _, key in _blocks(batch, 2):
-                may = end - start >= LEAST
-                if options.short:
-                    dark = np.concatenate([[0], np.cumsum((points != 32) & ((points < 9) | (points > 13)))])
-                    may |= dark[end] > dark[start]
-                keep = np.flatnonzero(may)
+                dark = np.concatenate([[0], np.cumsum((points != 32) & ((points < 9) | (points > 13)))])
+                keep = np.flatnonzero(dark[end] > dark[start])
                 which = pa.array(row[keep] + i)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(which), batch.column(1).take(which), pa.array(number[keep].astype(np.int32)), pa.array(key[keep].view(np.int64))], names=["rid", "id", "line_no", "key"])
+                own = [batch.column(0).take(which), batch.column(1).take(which)]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(number[keep].astype(np.int32)), pa.array(key[keep].view(np.int64))], names=["rid", "doc_id", "line_no", "key"])
 
-    return rows.select("rid", "id", "text").mapInArrow(run, "rid long, id long, line_no int, key long")
+    return rows.select("rid", "doc_id", "text").mapInArrow(run, with_fields(rows, ["rid", "doc_id"], "line_no int, key long"))
 
 
-def probe_rows(rows: DataFrame, share: int) -> DataFrame:
-    """(sig, id): the probes of the different lines of each batch; id is the line's key."""
+def probe_rows(rows: DataFrame, index_only: bool) -> DataFrame:
+    """(sig, id, own): index rows (own), or all probes, of the different lines of each block; id is the line's key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, points, start, end, _, _, total, down, key in _blocks(batch, 0):
+            for _, _, start, end, _, _, total, down, key in _blocks(batch, 0):
                 long = np.flatnonzero(end - start >= LEAST)
                 _, once = np.unique(key[long], return_index=True)
                 long = long[once]
-                sigs, ids = [], []
-                for which, at, size, i, l in probes((end - start)[long], share):
-                    head = start[long[which]] + at
-                    sigs.append(mix(span_hash(total, down, head, head + size) ^ mix(l.astype(U64) * U64(8) + U64(i))))
-                    ids.append(key[long[which]])
-                wide = long[threshold((end - start)[long], share) > 2]
-                if len(wide):
-                    sig, which = sketches(points, start[wide], end[wide], share)
-                    sigs.append(sig)
-                    ids.append(key[wide[which]])
+                sigs, ids, owns = [], [], []
+                for which, at, size, i, l, own in probes((end - start)[long]):
+                    if own or not index_only:
+                        head = start[long[which]] + at
+                        sigs.append(mix(span_hash(total, down, head, head + size) ^ mix(l.astype(U64) * U64(8) + U64(i))))
+                        ids.append(key[long[which]])
+                        owns.append(np.full(len(at), own))
                 if sigs:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.concatenate(ids).view(np.int64))], names=["sig", "id"])
+                    sig, id_ = (pa.array(np.concatenate(x).view(np.int64)) for x in (sigs, ids))
+                    yield pa.RecordBatch.from_arrays([sig, id_, pa.array(np.concatenate(owns))], names=["sig", "id", "own"])
 
-    return rows.select("text").mapInArrow(run, "sig long, id long")
+    return rows.select("text").mapInArrow(run, "sig long, id long, own boolean")
 
 
-def line_texts(rows: DataFrame) -> DataFrame:
-    """(id, text) of the lines that are long enough, each once a block; id is the line's key."""
+def line_texts(rows: DataFrame, lines: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(id, text) of the wanted lines, each taken from the first place where it stands; wanted: (id)."""
+    place = lines.withColumnRenamed("key", "id").join(wanted, "id").groupBy("id").agg(F.min("rid").alias("rid"), F.min_by("line_no", "rid").alias("line_no"))
+    picks = settle(place.groupBy("rid").agg(F.collect_list(F.struct("line_no", "id")).alias("picks")))
+    once = rows.select("rid", "text").join(broadcast_if_small(picks, 200_000), "rid")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, points, start, end, _, _, _, _, key in _blocks(batch, 0):
-                long = np.flatnonzero(end - start >= LEAST)
-                _, once = np.unique(key[long], return_index=True)
-                long = long[once]
-                texts = [points[a:b].tobytes().decode("utf-32-le") for a, b in zip(start[long].tolist(), end[long].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(key[long].view(np.int64)), pa.array(texts, pa.string())], names=["id", "text"])
+            ids, texts = [], []
+            for text, picked in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                parts = text.split("\n")
+                for p in picked:
+                    ids.append(p["id"])
+                    texts.append(parts[p["line_no"]])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.string())], names=["id", "text"])
 
-    return rows.select("text").mapInArrow(run, "id long, text string")
+    found = once.select("text", "picks").mapInArrow(run, "id long, text string")
+    return settle(found.groupBy("id").agg(F.first("text").alias("text")))
 
 
-def verified(pairs: DataFrame, texts: DataFrame, share: int) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) of line keys that link; texts: (id, text)."""
     left = texts.select(F.col("id").alias("a"), F.col("text").alias("ta"))
     right = texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
@@ -303,24 +212,31 @@ def verified(pairs: DataFrame, texts: DataFrame, share: int) -> DataFrame:
             for i, j in blocks(offsets, 1 << 19):
                 part = batch.slice(i, j - i)
                 a, b = ([np.frombuffer(t.encode("utf-32-le"), np.uint32) for t in part.column(c).to_pylist()] for c in (2, 3))
-                limit = threshold(np.array([min(len(x), len(y)) for x, y in zip(a, b, strict=True)], np.int64), share)
+                limit = threshold(np.array([min(len(x), len(y)) for x, y in zip(a, b, strict=True)], np.int64))
                 yield part.filter(pa.array(within(a, b, limit))).select(["a", "b"])
 
     return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-#: Length of the grams and number of 64-bit words of the parity bits of a line.
-GRAM, PARITY = 4, 4
+#: 64-bit words of the parity bits of a line: one for its letters, the others for pairs of neighbouring letters.
+PARITY = 4
 
 
-def parity(text: str) -> np.ndarray:
-    """64 * PARITY bits: bit i tells whether an odd number of the line's grams hash to i. An edit touches at most GRAM grams
-    of either line, so lines within k edits differ in at most 2 * GRAM * k bits."""
-    points = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(U64) + U64(1)
-    total, down = prefix_hash(mix(points))
-    at = np.arange(max(0, len(points) - GRAM + 1))
-    place = (span_hash(total, down, at, at + GRAM) % U64(64 * PARITY)).astype(np.int64)
-    return np.packbits((np.bincount(place, minlength=64 * PARITY) & 1).astype(np.uint8)).view(np.int64)
+def parity(points: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Of each line 64 * PARITY bits: bit i of the first word tells whether an odd number of its letters hash to i, the
+    other words tell the same of pairs of neighbours. An edit changes one letter and two pairs of either line, so lines
+    within k edits differ in at most 2 * k bits of the first word and 4 * k of the others."""
+    size = 64 * PARITY
+    out = np.zeros((len(start), size), np.uint8)
+    letter = mix(points.astype(U64) + U64(1))
+    pair = mix(letter[:-1] ^ (letter[1:] * U64(0x9E3779B97F4A7C15))) if len(points) > 1 else letter[:0]
+    for k, (place, shorter) in enumerate((((letter % U64(64)).astype(np.int64), 0), ((pair % U64(size - 64)).astype(np.int64) + 64, 1))):
+        n = np.maximum(0, end - start - shorter)
+        line = np.repeat(np.arange(len(n)), n)
+        at = np.arange(len(line)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start, n)
+        counts = np.bincount(line * size + place[at], minlength=len(n) * size).reshape(len(n), size)
+        out |= (counts & 1).astype(np.uint8)
+    return np.packbits(out, axis=1).view(np.int64)
 
 
 def line_marks(texts: DataFrame) -> DataFrame:
@@ -328,48 +244,59 @@ def line_marks(texts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lines = batch.column(1).to_pylist()
-            bits = np.stack([parity(x) for x in lines]) if lines else np.zeros((0, PARITY), np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in lines], pa.int64()), *[pa.array(bits[:, k]) for k in range(PARITY)]], names=["id", "n", *[f"w{k}" for k in range(PARITY)]])
+            data, offsets = utf8(batch.column(1))
+            for i, j in blocks(offsets, 1 << 17):
+                points = np.frombuffer(data[offsets[i] : offsets[j]].tobytes().decode().encode("utf-32-le"), np.uint32)
+                heads = np.concatenate([[0], np.cumsum((data[offsets[i] : offsets[j]] & 0xC0) != 0x80)])[offsets[i : j + 1] - offsets[i]]
+                bits = parity(points, heads[:-1], heads[1:])
+                words = [pa.array(np.ascontiguousarray(bits[:, k])) for k in range(PARITY)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.diff(heads)), *words], names=["id", "n", *[f"w{k}" for k in range(PARITY)]])
 
     marks = texts.select("id", "text").mapInArrow(run, "id long, n long" + "".join(f", w{k} long" for k in range(PARITY)))
     return marks.select("id", F.struct("n", *[f"w{k}" for k in range(PARITY)]).alias("mark"))
 
 
-def possible(a: str, b: str, share: int = 0) -> Column:
+def possible(a: str, b: str) -> Column:
     """Whether the marks of two lines leave room for a link."""
     A, B = F.col(a), F.col(b)
-    n = F.least(A["n"], B["n"])
-    limit = F.when(n < LONG, 1).otherwise(F.greatest(F.lit(2), F.floor(n / share)) if share else 2)
-    differ = sum((F.bit_count(A[f"w{k}"].bitwiseXOR(B[f"w{k}"])) for k in range(PARITY)), F.lit(0))
-    return (F.abs(A["n"] - B["n"]) <= limit) & (differ <= 2 * GRAM * limit)
+    limit = F.when(F.least(A["n"], B["n"]) < LONG, 1).otherwise(2)
+    differ = [F.bit_count(A[f"w{k}"].bitwiseXOR(B[f"w{k}"])) for k in range(PARITY)]
+    return (F.abs(A["n"] - B["n"]) <= limit) & (differ[0] <= 2 * limit) & (sum(differ[1:], F.lit(0)) <= 4 * limit)
 
 
-def line_classes(rows: DataFrame, share: int) -> DataFrame:
+def line_classes(rows: DataFrame, lines: DataFrame) -> DataFrame:
     """(key, comp) of the lines that link with another text."""
-    members = in_buckets(probe_rows(rows, share))
-    wanted = broadcast_if_small(settle(members.select("id").distinct()))
-    texts = settle(line_texts(rows).join(wanted, "id").groupBy("id").agg(F.first("text").alias("text")))
-    return classes(members, lambda pairs: verified(pairs, texts, share), settle(line_marks(texts)), lambda a, b: possible(a, b, share)).withColumnRenamed("id", "key")
-
-
-def removed_lines(rows: DataFrame, options: Repeats) -> DataFrame:
-    """(rid, gone): the numbers of the lines of each row that go; rows: (rid, id, text)."""
-    lines = settle(line_keys(rows, options))
-    named = lines.join(line_classes(rows, options.share), "key", "left").withColumn("comp", F.coalesce("comp", "key"))
-    first = named.groupBy("comp").agg(F.min(F.struct("id", "rid", "line_no")).alias("first"), F.count("*").alias("n")).where("n > 1").select("comp", "first")
-    gone = named.join(first, "comp").where("struct(id, rid, line_no) <> first")
+    index = probe_rows(rows, True).groupBy("sig").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
+    # a bucket has one row in the index, however many lines fall into it, so its table is built and the probes stream past
+    members = settle(probe_rows(rows, False).join(index.hint("shuffle_hash"), "sig").where("lo < hi or id <> lo"))
+    tests = settle(stars(members, ["lo", "hi"]))
+    # where one line has the segment in the index, all pairs of its bucket are tests already
+    open_ = settle(members.where("lo < hi").select("sig", "id", "own").distinct())
+    wanted = tests.select(F.explode(F.array("a", "b")).alias("id")).union(open_.select("id")).distinct()
+    texts = line_texts(rows, lines, broadcast_if_small(settle(wanted)))
+    return classes(tests, open_, lambda pairs: verified(pairs, texts), settle(line_marks(texts)), possible).withColumnRenamed("id", "key")
+
+
+def removed_lines(rows: DataFrame) -> DataFrame:
+    """(rid, gone): the numbers of the lines of each row that go; rows: (rid, doc_id, text)."""
+    lines = settle(line_keys(rows))
+    place = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "rid", "line_no")
+    # a line that many documents hold is one row here, so what follows by class is dealt evenly
+    each = lines.groupBy("key").agg(F.min(place).alias("first"), F.count("*").alias("n")).join(line_classes(rows, lines), "key", "left")
+    each = settle(each.withColumn("comp", F.coalesce("comp", "key")))
+    first = each.groupBy("comp").agg(F.min("first").alias("first"), F.sum("n").alias("n")).where("n > 1").select("comp", "first")
+    heads = settle(each.select("key", "comp").join(broadcast_if_small(settle(first), 300_000), "comp").select("key", "first"))
+    gone = lines.join(broadcast_if_small(heads, 300_000), "key").where(~place.eqNullSafe(F.col("first")))
     return gone.groupBy("rid").agg(F.collect_set("line_no").alias("gone"))
 
 
-def deduplicated(docs: DataFrame, options: Repeats | None = None) -> DataFrame:
-    """All columns of docs, text without the lines that go, and n_lines and n_removed."""
+def _deduplicated(docs: DataFrame, but: tuple[str, ...], n_lines: str, n_removed: str) -> DataFrame:
     rid = F.xxhash64("doc_id", "text")
-    keyed = docs.select(rid.alias("_rid"), *docs.columns)
-    rows = docs.select(rid.alias("rid"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("id"), "text")
-    joined = keyed.join(removed_lines(rows, options or Repeats()).withColumnRenamed("rid", "_rid"), "_rid", "left").drop("_rid")
-    place = docs.columns.index("text")
-    schema = docs.schema.simpleString()[7:-1] + ",n_lines:bigint,n_removed:bigint"
+    rows = docs.select(rid.alias("rid"), "doc_id", "text")
+    names = [c for c in docs.columns if c not in but]
+    gone = removed_lines(rows).withColumnsRenamed({"rid": "_skerry_rid", "gone": "_skerry_gone"})
+    joined = docs.select(*columns(docs, but), rid.alias("_skerry_rid")).join(gone, "_skerry_rid", "left").drop("_skerry_rid")
+    place = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -382,24 +309,29 @@ def deduplicated(docs: DataFrame, options: Repeats | None = None) -> DataFrame:
                     out = set(gone)
                     text = "\n".join([x for k, x in enumerate(parts) if k not in out])
                 texts.append(text)
-            columns = batch.columns[:-1]
-            columns[place] = pa.array(texts, columns[place].type)
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(lines, pa.int64()), pa.array(removed, pa.int64())], names=[*batch.schema.names[:-1], "n_lines", "n_removed"])
+            out = batch.columns[:-1]
+            out[place] = pa.array(texts, out[place].type)
+            yield pa.RecordBatch.from_arrays([*out, pa.array(lines, pa.int64()), pa.array(removed, pa.int64())], names=[*names, n_lines, n_removed])
 
-    return joined.mapInArrow(run, schema)
+    return numbered(joined).mapInArrow(run, with_fields(docs, names, f"{n_lines} long, {n_removed} long"))
+
+
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """All columns of docs, text without the lines that go, and n_lines and n_removed."""
+    return _deduplicated(docs, ("n_lines", "n_removed"), "n_lines", "n_removed")
 
 
-def digest(docs: DataFrame, options: Repeats | None = None) -> DataFrame:
+def digest(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_removed and kept_sha256 of every row."""
-    out = deduplicated(docs.select("doc_id", "text"), options)
+    out = deduplicated(docs.select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
 def without_repeated_lines(docs: DataFrame) -> DataFrame:
     """The columns of docs with repeated lines taken out; documents that had text and keep no word of it go. Where there
     is a column n_chars it follows the text."""
-    out = deduplicated(docs).where(r"n_removed = 0 or text rlike '[^\\x20\\x09-\\x0D]'")
+    out = _deduplicated(docs, (), "_skerry_lines", "_skerry_removed").where(r"_skerry_removed = 0 or text rlike '[^\\x20\\x09-\\x0D]'")
     if "n_chars" in docs.columns:
         kind = dict(docs.dtypes)["n_chars"]
-        out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        out = out.withColumn("n_chars", F.when(F.col("_skerry_removed") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
+    return out.select(*columns(out, ("_skerry_lines", "_skerry_removed")))

@@ -1,92 +1,23 @@
 """Cases of the review that the operators once left out."""
 
-import random
-from collections import Counter
-
-import numpy as np
-
 from skerry.llm import html, line_dedup, pii
-from skerry.llm.frames import table
 from skerry.llm.queries import op4_line_dedup
 
-from .test_contracts import HARD, SF, near, sha
-
-REPEATS = line_dedup.Repeats(share=32, short=True)
-
-
-def limit_of(n):
-    return 0 if n < 24 else 1 if n < 40 else max(2, n // 32)
-
 
-def repeats_kept(rows):
-    lines = sorted({x for _, t in rows for x in (t or "").split("\n") if 24 <= len(x) < 20_000}, key=len)
-    counts = {x: Counter(x) for x in lines}
-    comp = {x: x for x in lines}
-
-    def find(x):
-        while comp.get(x, x) != x:
-            x = comp[x]
-        return x
-
-    for k, a in enumerate(lines):
-        for b in lines[k + 1 :]:
-            limit = limit_of(len(a))
-            if len(b) - len(a) > limit:
-                break
-            if sum((counts[b] - counts[a]).values()) <= limit and near(a, b, limit):
-                comp[find(a)] = find(b)
-    seen, out = set(), {}
-    for i, text in sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0)):
-        kept = []
-        for x in (text or "").split("\n"):
-            if not x.strip(" \t\n\v\f\r") or find(x) not in seen:
-                kept.append(x)
-            seen.add(find(x))
-        n = (text or "").count("\n") + 1
-        out[i] = (n, n - len(kept), sha("\n".join(kept)))
-    return {i: v for i, v in out.items() if i is not None}
-
-
-def test_short_repeats_and_lines_within_a_share_of_their_length_go(spark, tmp_path):
-    words = [f"wo{k}rd" for k in range(55)]
-    line, other = " ".join(words), " ".join([*words[:30], "unlike", *words[31:]])
+def test_short_repeats_go_and_lines_of_all_kinds_of_ids_are_taken(spark, tmp_path):
     long = " ".join(f"a{k * 7919 % 9973}z" for k in range(1000))
-    rows = [(1, f"{line}\nLes.\n\nown text of the first"), (2, f"{other}\nLes.\n\n \nown text of the second one"), (3, long), (4, long.replace("5z ", "77z ", 60)), (5, "Les.")]
+    rows = [("a", f"the first line of some length\nLes.\n\nown text of the first"), ("b", "the first line of some lengths\nLes.\n\n \nown text of the second one"), ("c", long), ("d", long.replace("5z ", "7z ", 2)), ("e", "Les."), (None, "Les.\nx")]
     path = str(tmp_path / "documents.parquet")
-    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(path)
+    spark.createDataFrame(rows, "doc_id string, text string").write.parquet(path)
     got = {r.doc_id: r.n_removed for r in op4_line_dedup(spark, str(tmp_path)).collect()}
-    assert got == {1: 0, 2: 2, 3: 0, 4: 1, 5: 1}
-
-
-def test_all_repeats_equal_brute_force(spark):
-    docs = table(spark, SF, "documents")
-    plain = {r.doc_id: r.n_removed for r in line_dedup.digest(docs).collect()}
-    for df, rows in ((docs, [(r.doc_id, r.text) for r in docs.collect()]), (spark.createDataFrame(HARD, "doc_id long, text string"), HARD)):
-        got = {r.doc_id: tuple(r)[1:] for r in line_dedup.digest(df, REPEATS).collect() if r.doc_id is not None}
-        want = repeats_kept(rows)
-        assert {k: v for k, v in got.items() if k not in (4, 5) or df is docs} == {k: v for k, v in want.items() if k not in (4, 5) or df is docs}
-        if df is docs:
-            assert sum(v[1] for v in got.values()) > sum(plain.values())
+    assert got == {"a": 0, "b": 2, "c": 0, "d": 1, "e": 1, None: 1}
 
 
-def test_wide_distances_and_sketches():
-    rnd, a, b = random.Random(5), [], []
-    for n in (100, 330, 1100, 1300) * 12:
-        x = [rnd.choice("abcdefgh ") for _ in range(n)]
-        y = list(x)
-        for _ in range(rnd.randint(0, n // 20)):
-            k = rnd.randrange(len(y))
-            y[k : k + rnd.randint(0, 1)] = rnd.choice([[], ["x"], ["y"]])
-        a.append("".join(x))
-        b.append("".join(y))
-    limit = line_dedup.threshold(np.array([min(len(x), len(y)) for x, y in zip(a, b, strict=True)]), 32)
-    points = lambda s: np.frombuffer(s.encode("utf-32-le"), np.uint32)
-    got = line_dedup.within([points(x) for x in a], [points(x) for x in b], limit)
-    assert got.tolist() == [near(x, y, k) for x, y, k in zip(a, b, limit.tolist(), strict=True)] and 0 < got.sum() < len(a) and limit.max() > line_dedup.BAND
-    for x, y, hit in zip(a, b, got, strict=True):
-        if hit:
-            sets = [set(line_dedup.sketches(points(z), np.array([0]), np.array([len(z)]), 32)[0].tolist()) for z in (x, y)]
-            assert sets[0] & sets[1]
+def test_lines_among_columns_of_any_name(spark):
+    rows = [(1, "one and the same line\nx", 7, 8, 9), (2, "one and the same line", 7, 8, 9), (3, "one and the same line\ny", 7, 8, 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_removed int, n_lines int, `a.b` int")
+    assert sorted(map(tuple, line_dedup.without_repeated_lines(docs).collect())) == [rows[0], (3, "y", 7, 8, 9)]
+    assert sorted(tuple(r) for r in line_dedup.deduplicated(docs).collect()) == [(1, rows[0][1], 9, 2, 0), (2, "", 9, 1, 1), (3, "y", 9, 2, 1)]
 
 
 def test_pages_go_by_ratios_and_marks_can_be_void():

@@ -20,7 +20,7 @@ def deduplicated(rows):
     for i, text in sorted(rows):
         kept = []
         for x in text.split("\n"):
-            if len(x) < 24:
+            if not WORD.search(x):
                 kept.append(x)
                 continue
             mine = [g for g in groups if any(abs(len(x) - len(y)) <= 2 and near_lines(x, y) for y in g)]
@@ -35,6 +35,8 @@ def deduplicated(rows):
 
 
 def near_lines(x, y):
+    if min(len(x), len(y)) < 24:
+        return x == y
     limit = 1 if min(len(x), len(y)) < 40 else 2
     third = len(x) // 3
     pieces = (x[:third], x[third : 2 * third], x[2 * third :])
