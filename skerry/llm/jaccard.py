@@ -1,42 +1,53 @@
 """N-gram Jaccard join: a size-aware heavy-light join of documents on their sets of five-word shingles.
 
-Two documents link when 100 * |A and B| >= 80 * |A or B|. Documents with one set are one item. Candidates:
-
-* Light sets, whose subsets are few: if |A and B| = c, both hold a common subset of c elements, and c is at least 80 % of
-  either size. All subsets of these fixed sizes are enumerated, so no link is missed.
-* Heavy sets: inverted lists. The shingles are dealt by hash to m parts and each part, as a whole, is a list key. Linked
-  sets of a size class differ in at most D elements. With m = D + 1 some part is equal; for larger sets fewer parts are
-  enough for 14 equal parts at the least similarity that links, so that none at all has a chance of about exp(-14).
-* The boundary is the largest size whose subsets cost fewer rows than its list keys.
-
-Lists of one set are dropped. Members of a list are not paired with each other: `linking` tests them by class. Pairs that
-share a list are first held against a bound: each set has 512 parity bits, and sets whose bits differ in k places differ
-in at least k elements. Every test compares the two whole sets. Shingles are compared by 64-bit hash.
-
-Null and empty texts, and texts without words, have no shingles and link with nothing. A null doc_id can be linked but
-gives no component_id to others. Rows with equal doc_id each give a row. An empty table gives no rows.
+Two documents link when 100 * |A and B| >= 80 * |A or B|. Linked sets hold at least 80 % of either set in common, so
+candidates come from:
+
+* Light sets, of up to `boundary` elements: if |A and B| = c, both hold a common subset of c elements. All subsets of these
+  fixed sizes are enumerated.
+* Heavy sets: inverted lists. The elements of a set are put in one order for all sets, rare ones first. A set of n elements
+  is listed under the first n - ceil(0.8 n) + 1 of them, and linked sets meet in at least one of these lists. Elements that
+  no other set holds need no list, so a text without a near copy costs no row.
+* The boundary is the size up to which subsets cost fewer rows than the lists that would be scanned instead, both as
+  measured on all sets.
+
+No link is lost: what orders the elements is a count of how many sets hold each, but any order would do, so counts are sent
+as 32-bit hashes in a bucket and rounded to steps of a quarter of a power of two.
+
+Lists of one set are dropped. Members of a list are not paired with each other: `linking` tests them by class, first
+against the member with the most elements that others hold too, the centre of a group of copies. Pairs are first held
+against a bound: each set has 512 parity bits, and sets whose bits differ in k places differ in at least k elements. Every
+test compares the two whole sets. Shingles are compared by 64-bit hash.
+
+Texts are dealt to groups of a few megabytes by hash; equal texts are one. Null and empty texts, and texts without words,
+have no shingles and link with nothing. A null doc_id can be linked but gives no component_id to others; ids of any type
+that has an order will do. Rows with equal doc_id each give a row. Other columns, whatever their names, are ignored, or
+kept by `one_of_each`. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
 from itertools import combinations
-from math import ceil, comb, exp
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .frames import broadcast_if_small, settle
-from .linking import classes
+from .frames import body, broadcast_if_small, columns, settle
+from .linking import classes, stars
 from .text import U64, blocks, lower_ascii, mix, utf8, windows, words
 
 SHINGLE = 5
 PERCENT = 80
-#: Equal parts expected at the threshold.
-EXPECTED = 14
+#: Largest size for which subsets are considered.
+LIGHT = 12
+#: Bytes of text in a group and shingles in a bucket of counts.
+GROUP_BYTES, BUCKET = 6_000_000, 1_000_000
+#: Kinds of rows that a group gives: a list that holds a set, a subset of a set, a text with its set.
+LIST, SUBSET, TEXT = 0, 1, 2
+PARITY = 8
 
 
 def sets(data: np.ndarray, offsets: np.ndarray, k: int = SHINGLE) -> list[np.ndarray]:
@@ -65,64 +76,22 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-@cache
-def parts(top: int, percent: int = PERCENT) -> tuple[int, int]:
-    """Parts m and independent deals of a size class whose sets have fewer than `top` elements."""
-    j = percent / 100
-    differ = int((top - 1) * (1 + 1 / j) * (1 - j) / (1 + j))
-    m = differ + 1
-    while m > 2 and (m - 1) * exp(-differ / (m - 1)) >= EXPECTED:
-        m -= 1
-    return m, max(1, ceil(EXPECTED / (m * exp(-differ / m))))
-
-
-def size_classes(n: int, percent: int = PERCENT) -> list[int]:
-    """The tops of the classes in which a set of n elements is listed: its own, and the one below if it may link into it."""
-    top = 1 << n.bit_length()
-    return [top] if percent * n >= 100 * (top >> 1) else [top, top >> 1]
-
-
-@cache
-def boundary(percent: int = PERCENT) -> int:
-    """The largest size for which enumerating subsets takes no more rows than list keys."""
-    n = 1
-    while True:
-        subsets = sum(comb(n + 1, d) for d in range(n + 1 - ceil(percent * (n + 1) / 100) + 1))
-        lists = sum(parts(t, percent)[0] * parts(t, percent)[1] for t in size_classes(n + 1, percent))
-        if subsets > lists:
-            return n
-        n += 1
-
-
-def signatures(s: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """The list keys of a set."""
-    n = len(s)
-    light = boundary(percent)
-    keys = []
-    if n <= light:
-        spread = mix(s)
-        for c in range(ceil(percent * n / 100), n + 1):
-            chosen = np.array(list(combinations(range(n), c)), np.int64).reshape(-1, c)
-            keys.append(mix(spread[chosen].sum(axis=1, dtype=U64) + U64(c * 0x632BE59BD9B4E019 % (1 << 64))))
-    if 100 * n >= percent * light + percent:  # large, or small enough to be linked with a large one
-        for top in size_classes(n, percent):
-            m, deals = parts(top, percent)
-            for deal in range(deals):
-                spread = mix(s ^ U64((top << 8 | deal) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
-                part = (spread % U64(m)).astype(np.uint16 if m < 1 << 16 else np.uint32)
-                order = np.argsort(part, kind="stable")
-                part = part[order]
-                opens = np.flatnonzero(np.diff(part.astype(np.int64), prepend=-1))
-                sums = np.add.reduceat(mix(spread[order] + U64(1)), opens)
-                keys.append(mix(sums ^ mix(part[opens].astype(U64) + U64(top << 20))))
-    return np.concatenate(keys)
+def needed(n: int | np.ndarray, percent: int = PERCENT) -> int | np.ndarray:
+    """Least number of elements that a set of n elements has in common with any set that it is linked with."""
+    return -(-percent * n // 100)
 
 
 def set_key(s: np.ndarray) -> int:
     return int(np.int64(mix(np.array([mix(s).sum(dtype=U64) + U64(len(s))], U64)).view(np.int64)[0]))
 
 
-PARITY = 8
+def subsets(s: np.ndarray, n: int, percent: int = PERCENT) -> np.ndarray:
+    """Hashes of the subsets that a set of n elements may have in common with a linked one; s: its elements that are shared."""
+    spread, keys = mix(s), [np.zeros(0, U64)]
+    for c in range(max(1, needed(n, percent)), len(s) + 1):
+        chosen = np.array(list(combinations(range(len(s)), c)), np.int64).reshape(-1, c)
+        keys.append(mix(spread[chosen].sum(axis=1, dtype=U64) + U64(c * 0x632BE59BD9B4E019 % (1 << 64))))
+    return np.concatenate(keys)
 
 
 def parity(s: np.ndarray) -> np.ndarray:
@@ -136,47 +105,136 @@ def possible(a: str, b: str, percent: int = PERCENT) -> Column:
     """Whether the marks of two sets (their sizes and parity bits) leave room for a link."""
     A, B = F.col(a), F.col(b)
     differ = sum((F.bit_count(A[f"w{k}"].bitwiseXOR(B[f"w{k}"])) for k in range(PARITY)), F.lit(0))
-    fits = (F.least(A["n"], B["n"]) * 100 >= F.greatest(A["n"], B["n"]) * percent)
+    fits = F.least(A["n"], B["n"]) * 100 >= F.greatest(A["n"], B["n"]) * percent
     return fits & (differ * (100 + percent) <= (A["n"] + B["n"]) * (100 - percent))
 
 
-def _each(batch: pa.RecordBatch, place: int) -> Iterator[tuple[int, int, list[np.ndarray]]]:
-    data, offsets = utf8(batch.column(place))
-    for i, j in blocks(offsets):
-        yield i, j, sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-
-
-def shingle_keys(docs: DataFrame) -> DataFrame:
-    """doc_id, tid, n_shingles, set_key (null for an empty set) and parity bits w0, w1, ... of every row (doc_id, tid, text)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i, j, found in _each(batch, 2):
-                keys = pa.array([set_key(s) if len(s) else None for s in found], pa.int64())
-                bits = np.stack([parity(s) for s in found])
-                columns = [batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array([len(s) for s in found], pa.int64()), keys, *[pa.array(bits[:, k]) for k in range(PARITY)]]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "tid", "n_shingles", "set_key", *[f"w{k}" for k in range(PARITY)]])
-
-    return docs.select("doc_id", "tid", "text").mapInArrow(run, docs.select("doc_id", "tid").schema.simpleString()[7:-1] + ",n_shingles:bigint,set_key:bigint" + "".join(f",w{k}:bigint" for k in range(PARITY)))
-
-
-def signature_rows(docs: DataFrame) -> DataFrame:
-    """(sig, id): the list keys of the different sets of each batch; id is the set_key."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            done: set[int] = set()
-            for _, _, found in _each(batch, 0):
-                sigs, ids = [], []
-                for s in found:
-                    if len(s) and (key := set_key(s)) not in done:
-                        done.add(key)
-                        sigs.append(signatures(s))
-                        ids.append(np.full(len(sigs[-1]), key, np.int64))
-                if sigs:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.concatenate(ids))], names=["sig", "id"])
-
-    return docs.select("text").mapInArrow(run, "sig long, id long")
+def once_a_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows whose first column did not come before in this task (in the last million different ones)."""
+    seen: set = set()
+    for batch in batches:
+        keep = []
+        for k, x in enumerate(batch.column(0).to_pylist()):
+            if x not in seen:
+                seen.add(x)
+                keep.append(k)
+        if len(seen) > 1_000_000:
+            seen.clear()
+        yield batch.take(pa.array(keep, pa.int64()))
+
+
+def _sets_of(texts: pa.ChunkedArray) -> list[np.ndarray]:
+    data, offsets = utf8(texts)
+    return [s for i, j in blocks(offsets) for s in sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])]
+
+
+def _slots(h: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket of a shingle, and 32 bits of its hash below it."""
+    return ((h >> U64(32)) % U64(buckets)) << U64(32) | h & U64(0xFFFFFFFF)
+
+
+def in_order(found: list[np.ndarray], slots: np.ndarray, steps: np.ndarray, buckets: int, percent: int = PERCENT) -> tuple[np.ndarray, ...]:
+    """(set number, element, step) of the elements under which sets are listed, and step of every element.
+
+    slots, steps: the shared elements in order, and how common they are."""
+    h = np.concatenate(found)
+    size = np.array([len(s) for s in found], np.int64)
+    row = np.repeat(np.arange(len(found)), size)
+    step = np.zeros(len(h), np.uint8)
+    if len(slots):
+        own = _slots(h, buckets)
+        at = np.minimum(np.searchsorted(slots, own), len(slots) - 1)
+        hit = slots[at] == own
+        step[hit] = steps[at[hit]]
+    order = np.lexsort((h, step, row))
+    place = np.arange(len(h)) - np.repeat(np.cumsum(size) - size, size)
+    listed = order[(place < (size - needed(size, percent) + 1)[row]) & (step[order] > 0)]
+    return row[listed], h[listed], step[listed], step
+
+
+def grouped_rows(docs: DataFrame, group_bytes: int = GROUP_BYTES, bucket: int = BUCKET) -> DataFrame:
+    """(kind, sig, id, n, score, df, w0, w1, ...): the lists and subsets of each different text's set, and the text itself
+    (sig: its tid; id: the set's key, null for an empty set). docs: (tid, text)."""
+    size = docs.agg(F.sum(F.octet_length("text")).alias("s")).first()["s"] or 0
+    n_groups, n_buckets = max(1, -(-size // group_bytes)), max(1, size // (6 * bucket))
+    texts = docs.select("tid", "text").mapInArrow(once_a_task, docs.select("tid", "text").schema)
+    grouped = texts.withColumn("grp", F.pmod("tid", F.lit(n_groups)).cast("int")).groupBy("grp")
+
+    def sent(key: tuple, t: pa.Table) -> pa.Table:
+        slot = np.sort(_slots(np.concatenate(_sets_of(t.column("text"))), n_buckets))
+        # a shingle that many texts of the group hold is sent four times at most
+        run = np.flatnonzero(np.append(True, slot[1:] != slot[:-1])) if len(slot) else np.zeros(0, np.int64)
+        slot = slot[np.arange(len(slot)) - np.repeat(run, np.diff(np.append(run, len(slot)))) < 4]
+        edge = np.searchsorted(slot, np.arange(n_buckets + 1).astype(U64) << U64(32))
+        low = slot.astype(np.uint32)
+        filled = np.flatnonzero(np.diff(edge))
+        blobs = [low[edge[k] : edge[k + 1]].tobytes() for k in filled]
+        group = np.full(len(filled), key[0].as_py(), np.int32)
+        return pa.table({"grp": pa.array(group), "bucket": pa.array(filled.astype(np.int32)), "low": pa.array(blobs, pa.binary())})
+
+    def counted(key: tuple, t: pa.Table) -> pa.Table:
+        blobs = t.column("low").to_pylist()
+        low = np.frombuffer(b"".join(blobs), np.uint32)
+        owner = np.repeat(np.arange(len(blobs)), [len(x) // 4 for x in blobs])
+        order = np.argsort(low, kind="stable")
+        low, owner = low[order], owner[order]
+        run = np.flatnonzero(np.append(True, low[1:] != low[:-1]))
+        n = np.diff(np.append(run, len(low)))
+        step = np.repeat(np.where(n > 1, np.minimum(255, 4 * np.log2(n)), 0).astype(np.uint8), n)
+        first = np.append(True, (low[1:] != low[:-1]) | (owner[1:] != owner[:-1]))
+        back = np.flatnonzero(first & (step > 0))
+        back = back[np.argsort(owner[back], kind="stable")]
+        edge = np.searchsorted(owner[back], np.arange(len(blobs) + 1))
+        filled = np.flatnonzero(np.diff(edge))
+        parts = [back[edge[k] : edge[k + 1]] for k in filled]
+        return pa.table({
+            "grp": t.column("grp").take(pa.array(filled)), "bucket": t.column("bucket").take(pa.array(filled)),
+            "low": pa.array([low[x].tobytes() for x in parts], pa.binary()), "step": pa.array([step[x].tobytes() for x in parts], pa.binary()),
+        })
+
+    def listed(key: tuple, t: pa.Table, answers: pa.Table) -> pa.Table:
+        lows, steps = answers.column("low").to_pylist(), b"".join(answers.column("step").to_pylist())
+        above = np.repeat(answers.column("bucket").to_numpy().astype(U64), [len(x) // 4 for x in lows])
+        slots = above << U64(32) | np.frombuffer(b"".join(lows), np.uint32).astype(U64)
+        order = np.argsort(slots)
+        found = _sets_of(t.column("text"))
+        row, h, step, every = in_order(found, slots[order], np.frombuffer(steps, np.uint8)[order], n_buckets)
+        size = np.array([len(s) for s in found], np.int64)
+        ids = np.array([set_key(s) if len(s) else 0 for s in found], np.int64)
+        shared = np.concatenate([[0], np.cumsum(every > 0)])
+        ends = np.cumsum(size)
+        score = (1000 * (shared[ends] - shared[ends - size]) // np.maximum(1, size)).astype(np.int32)
+        kind, sig, of, df = [np.full(len(row), LIST, np.int8)], [mix(h + U64(1))], [row], [2.0 ** (step / 4.0)]
+        for k in np.flatnonzero((size > 0) & (size <= LIGHT)).tolist():
+            keys = subsets(found[k][every[ends[k] - size[k] : ends[k]] > 0], int(size[k]))
+            for column, x in ((kind, np.full(len(keys), SUBSET, np.int8)), (sig, keys), (of, np.full(len(keys), k)), (df, np.ones(len(keys)))):
+                column.append(x)
+        n = len(found)
+        kind.append(np.full(n, TEXT, np.int8))
+        sig.append(t.column("tid").to_numpy().astype(np.int64).view(U64))
+        of.append(np.arange(n))
+        df.append(np.ones(n))
+        at = np.concatenate(of)
+        lists = len(at) - n
+        bits = np.stack([parity(s) for s in found])
+        own = [pa.array(np.concatenate([np.zeros(lists, np.int64), bits[:, k]]), mask=np.arange(len(at)) < lists) for k in range(PARITY)]
+        columns = [np.concatenate(kind), np.concatenate(sig).view(np.int64), None, size[at].astype(np.int32), score[at], np.concatenate(df).astype(np.int64)]
+        arrays = [pa.array(ids[at], mask=size[at] == 0) if x is None else pa.array(x) for x in columns]
+        return pa.table([*arrays, *own], names=["kind", "sig", "id", "n", "score", "df", *[f"w{k}" for k in range(PARITY)]])
+
+    counts = grouped.applyInArrow(sent, "grp int, bucket int, low binary").groupBy("bucket").applyInArrow(counted, "grp int, bucket int, low binary, step binary")
+    marks = "".join(f", w{k} long" for k in range(PARITY))
+    return grouped.cogroup(counts.groupBy("grp")).applyInArrow(listed, f"kind byte, sig long, id long, n int, score int, df long{marks}")
+
+
+def boundary(found: DataFrame) -> int:
+    """The size up to which sets are joined by subsets: where these rows and the lists scanned for larger sets are fewest."""
+    costs = found.where((F.col("kind") != TEXT) & (F.col("n") <= LIGHT)).groupBy("n").agg(
+        F.count(F.when(F.col("kind") == SUBSET, 1)).alias("subsets"), F.sum(F.when(F.col("kind") == LIST, F.col("df")).otherwise(0)).alias("scanned")
+    )
+    by_size = {r["n"]: (r["subsets"], r["scanned"]) for r in costs.collect()}  # LIGHT rows at most
+    total = {light: sum(cost[n > light] for n, cost in by_size.items()) for light in range(LIGHT + 1)}
+    return min(total, key=lambda light: (total[light], light))
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -195,30 +253,47 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def wanted_marks(keys: DataFrame, members: DataFrame, mark: Column) -> DataFrame:
-    """(id, mark) of the sets that share a list with another."""
-    each = keys.where("set_key is not null").groupBy(F.col("set_key").alias("id")).agg(F.first(mark).alias("mark"))
-    return settle(each.join(members.select("id").distinct(), "id", "left_semi"))
+def set_classes(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """(id, comp) of the sets that link with another one; rows: (tid, text)."""
+    light = boundary(found)
+    heavy = (F.col("kind") == LIST) & (F.col("n") * 100 >= PERCENT * (light + 1))
+    lists = found.where(heavy | ((F.col("kind") == SUBSET) & (F.col("n") <= light))).select("sig", "id", "score")
+    centre = F.max_by("id", F.col("score") * F.lit(1 << 40) + F.pmod("id", F.lit(1 << 40)))
+    pivots = lists.groupBy("sig").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), centre.alias("centre")).where("lo < hi")
+    members = settle(lists.join(pivots.drop("hi"), "sig").distinct())
+    of_text = found.where((F.col("kind") == TEXT) & F.col("id").isNotNull())
+    wanted = settle(members.select("id").distinct())
+    each = of_text.groupBy("id").agg(F.first(F.struct("n", *[f"w{k}" for k in range(PARITY)])).alias("mark"), F.min("sig").alias("tid"))
+    each = settle(each.join(broadcast_if_small(wanted), "id"))
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        places = settle(each.select("id", "tid").join(ids, "id"))
+        texts = rows.join(broadcast_if_small(places), "tid").select("id", "text")
+        texts = texts.mapInArrow(once_a_task, texts.schema).groupBy("id").agg(F.first("text").alias("text"))
+        return verified(pairs, settle(texts))
+
+    return classes(settle(stars(members, ["lo", "centre"])), members.withColumn("own", F.lit(True)), verify, each.select("id", "mark"), possible)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of every row."""
-    rows = docs.select("doc_id", F.xxhash64("text").alias("tid"), "text")
-    keys = settle(shingle_keys(rows))
-    members = in_buckets(signature_rows(rows))
-    # one text for each set that shares a list, found by its hash whichever rows hold it
-    one = keys.where("set_key is not null").groupBy("set_key").agg(F.min("tid").alias("tid"))
-    wanted = broadcast_if_small(settle(members.select(F.col("id").alias("set_key")).distinct().join(one, "set_key")))
-    texts = settle(rows.join(wanted, "tid").groupBy(F.col("set_key").alias("id")).agg(F.first("text").alias("text")))
-    mark = F.struct(F.col("n_shingles").alias("n"), *[f"w{k}" for k in range(PARITY)])
-    marks = wanted_marks(keys, members, mark)
-    comp = classes(members, lambda pairs: verified(pairs, texts), marks, possible)
-    named = keys.select("doc_id", "n_shingles", "set_key").join(comp.withColumnRenamed("id", "set_key"), "set_key", "left").withColumn("comp", F.coalesce("comp", "set_key"))
-    least = named.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("least"))
-    return named.join(least, "comp", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
+    rows = docs.select("doc_id", F.xxhash64(body()).alias("tid"), body().alias("text"))
+    found = settle(grouped_rows(rows))
+    comp = set_classes(rows.select("tid", "text"), found)
+    texts = found.where(F.col("kind") == TEXT).select(F.col("sig").alias("tid"), "id", F.col("n").cast("long").alias("n_shingles")).distinct()
+    named = texts.join(broadcast_if_small(comp), "id", "left").select("tid", "n_shingles", F.coalesce("comp", "id").alias("comp"))
+    # the least doc_id of a text first, so that a class is dealt by its different texts
+    least = rows.groupBy("tid").agg(F.min("doc_id").alias("least"))
+    by_text = settle(named.join(least, "tid"))
+    of_class = by_text.where("comp is not null").groupBy("comp").agg(F.min("least").alias("of_class"), F.count("*").alias("n")).where("n > 1").select("comp", "of_class")
+    by_text = by_text.join(broadcast_if_small(settle(of_class), 300_000), "comp", "left")
+    by_text = settle(by_text.select("tid", "n_shingles", F.when(F.col("comp").isNotNull(), F.coalesce("of_class", "least")).alias("of_class")))
+    out = rows.select("doc_id", "tid").join(broadcast_if_small(by_text, 300_000), "tid")
+    return out.select("doc_id", "n_shingles", F.coalesce("of_class", "doc_id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows, all columns, of documents that are the smallest of their component."""
-    found = near_duplicates(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("_copy")).distinct()
-    return docs.join(found, docs["doc_id"] == F.col("_copy"), "left_anti")
+    found = near_duplicates(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("_skerry_copy")).distinct()
+    return docs.join(found, docs["doc_id"] == F.col("_skerry_copy"), "left_anti")
