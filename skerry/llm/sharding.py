@@ -1,26 +1,26 @@
 """Sharding by best-fit-decreasing bin packing.
 
-Rows with equal texts form an indivisible group. Groups above a fixed share of a bin are packed one by one; the many
-smaller ones are first gathered into a fixed number of bundles by hash, so the list that is packed has a bound that does
-not depend on the corpus. Items enter, largest first, the bin with the least room that still holds them, found in a tree.
+Rows with equal texts form an indivisible group. Groups enter, largest first, the bin with the least room that still holds
+them, found in a balanced tree. Groups of one size are interchangeable, so the driver packs the table of sizes with their
+counts, not the groups: a bin that takes a group of a size stays the tightest for that size and takes as many as fit at
+once. The table has no more rows than there are different sizes (n different sizes have a sum of n * n / 2 at least, so
+their number grows with the root of the corpus). The least of a growing row of capacities with which no more than the
+wanted bins are opened is taken.
 
 Nulls: a null text counts as an empty one. Rows without doc_id are placed like others. An empty table gives no rows.
-Repeated rows keep one slot each. Other columns are ignored.
+Repeated rows keep one slot each; of rows equal in doc_id and text it is open which has which. Groups of equal size are
+told apart by the hash of their text. Other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .frames import body
+from .frames import body, broadcast_if_small, settle
 
-#: A group is packed on its own from this share of a bin on; at most as many per bin can exist.
-LARGE = 1 / 200
-#: Bundles of small groups for each bin.
-BUNDLES = 256
+SLICE = 20_000
 
 
 class Rooms:
@@ -69,38 +69,50 @@ class Rooms:
         return high
 
 
-def best_fit_decreasing(sizes: list[int], capacity: int) -> list[int]:
-    """The bin of each item, in the order given. An item above the capacity gets a bin of its own."""
-    rooms = Rooms()
-    place, opened = [0] * len(sizes), 0
-    for i in sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)):
-        found = rooms.take_tightest(sizes[i])
-        if found is None:
-            found, opened = (max(capacity, sizes[i]), opened), opened + 1
-        place[i] = found[1]
-        rooms.add((found[0] - sizes[i], found[1]))
-    return place
-
-
-def smallest_capacity(sizes: list[int], bins: int) -> tuple[int, list[int]]:
-    """The least capacity found by bisection with which best-fit-decreasing needs no more than `bins` bins, and its packing."""
-    low, high = max([1, -(-sum(sizes) // bins), *sizes[:1]]), max(1, sum(sizes))
-    high = min(high, 2 * low + max(sizes, default=0))
-    best = (high, best_fit_decreasing(sizes, high))
-    while low < high:
-        middle = (low + high) // 2
-        place = best_fit_decreasing(sizes, middle)
-        if max(place, default=0) < bins:
-            high, best = middle, (middle, place)
-        else:
-            low = middle + 1
-    return best
-
-
-def pack(docs: DataFrame, bins: int = 24, overhead: int = 8) -> DataFrame:
+def best_fit_decreasing(sizes: list[tuple[int, int]], capacity: int) -> tuple[list[tuple[int, int, int]], int]:
+    """(size, bin, count) of the runs of equal groups in the order of packing, and the number of bins, for (size, count) of
+    the groups. A group above the capacity gets a bin of its own."""
+    rooms, runs, opened = Rooms(), [], 0
+    for size, count in sorted(sizes, reverse=True):
+        while count:
+            found = rooms.take_tightest(size)
+            if found is None:
+                found, opened = (max(capacity, size), opened), opened + 1
+            room, place = found
+            fit = min(count, room // size)
+            runs.append((size, place, fit))
+            count -= fit
+            rooms.add((room - fit * size, place))
+    return runs, opened
+
+
+def pack(sizes: list[tuple[int, int]], bins: int) -> list[tuple[int, int, int]]:
+    """The runs with the first capacity, of the least possible one and those 1, 3, 7, ... above it, that needs no more bins."""
+    total = sum(s * n for s, n in sizes)
+    least, extra = max([1, -(-total // bins), *[s for s, _ in sizes]]), 0
+    while True:
+        runs, opened = best_fit_decreasing(sizes, least + extra)
+        if opened <= bins:
+            return runs
+        extra = 2 * extra + 1
+
+
+def ranked(rows: DataFrame, keys: list[str], by: list[str], name: str) -> DataFrame:
+    """Adds the place, from 0, of each row among those with equal keys. Each key is cut into slices by hash, and a slice
+    starts where the last ended, so no task orders more than a slice."""
+    slices = max(1, rows.count() // SLICE)
+    cut = rows.withColumn("_slice", F.pmod(F.xxhash64(*by), F.lit(slices)))
+    counts = cut.groupBy(*keys, "_slice").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*keys, "_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    place = F.row_number().over(Window.partitionBy(*keys, "_slice").orderBy(*[F.col(c).asc_nulls_first() for c in by])) - 1
+    return cut.withColumn("_place", place).join(offsets, [*keys, "_slice"]).withColumn(name, (F.col("_before") + F.col("_place")).cast("long")).drop("_slice", "_before", "_place", "_n")
+
+
+def packed(docs: DataFrame, bins: int = 24, overhead: int = 8) -> DataFrame:
     """doc_id, size, text_crc32, shard and slot of every row; shards have nearly equal sums of sizes."""
-    spark = docs.sparkSession
-    text = body()
+    spark, text = docs.sparkSession, body()
+    key = ["_h1", "_h2", "text_crc32"]
     rows = docs.select(
         "doc_id",
         (F.octet_length(text) + overhead).cast("long").alias("size"),
@@ -108,37 +120,25 @@ def pack(docs: DataFrame, bins: int = 24, overhead: int = 8) -> DataFrame:
         F.xxhash64(text).alias("_h1"),
         F.hash(text, F.lit(7)).alias("_h2"),
     )
-    groups = rows.groupBy("_h1", "_h2", "text_crc32").agg(F.sum("size").alias("_sum"))
-    whole = groups.agg(F.sum("_sum").alias("s")).first()["s"] or 0
-    least = max(1, int(whole / bins * LARGE))
-    item = F.when(F.col("_sum") >= least, F.concat_ws(":", F.lit("g"), "_h1", "_h2", "text_crc32")).otherwise(F.concat_ws(":", F.lit("b"), F.pmod(F.xxhash64("_h1", "_h2"), F.lit(bins * BUNDLES))))
-    # at most bins / LARGE large groups and bins * BUNDLES bundles, whatever the input
-    items = sorted(((r["_item"], r["s"]) for r in groups.groupBy(item.alias("_item")).agg(F.sum("_sum").alias("s")).collect()), key=lambda x: (-x[1], x[0]))
-    _, place = smallest_capacity([s for _, s in items], bins)
-    plan = spark.createDataFrame([(k, p) for (k, _), p in zip(items, place, strict=True)], T.StructType([T.StructField("_item", T.StringType()), T.StructField("shard", T.IntegerType())]))
-    large = spark.createDataFrame([(k,) for k, _ in items if k[0] == "g"], T.StructType([T.StructField("_large", T.StringType())]))
-    whole_key = F.concat_ws(":", F.lit("g"), "_h1", "_h2", "text_crc32")
-    placed = rows.join(F.broadcast(large), whole_key == F.col("_large"), "left")
-    placed = placed.withColumn("_item", F.coalesce("_large", F.concat_ws(":", F.lit("b"), F.pmod(F.xxhash64("_h1", "_h2"), F.lit(bins * BUNDLES)))))
-    placed = placed.join(F.broadcast(plan), "_item").select("doc_id", "size", "text_crc32", "shard")
-    return numbered(placed)
-
-
-def numbered(placed: DataFrame, rows_per_slice: int = 20_000) -> DataFrame:
-    """Adds slot, gapless from 0 in each shard: each shard is cut into slices by hash, and slices start where the last ended."""
-    n = placed.count()
-    slices = max(8, n // rows_per_slice)
-    cut = placed.withColumn("_slice", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(slices)))
-    counts = cut.groupBy("shard", "_slice").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy("shard").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("shard", "_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy("shard", "_slice").orderBy(F.col("doc_id").asc_nulls_first(), "text_crc32", "size")
-    ranked = cut.withColumn("_rank", F.row_number().over(inside) - 1)
-    return ranked.join(offsets, ["shard", "_slice"]).select("doc_id", "size", "text_crc32", "shard", (F.col("_before") + F.col("_rank")).cast("long").alias("slot"))
+    groups = settle(rows.groupBy(*key).agg(F.sum("size").alias("_sum")))
+    sizes = [(r["_sum"], r["n"]) for r in groups.groupBy("_sum").agg(F.count("*").alias("n")).collect()]
+    plan, taken = [], {}
+    for size, place, count in pack(sizes, bins):
+        start = taken.get(size, 0)
+        plan.append((size, start, start + count, place))
+        taken[size] = start + count
+    split = {s for s, start, _, _ in plan if start}
+    whole = spark.createDataFrame([(s, p) for s, _, _, p in plan if s not in split], "_sum long, shard int")
+    parts = spark.createDataFrame([x for x in plan if x[0] in split], "_sum long, _from long, _to long, shard int")
+    one = groups.join(broadcast_if_small(whole), "_sum").select(*key, "shard")
+    several = settle(groups.join(broadcast_if_small(parts.select("_sum").distinct()), "_sum"))
+    several = ranked(several, ["_sum"], key, "_rank").join(broadcast_if_small(parts), "_sum").where("_rank >= _from and _rank < _to").select(*key, "shard")
+    placed = settle(rows.join(broadcast_if_small(settle(one.unionByName(several)), 300_000), key).select("doc_id", "size", "text_crc32", "shard"))
+    return ranked(placed, ["shard"], ["doc_id", "text_crc32", "size"], "slot")
 
 
 def shards(docs: DataFrame, bins: int = 24) -> DataFrame:
     """The contract's row: law is `bytes`, so no grown shard is given."""
-    return pack(docs, bins).select(
+    return packed(docs, bins).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
