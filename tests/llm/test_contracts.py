@@ -206,19 +206,61 @@ def test_quality_counts(spark, docs, hard):
         assert got == sorted(want, key=repr)
 
 
-def test_compression_bands_by_length():
+def junk_and_prose():
     import random
 
+    rnd = random.Random(1)
+    word = lambda: "".join(rnd.choice(["th", "er", "on", "an", "re", "in", "ou", "st"]) for _ in range(rnd.randint(1, 5)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    letters = [chr(k) for k in range(33, 127)]
+    noise = lambda n: " ".join("".join(rnd.choice(letters) for _ in range(6)) for _ in range(n))
+    # no five words come twice, so the base rule passes them, yet they repeat themselves
+    drone = lambda n: " ".join(f"always the same {k}" for k in range(n))
+    good = [prose(n) for n in (15, 20, 40, 130, 270, 700, 2000) for _ in range(60)]
+    bad = [f(n) for f, sizes in ((noise, (20, 120, 600, 900)), (drone, (12, 60, 300, 900))) for n in sizes] + [prose(800) + " " + noise(900)]
+    return good, bad
+
+
+def expected_kept(rows, bands):
     import zstandard
 
-    compress, bands, rnd = zstandard.ZstdCompressor(level=3).compress, quality_rules.Bands(), random.Random(1)
-    noise = bytes(rnd.randrange(256) for _ in range(9000))
-    prose = " ".join("".join(rnd.choice(["th", "er", "on", "an", "re", "in"]) for _ in range(rnd.randint(1, 5))) for _ in range(1500)).encode()
-    assert bands.verdict(compress, prose)[2]
-    assert not bands.verdict(compress, b"spam and eggs " * 300)[2]
-    assert not bands.verdict(compress, noise)[2]
-    assert bands.verdict(compress, b"too short to judge")[2]
-    assert not bands.verdict(compress, prose[:4096] + b"spam " * 2000)[2]
+    compress = zstandard.ZstdCompressor(level=bands.level).compress
+    ratio = lambda b: len(compress(b)) / len(b)
+    kind = lambda n: int(quality_rules.class_of(n))
+    counts = {}
+    for _, text, failed in rows:
+        if not failed:
+            b = text.encode()
+            counts.setdefault(kind(len(b)), Counter())[int(ratio(b) * 1000)] += 1
+    limits = {}
+    for c in range(len(quality_rules.EDGES)):
+        known = sorted(counts.get(c, Counter()).elements())
+        if len(known) >= bands.enough:
+            middle, high = ((known[-(-len(known) * q // 10) - 1] + 0.5) / 1000 for q in (5, 9))
+            half = max(bands.spread * (high - middle), bands.least * middle)
+            limits[c] = (middle - half, middle + half)
+        else:
+            limits[c] = bands.fixed(int(quality_rules.EDGES[c]))
+    inside = lambda b: limits[kind(len(b))][0] <= ratio(b) <= limits[kind(len(b))][1]
+    out = []
+    for i, text, failed in rows:
+        b = (text or "").encode()
+        chunks = [b[k : k + bands.chunk_bytes] for k in range(0, len(b), bands.chunk_bytes)] if len(b) > bands.chunk_bytes else []
+        out.append((i, not failed and inside(b) and sum(len(x) for x in chunks if not inside(x)) <= bands.chunk_share * len(b)))
+    return sorted(out, key=repr)
+
+
+def test_compression_bands_equal_brute_force_and_reject_junk_that_the_base_rule_passes(spark, docs, hard):
+    good, bad = junk_and_prose()
+    mixed = list(enumerate(good + bad))
+    for df, rows in [*both(spark, docs, hard), (spark.createDataFrame(mixed, "doc_id long, text string").repartition(3), mixed)]:
+        got = quality_rules.quality_rules(df).collect()
+        failed = {(r.doc_id, r.n_words): r.base_failed for r in got}
+        base = [(i, t, failed[(i, len(WORD.findall(t or "")))]) for i, t in rows]
+        assert sorted(((r.doc_id, r.kept) for r in got), key=repr) == expected_kept(base, quality_rules.Bands())
+    by_id = {r.doc_id: r for r in got}
+    assert not any(r.base_failed for r in got)
+    assert all(by_id[i].kept for i in range(len(good))) and not any(by_id[i].kept for i in range(len(good), len(mixed)))
 
 
 # --- 4
@@ -341,9 +383,43 @@ def test_shards(spark, docs, hard):
     assert len(sums) == 24 and max(sums.values()) < 1.02 * min(sums.values())
 
 
-def test_best_fit_takes_the_tightest_bin():
-    assert sharding.best_fit_decreasing([4, 8, 1, 4, 2, 1], 10) == [1, 0, 1, 1, 0, 1]
-    assert sharding.best_fit_decreasing([], 10) == [] and sharding.best_fit_decreasing([12, 3], 10) == [0, 1]
+def plain_best_fit(sizes, capacity):
+    """(size, bin) of every group, one by one, and the number of bins."""
+    room, out = [], []
+    for size in sorted(sizes, reverse=True):
+        able = [(r, k) for k, r in enumerate(room) if r >= size]
+        if not able:
+            room.append(max(capacity, size))
+            able = [(room[-1], len(room) - 1)]
+        k = min(able)[1]
+        room[k] -= size
+        out.append((size, k))
+    return sorted(out), len(room)
+
+
+def test_runs_of_equal_sizes_are_packed_as_one_by_one():
+    import random
+
+    rnd = random.Random(4)
+    for _ in range(60):
+        sizes = [rnd.choice([8, 9, 20, 33, rnd.randint(8, 400)]) for _ in range(rnd.randint(0, 120))]
+        capacity = rnd.randint(50, 900)
+        runs, opened = sharding.best_fit_decreasing(list(Counter(sizes).items()), capacity)
+        want, bins = plain_best_fit(sizes, capacity)
+        assert sorted((s, k) for s, k, n in runs for _ in range(n)) == want and opened == bins
+
+
+def test_shards_are_those_of_plain_best_fit_decreasing(spark):
+    rows = [(r.doc_id, r.text or "") for r in table(spark, "/root/testdata/sf0.01", "documents").collect()]
+    n = Counter(t for _, t in rows)
+    sizes = [(len(t.encode()) + 8) * k for t, k in n.items()]
+    least = max(-(-sum(sizes) // 24), max(sizes))
+    extra = next(e for e in (2**k - 1 for k in range(60)) if plain_best_fit(sizes, least + e)[1] <= 24)
+    want = plain_best_fit(sizes, least + extra)[0]
+    text, seen = dict(rows), {}
+    for r in sharding.shards(table(spark, "/root/testdata/sf0.01", "documents")).collect():
+        assert seen.setdefault(text[r.doc_id], r.shard) == r.shard
+    assert sorted(((len(t.encode()) + 8) * n[t], s) for t, s in seen.items()) == want
 
 
 # --- 7
