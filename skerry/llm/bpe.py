@@ -1,37 +1,46 @@
 """BPE encoding and decoding by reuse of content-defined chunks.
 
-A rolling hash of the last four bytes cuts each text into chunks; the same passage is cut the same way in any document.
-A chunk seen before in a task is not encoded again. A cut inside a word would change its tokens, so every join is
-repaired: the word that straddles the cut leaves both chunks and is encoded whole. The tokenizer splits at white space
-before it merges, hence pieces that begin and end at ASCII white space agree exactly with the text encoded in one go.
-
-Nulls and empty texts give no tokens and the empty decoded text. Very long texts are processed whole; the two caches
-hold a fixed number of entries and are emptied when full, which costs time only. Repeated rows give repeated results.
+A rolling hash of the last four bytes cuts each text into chunks; the same passage is cut the same way in any document. The
+whole words inside a chunk are encoded when the chunk is first seen in a task and reused wherever it comes again. A cut may
+fall into a word, so each join of two chunks is repaired: what is left of the word on either side is encoded again in one
+piece, between the words before and after. The tokens of these neighbours must come out as they did in their chunks; where
+they do not, the window is the whole text, which is exact by itself. Joins are kept for reuse, too.
+
+Words of chunks that were not seen before come from a table of words, and the words that it lacks are encoded many at a
+time; the tokenizer's offsets say which tokens belong to which word.
+
+Nulls and empty texts give no tokens and the empty decoded text. Very long texts are processed whole; the tables hold a
+fixed number of entries and are emptied when full, which costs time only. A null or repeated doc_id changes nothing; equal
+texts give equal results. Other columns, whatever their names, are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
 import os
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from unicodedata import normalize
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .frames import with_fields
 from .text import blocks, utf8
 
 #: Mean chunk length in bytes, a power of two.
-CHUNK = 128
-#: Entries kept of chunks and of words in one task.
-CHUNKS_KEPT, WORDS_KEPT = 40_000, 250_000
-PUNCTUATION = "!\"#$%&()*+,-./:;=?@[]^_`{}~"
-_WHITE = np.zeros(256, bool)
-_WHITE[[9, 10, 11, 12, 13, 32]] = True
+CHUNK = 256
+#: Entries kept of chunks, joins and words in one task.
+CHUNKS_KEPT, JOINS_KEPT, WORDS_KEPT = 60_000, 60_000, 500_000
+
+#: Ids joined by a space, and tokens joined by a space.
+Tokens = tuple[str, str]
+#: Part of a word at the head; part of a word at the end (None if there is no blank in the chunk); tokens between; words.
+Chunk = tuple[bytes, bytes | None, Tokens, list[bytes]]
 
 
 class Encoder:
-    """(ids joined by a space, decoded text) of texts, with caches of chunks and words."""
+    """Tokens of texts, with tables of chunks, joins and words."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -40,138 +49,157 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.words: dict[bytes, tuple[str, str]] = {}
-        self.chunks: dict[bytes, tuple[str, str]] = {}
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         size = max(vocabulary.values()) + 1
-        self.names, self.numbers, self.closes = [""] * size, [str(i) for i in range(size)], np.zeros(size, bool)
+        self.names, self.numbers = [""] * size, [str(i) for i in range(size)]
         for name, i in vocabulary.items():
             self.names[i] = name
-            self.closes[i] = name.endswith("</w>")
-        # Does the tokenizer leave runs of letters and runs of punctuation whole? Then its model can be asked for them alone.
-        self.tails: dict[str, tuple[str, str]] = {}
-        self.direct = all(self.piecewise(w) == self.alone(w) for w in ("word", "Ab", "onandtheing", "Is,", "THE!!", "of###", "It's", "don't.", "a&&&"))
-        self.closing = self.direct and all(self.closes[self.alone_ids(x)[-1]] for x in ("é", "ñandú", "straße"))
+        self.lengths = np.array([len(name.removesuffix("</w>")) for name in self.names], np.int64)
+        self.words: dict[bytes, Tokens] = {}
+        self.chunks: dict[bytes, Chunk] = {}
+        self.joins: dict[tuple[bytes, bytes, bytes], Tokens] = {}
+        self.reused = self.seen = 0
 
-    def alone_ids(self, word: str) -> list[int]:
-        return self.tokenizer.encode(word, add_special_tokens=False).ids
-
-    def text_of(self, ids: list[int]) -> tuple[str, str]:
+    def tokens(self, ids: list[int]) -> Tokens:
         return " ".join([self.numbers[i] for i in ids]), " ".join([self.names[i] for i in ids])
 
-    def alone(self, word: str) -> tuple[str, str]:
-        return self.text_of(self.alone_ids(word))
-
-    def piece(self, text: str) -> tuple[str, str]:
-        tokens = self.tokenizer.model.tokenize(text)
-        return " ".join([self.numbers[t.id] for t in tokens]), " ".join([t.value for t in tokens])
-
-    def piecewise(self, word: str) -> tuple[str, str]:
-        """Tokens of an ASCII word of letters, perhaps with punctuation after them; of others, as a whole."""
-        head = word.rstrip(PUNCTUATION)
-        if not head.isalpha() or not word.isascii():
-            return self.alone(word)
-        ids, names = self.piece(head.lower())
-        if len(head) < len(word):
-            tail = word[len(head) :]
-            if tail not in self.tails:
-                if len(self.tails) > 10_000:
-                    self.tails.clear()
-                self.tails[tail] = self.piece(tail)
-            more = self.tails[tail]
-            return f"{ids} {more[0]}", f"{names} {more[1]}"
-        return ids, names
-
-    def encode(self, words: list[bytes]) -> dict[bytes, tuple[str, str]]:
-        """Tokens of different words. Words of letters beyond ASCII are encoded many at a time: a closing token shows where
-        each piece ends. If these don't tally, and for all that is no plain word, each word is encoded by itself."""
-        out: dict[bytes, tuple[str, str]] = {}
-        rest, groups = [], ([], [])
-        for word in words:
-            text = word.decode()
-            head = text.rstrip(PUNCTUATION)
-            if self.direct and word.isascii() and head.isalpha():
-                out[word] = self.piecewise(text)
-            elif self.closing and head.isalpha():
-                groups[len(head) < len(text)].append(word)
-            else:
-                rest.append(word)
-        for closing_tokens, group in enumerate(groups, 1):
-            for k in range(0, len(group), 512):
-                part = group[k : k + 512]
-                ids = self.tokenizer.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids
-                ends = np.flatnonzero(self.closes[ids])[closing_tokens - 1 :: closing_tokens] + 1
-                if len(ends) != len(part) or ends[-1] != len(ids):
-                    rest += part
-                    continue
-                at, numbers, names = 0, [self.numbers[i] for i in ids], [self.names[i] for i in ids]
-                for word, end in zip(part, ends.tolist(), strict=True):
-                    out[word] = " ".join(numbers[at:end]), " ".join(names[at:end])
-                    at = end
-        for word, e in zip(rest, self.tokenizer.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False), strict=True):
-            out[word] = self.text_of(e.ids)
-        return out
-
-    def of_block(self, texts: list[bytes]) -> dict[bytes, tuple[str, str]]:
-        """Tokens of all words of a block of texts, by the cache where it has them."""
-        known = self.words
-        found = {w: known.get(w) for w in set().union(*[t.split() for t in texts])}
-        missing = [w for w, v in found.items() if v is None]
-        fresh = self.encode(missing)
+    def whole(self, texts: list[bytes]) -> list[Tokens]:
+        return [self.tokens(e.ids) for e in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
+
+    def of_line(self, words: list[bytes]) -> tuple[list[int], list[int]]:
+        """Ids of words in one line, and how many of them there are up to the end of each word."""
+        line = b" ".join(words).decode()
+        ids = self.tokenizer.encode_batch_fast([line], add_special_tokens=False)[0].ids
+        # lengths of tokens and of words in bytes, as the normaliser leaves them, tell where words end; else offsets do
+        lengths = [len(w) if w.isascii() else len(normalize("NFC", w.decode()).lower().encode()) for w in words]
+        reached, wanted = np.cumsum(self.lengths[ids]), np.cumsum(lengths)
+        ends = np.searchsorted(reached, wanted) + 1
+        if len(ids) == 0 or reached[-1] != wanted[-1] or (reached[ends - 1] != wanted).any():
+            e = self.tokenizer.encode(line, add_special_tokens=False)
+            ends = np.searchsorted(np.array([a for a, _ in e.offsets], np.int64), np.cumsum([len(w.decode()) + 1 for w in words]))
+            ids = e.ids
+        return ids, ends.tolist()
+
+    def of_words(self, wanted: Iterable[bytes]) -> dict[bytes, Tokens]:
+        """Tokens of different words: known ones from the table, the others encoded together, some hundreds in a line."""
+        found = {w: self.words.get(w) for w in wanted}
+        missing = [w for w, t in found.items() if t is None]
+        fresh: dict[bytes, Tokens] = {}
+        for k in range(0, len(missing), 512):
+            line = missing[k : k + 512]
+            ids, ends = self.of_line(line)
+            numbers, names, at = [self.numbers[i] for i in ids], [self.names[i] for i in ids], 0
+            for w, end in zip(line, ends, strict=True):
+                fresh[w] = " ".join(numbers[at:end]), " ".join(names[at:end])
+                at = end
         found.update(fresh)
-        if len(known) + len(fresh) > WORDS_KEPT:
-            known.clear()
+        if len(self.words) + len(fresh) > WORDS_KEPT:
+            self.words.clear()
         if len(fresh) <= WORDS_KEPT:
-            known.update(fresh)
+            self.words.update(fresh)
         return found
 
-    def texts(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[str, str]]:
-        raw = data.tobytes()
-        local = self.of_block([raw[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)])
-
-        def of_words(piece: bytes) -> tuple[str, str]:
-            pairs = [local[w] for w in piece.split()]
-            return " ".join(filter(None, [p[0] for p in pairs])), " ".join(filter(None, [p[1] for p in pairs]))
-
-        cut, white = cuts(data), np.flatnonzero(_WHITE[data])
-        # the straddling word of each cut: from the white space before the cut to the white space at or after it
-        k = np.searchsorted(white, cut)
-        none = len(white) == 0
-        left = np.zeros(len(cut), np.int64) if none else np.where(k > 0, white[np.maximum(k - 1, 0)] + 1, 0)
-        right = np.full(len(cut), len(data)) if none else np.where(k < len(white), white[np.minimum(k, len(white) - 1)], len(data))
-        chunks = self.chunks
-        where = np.searchsorted(cut, offsets).tolist()
-        left, right, edges = left.tolist(), right.tolist(), offsets.tolist()
-        for r in range(len(edges) - 1):
-            at, end = edges[r], edges[r + 1]
-            parts: list[tuple[str, str]] = []
-            for c in range(where[r], where[r + 1] + 1):
-                last = c == where[r + 1]
-                a, b = (end, end) if last else (max(left[c], at), min(right[c], end))
-                if b <= at:
-                    continue  # the cut is in the word of the cut before
-                if a > at:
-                    piece = raw[at:a]
-                    found = chunks.get(piece)
-                    if found is None:
-                        if len(chunks) >= CHUNKS_KEPT:
-                            chunks.clear()
-                        found = chunks[piece] = of_words(piece)
-                    parts.append(found)
-                if b > a:
-                    parts.append(of_words(raw[a:b]))
-                at = b
-            yield " ".join(filter(None, [p[0] for p in parts])), " ".join(filter(None, [p[1] for p in parts]))
+    def of_chunks(self, pieces: list[bytes]) -> dict[bytes, Chunk]:
+        """The chunks of a block: those met before from the table, the words of the others encoded."""
+        found = {p: self.chunks.get(p) for p in pieces}
+        self.seen += len(pieces)
+        split = {p: parts(p) for p, c in found.items() if c is None}
+        self.reused += len(pieces) - len(split)
+        words = self.of_words(set().union(*[inner for _, _, inner in split.values()]))
+        for p, (head, tail, inner) in split.items():
+            pairs = [words[w] for w in inner]
+            found[p] = head, tail, (spaced([t[0] for t in pairs]), spaced([t[1] for t in pairs])), inner
+        if len(self.chunks) + len(split) > CHUNKS_KEPT:
+            self.chunks.clear()
+        self.chunks.update({p: found[p] for p in list(split)[:CHUNKS_KEPT]})
+        return found
+
+    def texts(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[Tokens]:
+        """Tokens of each text of a block."""
+        raw, edges = data.tobytes(), np.union1d(cuts(data), offsets[(offsets > 0) & (offsets < len(data))])
+        bounds = [0, *edges.tolist(), len(raw)]
+        pieces = [raw[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
+        chunks = self.of_chunks(pieces)
+        first = np.searchsorted(np.array(bounds[:-1]), offsets).tolist()
+        texts = [pieced([chunks[p] for p in pieces[a:b]] if end > start else []) for a, b, start, end in zip(first, first[1:], offsets[:-1], offsets[1:], strict=False)]
+        needed = {j for text in texts for j in text if len(j) == 3}
+        known = {j: self.joins.get(j) for j in needed}
+        missing = [j for j, t in known.items() if t is None]
+        fresh = self.repaired(missing)
+        known.update({j: t for j, t in fresh.items() if t is not None})
+        if len(self.joins) + len(fresh) > JOINS_KEPT:
+            self.joins.clear()
+        self.joins.update({j: t for j, t in list(fresh.items())[:JOINS_KEPT] if t is not None})
+        for text, start, end in zip(texts, offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+            tokens = [known[x] if len(x) == 3 else x for x in text]
+            if any(t is None for t in tokens):  # a join on which the narrow window does not agree
+                yield self.whole([raw[start:end]])[0]
+            else:
+                yield spaced([t[0] for t in tokens]), spaced([t[1] for t in tokens])
+
+    def repaired(self, joins: list[tuple[bytes, bytes, bytes]]) -> dict[tuple[bytes, bytes, bytes], Tokens | None]:
+        """Tokens of the word in the middle of (word before, word, word after), or None where the neighbours came out different."""
+        beside = self.of_words({w for j in joins for w in (j[0], j[2]) if w})
+        again = self.whole([b" ".join(filter(None, j)) for j in joins])
+        return {j: inside(tokens, beside.get(j[0]), beside.get(j[2])) for j, tokens in zip(joins, again, strict=True)}
+
+
+def spaced(strings: list[str]) -> str:
+    return " ".join(filter(None, strings))
+
+
+def parts(piece: bytes) -> tuple[bytes, bytes | None, list[bytes]]:
+    """What a chunk has of a word at its head and at its end, and its whole words between blanks."""
+    inner = piece.split()
+    blank_first, blank_last = piece[:1].isspace(), piece[-1:].isspace()
+    if len(inner) == 1 and not blank_first and not blank_last:
+        return piece, None, []
+    head = b"" if blank_first or not inner else inner.pop(0)
+    tail = b"" if blank_last or not inner else inner.pop()
+    return head, tail, inner
+
+
+def pieced(chunks: list[Chunk]) -> list[Tokens | tuple[bytes, bytes, bytes]]:
+    """A text as tokens of chunks and joins (word before, word, word after) in turn."""
+    out: list = []
+    carry, before = b"", b""
+    for head, tail, tokens, inner in chunks:
+        carry += head
+        if tail is None:
+            continue
+        if carry:
+            out.append((before, carry, inner[0] if inner else b""))
+            before = b""
+        if inner:
+            out.append(tokens)
+            before = inner[-1]
+        carry = tail
+    if carry:
+        out.append((before, carry, b""))
+    return out
+
+
+def inside(tokens: Tokens, left: Tokens | None, right: Tokens | None) -> Tokens | None:
+    """What is left of the tokens between those of the left and the right word, or None if they do not begin and end so."""
+    out = []
+    for own, before, after in zip(tokens, left or ("", ""), right or ("", ""), strict=True):
+        padded = f" {own} " if own else " "
+        head, tail = f" {before} " if before else " ", f" {after} " if after else " "
+        if not padded.startswith(head) or not padded.endswith(tail) or len(padded) + 1 < len(head) + len(tail):
+            return None
+        out.append(padded[len(head) : len(padded) - len(tail)] if len(padded) >= len(head) + len(tail) else "")
+    return out[0], out[1]
 
 
 def cuts(data: np.ndarray) -> np.ndarray:
-    """Byte positions after which the rolling hash of the last four bytes asks for a cut."""
+    """Byte positions at which the rolling hash of the four bytes up to there asks for a cut."""
     if len(data) < 4:
         return np.zeros(0, np.int64)
     d = data.astype(np.uint32)
     h = d[3:] * np.uint32(0x9E3779B1) + d[2:-1] * np.uint32(0x85EBCA77) + d[1:-2] * np.uint32(0xC2B2AE3D) + d[:-3] * np.uint32(0x27D4EB2F)
     h ^= h >> np.uint32(15)
-    return np.flatnonzero((h & np.uint32(CHUNK - 1)) == 0) + 3
+    at = np.flatnonzero((h & np.uint32(CHUNK - 1)) == 0) + 3
+    return at[(data[at] & 0xC0) != 0x80]  # not inside a character
 
 
 def _sha(s: str) -> str:
@@ -180,7 +208,8 @@ def _sha(s: str) -> str:
 
 def encoded(docs: DataFrame, tokenizer_path: str, id_column: str = "doc_id", text_column: str = "text", full: bool = False) -> DataFrame:
     """n_tokens, ids_sha256 and decoded_sha256 of every row; with `full` also the ids themselves and the decoded text."""
-    schema = docs.select(docs[id_column].alias("doc_id")).schema.simpleString()[7:-1] + ",n_tokens:bigint,ids_sha256:string,decoded_sha256:string" + (",ids:string,decoded:string" if full else "")
+    rows = docs.select(docs[f"`{id_column}`"].alias("doc_id"), docs[f"`{text_column}`"].alias("text"))
+    schema = with_fields(rows, ["doc_id"], "n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids string, decoded string" if full else ""))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(tokenizer_path)
@@ -189,11 +218,12 @@ def encoded(docs: DataFrame, tokenizer_path: str, id_column: str = "doc_id", tex
             for i, j in blocks(offsets, 1 << 19):
                 lo, hi = offsets[i], offsets[j]
                 rows = list(encoder.texts(data[lo:hi], offsets[i : j + 1] - lo))
-                columns = [batch.column(0).slice(i, j - i), pa.array([r[0].count(" ") + 1 if r[0] else 0 for r in rows], pa.int64()), pa.array([_sha(r[0]) for r in rows], pa.string()), pa.array([_sha(r[1]) for r in rows], pa.string())]
+                counts = [r[0].count(" ") + 1 if r[0] else 0 for r in rows]
+                columns = [batch.column(0).slice(i, j - i), pa.array(counts, pa.int64()), *[pa.array([_sha(r[k]) for r in rows], pa.string()) for k in (0, 1)]]
                 names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
                 if full:
                     columns += [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string())]
                     names += ["ids", "decoded"]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return docs.select(docs[id_column].alias("doc_id"), docs[text_column].alias("text")).mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
