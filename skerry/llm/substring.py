@@ -1,21 +1,18 @@
 """Substring dedup by level-wise doubling.
 
-A word goes if a window of 13 words over it also starts in a document with a smaller doc_id. Counting every such window
-at once would shuffle a row for each word, so windows are tried at growing lengths, and only what repeats at one length
-is tried at the next:
-
-1. Five words. Each 13-word window names the least hash of its nine 5-word windows; equal windows name the same one.
-   Names found in one group of documents only cannot link groups and drop out.
-2. Runs, up to twice as long as a window: the stretch of neighbouring windows with one name. A run that a smaller
-   document holds too is settled as a whole.
-3. Thirteen words: the windows of runs that were not settled, and of those in the smallest document that holds them.
-
-Documents are dealt to groups of a few megabytes by a hash of doc_id. A group sends each different hash once, with its
-smallest doc_id, so a passage that a third of all documents share costs a row for each group, not for each document;
-within a group, repeats are settled on the spot. Hashes have 64 bits.
-
-Null and empty texts have no words and lose none. A null doc_id counts as the largest. Rows with equal doc_id are one
-document: they take nothing from each other. Very long texts are processed whole. An empty table gives no rows.
+A word goes if a window of 13 words over it also starts in a document with a smaller doc_id. Windows are tried at growing
+lengths, each about twice the one before (13 takes 7, 7 takes `seed` or more): all windows of the first length are counted,
+and a longer window is a candidate only if its first and its last half both repeat at the length before. Levels end at the
+wanted window, or as soon as no candidate survives. What repeats at the last level is given with its smallest doc_id.
+
+Documents are dealt to groups of a few megabytes by a hash of doc_id. A group sends each different hash of a level once, so
+a passage that a third of all documents share costs an entry for each group, not for each document; within a group, repeats
+are settled on the spot. Hashes travel packed, one row for each group and bucket of hashes; up to the last level 32 bits of
+a hash within its bucket, as a chance hit there only adds a candidate, at the last level all 64.
+
+Null and empty texts have no words and lose none. A null doc_id counts as the largest; doc_id is of an integer type, as its
+order decides. Rows with equal doc_id are one document: they take nothing from each other. A very long text is processed
+whole, in one group. Other columns, whatever their names, are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,114 +24,196 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql import types as T
 
-from .text import U64, blocks, mix, prefix_hash, span_hash, utf8, words
+from .frames import settle
+from .text import U64, blocks, prefix_hash, span_hash, utf8, words
 
 WINDOW = 13
 SEED = 5
-GROUP_BYTES = 6_000_000
+#: Bytes of text in a group; words in a bucket.
+GROUP_BYTES, BUCKET = 6_000_000, 1_000_000
 _LAST = (1 << 63) - 1
 
 
+def levels(window: int, seed: int) -> list[int]:
+    """Lengths from the first to the wanted one: each is the half, rounded up, of the next."""
+    out = [window]
+    while -(-out[0] // 2) >= seed:
+        out.insert(0, -(-out[0] // 2))
+    return out
+
+
 class Group:
-    """The documents of one group in order of doc_id, their word hashes, and all windows with names and runs."""
+    """The documents of one group in order of doc_id, and the hashes of their words."""
 
-    def __init__(self, docs: pa.Table, window: int, seed: int):
+    def __init__(self, docs: pa.Table):
         self.docs = docs.take(pc.sort_indices(docs, [("id", "ascending")]))
         self.ids = self.docs.column("id").to_numpy()
         data, offsets = utf8(self.docs.column("text"))
-        hashes, counts = [], []
+        hashes, counts = [np.zeros(0, U64)], [np.zeros(0, np.int64)]
         for i, j in blocks(offsets):
             w = words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
             hashes.append(w.hash)
             counts.append(w.count)
-        h = np.concatenate(hashes) if hashes else np.zeros(0, U64)
-        self.first = np.concatenate([[0], np.cumsum(np.concatenate(counts))]) if counts else np.zeros(1, np.int64)
-        self.n_words = np.diff(self.first)
+        h = np.concatenate(hashes)
+        self.n_words = np.concatenate(counts)
+        self.first = np.concatenate([[0], np.cumsum(self.n_words)])
         self.row = np.repeat(np.arange(len(self.ids)), self.n_words)
-        total, down = prefix_hash(h)
-        n = max(0, len(h) - window + 1)
-        self.at = np.flatnonzero(self.row[:n] == self.row[window - 1 :][:n]) if n else np.zeros(0, np.int64)
-        self.owner = self.ids[self.row[self.at]] if len(self.at) else np.zeros(0, np.int64)
-        self.hash = span_hash(total, down, self.at, self.at + window)
-        short = np.arange(max(0, len(h) - seed + 1))
-        seeds = span_hash(total, down, short, short + seed)
-        name = seeds[self.at] if len(self.at) else np.zeros(0, U64)
-        for k in range(1, window - seed + 1):
-            name = np.minimum(name, seeds[self.at + k])
-        self.name = name
-        # runs: neighbouring windows of a document with one name
-        new = np.ones(len(self.at), bool)
-        if len(self.at):
-            new[1:] = (name[1:] != name[:-1]) | (self.at[1:] != self.at[:-1] + 1)
-        self.run = np.cumsum(new) - 1
-        opens = np.flatnonzero(new)
-        ends = np.append(opens[1:], len(self.at)) - 1
-        self.run_first = opens
-        self.run_hash = span_hash(total, down, self.at[opens], self.at[ends] + window) if len(opens) else np.zeros(0, U64)
+        self.sums = prefix_hash(h)
+
+    def windows(self, length: int) -> np.ndarray:
+        """Where windows of that many words start."""
+        n = max(0, len(self.row) - length + 1)
+        return np.flatnonzero(self.row[:n] == self.row[length - 1 :][:n]) if n else np.zeros(0, np.int64)
+
+    def hash(self, at: np.ndarray, length: int) -> np.ndarray:
+        return span_hash(*self.sums, at, at + length)
+
+    def candidates(self, length: int, half: int, slots: np.ndarray, buckets: int) -> np.ndarray:
+        """Starts of the windows both halves of which are among the repeated ones; slots: those, in order."""
+        alive = np.zeros(len(self.row) + 1, bool)
+        at = self.windows(half)
+        alive[at] = among(slot(self.hash(at, half), buckets), slots)
+        at = self.windows(length)
+        return at[alive[at] & alive[at + length - half]]
+
+
+def among(keys: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which keys are among the known ones, which are in order."""
+    if not len(known):
+        return np.zeros(len(keys), bool)
+    return known[np.minimum(np.searchsorted(known, keys), len(known) - 1)] == keys
+
+
+def slot(h: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket of a hash, and 32 bits of it below."""
+    return (h >> U64(32)) % U64(buckets) << U64(32) | h & U64(0xFFFFFFFF)
+
+
+def packed(group: int, bucket: np.ndarray, buckets: int, **columns: np.ndarray) -> pa.Table:
+    """One row for each bucket with entries: its arrays as bytes; bucket ascends."""
+    edge = np.searchsorted(bucket, np.arange(buckets + 1))
+    filled = np.flatnonzero(np.diff(edge))
+    out = {"grp": pa.array(np.full(len(filled), group, np.int32)), "bucket": pa.array(filled.astype(np.int32))}
+    for name, x in columns.items():
+        out[name] = pa.array([x[edge[k] : edge[k + 1]].tobytes() for k in filled], pa.binary())
+    return pa.table(out)
+
 
-    def least(self, keys: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Each different key with its smallest owner; owners ascend."""
-        found, at = np.unique(keys, return_index=True)
-        return found, owners[at]
+def unpacked(t: pa.Table, name: str, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """The entries of all rows, and the row of each."""
+    blobs = t.column(name).to_pylist()
+    out = np.frombuffer(b"".join(blobs), kind)
+    return out, np.repeat(np.arange(len(blobs)), [len(x) // out.itemsize for x in blobs])
 
 
-def _signed(x: np.ndarray) -> pa.Array:
-    return pa.array(x.view(np.int64))
+def returned(t: pa.Table, row: np.ndarray, **columns: np.ndarray) -> pa.Table:
+    """Entries back to the groups whose rows they came in."""
+    order = np.argsort(row, kind="stable")
+    edge = np.searchsorted(row[order], np.arange(t.num_rows + 1))
+    filled = np.flatnonzero(np.diff(edge))
+    out = {k: t.column(k).take(pa.array(filled)) for k in ("grp", "bucket")}
+    for name, x in columns.items():
+        out[name] = pa.array([x[order[edge[k] : edge[k + 1]]].tobytes() for k in filled], pa.binary())
+    return pa.table(out)
 
 
-def _hashes(answers: pa.Table, kind: int) -> np.ndarray:
-    chosen = answers.filter(pc.equal(answers.column("kind"), kind)).column("h")
-    return chosen.to_numpy().astype(np.int64).view(U64)
+def _slots(answers: pa.Table) -> np.ndarray:
+    low, row = unpacked(answers, "low", np.uint32)
+    return np.sort(answers.column("bucket").to_numpy().astype(U64)[row] << U64(32) | low.astype(U64))
 
 
-def _rows(group: int, kind: int, keys: np.ndarray, owners: np.ndarray | None = None) -> pa.Table:
-    owners = np.zeros(len(keys), np.int64) if owners is None else owners
-    return pa.table({"grp": pa.array(np.full(len(keys), group, np.int32)), "kind": pa.array(np.full(len(keys), kind, np.int8)), "h": _signed(np.ascontiguousarray(keys)), "id": pa.array(owners)})
+_LOW, _FULL = "grp int, bucket int, low binary", "grp int, bucket int, hash binary, owner binary"
 
 
-_SENT = "grp int, kind byte, h long, id long"
+def repeated(docs: DataFrame, lengths: list[int], buckets: int) -> DataFrame | None:
+    """(grp, bucket, low): what repeats at the last of these lengths, for each group that holds it; None if nothing does.
+    docs: (grp, id, text)."""
+    grouped, known = docs.groupBy("grp"), None
+
+    def counted(key: tuple, t: pa.Table) -> pa.Table:
+        low, row = unpacked(t, "low", np.uint32)
+        order = np.argsort(low, kind="stable")
+        low, row = low[order], row[order]
+        same = np.append(low[1:] == low[:-1], False)
+        same[1:] |= same[:-1]
+        # a window that repeats within its group came twice
+        own = same & np.append(True, (low[1:] != low[:-1]) | (row[1:] != row[:-1]))
+        return returned(t, row[own], low=low[own])
+
+    def sender(half: int, length: int):
+        def of(g: Group, at: np.ndarray, group: int) -> pa.Table:
+            slots = np.sort(slot(g.hash(at, length), buckets))
+            run = np.flatnonzero(np.append(True, slots[1:] != slots[:-1])) if len(slots) else np.zeros(0, np.int64)
+            slots = slots[np.arange(len(slots)) - np.repeat(run, np.diff(np.append(run, len(slots)))) < 2]
+            return packed(group, slots >> U64(32), buckets, low=slots.astype(np.uint32))
+
+        def every(key: tuple, t: pa.Table) -> pa.Table:
+            g = Group(t)
+            return of(g, g.windows(length), key[0].as_py())
+
+        def longer(key: tuple, t: pa.Table, answers: pa.Table) -> pa.Table:
+            g = Group(t)
+            return of(g, g.candidates(length, half, _slots(answers), buckets), key[0].as_py())
+
+        return longer if half else every
+
+    for half, length in zip([0, *lengths], lengths, strict=False):
+        if known is None:
+            rows = grouped.applyInArrow(sender(half, length), _LOW)
+        else:
+            rows = grouped.cogroup(known.groupBy("grp")).applyInArrow(sender(half, length), _LOW)
+        known = settle(rows.groupBy("bucket").applyInArrow(counted, _LOW))
+        if known.isEmpty():
+            return None
+    return known
 
 
 def deduplicated(docs: DataFrame, window: int = WINDOW, seed: int = SEED, group_bytes: int = GROUP_BYTES, with_text: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 of every row; with_text adds the kept words joined by a space."""
-    kind_of_id = dict(docs.dtypes)["doc_id"]
+    kind_of_id = docs.schema["doc_id"].dataType
+    if not isinstance(kind_of_id, T.IntegralType):
+        raise TypeError(f"doc_id must be of an integer type, not {kind_of_id.simpleString()}")
     size = docs.agg(F.sum(F.octet_length("text")).alias("s")).first()["s"] or 0
-    n_groups = max(1, -(-size // group_bytes))
+    n_groups, buckets = max(1, -(-size // group_bytes)), max(1, size // (6 * BUCKET))
     rows = docs.select(F.col("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("id"), "text")
     rows = rows.withColumn("grp", F.pmod(F.xxhash64("id"), F.lit(n_groups)).cast("int")).select("grp", "id", "text", F.col("doc_id").isNull().alias("nameless"))
     grouped = rows.groupBy("grp")
-
-    def number(t: pa.Table, key: tuple) -> int:
-        return key[0].as_py()
-
-    def names(key: tuple, t: pa.Table) -> pa.Table:
-        g = Group(t, window, seed)
-        return _rows(number(t, key), 0, np.unique(g.name))
-
-    def runs(key: tuple, t: pa.Table, answers: pa.Table) -> pa.Table:
-        g = Group(t, window, seed)
-        live = np.isin(g.name[g.run_first], _hashes(answers, 0))
-        return _rows(number(t, key), 1, *g.least(g.run_hash[live], g.owner[g.run_first][live]))
-
-    def single(key: tuple, t: pa.Table, answers: pa.Table) -> pa.Table:
-        g = Group(t, window, seed)
-        settled = _hashes(answers, 1)
-        open_runs = np.isin(g.run_hash, _hashes(answers, 2))
-        chosen = open_runs[g.run] if len(g.run) else np.zeros(0, bool)
-        return pa.concat_tables([_rows(number(t, key), 1, settled), _rows(number(t, key), 3, *g.least(g.hash[chosen], g.owner[chosen]))])
+    *before, _ = levels(window, seed)
+    half = before[-1] if before else window
+    known = repeated(rows.select("grp", "id", "text"), before or [window], buckets)
+
+    def last(key: tuple, t: pa.Table, answers: pa.Table) -> pa.Table:
+        g = Group(t)
+        at = g.candidates(window, half, _slots(answers), buckets)
+        # owners ascend, so the first of equal hashes has the smallest
+        h, first = np.unique(g.hash(at, window), return_index=True)
+        owner = g.ids[g.row[at[first]]] if len(at) else np.zeros(0, np.int64)
+        bucket = (h >> U64(32)) % U64(buckets)
+        order = np.argsort(bucket, kind="stable")
+        return packed(key[0].as_py(), bucket[order], buckets, hash=h[order], owner=owner[order].astype(np.int64))
+
+    def judged(key: tuple, t: pa.Table) -> pa.Table:
+        (h, row), (owner, _) = unpacked(t, "hash", U64), unpacked(t, "owner", np.int64)
+        order = np.lexsort((owner, h))
+        h, row, owner = h[order], row[order], owner[order]
+        run = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
+        least = np.repeat(owner[run], np.diff(np.append(run, len(h))))
+        later = owner > least
+        return returned(t, row[later], hash=h[later], owner=least[later])
 
     def finish(key: tuple, t: pa.Table, answers: pa.Table) -> pa.Table:
-        g = Group(t, window, seed)
-        gone = np.isin(g.hash, _hashes(answers, 3))
-        if len(g.run):
-            gone |= np.isin(g.run_hash, _hashes(answers, 1))[g.run]
-            _, first, which = np.unique(g.hash, return_index=True, return_inverse=True)
-            gone |= g.owner[first][which] < g.owner
+        g = Group(t)
+        at = g.windows(window)
+        h, owner = g.hash(at, window), g.ids[g.row[at]] if len(at) else np.zeros(0, np.int64)
+        gone = among(h, np.sort(unpacked(answers, "hash", U64)[0]))
+        if len(at):
+            _, first, which = np.unique(h, return_index=True, return_inverse=True)
+            gone |= owner[first][which] < owner
         edge = np.zeros(int(g.first[-1]) + 1, np.int64)
-        np.add.at(edge, g.at[gone], 1)
-        np.add.at(edge, np.minimum(g.at[gone] + window, len(edge) - 1), -1)
+        np.add.at(edge, at[gone], 1)
+        np.add.at(edge, np.minimum(at[gone] + window, len(edge) - 1), -1)
         removed = np.cumsum(edge)[:-1] > 0
         per_row = np.concatenate([[0], np.cumsum(removed)])
         n_removed = per_row[g.first[1:]] - per_row[g.first[:-1]]
@@ -144,9 +223,8 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, seed: int = SEED, group_
             if n_removed[r]:
                 found = [w for w, x in zip(found, removed[g.first[r] : g.first[r + 1]].tolist(), strict=True) if not x]
             kept.append(b" ".join(found))
-        nameless = g.docs.column("nameless").to_numpy()
         out = {
-            "doc_id": pa.array(g.ids, mask=nameless),
+            "doc_id": pa.array(g.ids, mask=g.docs.column("nameless").to_numpy()),
             "n_words": pa.array(g.n_words.astype(np.int64)),
             "n_removed": pa.array(n_removed.astype(np.int64)),
             "kept_sha256": pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string()),
@@ -155,15 +233,10 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, seed: int = SEED, group_
             out["kept"] = pa.array([k.decode() for k in kept], pa.string())
         return pa.table(out)
 
-    by_hash = Window.partitionBy("h")
-    sent = grouped.applyInArrow(names, _SENT)
-    shared = sent.withColumn("n", F.count("*").over(by_hash)).where("n > 1").select("grp", "kind", "h", "id")
-    sent = grouped.cogroup(shared.groupBy("grp")).applyInArrow(runs, _SENT)
-    # kind 1: a smaller document holds the run; kind 2: the run is to be tried window by window
-    ranked = sent.withColumn("least", F.min("id").over(by_hash))
-    judged = ranked.select("grp", F.when(F.col("id") > F.col("least"), 1).otherwise(2).cast("byte").alias("kind"), "h", "id")
-    sent = grouped.cogroup(judged.groupBy("grp")).applyInArrow(single, _SENT)
-    ranked = sent.withColumn("least", F.min("id").over(Window.partitionBy("kind", "h")))
-    judged = ranked.where("kind = 1 or id > least").select("grp", "kind", "h", "id")
-    out = grouped.cogroup(judged.groupBy("grp")).applyInArrow(finish, "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept string" if with_text else ""))
+    if known is None:
+        later = docs.sparkSession.createDataFrame([], _FULL)
+    else:
+        later = grouped.cogroup(known.groupBy("grp")).applyInArrow(last, _FULL).groupBy("bucket").applyInArrow(judged, _FULL)
+    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept string" if with_text else "")
+    out = grouped.cogroup(later.groupBy("grp")).applyInArrow(finish, schema)
     return out.withColumn("doc_id", F.col("doc_id").cast(kind_of_id))

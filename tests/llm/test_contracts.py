@@ -488,8 +488,16 @@ def removed(rows, k=13):
 
 def test_substring_dedup(spark, docs, hard):
     for df, rows in both(spark, docs, hard):
-        for size in (6_000_000, 60_000):
-            assert sorted((tuple(r) for r in substring.deduplicated(df, group_bytes=size).collect()), key=repr) == removed(rows)
+        for size, seed in ((6_000_000, 5), (60_000, 5), (60_000, 2), (60_000, 13)):
+            assert sorted((tuple(r) for r in substring.deduplicated(df, group_bytes=size, seed=seed).collect()), key=repr) == removed(rows)
+
+
+def test_levels_double_and_end_when_nothing_survives(spark):
+    assert substring.levels(13, 5) == [7, 13] and substring.levels(13, 2) == [2, 4, 7, 13] and substring.levels(4, 5) == [4]
+    apart = spark.createDataFrame([(k, " ".join(f"w{k}x{j}" for j in range(30))) for k in range(5)], "doc_id long, text string")
+    assert {r.n_removed for r in substring.deduplicated(apart).collect()} == {0}
+    with pytest.raises(TypeError):
+        substring.deduplicated(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
 
 
 # --- 10
