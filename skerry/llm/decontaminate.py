@@ -5,9 +5,14 @@ piece unharmed, so exact hits of pieces (an Aho-Corasick automaton) find every c
 distance over a window around the hit then verifies it. Texts and items are compared in lower case with white space
 collapsed, so re-wrapped or re-cased copies match too.
 
-The benchmark is handled in blocks of a fixed size, each broadcast in turn, so its size has no bound. Null and empty
-texts and items match nothing; items shorter than `least_chars` are skipped, as chance would match them. Rows with equal
-doc_id or item_id count as one, with the best match. Very long texts are scanned whole.
+Items shorter than `least_chars`, which chance would match within any budget, have a budget of 0 and must stand between
+word ends, so they are one piece that is looked up exactly.
+
+The benchmark is handled in blocks of a fixed size, each broadcast in turn, so its size has no bound; each block is one
+more pass over the documents. Null and empty texts and items match nothing. Rows with equal doc_id or item_id count as
+one, with the best match, of equal ones the one that ends first. Very long texts are scanned whole. An empty table on
+either side gives no matches. Ids are of any type; other columns, whatever their names, are ignored or, in
+`clean_documents`, kept.
 """
 
 from __future__ import annotations
@@ -18,6 +23,10 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
+
+from .frames import numbered, with_fields
 
 #: Edits allowed, as a share of the item's length.
 ERROR_RATE = 0.08
@@ -62,11 +71,12 @@ def best_match(pattern: str, text: str, budget: int) -> tuple[int, int] | None:
 
 
 class Matcher:
-    def __init__(self, items: list[tuple[int, str]], error_rate: float):
+    def __init__(self, items: list[tuple[object, str]], error_rate: float, least_chars: int):
         import ahocorasick
 
         self.items = items
-        self.budgets = [int(len(t) * error_rate) for _, t in items]
+        self.short = [len(t) < least_chars for _, t in items]
+        self.budgets = [0 if short else int(len(t) * error_rate) for short, (_, t) in zip(self.short, items, strict=True)]
         found: dict[str, list[tuple[int, int]]] = {}
         for k, (_, text) in enumerate(items):
             for at, piece in pieces(text, self.budgets[k]):
@@ -79,8 +89,14 @@ class Matcher:
     def find(self, text: str) -> dict[int, tuple[int, int]]:
         """Best (edits, end) of each item found in the text."""
         windows: dict[int, list[list[int]]] = {}
+        best: dict[int, tuple[int, int]] = {}
         for end, (length, where) in self.automaton.iter(text):
             for k, at in where:
+                if self.short[k]:
+                    before, after = text[end - length : end - length + 1] if end >= length else "", text[end + 1 : end + 2]
+                    if not before.isalnum() and not after.isalnum():
+                        best.setdefault(k, (0, end + 1))
+                    continue
                 budget = self.budgets[k]
                 start = end + 1 - length - at - budget
                 stop = start + len(self.items[k][1]) + 2 * budget
@@ -89,7 +105,6 @@ class Matcher:
                     open_[-1] = [min(start, open_[-1][0]), max(stop, open_[-1][1])]
                 else:
                     open_.append([start, stop])
-        best: dict[int, tuple[int, int]] = {}
         for k, spans in windows.items():
             for start, stop in spans:
                 start = max(0, start)
@@ -99,14 +114,14 @@ class Matcher:
         return best
 
 
-def _shared_blocks(spark: SparkSession, benchmark: DataFrame, least_chars: int, block_bytes: int) -> Iterator[Broadcast]:
+def _shared_blocks(spark: SparkSession, benchmark: DataFrame, block_bytes: int) -> Iterator[Broadcast]:
     """The benchmark's normalised items, in broadcasts of about block_bytes each."""
     items = benchmark.select("item_id", "text").where("text is not null and item_id is not null")
     size = items.agg(F.sum(F.octet_length("text")).alias("s")).first()["s"] or 0
     n_blocks = max(1, -(-size // block_bytes))
     for block in range(n_blocks):
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == block)
-        rows = sorted({(r["item_id"], t) for r in part.collect() if len(t := normal(r["text"])) >= least_chars})
+        rows = sorted({(r["item_id"], t) for r in part.collect() if (t := normal(r["text"]))})
         if rows:
             yield spark.sparkContext.broadcast(rows)
 
@@ -114,21 +129,21 @@ def _shared_blocks(spark: SparkSession, benchmark: DataFrame, least_chars: int,
 def contaminated(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RATE, least_chars: int = LEAST_CHARS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, item_id, edits and match_end (in the normalised text): one row for each document and item it holds."""
     spark = docs.sparkSession
-    kinds = dict(docs.dtypes)["doc_id"], dict(benchmark.dtypes)["item_id"]
-    schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, edits int, match_end long"
+    schema = with_fields(docs, ["doc_id"], "edits int, match_end long")
+    schema = T.StructType([schema[0], benchmark.schema["item_id"], *schema[1:]])
     texts = docs.select("doc_id", "text").where("text is not null")
-    out = None
-    for shared in _shared_blocks(spark, benchmark, least_chars, block_bytes):
+    out, kind = None, to_arrow_type(benchmark.schema["item_id"].dataType)
+    for shared in _shared_blocks(spark, benchmark, block_bytes):
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(shared.value, error_rate)
+            matcher = Matcher(shared.value, error_rate, least_chars)
             for batch in batches:
                 ids, hits = batch.column(0).to_pylist(), []
                 for i, text in enumerate(batch.column(1)):
                     hits += [(ids[i], matcher.items[k][0], e, at) for k, (e, at) in matcher.find(normal(text.as_py())).items()]
                 if hits:
                     a, b, c, d = zip(*hits, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(a, batch.schema.field(0).type), pa.array(b), pa.array(c, pa.int32()), pa.array(d, pa.int64())], names=["doc_id", "item_id", "edits", "match_end"])
+                    yield pa.RecordBatch.from_arrays([pa.array(a, batch.schema.field(0).type), pa.array(b, kind), pa.array(c, pa.int32()), pa.array(d, pa.int64())], names=["doc_id", "item_id", "edits", "match_end"])
 
         found = texts.mapInArrow(run, schema)
         out = found if out is None else out.unionByName(found)
@@ -140,14 +155,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERRO
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RATE, least_chars: int = LEAST_CHARS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of docs, all columns, whose own text holds no benchmark item: a filter without any shuffle."""
-    kept = docs
-    place = docs.columns.index("text")
-    for shared in _shared_blocks(docs.sparkSession, benchmark, least_chars, block_bytes):
+    kept, names = docs, docs.columns
+    place = names.index("text")
+    for shared in _shared_blocks(docs.sparkSession, benchmark, block_bytes):
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(shared.value, error_rate)
+            matcher = Matcher(shared.value, error_rate, least_chars)
             for batch in batches:
-                yield batch.filter(pa.array([not matcher.find(normal(t.as_py())) for t in batch.column(place)], pa.bool_()))
+                clean = pa.array([not matcher.find(normal(t.as_py())) for t in batch.column(place)], pa.bool_())
+                yield pa.RecordBatch.from_arrays(batch.filter(clean).columns, names=names)
 
-        kept = kept.mapInArrow(run, docs.schema)
+        kept = numbered(kept).mapInArrow(run, docs.schema)
     return kept
