@@ -4,17 +4,19 @@ A text is a bag of passages of 64 words. Every passage is encoded from its surfa
 repetition, line breaks, word lengths) and a hashed word histogram; a gated attention learnt from document labels weighs
 the passages, and a logistic layer scores the weighted sum.
 
-The weights are fitted on a bounded sample: the `sample` labelled texts with the smallest hash of doc_id, at most
-`passages` evenly spaced passages of each while fitting. Scoring reads every passage of every text.
+The weights are fitted on a bounded sample: the `sample` labelled documents with the smallest hash of doc_id, with every
+passage of their texts. Scoring reads every passage of every text.
 
 Null and empty texts have one empty passage and get a score like any other. Labels that are null are left out; a doc_id
-labelled more than once takes its mean label. Without labels of both kinds every score is the share of ones (1 if there
-are no labels). Repeated rows get equal scores; no column but the text enters a score.
+labelled more than once takes its mean label, and of several texts under one labelled doc_id the one with the smallest
+hash is learnt. Without labels of both kinds every score is the share of ones (1 if there are no labels). Repeated rows get
+equal scores; no column but the text enters a score. A null doc_id is scored and never learnt. Other columns, whatever
+their names, are ignored, or kept by `accepted`. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .frames import body, numbered, with_fields
 from .text import U64, blocks, mix, utf8, words
 
 PASSAGE_WORDS = 64
@@ -156,45 +159,41 @@ def crc_part(doc_id: str | Column = "doc_id") -> Column:
     return F.crc32((F.col(doc_id) if isinstance(doc_id, str) else doc_id).cast("string").cast("binary")) % 4
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = 4000, passages_each: int = 48, held_out: int = 2, seed: int = 7) -> Model:
+def train(docs: DataFrame, labels: DataFrame, sample: int = 4000, held_out: int = 2, seed: int = 7) -> Model:
     """Fits on at most `sample` labelled texts whose crc32(doc_id) mod 4 is not `held_out`."""
     known = labels.where((crc_part() != held_out) & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.avg("quality").alias("y"))
     chosen = known.orderBy(F.xxhash64(F.col("doc_id"), F.lit(seed)), "doc_id").limit(sample)
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("y", "text")
+    texts = docs.select("doc_id", body().alias("text")).join(F.broadcast(chosen), "doc_id")  # `sample` rows are broadcast
+    one = F.min(F.struct(F.xxhash64("text").alias("hash"), "text"))["text"].alias("text")
+    texts = texts.groupBy("doc_id").agg(F.first("y").alias("y"), one).select("y", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = utf8(batch.column(1))
             for i, j in blocks(offsets):
                 x, first = passages(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                bags = []
-                for a, b in zip(first[:-1], first[1:], strict=True):
-                    keep = np.unique(np.linspace(a, b - 1, min(passages_each, b - a)).round().astype(int))
-                    bags.append(x[keep].tobytes())
+                bags = [x[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(bags, pa.binary())], names=["y", "bag"])
 
-    rows = texts.mapInArrow(run, "y double, bag binary").limit(2 * sample).collect()
+    rows = texts.mapInArrow(run, "y double, bag binary").collect()
     rows.sort(key=lambda r: (r["y"], bytes(r["bag"])))
     bags = [np.frombuffer(bytes(r["bag"]), np.float32).reshape(-1, SURFACE + BUCKETS) for r in rows]
     return fit(bags, np.array([float(r["y"] >= 0.5) for r in rows]), seed=seed)
 
 
-def scored(docs: DataFrame, model: Model, keep_all: bool = False) -> DataFrame:
-    """doc_id (or, with keep_all, every column) and the score of each row."""
+def scored(docs: DataFrame, model: Model, keep: Sequence[str] = ("doc_id",), name: str = "score") -> DataFrame:
+    """The kept columns and the score of each row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs if keep_all else docs.select("doc_id", "text")
-    place = rows.columns.index("text")
-    out = rows if keep_all else rows.select("doc_id")
-    schema = out.schema.simpleString()[7:-1] + ",score:double"
+    keep = list(keep)
+    rows = docs.select(*[docs[f"`{c}`"] for c in keep], body().alias("_skerry_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = utf8(batch.column(place))
+            data, offsets = utf8(batch.column(len(keep)))
             scores = [shared.value.score(*passages(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])) for i, j in blocks(offsets, 1 << 19)]
-            columns = batch.columns if keep_all else [batch.column(0)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.concatenate(scores) if scores else np.zeros(0))], names=[*(batch.schema.names if keep_all else ["doc_id"]), "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.concatenate(scores) if scores else np.zeros(0))], names=[*keep, name])
 
-    return rows.mapInArrow(run, schema)
+    return numbered(rows).mapInArrow(run, with_fields(docs, keep, f"{name} double"))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, held_out: int = 2, **options) -> DataFrame:
@@ -207,4 +206,5 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, h
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **options) -> DataFrame:
     """The rows, all columns, that the classifier accepts."""
     model = train(docs, labels, **options)
-    return scored(docs, model, keep_all=True).where(F.col("score") >= threshold).drop("score")
+    out = scored(docs, model, docs.columns, "_skerry_score")
+    return out.where(F.col("_skerry_score") >= threshold).drop("_skerry_score")
