@@ -6,11 +6,13 @@ term t reveals of an entity e:
 
     disclosure(t, e) = PMI(t; e) / IC(e) = 1 - log(n(t) / n(t, e)) / log(N / n(e))
 
-where n(e) counts the different contexts of e, n(t, e) those that hold t, n(t) all occurrences of t in the corpus and N all
-words. It is 1 if t only ever stands beside e. The same is counted for classes of entities (all of a kind, all addresses
+where n(e) counts the different contexts of e, n(t, e) those that hold t, n(t) all occurrences of t in the corpus and N
+those of all words. It is 1 if t only ever stands beside e. The same is counted for classes of entities (all of a kind, all addresses
 of an e-mail domain) over all their contexts. Terms with n(t, e) of at least `support`, or of two where so many contexts
-by chance are less likely than `chance` (a Chernoff bound), and a disclosure of at least `generalise` get a span of kind `term` wherever they stand beside e: in `sanitised` they are generalised to a label, and
-from `remove` on they are taken out. Counts cover all rows of all texts.
+by chance are less likely than `chance` (a Chernoff bound), and a disclosure of at least `generalise` get a span of kind
+`term` wherever they stand in a text that holds e: in `sanitised` they are generalised to a label, and from `remove` on
+they are taken out. A word is a run of letters, for terms (of four letters or more) and for N alike. Counts cover all rows
+of all texts.
 
 Null and empty texts have no spans. Rows equal in doc_id and text have the same spans; a null doc_id changes nothing.
 Very long texts are read whole. Contexts that are equal count once, so copies of a document are no evidence. An empty
@@ -24,7 +26,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .frames import body, settle
+from .frames import body, broadcast_if_small, settle
 
 #: Run-start guards and possessive repeats find what the plain patterns find, leftmost and without overlap, in linear time.
 PATTERNS = {
@@ -112,7 +114,7 @@ def terms_near(text: Column, span: Column, reach: int) -> Column:
 
 
 def scan(docs: DataFrame, options: Disclosure) -> DataFrame:
-    """doc_id, rid, the base spans of each kind, the number of words, and each entity with its context and terms."""
+    """doc_id, rid, the base spans of each kind, and each entity with its context and terms."""
     text = body()
     rows = docs.select("doc_id", text.alias("text"))
     for kind in PATTERNS:
@@ -126,8 +128,7 @@ def scan(docs: DataFrame, options: Disclosure) -> DataFrame:
         return one
 
     contexts = F.concat(*[F.transform(F.col(kind), context(kind)) for kind in PATTERNS])
-    blanks = F.length(F.col("text")) - F.length(F.replace(F.col("text"), F.lit(" "), F.lit(""))) + 1
-    return rows.select("doc_id", F.xxhash64("doc_id", "text").alias("rid"), *PATTERNS, blanks.cast("long").alias("n_words"), contexts.alias("contexts"))
+    return rows.select("doc_id", F.xxhash64("doc_id", "text").alias("rid"), *PATTERNS, contexts.alias("contexts"))
 
 
 def disclosing(docs: DataFrame, scanned: DataFrame, options: Disclosure) -> DataFrame:
@@ -136,11 +137,11 @@ def disclosing(docs: DataFrame, scanned: DataFrame, options: Disclosure) -> Data
     each = seen.select("entity", "context").distinct().groupBy("entity").agg(F.count("*").alias("n_e")).where("n_e >= 2")
     pairs = seen.select("entity", "context", F.explode("terms.term").alias("term")).distinct().groupBy("entity", "term").agg(F.count("*").alias("n_te")).where("n_te >= 2")
     pairs = settle(pairs.join(each, "entity"))
-    total = scanned.agg(F.sum("n_words").alias("n")).first()["n"] or 0
-    words = docs.where("text is not null").select(F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("term"))
     if pairs.isEmpty():
         return pairs.select("entity", "term", F.lit(0.0).alias("disclosure"))
-    counts = words.groupBy("term").agg(F.count("*").alias("n_t"))
+    words = docs.where("text is not null").select(F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("term")).where("term <> ''")
+    counts = settle(words.groupBy("term").agg(F.count("*").alias("n_t")))
+    total = counts.agg(F.sum("n_t").alias("n")).first()["n"] or 0
     share = 1 - F.log(F.greatest(F.col("n_t"), F.col("n_te")) / F.col("n_te")) / F.log(F.lit(float(max(total, 2))) / F.col("n_e"))
     # contexts with the term if its occurrences were dealt to places at random; a context has some reach / 3 words
     mean = F.col("n_t") * F.col("n_e") * F.lit(options.reach / 3 / max(total, 2))
@@ -153,13 +154,17 @@ def personal_data(docs: DataFrame, options: Disclosure | None = None) -> DataFra
     """doc_id, rid, the base spans and `term` (start, end, disclosure) of every row."""
     options = options or Disclosure()
     scanned = settle(scan(docs.select("doc_id", "text"), options))
-    telling = disclosing(docs, scanned, options)
-    near = scanned.where(F.size("contexts") > 0).select("rid", F.explode("contexts").alias("c")).select("rid", "c.entity", F.explode("c.terms").alias("t"))
-    near = near.withColumn("entity", F.explode(with_classes(F.col("entity"))))
-    marked = near.select("rid", "entity", "t.term", "t.start", "t.end").join(telling, ["entity", "term"])
-    best = marked.groupBy("rid", "start", "end").agg(F.max("disclosure").alias("disclosure"))
-    terms = best.groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("start", "end", "disclosure"))).alias("term"))
-    return scanned.drop("contexts", "n_words").join(terms, "rid", "left")
+    telling = settle(disclosing(docs, scanned, options))
+    held = scanned.where(F.size("contexts") > 0).select("rid", F.explode("contexts").alias("c"))
+    held = held.select("rid", F.explode(with_classes(F.col("c.entity"))).alias("entity"), F.col("c.terms.term").alias("terms"))
+    marked = held.select("rid", "entity", F.explode("terms").alias("term")).join(telling, ["entity", "term"])
+    by_term = marked.groupBy("rid", "term").agg(F.max("disclosure").alias("disclosure"))
+    wanted = settle(by_term.groupBy("rid").agg(F.map_from_entries(F.collect_list(F.struct("term", "disclosure"))).alias("wanted")))
+    # every place of such a term in the whole text
+    rows = docs.select(F.xxhash64("doc_id", body()).alias("rid"), body().alias("text")).join(broadcast_if_small(wanted, 100_000), "rid")
+    places = F.transform(found(F.col("text"), TERM), lambda t: F.struct(t["start"], t["end"], F.try_element_at("wanted", F.lower(t["value"])).alias("disclosure")))
+    terms = rows.select("rid", F.filter(places, lambda t: t["disclosure"].isNotNull()).alias("term")).dropDuplicates(["rid"])
+    return scanned.drop("contexts").join(terms, "rid", "left")
 
 
 def _joined(kind: str) -> Column:
