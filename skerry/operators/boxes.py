@@ -22,7 +22,7 @@ def pixel_to_geo(dets: DataFrame, scenes: DataFrame, tile: int = 640, per_row: i
     xs, ys = [F.col("x_min") + col, F.col("x_max") + col], [F.col("y_min") + row, F.col("y_max") + row]
     corners = [(x, y) for x in xs for y in ys]
     cx, cy = (xs[0] + xs[1]) / 2, (ys[0] + ys[1]) / 2
-    out = dets.join(F.broadcast(scenes), "scene_id")
+    out = dets.join(scenes, "scene_id")
     return out.select(
         *dets.columns, lon(cx, cy).alias("geo_lon"), lat(cx, cy).alias("geo_lat"), F.least(*[lon(*p) for p in corners]).alias("geo_lon_min"), F.greatest(*[lon(*p) for p in corners]).alias("geo_lon_max"),
         F.least(*[lat(*p) for p in corners]).alias("geo_lat_min"), F.greatest(*[lat(*p) for p in corners]).alias("geo_lat_max"),
@@ -33,7 +33,7 @@ def geo_to_pixel(points: DataFrame, scenes: DataFrame) -> DataFrame:
     """The inverse affine; null where the transform is degenerate."""
     det = F.nullif(F.col("c1") * F.col("f2") - F.col("c2") * F.col("f1"), F.lit(0.0))
     u, v = F.col("longitude") - F.col("c0"), F.col("latitude") - F.col("f0")
-    out = points.join(F.broadcast(scenes), "scene_id")
+    out = points.join(scenes, "scene_id")
     return out.select(*points.columns, F.floor((u * F.col("f2") - v * F.col("c2")) / det).alias("px"), F.floor((v * F.col("c1") - u * F.col("f1")) / det).alias("py"))
 
 
@@ -83,13 +83,14 @@ def matches(preds: DataFrame, truths: DataFrame, keys: tuple[str, ...] = ("scene
 
 
 def fuse(dets: DataFrame, threshold: float = 0.3, keys: tuple[str, ...] = ("scene_id", "tile_index")) -> DataFrame:
-    """Threshold detections (source cfar), in id order, take the best free learned one (yolo) of their tile. Fused confidence
-    is min(1, y/2 + (1 - exp(-snr/10))/2); learned ones left over keep their score, threshold ones get 0.6 of theirs."""
+    """Threshold detections (source cfar, with their mean ratio to the background in `snr`), in id order, take the best free
+    learned one (yolo) of their tile. Fused confidence is min(1, y/2 + (1 - exp(-snr/10))/2); learned ones left over keep
+    their score, threshold ones get 0.6 of theirs."""
     c, y = dets.where("source = 'cfar'"), dets.where("source = 'yolo'")
     slim = ["det_id", *keys, *BOX]
     pairs = box_pairs(c.select(*slim), y.select(*slim), list(keys), 64.0, X.iou("a", "b") >= threshold)
     m = greedy_match(pairs.select(F.col("a.det_id").alias("p"), F.col("a.det_id").alias("rank"), F.col("b.det_id").alias("g"), X.iou("a", "b").alias("score")))
-    own = X.snr_to_confidence(F.col("confidence") * 10)
+    own = X.snr_to_confidence(F.col("snr"))
     fused = c.join(m, c["det_id"] == m["p"]).select("det_id", "g", own.alias("own")).join(y.select(F.col("det_id").alias("g"), F.col("confidence").alias("score")), "g")
     fused = fused.select("det_id", F.lit("fused").alias("source"), F.least(F.lit(1.0), F.col("score") / 2 + F.col("own") / 2).alias("confidence"))
     alone_c = c.join(m.select(F.col("p").alias("det_id")), "det_id", "left_anti").select("det_id", "source", (own * 0.6).alias("confidence"))
@@ -141,12 +142,18 @@ def evaluate(preds: DataFrame, truths: DataFrame, areas: DataFrame, threshold: f
     return out.select("scene_id", "tp", fp.alias("fp"), (F.col("n_g") - F.col("tp")).alias("fn"), zero(F.col("tp"), F.col("n_p")).alias("precision"), zero(F.col("tp"), F.col("n_g")).alias("pd"), zero(fp, F.col("km2")).alias("far_km2"))
 
 
-def postprocess(dets: DataFrame, scenes: DataFrame, mask: DataFrame, footprint: list[tuple[float, float]]) -> DataFrame:
-    """The batch job over all scenes: fuse, drop doubles, flag clusters and land, and give each detection its verdict."""
-    from .relations import land_lookup
+def postprocess(dets: DataFrame, scenes: DataFrame, mask: DataFrame, footprint: list[tuple[float, float]], buffer_px: float = 0.0) -> DataFrame:
+    """The batch job over all scenes: fuse, place on the map, drop the swath's edge, doubles and stripes, flag clusters and
+    land, and give each detection its verdict.
 
-    place = dets.drop("source", "confidence").join(fuse(dets), "det_id")
-    flagged = cluster_anomaly(geo_dedup(place))
+    dets: (det_id, scene_id, tile_index, source, confidence, snr, box); scenes: (scene_id, n_rows, n_cols, affine c0, c1, c2,
+    f0, f1, f2). `A3` (runs.detection_stats) sums the result up."""
+    from .relations import column_density_filter, edge_swath_filter, land_lookup
+
+    fused = dets.drop("source", "confidence", "longitude", "latitude").join(fuse(dets), "det_id")
+    placed = pixel_to_geo(fused, scenes.drop("n_rows", "n_cols")).withColumnsRenamed({"geo_lon": "longitude", "geo_lat": "latitude"})
+    inner = edge_swath_filter(placed, scenes.select("scene_id", "n_rows", "n_cols"), buffer_px)
+    flagged = cluster_anomaly(column_density_filter(geo_dedup(inner)))
     marked = land_lookup(flagged, mask)
     verdict = X.quality_verdict(~X.point_in_convex_polygon("longitude", "latitude", footprint), "mask_on_land", "is_cluster", "source")
-    return marked.join(F.broadcast(scenes.select("scene_id")), "scene_id", "left_semi").select("det_id", "scene_id", "source", F.round(X.finite_or_null("confidence"), 6).alias("confidence"), verdict.alias("verdict"))
+    return marked.select("det_id", "scene_id", "source", F.round(X.finite_or_null("confidence"), 6).alias("confidence"), "longitude", "latitude", *BOX, verdict.alias("verdict"))

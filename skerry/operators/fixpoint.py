@@ -8,16 +8,33 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def folder(spark: SparkSession) -> str:
-    """A new path in the folder that the cluster shares; a local default only where none is set, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/skerry-scratch"
-    return f"{base.rstrip('/')}/round-{uuid.uuid4().hex}"
+    """A new path in the folder that the cluster shares. Only a session of one machine may do without the setting. What is
+    written there goes when the session ends."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = "/tmp/skerry-scratch"
+    path = f"{base.rstrip('/')}/round-{uuid.uuid4().hex}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return path
 
 
 def cut(df: DataFrame) -> DataFrame:
+    """The rows read back from a written table; the shuffle files behind it go at once."""
     spark = df.sparkSession
     path, schema = folder(spark), df.schema
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEAN_UP)
+    spark.conf.set(_CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN_UP, before)
     return spark.read.schema(schema).parquet(path)
 
 

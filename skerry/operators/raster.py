@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .fixpoint import components
+from .fixpoint import components, cut
 from .pairs import point_pairs
 from .relations import interpolated
 
@@ -38,7 +38,7 @@ def to_uint8(linear: Column) -> Column:
 def mirrored(pixels: DataFrame, half: int) -> DataFrame:
     """Adds the reflected border (edge pixel repeated) that a centred window needs."""
     size = pixels.groupBy("scene_id").agg(F.max("px_row").alias("_h"), F.max("px_col").alias("_w"))
-    joined = pixels.join(F.broadcast(size), "scene_id")
+    joined = pixels.join(size, "scene_id")
     places = lambda x, top: F.array_compact(F.array(F.col(x), F.when(F.col(x) < half, -1 - F.col(x)), F.when(F.col(top) - F.col(x) < half, 2 * F.col(top) + 1 - F.col(x))))
     return joined.select("scene_id", F.explode(places("px_row", "_h")).alias("px_row"), "px_col", "value", "_h", "_w").select("scene_id", "px_row", F.explode(places("px_col", "_w")).alias("px_col"), "value", "_h", "_w")
 
@@ -52,7 +52,7 @@ def lee_filter(pixels: DataFrame, size: int = 7) -> DataFrame:
     local = inner.withColumn("v", F.greatest(F.col("q") / n - F.col("m") * F.col("m"), F.lit(0.0)))
     noise = local.groupBy("scene_id").agg(F.avg("v").alias("noise"))
     k = F.col("v") / (F.col("v") + F.col("noise"))
-    return local.join(F.broadcast(noise), "scene_id").select("scene_id", "px_row", "px_col", F.when(F.col("noise") == 0, F.col("value")).otherwise(F.col("m") + k * (F.col("value") - F.col("m"))).alias("filtered"))
+    return local.join(noise, "scene_id").select("scene_id", "px_row", "px_col", F.when(F.col("noise") == 0, F.col("value")).otherwise(F.col("m") + k * (F.col("value") - F.col("m"))).alias("filtered"))
 
 
 def assign_tiles(pixels: DataFrame, size: int, overlap: int) -> DataFrame:
@@ -65,18 +65,56 @@ def assign_tiles(pixels: DataFrame, size: int, overlap: int) -> DataFrame:
     return out.select(*pixels.columns, "tile_row", "tile_col", (F.col("px_row") - F.col("tile_row") * step).alias("in_row"), (F.col("px_col") - F.col("tile_col") * step).alias("in_col"))
 
 
-def ca_cfar(pixels: DataFrame, guard: int = 2, training: int = 6, pfa: float = 1e-2) -> DataFrame:
-    """Cell-averaging detection: x > alpha times the mean of the training ring. `training` counts from the centre and holds
-    the guard; pixels closer to the border than that are left out."""
+def flush_tiles(pixels: DataFrame, size: int, overlap: int) -> DataFrame:
+    """As `assign_tiles`, but a last tile that would stick out is moved back to end with the scene. Adds where the tile
+    starts and the place inside it."""
+    if overlap >= size:
+        raise ValueError("overlap must be less than size")
+    step = size - overlap
+    ends = pixels.groupBy("scene_id").agg((F.max("px_row") + 1).alias("_h"), (F.max("px_col") + 1).alias("_w"))
+
+    def starts(x: str, extent: str) -> Column:
+        last = F.greatest(F.lit(0), F.col(extent) - size)
+        regular = F.filter(F.sequence(F.greatest(F.lit(0), F.ceil((F.col(x) - size + 1) / step)), F.floor(F.col(x) / step)), lambda k: k * step <= last)
+        flush = F.when((last % step > 0) & (F.col(x) >= last), F.array(last.cast("long")))
+        return F.explode(F.concat(F.transform(regular, lambda k: k * step), F.coalesce(flush, F.array().cast("array<bigint>"))))
+
+    out = pixels.join(ends, "scene_id").withColumn("row_off", starts("px_row", "_h")).withColumn("col_off", starts("px_col", "_w"))
+    return out.select(*pixels.columns, "row_off", "col_off", (F.col("px_row") - F.col("row_off")).alias("in_row"), (F.col("px_col") - F.col("col_off")).alias("in_col"))
+
+
+def tile_bounds(tiles: DataFrame, scenes: DataFrame, size: int) -> DataFrame:
+    """The box in degrees around the four corners of each tile (scene_id, row_off, col_off) under its scene's affine (c0, c1,
+    c2 for lon; f0, f1, f2 for lat), which may turn it."""
+    corners = [(F.col("col_off") + dx * size, F.col("row_off") + dy * size) for dx in (0, 1) for dy in (0, 1)]
+    lons = [F.col("c0") + F.col("c1") * x + F.col("c2") * y for x, y in corners]
+    lats = [F.col("f0") + F.col("f1") * x + F.col("f2") * y for x, y in corners]
+    ends = [F.least(*lons).alias("lon_min"), F.greatest(*lons).alias("lon_max"), F.least(*lats).alias("lat_min"), F.greatest(*lats).alias("lat_max")]
+    return tiles.join(scenes, "scene_id").select(*tiles.columns, *ends)
+
+
+def ca_cfar(pixels: DataFrame, guard: int = 2, training: int = 6, pfa: float = 1e-2, deviations: float | None = None, valid: Column | None = None) -> DataFrame:
+    """Cell-averaging detection over the training ring. `training` counts from the centre and holds the guard; pixels closer
+    to the border than that are left out.
+
+    For power (exponential clutter) a hit is above alpha times the mean of the ring; with `deviations`, for decibels
+    (Gaussian clutter), it is above the mean plus so many standard deviations. Pixels that are not valid are no hits, but
+    count in the ring of others."""
     n = (2 * training + 1) ** 2 - (2 * guard + 1) ** 2
     alpha = n * (pfa ** (-1 / n) - 1)
     size = pixels.groupBy("scene_id").agg(F.max("px_row").alias("_h"), F.max("px_col").alias("_w"))
-    outer = box_sums(pixels, training, {"outer": F.col("value")})
-    both = box_sums(outer, guard, {"inner": F.col("value")}).join(F.broadcast(size), "scene_id")
+    of = {"": F.col("value")} if deviations is None else {"": F.col("value"), "2": F.col("value") * F.col("value")}
+    outer = box_sums(pixels, training, {f"_outer{k}": v for k, v in of.items()})
+    both = box_sums(outer, guard, {f"_inner{k}": v for k, v in of.items()}).join(size, "scene_id")
     inside = F.col("px_row").between(training, F.col("_h") - training) & F.col("px_col").between(training, F.col("_w") - training)
-    mean = (F.col("outer") - F.col("inner")) / n
+    mean = (F.col("_outer") - F.col("_inner")) / n
+    threshold = alpha * mean
+    if deviations is not None:
+        threshold = mean + deviations * F.sqrt(F.greatest((F.col("_outer2") - F.col("_inner2")) / n - mean * mean, F.lit(0.0)))
     snr = F.when(mean > 0, F.col("value") / mean)
-    return both.where(inside).select("scene_id", "px_row", "px_col", "value", mean.alias("background"), snr.alias("snr"), (F.col("value") > alpha * mean).alias("hit"))
+    hit = F.col("value") > threshold
+    hit = hit if valid is None else hit & F.coalesce(valid, F.lit(False))
+    return both.where(inside).select("scene_id", "px_row", "px_col", "value", mean.alias("background"), snr.alias("snr"), hit.alias("hit"))
 
 
 def os_cfar(pixels: DataFrame, guard: int = 1, training: int = 3, q: float = 0.75, k: float = 2.0) -> DataFrame:
@@ -87,7 +125,7 @@ def os_cfar(pixels: DataFrame, guard: int = 1, training: int = 3, q: float = 0.7
     low = pixels.withColumn("_m", F.min("value").over(along)).withColumn("_m", F.min("_m").over(down))
     size = pixels.groupBy("scene_id").agg(F.max("px_row").alias("_h"), F.max("px_col").alias("_w"))
     inside = F.col("px_row").between(training, F.col("_h") - training) & F.col("px_col").between(training, F.col("_w") - training)
-    able = low.join(F.broadcast(size), "scene_id").where(inside & (F.col("value") > k * F.col("_m")))
+    able = low.join(size, "scene_id").where(inside & (F.col("value") > k * F.col("_m")))
     ring = [(r, c) for r in range(-training, training + 1) for c in range(-training, training + 1) if max(abs(r), abs(c)) > guard]
     offsets = F.explode(F.array(*[F.struct(F.lit(r).alias("r"), F.lit(c).alias("c")) for r, c in ring]))
     wanted = able.select("scene_id", F.col("px_row").alias("row"), F.col("px_col").alias("col"), F.col("value").alias("x"), offsets.alias("o"))
@@ -99,23 +137,27 @@ def os_cfar(pixels: DataFrame, guard: int = 1, training: int = 3, q: float = 0.7
 
 def dbscan(points: DataFrame, eps: float, least: int) -> DataFrame:
     """(scene_id, point_id, cluster): the least core id of the cluster; a border point joins the least adjacent cluster;
-    noise is null. points: (scene_id, point_id, x, y)."""
+    noise is null. points: (scene_id, point_id, x, y); ids may come again in other scenes."""
     near = point_pairs(points, points, ["scene_id"], eps, F.sqrt(F.pow(F.col("a.x") - F.col("b.x"), F.lit(2)) + F.pow(F.col("a.y") - F.col("b.y"), F.lit(2))) <= eps, "x", "y")
-    edges = near.select("scene_id", F.col("a.point_id").alias("a"), F.col("b.point_id").alias("b"))
+    key = lambda end: F.struct("scene_id", F.col(f"{end}.point_id").alias("point_id")).alias(end)
+    edges = cut(near.select(key("a"), key("b")))
     core = edges.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") >= least).select(F.col("a").alias("core"))
     between = edges.join(core, edges["a"] == core["core"], "left_semi").join(core, edges["b"] == core["core"], "left_semi").select("a", "b")
     comp = components(between).withColumnRenamed("id", "b")
-    joined = edges.join(comp, "b").groupBy(F.col("a").alias("point_id")).agg(F.min("comp").alias("border"), F.min(F.when(F.col("a") == F.col("b"), F.col("comp"))).alias("own"))
-    return points.join(joined, "point_id", "left").select("scene_id", "point_id", F.coalesce("own", "border").alias("cluster"))
+    joined = edges.join(comp, "b").groupBy("a").agg(F.min("comp.point_id").alias("border"), F.min(F.when(F.col("a") == F.col("b"), F.col("comp.point_id"))).alias("own"))
+    labels = joined.select("a.scene_id", "a.point_id", F.coalesce("own", "border").alias("cluster"))
+    return points.select("scene_id", "point_id").join(labels, ["scene_id", "point_id"], "left")
 
 
 def hit_clusters(hits: DataFrame, eps: float = 1.5, least: int = 3, min_snr: float = 0.0) -> DataFrame:
-    """Boxes of clustered hits (scene_id, px_row, px_col, value, snr) with their mean and largest value and mean ratio."""
-    ids = hits.withColumn("point_id", F.col("px_row").cast("long") * 1_000_000 + F.col("px_col"))
+    """Boxes of clustered hits (scene_id, px_row, px_col, value, snr) with their mean and largest value and mean ratio. A
+    cluster is named by its first core pixel, row * 2^32 + column."""
+    ids = hits.withColumn("point_id", F.shiftleft(F.col("px_row").cast("long"), 32) + F.col("px_col"))
     labels = dbscan(ids.select("scene_id", "point_id", F.col("px_col").cast("double").alias("x"), F.col("px_row").cast("double").alias("y")), eps, least)
     out = ids.join(labels, ["scene_id", "point_id"]).where("cluster is not null").groupBy("scene_id", "cluster").agg(
-        F.min("px_col").alias("x_min"), F.min("px_row").alias("y_min"), F.max("px_col").alias("x_max"), F.max("px_row").alias("y_max"), F.count("*").alias("n"), F.avg("value").alias("mean_value"), F.max("value").alias("max_value"), F.avg("snr").alias("mean_snr")
-    )
+        F.min("px_col").alias("x_min"), F.min("px_row").alias("y_min"), F.max("px_col").alias("x_max"), F.max("px_row").alias("y_max"),
+        F.count("*").alias("n"), F.avg("value").alias("mean_value"), F.max("value").alias("max_value"), F.avg("snr").alias("mean_snr"),
+    )
     return out.where(F.col("mean_snr") >= min_snr)
 
 
@@ -134,7 +176,7 @@ def cfar_score(pixels: DataFrame, guard: int = 2, training: int = 6) -> DataFram
     deviation = F.sqrt(F.greatest(F.col("q") / F.col("n") - mean * mean, F.lit(0.0)))
     raw = sums.withColumn("raw", F.greatest(F.lit(0.0), F.coalesce(F.try_divide(F.col("value") - mean, deviation), F.lit(0.0))))
     ends = raw.groupBy("scene_id").agg(F.min("raw").alias("_lo"), F.max("raw").alias("_hi"))
-    return raw.join(F.broadcast(ends), "scene_id").select("scene_id", "px_row", "px_col", F.coalesce(F.try_divide(F.col("raw") - F.col("_lo"), F.col("_hi") - F.col("_lo")), F.lit(0.0)).alias("score"))
+    return raw.join(ends, "scene_id").select("scene_id", "px_row", "px_col", F.coalesce(F.try_divide(F.col("raw") - F.col("_lo"), F.col("_hi") - F.col("_lo")), F.lit(0.0)).alias("score"))
 
 
 def optical_scale(reflectance: Column) -> Column:

@@ -18,8 +18,9 @@ def _where(df: DataFrame, tests: dict[str, tuple[Column, object]]) -> DataFrame:
     return df
 
 
-def search_detections(dets: DataFrame, runs: DataFrame, profile: str | None = None, model: str | None = None, min_conf: float | None = None, since=None, until=None, bbox: Sequence[float] | None = None, on_land: bool | None = None, cluster: bool | None = None, execution_id=None) -> DataFrame:
-    """Detections of successful runs with their run's provenance."""
+def search_detections(dets: DataFrame, runs: DataFrame, profile: str | None = None, model: str | None = None, min_conf: float | None = None, since=None, until=None, bbox: Sequence[float] | None = None, on_land: bool | None = None, cluster: bool | None = None, verdict: str | None = None, execution_id=None, limit: int | None = None, offset: int = 0) -> DataFrame:
+    """Detections of successful runs with their run's provenance. With a limit or an offset, a page of them: highest
+    confidence first, then det_id."""
     d = _where(
         dets,
         {
@@ -32,9 +33,12 @@ def search_detections(dets: DataFrame, runs: DataFrame, profile: str | None = No
             "run": (F.col("execution_id") == F.lit(execution_id), execution_id),
         },
     )
+    if verdict is not None:
+        d = d.where(F.col("quality_verdict") == verdict)
     r = _where(runs.where("status = 'success'"), {"p": (F.col("constraint_profile") == F.lit(profile), profile), "m": (F.col("model_name") == F.lit(model), model)})
     r = r.select(F.col("id").alias("execution_id"), "constraint_profile", "model_name", "model_version", "image_id")
-    return d.join(r, "execution_id")
+    out = d.join(r, "execution_id")
+    return out if limit is None and not offset else page(out, [F.desc_nulls_last("confidence"), F.col("det_id")], limit, offset)
 
 
 def page(df: DataFrame, order: Sequence[Column], limit: int | None = None, offset: int = 0) -> DataFrame:
@@ -57,6 +61,56 @@ def search_executions(runs: DataFrame, profile: str | None = None, model: str |
     )
 
 
+def _between(column: str, since, until) -> dict[str, tuple[Column, object]]:
+    return {"since": (F.col(column) >= F.lit(since), since), "until": (F.col(column) <= F.lit(until), until)}
+
+
+def ogc_items(dets: DataFrame, runs: DataFrame, bbox: Sequence[float] | None = None, since=None, until=None) -> DataFrame:
+    """Detections with the sensing time of their run, filtered by place and by that time; order by created_at desc, det_id."""
+    sensed = _where(runs.select(F.col("id").alias("execution_id"), F.col("created_at").alias("sensed")), _between("sensed", since, until))
+    inside = _where(dets, {"bbox": (X.point_in_bbox("longitude", "latitude", bbox or (0, 0, 0, 0)), bbox)})
+    return inside.join(sensed, "execution_id")
+
+
+def stac_search(scenes: DataFrame, ring: Sequence[tuple[Column, Column]], bbox: Sequence[float] | None = None, since=None, until=None) -> DataFrame:
+    """Scenes whose footprint meets the box, sensed in an interval, latest first, unknown times last; scenes: (scene_id, sensed)."""
+    found = _where(scenes, _between("sensed", since, until))
+    if bbox is not None:
+        found = found.where(X.polygon_meets_envelope(ring, bbox))
+    return found.orderBy(F.desc_nulls_last("sensed"), "scene_id")
+
+
+def catalogue_search(scenes: DataFrame, ring: Sequence[tuple[Column, Column]], bbox: Sequence[float], after, before, sensor: str = "s1", top: int = 5, cloud: float = 20.0) -> DataFrame:
+    """The latest scenes of a sensor (scenes: sensor, sensed, cloud_pct) over a box, strictly between two times; optical ones
+    (s2) only below a share of cloud."""
+    found = scenes.where((F.col("sensor") == sensor) & (F.col("sensed") > F.lit(after)) & (F.col("sensed") < F.lit(before)) & X.polygon_meets_envelope(ring, bbox))
+    if sensor == "s2":
+        found = found.where(F.col("cloud_pct") < cloud)
+    return page(found, [F.desc("sensed"), F.col("scene_id")], top)
+
+
+def validation_runs(runs: DataFrame, model: str | None = None, technique: str | None = None, dataset: str | None = None, limit: int | None = None) -> DataFrame:
+    """Stored evaluations, newest (highest run_id) first."""
+    wanted = {"model_name": model, "compression_technique": technique, "dataset": dataset}
+    return page(_where(runs, {k: (F.col(k) == F.lit(v), v) for k, v in wanted.items()}), [F.desc("run_id")], limit)
+
+
+def bundle_executions(runs: DataFrame, since=None, until=None, zone: str | None = None, model: str | None = None, profile: str | None = None) -> DataFrame:
+    """The runs of an evidence bundle; order by created_at."""
+    wanted = {"search_zone": zone, "model_name": model, "constraint_profile": profile}
+    return _where(runs, _between("created_at", since, until) | {k: (F.col(k) == F.lit(v), v) for k, v in wanted.items() if v is not None})
+
+
+def bundle_detections(dets: DataFrame, runs: DataFrame) -> DataFrame:
+    """The detections of the runs (id)."""
+    return dets.join(runs.select(F.col("id").alias("execution_id")), "execution_id", "left_semi")
+
+
+def queue(cues: DataFrame, status: str | None = "pending", limit: int | None = None) -> DataFrame:
+    """Cues by priority, then age."""
+    return page(_where(cues, {"s": (F.col("status") == F.lit(status), status)}), [F.desc("priority"), F.col("created_at"), F.col("id")], limit)
+
+
 def paging(matched: DataFrame, limit: int) -> DataFrame:
     """Of the column matched at each offset: the offsets before and after, null where there is none."""
     o = F.col("offset")
@@ -94,7 +148,7 @@ def land_lookup(dets: DataFrame, mask: DataFrame, resolution: float = 0.05) -> D
     return dets.withColumn("cell_x", cell("longitude")).withColumn("cell_y", cell("latitude")).join(cells, ["cell_x", "cell_y"], "left").withColumn("mask_on_land", F.coalesce("_land", F.lit(False))).drop("_land", "cell_x", "cell_y")
 
 
-def points_in_zones(points: DataFrame, zones: DataFrame, broadcast_rows: int = 100_000, cell: float = 0.25) -> DataFrame:
+def points_in_zones(points: DataFrame, zones: DataFrame, broadcast_rows: int = 300, cell: float = 0.25) -> DataFrame:
     """Pairs of points and the zone boxes that hold them (edges included). Few zones are broadcast; beyond the bound, zones
     and points meet by grid cell."""
     inside = X.point_in_bbox("longitude", "latitude", [F.col(k) for k in ("lon_min", "lat_min", "lon_max", "lat_max")])
@@ -106,18 +160,23 @@ def points_in_zones(points: DataFrame, zones: DataFrame, broadcast_rows: int = 1
     return located.join(tiled, ["_cx", "_cy"]).where(inside).drop("_cx", "_cy")
 
 
-def interpolated(rows: DataFrame, lut: DataFrame, at: str = "px_row") -> DataFrame:
+def interpolated(rows: DataFrame, lut: DataFrame, at: str = "px_row", bucket: int = 64) -> DataFrame:
     """Adds `sigma`, linear between the table's lines around each row and constant beyond the ends. The table (scene_id,
-    line, sigma) becomes intervals; rows meet them by scene and range."""
+    line, sigma) becomes intervals; rows meet them by scene and bucket of lines, so a row is compared with the intervals of
+    its bucket only."""
     from pyspark.sql.window import Window
 
     w = Window.partitionBy("scene_id").orderBy("line")
-    spans = lut.select("scene_id", F.col("line").alias("_l0"), F.col("sigma").alias("_s0"), F.lead("line").over(w).alias("_l1"), F.lead("sigma").over(w).alias("_s1"), (F.row_number().over(w) == 1).alias("_first"))
-    x = F.col(at)
-    held = ((x >= F.col("_l0")) | F.col("_first")) & (F.col("_l1").isNull() | (x < F.col("_l1")))
-    share = F.when(F.col("_l1").isNull() | (x <= F.col("_l0")), F.lit(0.0)).otherwise((x - F.col("_l0")) / (F.col("_l1") - F.col("_l0")))
-    out = rows.join(spans, "scene_id").where(held)
-    return out.withColumn("sigma", F.col("_s0") + share * (F.coalesce("_s1", "_s0") - F.col("_s0"))).drop("_l0", "_s0", "_l1", "_s1", "_first")
+    spans = lut.select("scene_id", F.col("line").alias("_l0"), F.col("sigma").alias("_s0"), F.lead("line").over(w).alias("_l1"), F.lead("sigma").over(w).alias("_s1"))
+    last = F.greatest(F.floor(F.col("_l0") / bucket), F.floor((F.coalesce("_l1", F.col("_l0") + 1) - 1) / bucket))
+    spans = spans.withColumn("_bucket", F.explode(F.sequence(F.floor(F.col("_l0") / bucket), last)))
+    ends = lut.groupBy("scene_id").agg(F.min("line").alias("_lo"), F.max("line").alias("_hi"))
+    x = F.col("_x")
+    placed = rows.join(ends, "scene_id").withColumn("_x", F.least(F.greatest(F.col(at), "_lo"), "_hi")).withColumn("_bucket", F.floor(x / bucket))
+    held = (x >= F.col("_l0")) & (F.col("_l1").isNull() | (x < F.col("_l1")))
+    share = F.when(F.col("_l1").isNull(), F.lit(0.0)).otherwise((x - F.col("_l0")) / (F.col("_l1") - F.col("_l0")))
+    out = placed.join(spans, ["scene_id", "_bucket"]).where(held)
+    return out.withColumn("sigma", F.col("_s0") + share * (F.coalesce("_s1", "_s0") - F.col("_s0"))).drop("_l0", "_s0", "_l1", "_s1", "_lo", "_hi", "_x", "_bucket")
 
 
 def lineage(runs: DataFrame, cues: DataFrame) -> DataFrame:
