@@ -67,10 +67,11 @@ def finite_or_null(x: Column | str) -> Column:
 
 
 def quality_verdict(outside: Column, on_land: Column | str = "on_land", anomaly: Column | str = "cluster_anomaly", source: Column | str = "source") -> Column:
+    # fixed values: the words of stored verdicts
     return (
         F.when(outside, "outside_footprint")
-        .when(F.coalesce(c(on_land), F.lit(False)), "land")
-        .when(F.coalesce(c(anomaly), F.lit(False)), "cluster")
+        .when(F.coalesce(c(on_land), F.lit(False)), "land_artifact")
+        .when(F.coalesce(c(anomaly), F.lit(False)), "cluster_artifact")
         .when(c(source).isin("yolo", "fused"), "valid_sea_target")
         .otherwise("candidate")
     )

@@ -72,6 +72,15 @@ def provenance_chain(runs: DataFrame, dets: DataFrame, cues: DataFrame, k: int =
     return lineage(runs, cues).join(held, "id", "left")
 
 
+def detection_provenance(dets: DataFrame, runs: DataFrame, det_id: int | None = None) -> DataFrame:
+    """Each detection (or the one asked for) with all that is known of the run that made it; the run's columns get the prefix
+    run_ where names clash."""
+    own = dets if det_id is None else dets.where(F.col("det_id") == det_id)
+    taken = set(dets.columns)
+    of_run = [F.col("id").alias("execution_id"), *[F.col(c).alias(f"run_{c}" if c in taken else c) for c in runs.columns if c != "id"]]
+    return own.join(runs.select(*of_run), "execution_id")
+
+
 def upsert_models(registry: DataFrame, new: DataFrame) -> DataFrame:
     """A new snapshot of the registry: (name, version) is the key; hash and size come from the new rows where there are any."""
     n = new.select("name", "version", F.col("file_hash").alias("_h"), F.col("size_mb").alias("_s"), F.lit(True).alias("_new"))

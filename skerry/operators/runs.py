@@ -236,3 +236,20 @@ def budget_verdict(profiles: DataFrame, runs: DataFrame) -> DataFrame:
     stats = runs.groupBy(F.col("constraint_profile").alias("profile")).agg(F.count("*").alias("runs"), F.count_if(F.col("status") == "success").alias("ok"), F.max("peak_ram_mb").alias("ram"), F.avg("cpu_usage_pct").alias("cpu"))
     text = F.when(F.coalesce("runs", F.lit(0)) == 0, "NO DATA").when(F.col("ok") == 0, "FAIL_RUN").when(F.col("ram") > F.col("memory_mb"), "FAIL_RAM").when(F.col("cpu") > F.col("cpu_limit") * 100, "WARN_CPU").otherwise("PASS")
     return profiles.join(stats, "profile", "left").select("profile", F.coalesce("runs", F.lit(0)).alias("runs"), text.alias("verdict"))
+
+
+def normalize_technique(runs: DataFrame) -> DataFrame:
+    """One spelling for dynamic quantisation."""
+    return runs.withColumn("compression_technique", F.when(F.col("compression_technique") == "int8_dynamic", "dynamic_int8").otherwise(F.col("compression_technique")))
+
+
+def clear_reaped_errors(runs: DataFrame) -> DataFrame:
+    """A run that succeeded after it was reaped keeps no note of that."""
+    reaped = (F.col("status") == "success") & F.coalesce(F.col("error_message").ilike("reaped:%"), F.lit(False))
+    return runs.withColumn("error_message", F.when(~reaped, F.col("error_message")))
+
+
+def scene_modes(observations: DataFrame) -> DataFrame:
+    """Mean incidence angle of each scene, and its different polarisations in order, joined by a plus sign."""
+    modes = F.array_join(F.array_sort(F.collect_set("polarisation")), "+").alias("polarisations")
+    return observations.groupBy("scene_id").agg(F.avg("incidence").alias("incidence_mean"), modes)

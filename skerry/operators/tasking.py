@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from .fixpoint import cut
 from .relations import points_in_zones
 
 
@@ -25,20 +27,75 @@ def tips(dets: DataFrame, zones: DataFrame, min_conf: float = 0.7, least: int =
     return out.withColumn("priority", F.least(F.lit(2), F.greatest("zone_priority", raised))).withColumn("reason", name)
 
 
-def cooldown(events: DataFrame, key: str, minutes: int, id_: str = "id", at: str = "created_at") -> DataFrame:
-    """Of each key's events in order of time those at least `minutes` after the last one kept: a fold over the sorted times.
-    Keys with very many events are first thinned to the earliest of each instant, which changes nothing."""
-    gap = minutes * 60_000_000
+def cooldown(events: DataFrame, key: str, minutes: int, id_: str = "id", at: str = "created_at", fold_rows: int = 5_000) -> DataFrame:
+    """Of each key's events in order of time those at least `minutes` after the last one kept; of one instant the least id.
+
+    Keys with up to `fold_rows` instants are folded in one row. Where a key has more, every event points to the first one
+    that is late enough after it, and the pointers are followed from each key's first event in rounds that double the
+    steps, so no task holds a key."""
     micros = F.unix_micros(F.col(at).cast("timestamp"))
-    firsts = events.groupBy(key, micros.alias("_t")).agg(F.min(id_).alias("_id"))
+    firsts = cut(events.groupBy(F.col(key).alias("_key"), micros.alias("_t")).agg(F.min(id_).alias("_id")))
+    most = firsts.groupBy("_key").agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first()["n"] or 0
+    kept = (_folded if most <= fold_rows else _followed)(firsts, minutes * 60_000_000)
+    return kept.select(F.col("_id").alias(id_), F.col("_key").alias(key))
+
+
+def _folded(firsts: DataFrame, gap: int) -> DataFrame:
     start = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<bigint>").alias("kept"))
 
     def step(acc: Column, e: Column) -> Column:
         keep = acc["last"].isNull() | (e["_t"] >= acc["last"] + gap)
         return F.struct(F.when(keep, e["_t"]).otherwise(acc["last"]).alias("last"), F.when(keep, F.array_append(acc["kept"], e["_id"])).otherwise(acc["kept"]).alias("kept"))
 
-    folded = firsts.groupBy(key).agg(F.aggregate(F.array_sort(F.collect_list(F.struct("_t", "_id"))), start, step)["kept"].alias("kept"))
-    return folded.select(F.explode("kept").alias(id_), key)
+    folded = firsts.groupBy("_key").agg(F.aggregate(F.array_sort(F.collect_list(F.struct("_t", "_id"))), start, step)["kept"].alias("kept"))
+    return folded.select("_key", F.explode("kept").alias("_id"))
+
+
+def _followed(firsts: DataFrame, gap: int) -> DataFrame:
+    # the first event at or after t + gap is in the slice of time of t + gap, or the first of the next slice that has any
+    cell = lambda t: F.floor(t / gap)
+    slices = firsts.groupBy("_key", cell(F.col("_t")).alias("_slice")).agg(F.min("_t").alias("_first"))
+    later = slices.withColumn("_later", F.lead("_first").over(Window.partitionBy("_key").orderBy("_slice"))).select("_key", "_slice", "_later")
+    asked = firsts.select("_key", cell(F.col("_t") + gap).alias("_slice"), (F.col("_t") + gap).alias("_x"), F.col("_t").alias("_from"), F.lit(None).cast("long").alias("_to"))
+    given = firsts.select("_key", cell(F.col("_t")).alias("_slice"), F.col("_t").alias("_x"), F.lit(None).cast("long").alias("_from"), F.col("_t").alias("_to"))
+    ahead = Window.partitionBy("_key", "_slice").orderBy(F.col("_x").desc(), F.col("_from").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    inside = asked.unionByName(given).withColumn("_next", F.min("_to").over(ahead)).where("_from is not null").select("_key", "_slice", "_from", "_next")
+    # of an empty slice the next one that is not: the last slice before it knows
+    open_ = inside.where("_next is null").select("_key", "_slice").distinct().withColumn("_asked", F.lit(True))
+    known = later.withColumn("_asked", F.lit(False)).unionByName(open_.withColumn("_later", F.lit(None).cast("long")).select("_key", "_slice", "_later", "_asked"))
+    order = Window.partitionBy("_key").orderBy("_slice", "_asked").rowsBetween(Window.unboundedPreceding, 0)
+    filled = known.withColumn("_fill", F.last(F.when(~F.col("_asked"), F.struct("_later")), ignorenulls=True).over(order)["_later"]).where("_asked").select("_key", "_slice", "_fill")
+    jumps = inside.join(filled, ["_key", "_slice"], "left").select("_key", F.col("_from").alias("_t"), F.coalesce("_next", "_fill").alias("_next")).where("_next is not null")
+    jumps = cut(jumps)
+    reached = cut(firsts.groupBy("_key").agg(F.min("_t").alias("_t")))
+    while not jumps.isEmpty():
+        reached = cut(reached.unionByName(reached.join(jumps, ["_key", "_t"]).select("_key", F.col("_next").alias("_t"))).distinct())
+        hop = jumps.select("_key", F.col("_t").alias("_next"), F.col("_next").alias("_far"))
+        jumps = cut(jumps.join(hop, ["_key", "_next"]).select("_key", "_t", F.col("_far").alias("_next")))
+    return firsts.join(reached, ["_key", "_t"], "left_semi").select("_key", "_id")
+
+
+def resolve_search_zone(cues: DataFrame, zones: DataFrame, default: str = "gibraltar") -> DataFrame:
+    """Adds the search zone of each cue's target zone: the zone's own, the default where it has none or the cue names no
+    zone, and the name itself where no zone has it. zones: (zone_id, search_zone)."""
+    named = zones.select(F.col("zone_id").alias("_zone"), F.coalesce("search_zone", F.lit(default)).alias("_search"))
+    no_name = F.coalesce("target_zone", F.lit("")) == ""
+    out = cues.join(named, cues["target_zone"] == named["_zone"], "left")
+    return out.withColumn("search_zone", F.when(no_name, default).otherwise(F.coalesce("_search", "target_zone"))).drop("_zone", "_search")
+
+
+def replays(cues: DataFrame, limit: int = 50) -> DataFrame:
+    """The latest cues with how many detections raised each (triggering_detections: an array of ids)."""
+    out = cues.select("id", "created_at", "status", "target_zone", "priority", "triggered_by", "execution_id", F.size("triggering_detections").alias("triggering_count"))
+    return out.orderBy(F.desc("created_at"), "id").limit(limit)
+
+
+def reset_mapping_failures(cues: DataFrame, zones: tuple[str, ...]) -> DataFrame:
+    """Failed and pending cues of these zones whose last error says that the search zone was unknown start afresh."""
+    again = F.col("status").isin("failed", "pending") & F.col("target_zone").isin(*zones) & F.coalesce(F.col("last_error").ilike("Unknown search zone%"), F.lit(False))
+    fresh = {"status": F.lit("pending"), "attempts": F.lit(0), **{c: F.lit(None) for c in ("execution_id", "cooldown_until", "last_error")}}
+    kinds = dict(cues.dtypes)
+    return cues.withColumns({c: F.when(again, v.cast(kinds[c])).otherwise(F.col(c)) for c, v in fresh.items() if c in kinds})
 
 
 def admit_cues(new: DataFrame, queue: DataFrame, minutes: int = 60) -> DataFrame:

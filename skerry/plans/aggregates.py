@@ -84,9 +84,30 @@ def a13_gcp_affine_fit(gcps):
     return rounded(R.gcp_affine_fit(gcps).select("scene_id", "n", "lon_per_pixel", "lon_per_line", "lat_per_pixel", "lat_per_line"), 8)
 
 
-statement("a14_polarisation_set", "SELECT scene_id, round(avg(confidence), 6) AS mean_angle, array_join(array_sort(collect_set(source)), '+') AS polarisations FROM fx_detections GROUP BY scene_id", "SELECT scene_id, round(avg(confidence), 6) AS mean_angle, array_to_string(list_sort(list_distinct(list(source))), '+') AS polarisations FROM fx_detections GROUP BY scene_id")
+@query("SELECT scene_id, round(avg(20 + tile_index * 1.5), 6) AS incidence_mean, array_to_string(list_sort(list_distinct(list(source))), '+') AS polarisations FROM fx_detections GROUP BY scene_id", "fx_detections")
+def a14_scene_modes(dets):
+    seen = dets.select("scene_id", (20 + F.col("tile_index") * F.lit(1.5)).alias("incidence"), F.col("source").alias("polarisation"))
+    return R.scene_modes(seen).withColumn("incidence_mean", F.round("incidence_mean", 6))
+
+
 statement("a15_valid_area", "SELECT scene_id, round(CAST(count(CASE WHEN value > -1000 AND value <> 0 THEN 1 END) AS DOUBLE) * CAST(0.0001 AS DOUBLE), 6) AS km2 FROM fx_pixels GROUP BY scene_id")
-statement("a17_alerts_per_day", "SELECT date_trunc('day', created_at) AS day, count(*) AS alerts, count(CASE WHEN status = 'failed' THEN 1 END) AS failed FROM fx_cues GROUP BY date_trunc('day', created_at)", "SELECT CAST(date_trunc('day', created_at) AS TIMESTAMP) AS day, count(*) AS alerts, count(CASE WHEN status = 'failed' THEN 1 END) AS failed FROM fx_cues GROUP BY 1")
+statement(
+    "a17_alerts_per_day",
+    "SELECT date_trunc('day', created_at) AS day, metric, count(*) AS checks, count(CASE WHEN is_drifting THEN 1 END) AS alerts FROM fx_drift_checks GROUP BY date_trunc('day', created_at), metric",
+    "SELECT CAST(date_trunc('day', created_at) AS TIMESTAMP) AS day, metric, count(*) AS checks, count(CASE WHEN is_drifting THEN 1 END) AS alerts FROM fx_drift_checks GROUP BY 1, 2",
+)
+statement(
+    "a17_bitflip_curve",
+    "SELECT model_variant, num_flips, round(avg(avg_detections), 6) AS avg_detections, round(avg(avg_confidence), 6) AS avg_confidence FROM fx_bitflips GROUP BY model_variant, num_flips",
+)
+statement(
+    "a17_max_degradation",
+    "SELECT model_variant, round(coalesce(least(100, max(CASE WHEN degradation_pct > 1 THEN degradation_pct ELSE degradation_pct * 100 END)), 0), 6) AS max_degradation FROM fx_bitflips GROUP BY model_variant",
+)
+statement(
+    "a17_decision_totals",
+    "SELECT CAST(coalesce(sum(process_count), 0) AS BIGINT) AS process, CAST(coalesce(sum(fallback_cfar_count), 0) AS BIGINT) AS fallback_cfar, CAST(coalesce(sum(skip_count), 0) AS BIGINT) AS skip FROM fx_orbit_runs",
+)
 statement("a18_ambiguous_models", "SELECT name, count(DISTINCT version) AS versions FROM fx_models GROUP BY name HAVING count(DISTINCT version) > 1")
 
 
@@ -143,7 +164,11 @@ def w7_claim_cues(cues):
 
 
 statement("w8_latest_run", "SELECT model_name, max_by(id, struct(created_at, id)) AS latest FROM fx_executions GROUP BY model_name", "SELECT model_name, arg_max(id, (created_at, id)) AS latest FROM fx_executions GROUP BY model_name")
-statement("w9_unnest_timeline", "SELECT zone_id, pos, x FROM (SELECT zone_id, posexplode(array(lon_min, lat_min, lon_max, lat_max)) AS (pos, x) FROM fx_zones) t CROSS JOIN (SELECT count(*) AS n FROM fx_detections) d WHERE n > 0", "SELECT zone_id, CAST(generate_subscripts([lon_min, lat_min, lon_max, lat_max], 1) - 1 AS INT) AS pos, unnest([lon_min, lat_min, lon_max, lat_max]) AS x FROM fx_zones")
+statement(
+    "w9_unnest_timeline",
+    "SELECT id, pos, timestampadd(MINUTE, pos + 1, created_at) AS at, wh FROM (SELECT id, created_at, posexplode(array(t0, t1, final_battery_wh)) AS (pos, wh) FROM fx_orbit_runs) t",
+    "SELECT id, CAST(pos AS INT) AS pos, created_at + to_minutes(pos + 1) AS at, wh FROM (SELECT id, created_at, generate_subscripts([t0, t1, final_battery_wh], 1) - 1 AS pos, unnest([t0, t1, final_battery_wh]) AS wh FROM fx_orbit_runs) t",
+)
 statement("w10_scenario_rank", "SELECT l.link, round(avg(e.image_size_mb * 8 / l.mbps), 4) AS raw_s, CAST(rank() OVER (ORDER BY avg(e.image_size_mb * 8 / l.mbps)) AS INT) AS place FROM fx_executions e CROSS JOIN fx_links l GROUP BY l.link")
 
 
@@ -153,6 +178,19 @@ def e1_run_energy(runs, processors):
 
 
 statement("e2_inference_energy", "SELECT e.model_name, p.processor, round(avg(inference_ms) / 1000 * avg(coalesce(cpu_usage_pct, 50)) / 100 * 4 * max(tdp_watts), 3) AS joules, round(avg(inference_ms) / 1000 * avg(coalesce(cpu_usage_pct, 50)) / 100 * 4 * max(tdp_watts) / 3600 / 60 * 100, 5) AS battery_pct FROM fx_executions e CROSS JOIN fx_processors p WHERE status = 'success' GROUP BY e.model_name, p.processor")
+_JOULES = "avg(inference_ms) / 1000 * avg(coalesce(cpu_usage_pct, 50)) / 100 * 4 * max(tdp_watts)"
+statement(
+    "e2_compare_processors",
+    f"SELECT model_name, processor, round({_JOULES}, 3) AS joules, CAST(row_number() OVER (PARTITION BY model_name ORDER BY {_JOULES}, processor) AS INT) AS place FROM fx_executions e CROSS JOIN fx_processors p WHERE status = 'success' GROUP BY model_name, processor",
+)
+statement(
+    "e2_extrapolated_energy",
+    "SELECT e.model_name, t.processor AS target, round(avg(inference_ms) / 1000 * avg(coalesce(cpu_usage_pct, 50)) / 100 * 4 * max(t.tdp_watts), 3) AS joules, round(max(t.tdp_watts) / max(m.tdp_watts), 6) AS ratio_to_measured FROM fx_executions e CROSS JOIN fx_processors m CROSS JOIN fx_processors t WHERE status = 'success' AND m.processor = 'oci_arm_a1' AND t.processor <> 'oci_arm_a1' GROUP BY e.model_name, t.processor",
+)
+statement(
+    "e2_tops_per_watt",
+    "SELECT model_name, processor, round(CASE WHEN avg(inference_ms) > 0 AND max(tdp_watts) > 0 THEN max(model_size_mb) * 2.0E9 / (avg(inference_ms) / 1000) / 1.0E12 / max(tdp_watts) ELSE 0 END, 9) AS tops_per_watt FROM fx_executions e CROSS JOIN fx_processors p WHERE status = 'success' GROUP BY model_name, processor",
+)
 
 
 @query("SELECT model_name, satellite, round(payload_w * period_min / 60 * sunlit, 6) AS available_wh, CAST(floor(payload_w * period_min / 60 * sunlit / (j / 3600)) AS BIGINT) AS max_images, floor(payload_w * period_min / 60 * sunlit / (j / 3600)) >= 1 AS feasible FROM (SELECT model_name, avg(inference_ms) / 100000 AS j FROM fx_executions GROUP BY model_name) e, fx_satellites s", "fx_executions", "fx_satellites")

@@ -43,3 +43,16 @@ statement("d12_cues", "SELECT target_zone, count(*) AS total, count(CASE WHEN st
 statement("d12_chain_list", "SELECT id, target_zone, priority, triggered_by, execution_id FROM fx_cues WHERE execution_id IS NOT NULL ORDER BY created_at DESC, id LIMIT 8")
 statement("d13_evidence", "SELECT model_name, count(*) AS runs, round(avg(CASE WHEN status = 'error' THEN CAST(1 AS DOUBLE) ELSE 0 END), 6) AS error_rate, count(DISTINCT image_id) AS scenes, max(created_at) AS last_run, max(CASE WHEN status = 'success' THEN created_at END) AS last_success FROM fx_executions GROUP BY model_name")
 statement("d13_scenes", "SELECT e.image_id, count(DISTINCT e.id) AS runs, count(d.det_id) AS detections FROM fx_executions e LEFT JOIN fx_detections d ON d.execution_id = e.id GROUP BY e.image_id")
+statement("d8_execution_log", "SELECT id, created_at, image_id, model_name, model_version, compression_technique, constraint_profile AS profile, num_detections AS detections, round(avg_confidence, 3) AS avg_confidence, round(inference_ms, 1) AS latency_ms, status FROM fx_executions ORDER BY created_at DESC, id LIMIT 100")
+statement("d8_hash_detail", "SELECT id AS execution_id, created_at, image_id, sha2(image_id, 256) AS image_hash, model_name, sha2(concat(model_name, model_version), 256) AS model_hash, constraint_profile AS profile, status FROM fx_executions WHERE status <> 'pending' ORDER BY created_at DESC, id LIMIT 100", "SELECT id AS execution_id, created_at, image_id, sha256(image_id) AS image_hash, model_name, sha256(concat(model_name, model_version)) AS model_hash, constraint_profile AS profile, status FROM fx_executions WHERE status <> 'pending' ORDER BY created_at DESC, id LIMIT 100")
+statement("d10_km_moved", "SELECT model_name, round((avg(inference_ms) / 60000 + 5) * 0.617, 3) AS with_km, round(415 * 0.617 + 0 * count(*), 3) AS without_km FROM fx_executions WHERE status = 'success' GROUP BY model_name")
+statement("d10_mean_ms", "SELECT round(avg(inference_ms), 2) AS avg_inference_ms FROM fx_executions WHERE status = 'success' AND inference_ms IS NOT NULL")
+statement("d10_orbit_chain_table", "SELECT orbit, chain, round(avg(image_size_mb), 4) AS image_mb, round(avg(inference_ms) / 60000 + max(period_min) / 4 + 2, 4) AS with_min, round(max(period_min) / 4 + avg(image_size_mb) * 8 / 50 / 60 + max(ingest_min + processing_min + dissemination_min), 4) AS without_min FROM fx_executions e CROSS JOIN fx_orbits o CROSS JOIN fx_chains c WHERE status = 'success' GROUP BY orbit, chain")
+statement("d11_last_battery", "SELECT max_by(final_battery_wh, struct(created_at, id)) AS final_battery_wh FROM fx_orbit_runs", "SELECT arg_max(final_battery_wh, (created_at, id)) AS final_battery_wh FROM fx_orbit_runs")
+statement("d11_alert_list", "SELECT id, created_at, metric, is_drifting, round(z_score, 2) AS z_score FROM fx_drift_checks ORDER BY created_at DESC, id LIMIT 50")
+statement("d11_decision_mix", "SELECT date_trunc('day', created_at) AS day, CAST(sum(process_count) AS BIGINT) AS process, CAST(sum(fallback_cfar_count) AS BIGINT) AS fallback_cfar, CAST(sum(skip_count) AS BIGINT) AS skip FROM fx_orbit_runs GROUP BY date_trunc('day', created_at)", "SELECT CAST(date_trunc('day', created_at) AS TIMESTAMP) AS day, CAST(sum(process_count) AS BIGINT) AS process, CAST(sum(fallback_cfar_count) AS BIGINT) AS fallback_cfar, CAST(sum(skip_count) AS BIGINT) AS skip FROM fx_orbit_runs GROUP BY 1")
+statement("d12_mean_trigger_size", "SELECT status, round(avg(n), 4) AS mean_size FROM (SELECT c.status, c.id, count(d.det_id) AS n FROM fx_cues c LEFT JOIN fx_detections d ON d.execution_id = c.triggered_by AND d.quality_verdict = 'valid_sea_target' GROUP BY c.status, c.id) t GROUP BY status")
+statement("d13_targets", "SELECT model_name, count(*) AS targets FROM fx_detections d JOIN fx_executions e ON d.execution_id = e.id WHERE e.status = 'success' AND d.quality_verdict = 'valid_sea_target' GROUP BY model_name")
+statement("d13_budget", "SELECT p.profile, count(e.id) AS runs, round(avg(inference_ms) / 60000, 5) AS avg_latency_min, round(avg(peak_ram_mb), 4) AS avg_ram_mb, max(p.memory_mb) AS ram_budget_mb, CASE WHEN count(e.id) = 0 THEN 'NO DATA' WHEN avg(peak_ram_mb) > max(p.memory_mb) THEN 'FAIL_RAM' ELSE 'PASS' END AS verdict FROM fx_profiles p LEFT JOIN fx_executions e ON e.constraint_profile = p.profile AND e.status = 'success' GROUP BY p.profile")
+statement("d13_models", "SELECT e.model_name, e.model_version, e.compression_technique, round(avg(model_size_mb), 1) AS size_mb, count(CASE WHEN status = 'success' THEN 1 END) AS success_runs, round(avg(CASE WHEN status = 'success' THEN inference_ms END) / 60000, 5) AS avg_latency_min, max(v.map) AS validation_map FROM fx_executions e LEFT JOIN (SELECT model_name, compression_technique, round(avg(map), 4) AS map FROM fx_validation GROUP BY model_name, compression_technique) v ON v.model_name = e.model_name AND v.compression_technique = e.compression_technique GROUP BY e.model_name, e.model_version, e.compression_technique")
+statement("d13_last_ten", "SELECT created_at AS run_at, id, model_name, constraint_profile AS profile, num_detections, round(inference_ms / 60000, 4) AS inference_min FROM fx_executions WHERE status = 'success' ORDER BY created_at DESC, id LIMIT 10")

@@ -135,9 +135,6 @@ def t6_replay_chain(cues, runs, dets):
     return T.replay_chain(cues, runs, dets).select("id", "gap_s", F.round("uplift", 6).alias("uplift"))
 
 
-statement("t7_resolve_search_zone", "SELECT c.id, coalesce(z.search_zone, 'default') AS search_zone FROM fx_cues c LEFT JOIN fx_zones z ON z.priority = c.priority AND z.zone_id = 'port'")
-
-
 @query("SELECT det_id, concat('{\"type\":\"Feature\",\"geometry\":{\"type\":\"Point\",\"coordinates\":[', CAST(tile_index AS VARCHAR), ',', CAST(execution_id AS VARCHAR), ']},\"properties\":{\"det_id\":', CAST(det_id AS VARCHAR), ',\"source\":\"', source, '\"}}') AS feature FROM fx_detections", "fx_detections")
 def s6_geojson_features(dets):
     return files.features(dets.select("det_id", "source", F.col("tile_index").cast("long").alias("longitude"), F.col("execution_id").alias("latitude"), *[F.lit(None).cast("long").alias(k) for k in ("x_min", "y_min", "x_max", "y_max")]))
@@ -152,8 +149,9 @@ def s8_stac_items(dets):
 
 @query("SELECT id, CASE WHEN status = 'pending' THEN 0 ELSE num_detections END AS num_detections FROM fx_executions", "fx_executions")
 def s11_snapshot_rows(runs):
+    """A new version of the table, written beside the old one and read."""
     changed = runs.where("status = 'pending'").withColumn("num_detections", F.lit(0))
-    return runs.join(changed.select("id"), "id", "left_anti").unionByName(changed).select("id", "num_detections")
+    return files.write_snapshot(runs, changed, ["id"], fixpoint.folder(runs.sparkSession)).select("id", "num_detections")
 
 
 @query("SELECT id, CASE WHEN id % 2 = 0 THEN CAST(num_detections AS DOUBLE) END AS lon_min, id % 2 = 0 AS valid FROM fx_executions", "fx_executions")
@@ -176,25 +174,69 @@ def s7_ogc_features(dets):
     return files.ogc_features(placed, ("source",))
 
 
-@query("SELECT id, created_at, image_id, model_name, status, round(inference_ms, 2) AS inference_ms, num_detections, concat('{\"type\":\"Point\",\"coordinates\":[', CAST(id AS VARCHAR), ',1]}') AS footprint FROM fx_executions", "fx_executions")
+@query(
+    """SELECT CAST(id AS VARCHAR) AS id, created_at, image_id, concat('{"type":"Point","coordinates":[', CAST(id AS VARCHAR), ',1]}') AS image_bbox_geojson, CASE WHEN id % 2 = 0 THEN 'west' END AS search_zone, model_name, model_version,
+    model_size_mb, compression_technique, constraint_profile, num_detections, round(avg_confidence, 2) AS avg_confidence, peak_ram_mb, status, CASE WHEN id % 3 = 0 THEN 'said "no", twice' END AS hostname FROM fx_executions""",
+    "fx_executions",
+)
 def s1_executions_round_trip(runs):
-    """Written as CSV with quoted GeoJSON cells and read again."""
-    cell = F.to_json(files.point_geometry(F.col("id"), F.lit(1).cast("long")))
+    """All columns of an exported run, with quoted cells and empty ones, written as CSV and read again."""
+    given = runs.withColumns({
+        "id": F.col("id").cast("string"), "image_bbox_geojson": F.to_json(files.point_geometry(F.col("id"), F.lit(1).cast("long"))),
+        "search_zone": F.when(F.col("id") % 2 == 0, "west"), "hostname": F.when(F.col("id") % 3 == 0, 'said "no", twice'),
+    })
+    kinds = dict(c.split() for c in files.EXECUTIONS.split(", "))
     path = fixpoint.folder(runs.sparkSession)
-    files.write_csv(runs.select("id", "created_at", "image_id", "model_name", "model_version", "status", "inference_ms", "num_detections", cell.alias("footprint")), path)
-    return files.read_executions_csv(runs.sparkSession, path).drop("model_version").withColumn("inference_ms", F.round("inference_ms", 2))
+    files.write_csv(given.select(*[F.col(n) if n in given.columns else F.lit(None).cast(k).alias(n) for n, k in kinds.items()]), path)
+    back = files.read_executions_csv(runs.sparkSession, path)
+    kept = ["id", "created_at", "image_id", "image_bbox_geojson", "search_zone", "model_name", "model_version", "model_size_mb", "compression_technique", "constraint_profile", "num_detections"]
+    return back.select(*kept, F.round("avg_confidence", 2).alias("avg_confidence"), "peak_ram_mb", "status", "hostname")
 
 
-@query("SELECT scene_id, x_min, y_min, x_max, y_max, count(*) AS n FROM fx_ground_truth GROUP BY ALL", "fx_ground_truth")
+@query(
+    """SELECT concat('/scenes/', CAST(scene_id AS VARCHAR)) AS image_path, CAST(scene_id AS DOUBLE) + 0.5 AS scene_area_km2, x_min, y_min, x_max, y_max, gt_id % 2 = 0 AS is_vessel, count(*) AS n FROM fx_ground_truth GROUP BY ALL""",
+    "fx_ground_truth",
+)
 def s4_manifest_round_trip(truths):
-    """One nested JSON record for each scene, written and read again."""
-    path = fixpoint.folder(truths.sparkSession)
-    files.write_manifest(truths, path)
-    back = truths.sparkSession.read.schema("scene_id long, ground_truth array<struct<bbox:array<double>>>").json(path)
-    flat = back.select("scene_id", F.explode("ground_truth.bbox").alias("b")).select("scene_id", *[F.get("b", F.lit(k)).alias(c) for k, c in enumerate(("x_min", "y_min", "x_max", "y_max"))])
-    return flat.groupBy(*flat.columns).agg(F.count("*").alias("n"))
+    """Lists of scenes with their boxes, written as JSON files and read again."""
+    path, spark = fixpoint.folder(truths.sparkSession), truths.sparkSession
+    labels = truths.withColumns({"is_vessel": F.col("gt_id") % 2 == 0, "confidence": F.lit("HIGH")})
+    scenes = truths.select("scene_id").distinct().select("scene_id", F.concat(F.lit("/scenes/"), F.col("scene_id").cast("string")).alias("image_path"), (F.col("scene_id") + F.lit(0.5)).alias("scene_area_km2"))
+    files.write_manifest(labels, scenes, path)
+    boxes, faulty = files.read_manifest(spark, path)
+    key = ["image_path", "scene_area_km2", "x_min", "y_min", "x_max", "y_max", "is_vessel"]
+    return boxes.join(faulty.select("image_path").distinct(), "image_path", "left_anti").groupBy(*key).agg(F.count("*").alias("n"))
+
+
+@query(
+    """SELECT d.det_id, d.execution_id, e.image_id, e.model_name, e.constraint_profile, e.status, e.created_at AS run_created_at, e.num_detections FROM fx_detections d JOIN fx_executions e ON d.execution_id = e.id""",
+    "fx_detections", "fx_executions",
+)
+def h9_detection_provenance(dets, runs):
+    out = H.detection_provenance(dets, runs)
+    return out.select("det_id", "execution_id", "image_id", "model_name", "constraint_profile", "status", "run_created_at", "num_detections")
+
+
+@query(
+    """SELECT d.det_id, CAST(d.det_id AS VARCHAR) AS detection_id, e.image_id AS scene_id, e.model_name, e.constraint_profile, d.source, d.on_land, d.quality_verdict, d.execution_id FROM fx_detections d JOIN fx_executions e ON d.execution_id = e.id""",
+    "fx_detections", "fx_executions",
+)
+def s7_provenance_properties(dets, runs):
+    """The properties of each feature, read back from its JSON."""
+    made = files.ogc_features(files.provenance_properties(dets, runs))
+    read = F.from_json(F.get_json_object("feature", "$.properties"), "detection_id string, scene_id string, model_name string, constraint_profile string, source string, on_land boolean, quality_verdict string, execution_id long")
+    return made.select("det_id", read.alias("p")).select("det_id", "p.*")
+
+
+_ZONED = "CASE priority WHEN 0 THEN 'strait' WHEN 1 THEN '' ELSE target_zone END"
+
+
+@query(f"SELECT id, CASE priority WHEN 0 THEN 'west' WHEN 1 THEN 'gibraltar' ELSE target_zone END AS search_zone FROM (SELECT id, priority, target_zone FROM fx_cues) c", "fx_cues", "fx_zones")
+def t7_resolve_search_zone(cues, zones):
+    return T.resolve_search_zone(cues.withColumn("target_zone", F.expr(_ZONED)), zones).select("id", "search_zone")
 
 
-@query("SELECT target_zone, count(*) AS cues, count(execution_id) AS answered FROM fx_cues GROUP BY target_zone", "fx_cues")
+@query("SELECT id, created_at, status, target_zone, CAST(id % 4 AS INT) AS triggering_count FROM fx_cues ORDER BY created_at DESC, id LIMIT 50", "fx_cues")
 def t7_replays(cues):
-    return cues.groupBy("target_zone").agg(F.count("*").alias("cues"), F.count("execution_id").alias("answered"))
+    ids = F.when(F.col("id") % 4 == 0, F.array().cast("array<bigint>")).otherwise(F.sequence(F.lit(1).cast("long"), F.col("id") % 4))
+    return T.replays(cues.withColumn("triggering_detections", ids)).select("id", "created_at", "status", "target_zone", "triggering_count")

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from skerry.functions import exprs as X
 from skerry.operators import relations as R
+from skerry.operators import runs as A
+from skerry.operators import tasking as T
 
 from .registry import query, statement
 
@@ -36,10 +38,22 @@ def f3_search_executions(runs: DataFrame) -> DataFrame:
     return R.page(found, [F.desc_nulls_last("created_at"), F.col("id")], 50, 10).select("id", "created_at", "status", "model_name").crossJoin(F.broadcast(total))
 
 
-@query(f"SELECT d.det_id, e.created_at AS sensed, d.longitude, d.latitude FROM fx_detections d JOIN fx_executions e ON d.execution_id = e.id WHERE {_IN_AREA} AND e.created_at >= TIMESTAMP '1995-01-01' AND e.created_at <= TIMESTAMP '1997-12-31'", "fx_detections", "fx_executions")
+@query(
+    """SELECT d.det_id, d.confidence, e.model_name FROM fx_detections d JOIN fx_executions e ON d.execution_id = e.id
+    WHERE e.status = 'success' AND d.quality_verdict = 'valid_sea_target' AND d.created_at >= TIMESTAMP '1995-01-01' ORDER BY d.confidence DESC, d.det_id LIMIT 100 OFFSET 20""",
+    "fx_detections", "fx_executions",
+)
+def f1_search_page(dets: DataFrame, runs: DataFrame) -> DataFrame:
+    return R.search_detections(dets, runs, verdict="valid_sea_target", since="1995-01-01", limit=100, offset=20).select("det_id", "confidence", "model_name")
+
+
+@query(
+    f"""SELECT d.det_id, e.created_at AS sensed, d.longitude, d.latitude FROM fx_detections d JOIN fx_executions e ON d.execution_id = e.id
+    WHERE {_IN_AREA} AND e.created_at >= TIMESTAMP '1995-01-01' AND e.created_at <= TIMESTAMP '1997-12-31'""",
+    "fx_detections", "fx_executions",
+)
 def f4_ogc_items(dets: DataFrame, runs: DataFrame) -> DataFrame:
-    sensed = runs.select(F.col("id").alias("execution_id"), F.col("created_at").alias("sensed")).where("sensed >= TIMESTAMP '1995-01-01' and sensed <= TIMESTAMP '1997-12-31'")
-    return dets.where(X.point_in_bbox("longitude", "latitude", AREA)).join(sensed, "execution_id").select("det_id", "sensed", "longitude", "latitude")
+    return R.ogc_items(dets, runs, AREA, "1995-01-01", "1997-12-31").select("det_id", "sensed", "longitude", "latitude")
 
 
 _FOOT = "SELECT scene_id, min(longitude) AS lon0, min(latitude) AS lat0, max(longitude) AS lon1, max(latitude) AS lat1, min(created_at) AS sensed FROM fx_detections GROUP BY scene_id"
@@ -56,25 +70,44 @@ def ring_of(lon0="lon0", lat0="lat0", lon1="lon1", lat1="lat1"):
 
 @query(f"SELECT scene_id, sensed FROM ({_FOOT}) f WHERE lon1 >= -5.8 AND lon0 <= -5.2 AND lat1 >= 35.6 AND lat0 <= 36.2 ORDER BY sensed DESC NULLS LAST, scene_id", "fx_detections")
 def f5_stac_search(dets: DataFrame) -> DataFrame:
-    return footprints(dets).where(X.polygon_meets_envelope(ring_of(), AREA)).select("scene_id", "sensed").orderBy(F.desc_nulls_last("sensed"), "scene_id")
+    return R.stac_search(footprints(dets), ring_of(), AREA).select("scene_id", "sensed")
 
 
-@query(f"SELECT scene_id, sensed FROM ({_FOOT}) f WHERE lon1 >= -5.8 AND lon0 <= -5.2 AND lat1 >= 35.6 AND lat0 <= 36.2 AND sensed > TIMESTAMP '1995-01-04' AND sensed < TIMESTAMP '1995-01-12' ORDER BY sensed DESC, scene_id LIMIT 20", "fx_detections")
+@query(
+    f"""SELECT scene_id, sensed FROM ({_FOOT}) f WHERE lon1 >= -5.8 AND lon0 <= -5.2 AND lat1 >= 35.6 AND lat0 <= 36.2
+    AND sensed > TIMESTAMP '1992-01-04' AND sensed < TIMESTAMP '1996-01-12' AND scene_id % 2 = 1 AND scene_id % 50 < 20 ORDER BY sensed DESC, scene_id LIMIT 20""",
+    "fx_detections",
+)
 def f6_catalogue_search(dets: DataFrame) -> DataFrame:
-    found = footprints(dets).where(X.polygon_meets_envelope(ring_of(), AREA) & F.expr("sensed > TIMESTAMP '1995-01-04' and sensed < TIMESTAMP '1995-01-12'"))
-    return R.page(found.select("scene_id", "sensed"), [F.desc("sensed"), F.col("scene_id")], 20)
+    scenes = footprints(dets).withColumns({"sensor": F.when(F.col("scene_id") % 2 == 0, "s1").otherwise("s2"), "cloud_pct": (F.col("scene_id") % 50).cast("double")})
+    return R.catalogue_search(scenes, ring_of(), AREA, "1992-01-04", "1996-01-12", "s2", 20).select("scene_id", "sensed")
 
 
-statement("f7_validation_runs", "SELECT run_id, model_name, dataset, pd, map FROM fx_validation WHERE model_name = 'alpha' AND compression_technique = 'none' ORDER BY run_id DESC")
+@query("SELECT run_id, model_name, dataset, pd, map FROM fx_validation WHERE model_name = 'alpha' AND compression_technique = 'none' ORDER BY run_id DESC", "fx_validation")
+def f7_validation_runs(runs: DataFrame) -> DataFrame:
+    return R.validation_runs(runs, model="alpha", technique="none").select("run_id", "model_name", "dataset", "pd", "map")
 
 
-@query("SELECT e.id AS run_id, d.det_id FROM fx_detections d JOIN fx_executions e ON d.execution_id = e.id WHERE e.created_at >= TIMESTAMP '1996-01-01' AND e.model_name = 'beta'", "fx_detections", "fx_executions")
+@query(
+    "SELECT id, created_at, image_id FROM fx_executions WHERE created_at >= TIMESTAMP '1996-01-01' AND created_at <= TIMESTAMP '1997-06-30' AND id % 3 = 0 AND constraint_profile = 'sat-mid'",
+    "fx_executions",
+)
+def f8_bundle_executions(runs: DataFrame) -> DataFrame:
+    zoned = runs.withColumn("search_zone", F.when(F.col("id") % 3 == 0, "west").otherwise("central"))
+    return R.bundle_executions(zoned, "1996-01-01", "1997-06-30", zone="west", profile="sat-mid").select("id", "created_at", "image_id")
+
+
+@query(
+    "SELECT e.id AS run_id, d.det_id FROM fx_detections d JOIN fx_executions e ON d.execution_id = e.id WHERE e.created_at >= TIMESTAMP '1996-01-01' AND e.model_name = 'beta'",
+    "fx_detections", "fx_executions",
+)
 def f8_bundle_detections(dets: DataFrame, runs: DataFrame) -> DataFrame:
-    chosen = R.search_executions(runs, model="beta").where("created_at >= TIMESTAMP '1996-01-01'").select(F.col("id").alias("execution_id"))
-    return dets.join(chosen, "execution_id", "left_semi").select(F.col("execution_id").alias("run_id"), "det_id")
+    return R.bundle_detections(dets, R.bundle_executions(runs, "1996-01-01", model="beta")).select(F.col("execution_id").alias("run_id"), "det_id")
 
 
-statement("f9_queue", "SELECT id, target_zone, priority, created_at FROM fx_cues WHERE status = 'pending' ORDER BY priority DESC, created_at, id")
+@query("SELECT id, target_zone, priority, created_at FROM fx_cues WHERE status = 'pending' ORDER BY priority DESC, created_at, id", "fx_cues")
+def f9_queue(cues: DataFrame) -> DataFrame:
+    return R.queue(cues).select("id", "target_zone", "priority", "created_at")
 
 
 @query("SELECT o.off AS \"offset\", m.matched, CASE WHEN o.off > 0 THEN greatest(0, o.off - 100) END AS prev_offset, CASE WHEN o.off + 100 < m.matched THEN o.off + 100 END AS next_offset FROM (SELECT unnest([0, 50, 100, 1000, 100000000]) AS off) o, (SELECT count(*) AS matched FROM fx_executions) m", "fx_executions")
@@ -104,15 +137,35 @@ def p4_finite_or_null(dets: DataFrame) -> DataFrame:
     return dets.select("det_id", F.round(X.finite_or_null(raw), 6).alias("snr"))
 
 
-@query("SELECT det_id, CASE WHEN NOT (" + " AND ".join(f"{s} >= 0" for s in _SIDES) + ") THEN 'outside_footprint' WHEN on_land THEN 'land' WHEN cluster_anomaly THEN 'cluster' WHEN source IN ('yolo', 'fused') THEN 'valid_sea_target' ELSE 'candidate' END AS verdict FROM fx_detections", "fx_detections")
+@query("SELECT det_id, CASE WHEN NOT (" + " AND ".join(f"{s} >= 0" for s in _SIDES) + ") THEN 'outside_footprint' WHEN on_land THEN 'land_artifact' WHEN cluster_anomaly THEN 'cluster_artifact' WHEN source IN ('yolo', 'fused') THEN 'valid_sea_target' ELSE 'candidate' END AS verdict FROM fx_detections", "fx_detections")
 def p5_quality_verdict(dets: DataFrame) -> DataFrame:
     return dets.select("det_id", X.quality_verdict(~X.point_in_convex_polygon("longitude", "latitude", RING)).alias("verdict"))
 
 
-statement(
-    "p6_repairs",
-    "SELECT id, CASE WHEN compression_technique = 'none' THEN NULL ELSE compression_technique END AS technique, CASE WHEN status = 'success' THEN NULL ELSE concat('failed: ', status) END AS error_message FROM fx_executions",
+@query("SELECT id, CASE WHEN id % 2 = 0 THEN 'dynamic_int8' ELSE compression_technique END AS technique FROM fx_executions", "fx_executions")
+def p6_normalize_technique(runs: DataFrame) -> DataFrame:
+    odd = runs.withColumn("compression_technique", F.when(F.col("id") % 2 == 0, "int8_dynamic").otherwise(F.col("compression_technique")))
+    return A.normalize_technique(odd).select("id", F.col("compression_technique").alias("technique"))
+
+
+@query(
+    "SELECT id, CASE WHEN status = 'success' AND id % 2 = 0 THEN NULL WHEN id % 2 = 0 THEN 'Reaped: stuck' WHEN id % 3 = 0 THEN 'late' END AS error_message FROM fx_executions",
+    "fx_executions",
+)
+def p6_clear_reaped_errors(runs: DataFrame) -> DataFrame:
+    noted = runs.withColumn("error_message", F.when(F.col("id") % 2 == 0, "Reaped: stuck").when(F.col("id") % 3 == 0, "late"))
+    return A.clear_reaped_errors(noted).select("id", "error_message")
+
+
+@query(
+    """SELECT id, CASE WHEN r THEN 'pending' ELSE status END AS status, CASE WHEN r THEN 0 ELSE attempts END AS attempts, CASE WHEN NOT r THEN last_error END AS last_error, CASE WHEN NOT r THEN execution_id END AS execution_id
+    FROM (SELECT *, status IN ('failed', 'pending') AND target_zone IN ('zone-1', 'zone-2') AND coalesce(last_error = 'unknown search zone: x', FALSE) AS r
+          FROM (SELECT *, CASE WHEN id % 2 = 0 THEN 'unknown search zone: x' WHEN id % 3 = 0 THEN 'timeout' END AS last_error FROM fx_cues) c) t""",
+    "fx_cues",
 )
+def p6_reset_mapping_failures(cues: DataFrame) -> DataFrame:
+    noted = cues.withColumn("last_error", F.when(F.col("id") % 2 == 0, "unknown search zone: x").when(F.col("id") % 3 == 0, "timeout"))
+    return T.reset_mapping_failures(noted, ("zone-1", "zone-2")).select("id", "status", "attempts", "last_error", "execution_id")
 
 
 @query("SELECT scene_id, CASE WHEN n < 50 THEN 'few_detections' ELSE '' END AS reasons, CASE WHEN n < 50 THEN 'invalid' ELSE 'valid' END AS scene_status FROM (SELECT scene_id, count(*) AS n FROM fx_detections GROUP BY scene_id) s", "fx_detections")

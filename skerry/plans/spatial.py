@@ -45,13 +45,21 @@ def b1_overlapping_pairs(dets):
     return box_pairs(slim, slim, ["scene_id"], 64.0, test).select(F.col("a.det_id").alias("a_id"), F.col("b.det_id").alias("b_id"), F.round(X.iou("a", "b"), 6).alias("iou"))
 
 
-@query("SELECT det_id, x_min, y_min, x_max, y_max FROM fx_detections", "fx_detections")
-def b2_pixel_to_geo(dets):
-    """There and back: the inverse of the affine gives the pixel's corner again."""
-    scenes = dets.select("scene_id").distinct().select("scene_id", *[F.lit(v).alias(k) for k, v in (("c0", 0.0), ("c1", 1.0), ("c2", 0.0), ("f0", 0.0), ("f1", 0.0), ("f2", 1.0))])
-    one = dets.withColumn("tile_index", F.lit(0))
-    out = B.pixel_to_geo(one, scenes)
-    return out.select("det_id", F.col("geo_lon_min").alias("x_min"), F.col("geo_lat_min").alias("y_min"), F.col("geo_lon_max").alias("x_max"), F.col("geo_lat_max").alias("y_max"))
+_XS, _YS = [f"({x} + (tile_index % 4) * 640)" for x in ("x_min", "x_max")], [f"({y} + floor(tile_index / 4) * 640)" for y in ("y_min", "y_max")]
+_CORNERS = {k: ", ".join(f"{k}0 + {k}1 * {x} + {k}2 * {y}" for x in _XS for y in _YS) for k in "cf"}
+_CENTRE = {k: f"{k}0 + {k}1 * ({_XS[0]} + {_XS[1]}) / 2 + {k}2 * ({_YS[0]} + {_YS[1]}) / 2" for k in "cf"}
+
+
+@query(
+    f"""SELECT det_id, round({_CENTRE["c"]}, 6) AS lon, round({_CENTRE["f"]}, 6) AS lat, round(least({_CORNERS["c"]}), 6) AS lon_min, round(greatest({_CORNERS["c"]}), 6) AS lon_max,
+    round(least({_CORNERS["f"]}), 6) AS lat_min, round(greatest({_CORNERS["f"]}), 6) AS lat_max FROM fx_detections d JOIN fx_transforms t ON d.scene_id = t.scene_id""",
+    "fx_detections", "fx_transforms",
+)
+def b2_pixel_to_geo(dets, scenes):
+    """Tile offsets and an affine that turns, another one for each scene."""
+    out = B.pixel_to_geo(dets, scenes.drop("n_rows", "n_cols"))
+    names = {"geo_lon": "lon", "geo_lat": "lat", "geo_lon_min": "lon_min", "geo_lon_max": "lon_max", "geo_lat_min": "lat_min", "geo_lat_max": "lat_max"}
+    return out.select("det_id", *[F.round(a, 6).alias(b) for a, b in names.items()])
 
 
 @query("SELECT det_id, CAST(floor((longitude + 6) * 1024) AS BIGINT) AS px, CAST(floor((37 - latitude) * 512) AS BIGINT) AS py FROM fx_detections", "fx_detections")
@@ -94,8 +102,8 @@ def b7_match_by_centre(dets, truths):
 _FUSED = match_oracle(
     "SELECT * FROM fx_detections WHERE source = 'cfar'", "SELECT det_id AS gt_id, scene_id, tile_index, x_min, y_min, x_max, y_max FROM fx_detections WHERE source = 'yolo'", "scene_id, tile_index", f"{IOU} DESC", f"{IOU} >= 0.3", "det_id",
     """, m AS (SELECT det_id, gt FROM w WHERE gt IS NOT NULL)
-    SELECT c.det_id, 'fused' AS source, round(least(1, y.confidence / 2 + (1 - exp(-c.confidence)) / 2), 6) AS confidence FROM m JOIN fx_detections c ON c.det_id = m.det_id JOIN fx_detections y ON y.det_id = m.gt
-    UNION ALL SELECT det_id, source, round((1 - exp(-confidence)) * 0.6, 6) FROM fx_detections WHERE source = 'cfar' AND det_id NOT IN (SELECT det_id FROM m)
+    SELECT c.det_id, 'fused' AS source, round(least(1, y.confidence / 2 + (1 - exp(-c.snr / 10)) / 2), 6) AS confidence FROM m JOIN fx_detections c ON c.det_id = m.det_id JOIN fx_detections y ON y.det_id = m.gt
+    UNION ALL SELECT det_id, source, round((1 - exp(-snr / 10)) * 0.6, 6) FROM fx_detections WHERE source = 'cfar' AND det_id NOT IN (SELECT det_id FROM m)
     UNION ALL SELECT det_id, source, round(confidence, 6) FROM fx_detections WHERE source = 'yolo' AND det_id NOT IN (SELECT gt FROM m)""",
 )
 
@@ -118,7 +126,14 @@ def _two_runs(dets):
     return slim, slim.where("confidence > 0.02").withColumn("confidence", F.col("confidence") + F.when(F.col("scene_id") % 3 == 0, 0.05).otherwise(0.0))
 
 
-@query(None, "fx_detections")
+_RUN_A = "SELECT det_id, scene_id, confidence, x_min, y_min, x_max, y_max FROM fx_detections"
+_RUN_B = "SELECT det_id AS gt_id, scene_id, x_min, y_min, x_max, y_max, confidence + CASE WHEN scene_id % 3 = 0 THEN 0.05 ELSE 0 END AS cb FROM fx_detections WHERE confidence > 0.02"
+_B10 = match_oracle(_RUN_A, _RUN_B, "scene_id", f"{IOU} DESC", f"{IOU} >= 0.9", "confidence DESC, det_id", f""", m AS (SELECT w.scene_id, count(*) AS matched, avg(abs(a.confidence - b.cb)) AS diff FROM w JOIN ({_RUN_A}) a ON w.det_id = a.det_id JOIN ({_RUN_B}) b ON w.gt = b.gt_id GROUP BY 1),
+    n AS (SELECT scene_id, count(*) AS n_a, count(*) FILTER (WHERE confidence > 0.02) AS n_b FROM fx_detections GROUP BY 1), t AS (SELECT n.scene_id, n_a, n_b, coalesce(matched, 0) AS matched, coalesce(diff, 0) AS diff FROM n LEFT JOIN m ON n.scene_id = m.scene_id)
+    SELECT scene_id, n_a, n_b, matched, round(CAST(diff AS DOUBLE), 6) AS mean_diff, CASE WHEN n_a = n_b AND matched = n_a AND diff <= 0.01 THEN 'REPRODUCIBLE' WHEN matched > 0 THEN 'PARTIAL' ELSE 'DIFFERENT' END AS verdict FROM t""")
+
+
+@query(_B10, "fx_detections")
 def b10_reproducibility_diff(dets):
     a, b = _two_runs(dets)
     return B.reproducibility(a, b).select("scene_id", "n_a", "n_b", "matched", F.round("mean_diff", 6).alias("mean_diff"), "verdict")
@@ -155,9 +170,10 @@ def b13_chip_pixels(pixels):
     return P.chip_pixels(pixels, chips).withColumn("grey", F.round("grey", 4))
 
 
-@query(None, "fx_detections", "fx_land")
-def b14_postprocess(dets, mask):
-    return B.postprocess(dets, dets.select("scene_id").distinct(), mask, [(-5.95, 35.55), (-5.05, 35.55), (-5.05, 36.25), (-5.95, 36.25)])
+@query(None, "fx_detections", "fx_land", "fx_transforms")
+def b14_postprocess(dets, mask, scenes):
+    out = B.postprocess(dets, scenes, mask, [(-5.95, 35.65), (-5.55, 35.65), (-5.55, 36.15), (-5.95, 36.15)], buffer_px=40)
+    return out.select("det_id", "scene_id", "source", "confidence", F.round("longitude", 6).alias("longitude"), "verdict")
 
 
 _LUT = """SELECT p.scene_id, p.px_row, p.px_col, p.value, CASE WHEN px_row < 30 THEN 400 + px_row / 30 * 20 WHEN px_row < 60 THEN 420 - (px_row - 30) / 30 * 10 WHEN px_row < 90 THEN 410 + (px_row - 60) / 30 * 40 ELSE 450 END AS sigma FROM fx_pixels p"""
@@ -198,12 +214,30 @@ def r4_assign_tiles(pixels):
     return P.assign_tiles(pixels, 32, 8).select("px_row", "px_col", "tile_row", "tile_col")
 
 
-@query("SELECT scene_id, tile_index, round(min(x_min) * 0.001 - 6, 6) AS lon_min, round(max(x_max) * 0.001 - 6, 6) AS lon_max FROM fx_detections GROUP BY ALL", "fx_detections")
-def r5_tile_bounds(dets):
-    return dets.groupBy("scene_id", "tile_index").agg(F.round(F.min("x_min") * 0.001 - 6, 6).alias("lon_min"), F.round(F.max("x_max") * 0.001 - 6, 6).alias("lon_max"))
+_FLUSH = "SELECT DISTINCT off FROM (SELECT k * 24 AS off FROM (SELECT unnest(range(0, 4000)) AS k) s, e WHERE k * 24 <= e.top UNION ALL SELECT top FROM e) u"
+
+
+@query(
+    f"""WITH g AS (SELECT max(px_row) + 1 AS h, max(px_col) + 1 AS w FROM fx_pixels), r AS (WITH e AS (SELECT greatest(0, h - 32) AS top FROM g) {_FLUSH}), c AS (WITH e AS (SELECT greatest(0, w - 32) AS top FROM g) {_FLUSH})
+    SELECT px_row, px_col, CAST(r.off AS BIGINT) AS row_off, CAST(c.off AS BIGINT) AS col_off FROM fx_pixels p JOIN r ON p.px_row BETWEEN r.off AND r.off + 31 JOIN c ON p.px_col BETWEEN c.off AND c.off + 31""",
+    "fx_pixels",
+)
+def r4_flush_tiles(pixels):
+    return P.flush_tiles(pixels, 32, 8).select("px_row", "px_col", "row_off", "col_off")
 
 
-_SUM = "sum(o.value) FILTER (WHERE greatest(abs(o.px_row - p.px_row), abs(o.px_col - p.px_col)) > 2)"
+_CORNER = {k: ", ".join(f"{k}0 + {k}1 * (col_off + {x}) + {k}2 * (row_off + {y})" for x in (0, 640) for y in (0, 640)) for k in "cf"}
+
+
+@query(
+    f"""SELECT t.scene_id, row_off, col_off, round(least({_CORNER["c"]}), 6) AS lon_min, round(greatest({_CORNER["c"]}), 6) AS lon_max, round(least({_CORNER["f"]}), 6) AS lat_min, round(greatest({_CORNER["f"]}), 6) AS lat_max
+    FROM (SELECT DISTINCT scene_id, CAST(floor(tile_index / 4) * 640 AS BIGINT) AS row_off, CAST((tile_index % 4) * 640 AS BIGINT) AS col_off FROM fx_detections) t JOIN fx_transforms s ON t.scene_id = s.scene_id""",
+    "fx_detections", "fx_transforms",
+)
+def r5_tile_bounds(dets, scenes):
+    tiles = dets.select("scene_id", (F.floor(F.col("tile_index") / 4) * 640).alias("row_off"), ((F.col("tile_index") % 4) * 640).cast("long").alias("col_off")).distinct()
+    out = P.tile_bounds(tiles, scenes, 640)
+    return out.select("scene_id", "row_off", "col_off", *[F.round(c, 6).alias(c) for c in ("lon_min", "lon_max", "lat_min", "lat_max")])
 
 
 @query(
@@ -216,6 +250,19 @@ def r6_ca_cfar(pixels):
     return P.ca_cfar(pixels).select("px_row", "px_col", F.round("background", 7).alias("background"), "hit")
 
 
+_RING = """WITH h AS (SELECT scene_id, max(px_row) AS h, max(px_col) AS w FROM fx_two_scenes GROUP BY 1), o AS (SELECT * FROM (SELECT unnest(range(-6, 7)) AS dr) a, (SELECT unnest(range(-6, 7)) AS dc) b WHERE greatest(abs(dr), abs(dc)) > 2),
+    s AS (SELECT p.scene_id, p.px_row, p.px_col, p.value, sum(q.value) / 144 AS m, sum(q.value * q.value) / 144 AS m2 FROM fx_two_scenes p JOIN h ON p.scene_id = h.scene_id, o JOIN fx_two_scenes q ON q.px_row = p.px_row + dr AND q.px_col = p.px_col + dc AND q.scene_id = p.scene_id
+      WHERE p.px_row BETWEEN 6 AND h - 6 AND p.px_col BETWEEN 6 AND w - 6 GROUP BY ALL)"""
+
+
+@query(
+    f"{_RING} SELECT scene_id, px_row, px_col, value > m + 1.5 * sqrt(greatest(m2 - m * m, 0)) AND px_col % 5 <> 0 AS hit FROM s",
+    "fx_two_scenes",
+)
+def r6_gaussian_cfar(pixels):
+    return P.ca_cfar(pixels, deviations=1.5, valid=F.col("px_col") % 5 != 0).select("scene_id", "px_row", "px_col", "hit")
+
+
 @query(
     """WITH h AS (SELECT max(px_row) AS h, max(px_col) AS w FROM fx_pixels), o AS (SELECT * FROM (SELECT unnest(range(-3, 4)) AS dr) a, (SELECT unnest(range(-3, 4)) AS dc) b WHERE greatest(abs(dr), abs(dc)) > 1),
     s AS (SELECT p.px_row, p.px_col, p.value, list_sort(list(q.value)) AS v FROM fx_pixels p, h, o JOIN fx_pixels q ON q.px_row = p.px_row + dr AND q.px_col = p.px_col + dc WHERE p.px_row BETWEEN 3 AND h - 3 AND p.px_col BETWEEN 3 AND w - 3 GROUP BY ALL)
@@ -226,16 +273,36 @@ def r7_os_cfar(pixels):
     return P.os_cfar(pixels).select("px_row", "px_col", "value")
 
 
-@query(None, "fx_pixels")
+def cluster_oracle(points: str, out: str, head: str = "WITH RECURSIVE ") -> str:
+    """Density clusters of the points (scene_id, r, c) of a grid, eight neighbours, three or more with the point itself."""
+    return f"""{head}p AS ({points}), e AS (SELECT a.scene_id, a.r, a.c, b.r AS r2, b.c AS c2 FROM p a JOIN p b ON a.scene_id = b.scene_id AND abs(a.r - b.r) <= 1 AND abs(a.c - b.c) <= 1),
+    k AS (SELECT scene_id, r, c FROM e GROUP BY ALL HAVING count(*) >= 3), x AS (SELECT e.* FROM e JOIN k a ON (a.scene_id, a.r, a.c) = (e.scene_id, e.r, e.c) JOIN k b ON (b.scene_id, b.r, b.c) = (e.scene_id, e.r2, e.c2)),
+    w AS (SELECT scene_id, r, c, r AS r2, c AS c2 FROM k UNION SELECT w.scene_id, w.r, w.c, x.r2, x.c2 FROM w JOIN x ON (x.scene_id, x.r, x.c) = (w.scene_id, w.r2, w.c2)),
+    own AS (SELECT scene_id, r, c, min(r2 * 4294967296 + c2) AS cluster FROM w GROUP BY ALL),
+    near AS (SELECT e.scene_id, e.r, e.c, min(o.cluster) AS cluster FROM e JOIN own o ON (o.scene_id, o.r, o.c) = (e.scene_id, e.r2, e.c2) GROUP BY ALL),
+    l AS (SELECT p.scene_id, p.r, p.c, coalesce(o.cluster, n.cluster) AS cluster FROM p LEFT JOIN own o ON (o.scene_id, o.r, o.c) = (p.scene_id, p.r, p.c) LEFT JOIN near n ON (n.scene_id, n.r, n.c) = (p.scene_id, p.r, p.c))
+    {out}"""
+
+
+@query(cluster_oracle("SELECT scene_id, CAST(px_row AS BIGINT) AS r, CAST(px_col AS BIGINT) AS c FROM fx_two_scenes WHERE value > 80", "SELECT scene_id, r * 4294967296 + c AS point_id, cluster FROM l"), "fx_two_scenes")
 def r8_dbscan(pixels):
-    hits = P.ca_cfar(pixels, pfa=0.2).where("hit")
-    points = hits.select("scene_id", (F.col("px_row").cast("long") * 1_000_000 + F.col("px_col")).alias("point_id"), F.col("px_col").cast("double").alias("x"), F.col("px_row").cast("double").alias("y"))
-    return P.dbscan(points, 1.5, 3).select("point_id", "cluster")
+    """Two scenes that hold the same point ids."""
+    hits = pixels.where("value > 80")
+    points = hits.select("scene_id", (F.shiftleft(F.col("px_row").cast("long"), 32) + F.col("px_col")).alias("point_id"), F.col("px_col").cast("double").alias("x"), F.col("px_row").cast("double").alias("y"))
+    return P.dbscan(points, 1.5, 3).select("scene_id", "point_id", "cluster")
 
 
-@query(None, "fx_pixels")
+@query(
+    cluster_oracle(
+        "SELECT scene_id, CAST(px_row AS BIGINT) AS r, CAST(px_col AS BIGINT) AS c FROM s WHERE value > 144 * (pow(0.2, -1 / CAST(144 AS DOUBLE)) - 1) * m",
+        """SELECT l.scene_id, l.cluster, CAST(min(l.c) AS INT) AS x_min, CAST(min(l.r) AS INT) AS y_min, CAST(max(l.c) AS INT) AS x_max, CAST(max(l.r) AS INT) AS y_max, count(*) AS n, round(avg(s.value), 9) AS mean_value
+        FROM l JOIN s ON s.scene_id = l.scene_id AND s.px_row = l.r AND s.px_col = l.c WHERE l.cluster IS NOT NULL GROUP BY l.scene_id, l.cluster""",
+        _RING.replace("WITH h", "WITH RECURSIVE h") + ", ",
+    ),
+    "fx_two_scenes",
+)
 def r9_cfar_clusters(pixels):
-    return P.hit_clusters(P.ca_cfar(pixels, pfa=0.2).where("hit")).select("scene_id", "cluster", "x_min", "y_min", "x_max", "y_max", "n", F.round("mean_value", 4).alias("mean_value"))
+    return P.hit_clusters(P.ca_cfar(pixels, pfa=0.2).where("hit")).select("scene_id", "cluster", "x_min", "y_min", "x_max", "y_max", "n", F.round("mean_value", 9).alias("mean_value"))
 
 
 @query("WITH h AS (SELECT scene_id, px_row FROM fx_pixels WHERE value > 90), v AS (SELECT count(*) AS v FROM fx_pixels WHERE value <> 0) SELECT px_row, count(*) AS n FROM h, v WHERE (SELECT count(*) FROM h) <= 0.5 * v GROUP BY px_row", "fx_pixels")

@@ -6,13 +6,23 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-EXECUTIONS = T.StructType(
-    [T.StructField(n, t) for n, t in (("id", T.LongType()), ("created_at", T.TimestampNTZType()), ("image_id", T.StringType()), ("model_name", T.StringType()), ("model_version", T.StringType()), ("status", T.StringType()), ("inference_ms", T.DoubleType()), ("num_detections", T.IntegerType()), ("footprint", T.StringType()))]
+#: The columns of an exported run.
+EXECUTIONS = (
+    "id string, created_at timestamp_ntz, image_id string, image_title string, image_hash string, image_bbox_geojson string, image_sensing_date timestamp_ntz, "
+    "image_size_mb double, search_zone string, model_name string, model_version string, model_hash string, model_size_mb double, model_format string, "
+    "compression_technique string, confidence_threshold double, iou_threshold double, constraint_profile string, tile_size int, tile_overlap int, "
+    "num_detections int, avg_confidence double, total_duration_ms double, peak_ram_mb double, output_hash string, input_params_hash string, commit_sha string, "
+    "status string, trigger_type string, pipeline_version string, hostname string"
 )
-MANIFEST = "scenes array<struct<image_path:string,scene_area_km2:double,ground_truth:array<struct<bbox:array<double>>>>>"
+#: The properties of a detection's feature.
+PROPERTIES = (
+    "detection_id", "execution_id", "scene_id", "scene_title", "acquisition_time_utc", "model_name", "model_version", "model_hash", "pipeline_version", "commit_sha",
+    "constraint_profile", "confidence", "source", "class_name", "cfar_snr", "yolo_score", "incidence_angle", "on_land", "cluster_anomaly", "quality_verdict", "bbox_pixel",
+)
+SCENE = "image_path string, scene_area_km2 double, ground_truth array<struct<bbox:array<double>,is_vessel:boolean,confidence:string>>"
 
 
-def read_executions_csv(spark: SparkSession, path: str, schema: T.StructType = EXECUTIONS) -> DataFrame:
+def read_executions_csv(spark: SparkSession, path: str, schema: str = EXECUTIONS) -> DataFrame:
     """Runs with quoted GeoJSON cells; an empty cell is null."""
     return spark.read.schema(schema).options(header=True, multiLine=True, escape='"', nullValue="").csv(path)
 
@@ -24,17 +34,27 @@ def read_labels_csv(spark: SparkSession, path: str, confidences: tuple[str, ...]
 
 
 def read_manifest(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(ground-truth boxes, faulty scenes) of a nested JSON manifest: a scene without a path or an area is faulty."""
-    scenes = spark.read.schema(MANIFEST).option("multiLine", True).json(path).select(F.explode("scenes").alias("s")).select("s.*")
-    faulty = F.col("image_path").isNull() | F.col("scene_area_km2").isNull()
+    """(ground-truth boxes, faulty scenes) of manifest files, each a JSON list of scenes. A scene without a path, an area or
+    a list of boxes is faulty; a manifest without scenes is refused."""
+    scenes = spark.read.schema(SCENE).options(multiLine=True, recursiveFileLookup=True).json(path)
+    if scenes.isEmpty():
+        raise ValueError(f"no scenes in {path}")
+    faulty = F.col("image_path").isNull() | F.col("scene_area_km2").isNull() | F.col("ground_truth").isNull()
     boxes = scenes.where(~faulty).select("image_path", "scene_area_km2", F.posexplode_outer("ground_truth").alias("gt_id", "g"))
-    return boxes.select("image_path", "scene_area_km2", "gt_id", *[F.get("g.bbox", F.lit(k)).alias(n) for k, n in enumerate(("x_min", "y_min", "x_max", "y_max"))]), scenes.where(faulty)
+    corners = [F.get("g.bbox", F.lit(k)).alias(n) for k, n in enumerate(("x_min", "y_min", "x_max", "y_max"))]
+    return boxes.select("image_path", "scene_area_km2", "gt_id", *corners, "g.is_vessel", "g.confidence"), scenes.where(faulty)
 
 
-def write_manifest(labels: DataFrame, path: str) -> None:
-    """One nested record for each scene; labels: (scene_id, x_min, y_min, x_max, y_max)."""
-    box = F.struct(F.array("x_min", "y_min", "x_max", "y_max").alias("bbox"))
-    labels.groupBy("scene_id").agg(F.collect_list(box).alias("ground_truth")).write.mode("overwrite").json(path)
+def write_manifest(labels: DataFrame, scenes: DataFrame, path: str, scenes_each: int = 1000) -> None:
+    """Files that each hold a JSON list of some `scenes_each` scenes. labels: (scene_id, box, is_vessel, confidence);
+    scenes: (scene_id, image_path, scene_area_km2). Scenes without a label are left out."""
+    box = F.struct(F.array("x_min", "y_min", "x_max", "y_max").alias("bbox"), "is_vessel", "confidence")
+    nested = labels.groupBy("scene_id").agg(F.collect_list(box).alias("ground_truth")).join(scenes, "scene_id")
+    record = F.to_json(F.struct("image_path", "scene_area_km2", "ground_truth"))
+    n_files = max(1, -(-scenes.count() // scenes_each))
+    part = nested.select(F.pmod(F.xxhash64("scene_id"), F.lit(n_files)).alias("part"), record.alias("record"))
+    lists = part.groupBy("part").agg(F.concat(F.lit("["), F.array_join(F.collect_list("record"), ","), F.lit("]")).alias("value"))
+    lists.write.mode("overwrite").partitionBy("part").text(path)
 
 
 def flat(df: DataFrame) -> DataFrame:
@@ -69,7 +89,24 @@ def features(df: DataFrame) -> DataFrame:
     return df.select(F.col("det_id"), F.concat(F.lit('{"type":"Feature","geometry":'), geometry, F.lit(',"properties":'), rest, F.lit("}")).alias("feature"))
 
 
-def ogc_features(df: DataFrame, properties: tuple[str, ...]) -> DataFrame:
+def provenance_properties(dets: DataFrame, runs: DataFrame) -> DataFrame:
+    """Detections joined with their runs as the columns PROPERTIES, a null where an archive does not have one; with det_id,
+    longitude, latitude and the box."""
+    run = runs.select(F.col("id").alias("execution_id"), *[F.col(c).alias(f"_r_{c}") for c in runs.columns if c != "id"])
+    both = dets.join(run, "execution_id")
+    renamed = {"detection_id": "det_id", "scene_id": "_r_image_id", "scene_title": "_r_image_title", "acquisition_time_utc": "_r_image_sensing_date", "cfar_snr": "snr"}
+
+    def value(name: str) -> Column:
+        for c in (renamed.get(name), f"_r_{name}" if name.startswith(("model", "pipeline", "commit", "constraint")) else name, name):
+            if c in both.columns:
+                return F.col(c).alias(name)
+        return (F.array("x_min", "y_min", "x_max", "y_max") if name == "bbox_pixel" else F.lit(None).cast("string")).alias(name)
+
+    geometry = ("det_id", "longitude", "latitude", "x_min", "y_min", "x_max", "y_max")
+    return both.select(*[F.col(c).alias(f"_{c}") for c in geometry], *[value(n) for n in PROPERTIES]).withColumnsRenamed({f"_{c}": c for c in geometry})
+
+
+def ogc_features(df: DataFrame, properties: tuple[str, ...] = PROPERTIES) -> DataFrame:
     """As `features`, but the box comes first and only the named properties are given."""
     box = F.when(F.col("x_min").isNotNull(), F.to_json(box_geometry(*map(F.col, ("x_min", "y_min", "x_max", "y_max"))))).otherwise(F.to_json(point_geometry(F.col("longitude"), F.col("latitude"))))
     return df.select("det_id", F.concat(F.lit('{"type":"Feature","id":'), F.col("det_id").cast("string"), F.lit(',"geometry":'), box, F.lit(',"properties":'), F.to_json(F.struct(*properties)), F.lit("}")).alias("feature"))

@@ -40,6 +40,9 @@ SELECT ((l_orderkey * 8 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppke
        CAST(35.5 AS DOUBLE) + CAST(l_orderkey % 400 AS DOUBLE) * CAST(0.002 AS DOUBLE) AS latitude,
        (floor(l_extendedprice) % 1000) / CAST(1000 AS DOUBLE) AS confidence,
        CASE l_returnflag WHEN 'A' THEN 'yolo' WHEN 'R' THEN 'fused' ELSE 'cfar' END AS source,
+       (floor(l_extendedprice) % 1000) / CAST(100 AS DOUBLE) AS snr,
+       CASE WHEN l_partkey % 11 = 0 THEN 'land_artifact' WHEN l_partkey % 13 = 0 THEN 'cluster_artifact'
+            WHEN l_returnflag IN ('A', 'R') THEN 'valid_sea_target' ELSE 'candidate' END AS quality_verdict,
        CASE WHEN l_partkey % 11 = 0 THEN TRUE ELSE FALSE END AS on_land,
        CASE WHEN l_partkey % 13 = 0 THEN TRUE ELSE FALSE END AS cluster_anomaly
 FROM lineitem""",
@@ -58,6 +61,26 @@ SELECT event_id AS id, ts AS created_at, concat('zone-', CAST(user_id % 5 AS STR
 FROM events""",
     "fx_pixels": """
 SELECT CAST(0 AS BIGINT) AS scene_id, CAST(floor(event_id / 100) AS INT) AS px_row, CAST(event_id % 100 AS INT) AS px_col, value
+FROM events""",
+    "fx_two_scenes": """
+SELECT CAST(event_id % 2 AS BIGINT) AS scene_id, CAST(floor(floor(event_id / 2) / 100) AS INT) AS px_row, CAST(floor(event_id / 2) % 100 AS INT) AS px_col, value
+FROM events""",
+    "fx_transforms": """
+SELECT DISTINCT scene_id, CAST(640 * 4 AS BIGINT) AS n_rows, CAST(640 * 4 AS BIGINT) AS n_cols,
+       CAST(-6 AS DOUBLE) AS c0, CAST(0.0002 AS DOUBLE) AS c1, CAST(scene_id % 5 AS DOUBLE) * CAST(0.00001 AS DOUBLE) AS c2,
+       CAST(36.2 AS DOUBLE) AS f0, CAST(scene_id % 3 AS DOUBLE) * CAST(0.00001 AS DOUBLE) AS f1, CAST(-0.0002 AS DOUBLE) AS f2
+FROM fx_detections""",
+    "fx_bitflips": """
+SELECT event_id AS id, ts AS created_at, event_type AS model_variant, CAST(user_id % 8 AS INT) AS num_flips,
+       value AS avg_detections, value / CAST(100 AS DOUBLE) AS avg_confidence, value / CAST(80 AS DOUBLE) AS degradation_pct
+FROM events""",
+    "fx_orbit_runs": """
+SELECT event_id AS id, ts AS created_at, event_id % 7 AS process_count, event_id % 5 AS fallback_cfar_count, event_id % 3 AS skip_count,
+       value AS t0, value * CAST(0.75 AS DOUBLE) AS t1, value * CAST(0.5 AS DOUBLE) AS final_battery_wh
+FROM events""",
+    "fx_drift_checks": """
+SELECT event_id AS id, ts AS created_at, value > 70 AS is_drifting, value / CAST(20 AS DOUBLE) AS z_score,
+       CASE WHEN user_id % 2 = 0 THEN 'num_detections' ELSE 'avg_confidence' END AS metric
 FROM events""",
     "fx_samples": """
 SELECT user_id AS run_id, ts, value AS ram_mb, CAST(event_id % 400 AS DOUBLE) AS cpu_pct FROM events""",

@@ -1,7 +1,9 @@
 """Operators against small loops, and their edge cases."""
 
 import json
+import math
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -79,19 +81,65 @@ def test_reproducibility_of_equal_runs(spark):
     assert {r.verdict for r in boxes.reproducibility(apart, apart).collect()} == {"REPRODUCIBLE"}
 
 
-def test_dbscan_equals_the_loop(spark):
-    rnd = random.Random(5)
-    points = [(0, k, float(rnd.randint(0, 12)), float(rnd.randint(0, 12))) for k in range(60)]
-    points = list({p[2:]: p for p in points}.values())
-    near = {p[1]: [q[1] for q in points if (p[2] - q[2]) ** 2 + (p[3] - q[3]) ** 2 <= 2.25] for p in points}
-    core = {i for i, n in near.items() if len(n) >= 3}
-    label = {i: i for i in core}
-    for _ in points:
-        for i in core:
-            label[i] = min([label[j] for j in near[i] if j in core] + [label[i]])
-    want = {i: label.get(i, min((label[j] for j in near[i] if j in core), default=None)) for i in near}
-    got = {r.point_id: r.cluster for r in raster.dbscan(spark.createDataFrame(points, "scene_id long, point_id long, x double, y double"), 1.5, 3).collect()}
+def test_dbscan_equals_the_loop_in_each_scene(spark):
+    """Scenes hold the same point ids; none of them may melt with another."""
+    rnd, points, want = random.Random(5), [], {}
+    for scene in range(3):
+        own = list({(p[2], p[3]): p for p in [(scene, k, float(rnd.randint(0, 12)), float(rnd.randint(0, 12))) for k in range(50)]}.values())
+        near = {p[1]: [q[1] for q in own if (p[2] - q[2]) ** 2 + (p[3] - q[3]) ** 2 <= 2.25] for p in own}
+        core = {i for i, n in near.items() if len(n) >= 3}
+        label = {i: i for i in core}
+        for _ in own:
+            for i in core:
+                label[i] = min([label[j] for j in near[i] if j in core] + [label[i]])
+        want |= {(scene, i): label.get(i, min((label[j] for j in near[i] if j in core), default=None)) for i in near}
+        points += own
+    got = {(r.scene_id, r.point_id): r.cluster for r in raster.dbscan(spark.createDataFrame(points, "scene_id long, point_id long, x double, y double"), 1.5, 3).collect()}
     assert got == want
+    hits = spark.createDataFrame([(s, 1, c, 5.0, 9.0) for s in (0, 1) for c in (2, 3)], "scene_id long, px_row int, px_col int, value double, snr double")
+    assert raster.hit_clusters(hits, least=3).count() == 0 and raster.hit_clusters(hits, least=2).count() == 2
+
+
+def test_cooldown_by_pointers_equals_the_fold(spark):
+    rnd = random.Random(8)
+    rows = [(k, f"z{k % 3}" if k % 7 else "rare", 1_700_000_000 + rnd.randint(0, 3_000 if k % 2 else 3_000_000)) for k in range(800)]
+    df = spark.createDataFrame(rows, "id long, z string, s long").selectExpr("id", "z", "timestamp_seconds(s) as created_at")
+    for minutes in (1, 10, 600):
+        folded = sorted(map(tuple, tasking.cooldown(df, "z", minutes).collect()))
+        assert folded == sorted(map(tuple, tasking.cooldown(df, "z", minutes, fold_rows=5).collect()))
+        last, want = {}, []
+        for at, i, z in sorted((s, i, z) for i, z, s in rows):
+            if z not in last or at - last[z] >= 60 * minutes:
+                last[z] = at
+                want.append((i, z))
+        assert folded == sorted(want)
+
+
+def test_postprocess_equals_the_loop(spark):
+    """Fusion aside, which has an oracle: place, swath edge, doubles, stripes, clusters, land, footprint."""
+    rnd = random.Random(3)
+    dets = [(k, k % 2, k % 4, "yolo", rnd.randint(1, 99) / 100, 5.0, float(x := rnd.randint(0, 600)), float(y := rnd.randint(0, 600)), x + 10.0, y + 10.0) for k in range(60)]
+    df = spark.createDataFrame(dets, "det_id long, scene_id long, tile_index int, source string, confidence double, snr double, x_min double, y_min double, x_max double, y_max double")
+    scenes = spark.createDataFrame([(s, 640, 2560, 1.0, 0.001, 0.0001 * s, 40.0, 0.0, -0.001) for s in (0, 1)], "scene_id long, n_rows long, n_cols long, c0 double, c1 double, c2 double, f0 double, f1 double, f2 double")
+    mask = spark.createDataFrame([(30, 795)], "cell_x int, cell_y int")
+    ring = [(1.2, 39.3), (3.4, 39.3), (3.4, 39.95), (1.2, 39.95)]
+    got = {r.det_id: (round(r.longitude, 9), round(r.latitude, 9), r.verdict) for r in boxes.postprocess(df, scenes, mask, ring, buffer_px=30).collect()}
+    kept = []
+    for d in sorted(dets, key=lambda d: (-d[4], d[0])):
+        cx, cy = d[6] + 5 + 640 * (d[2] % 4), d[7] + 5
+        place = (1.0 + 0.001 * cx + 0.0001 * d[1] * cy, 40.0 - 0.001 * cy)
+        edge = d[6] + 5 < 30 or d[7] + 5 < 30 or d[6] + 5 > 2530 or d[7] + 5 > 610
+        if not edge and not any(s == d[1] and abs(p[0] - place[0]) <= 5e-4 and abs(p[1] - place[1]) <= 5e-4 for _, s, p in kept):
+            kept.append((d[0], d[1], place))
+    stripes = Counter((s, round(p[0] + 1e-12, 3)) for _, s, p in kept)
+    kept = [k for k in kept if stripes[(k[1], round(k[2][0] + 1e-12, 3))] < 8]
+    want = {}
+    for i, s, p in kept:
+        crowd = sum(s == t and math.dist(p, q) <= 0.01 for _, t, q in kept) >= 8
+        outside = not (1.2 <= p[0] <= 3.4 and 39.3 <= p[1] <= 39.95)
+        land = (math.floor(p[0] / 0.05), math.floor(p[1] / 0.05)) == (30, 795)
+        want[i] = (round(p[0], 9), round(p[1], 9), "outside_footprint" if outside else "land_artifact" if land else "cluster_artifact" if crowd else "valid_sea_target")
+    assert got == want and len({v[2] for v in want.values()}) > 1
 
 
 def test_components(spark):
@@ -150,7 +198,8 @@ def test_result_hash_ignores_order(spark):
 def test_csv_round_trip_and_inventory(spark, tmp_path):
     df = spark.sql("select 1L id, timestamp_ntz'2024-01-02 03:04:05' created_at, 'i' image_id, 'm' model_name, 'v' model_version, 'success' status, 1.5D inference_ms, 3 num_detections, '{\"type\":\"Point\",\"coordinates\":[1,2]}' footprint union all select 2L, null, null, 'm', 'v', 'error', null, null, null")
     files.write_csv(df, f"{tmp_path}/out")
-    back = files.read_executions_csv(spark, f"{tmp_path}/out").orderBy("id").collect()
+    schema = "id long, created_at timestamp_ntz, image_id string, model_name string, model_version string, status string, inference_ms double, num_detections int, footprint string"
+    back = files.read_executions_csv(spark, f"{tmp_path}/out", schema).orderBy("id").collect()
     assert json.loads(back[0].footprint)["coordinates"] == [1, 2]
     assert back[1].image_id is None and back[1].inference_ms is None
     listed = files.file_inventory(spark, f"{tmp_path}/out").collect()
@@ -162,12 +211,20 @@ def test_csv_round_trip_and_inventory(spark, tmp_path):
 def test_labels_and_manifest(spark, tmp_path):
     (tmp_path / "l.csv").write_text("scene_id,lat,lon,row,col,is_vessel,confidence\na,1,2,3,4,True,HIGH\na,1,2,3,4,False,HIGH\nb,1,2,3,4,True,LOW\n")
     assert [r.scene_id for r in files.read_labels_csv(spark, str(tmp_path / "l.csv")).collect()] == ["a"]
-    (tmp_path / "m.json").write_text(json.dumps({"scenes": [{"image_path": "p", "scene_area_km2": 5.0, "ground_truth": [{"bbox": [1, 2, 3, 4]}]}, {"scene_area_km2": 1.0, "ground_truth": []}]}))
+    box = {"bbox": [1, 2, 3, 4], "is_vessel": True, "confidence": "HIGH"}
+    scenes = [{"image_path": "p", "scene_area_km2": 5.0, "ground_truth": [box, box]}, {"image_path": "e", "scene_area_km2": 2.0, "ground_truth": []}, {"scene_area_km2": 1.0, "ground_truth": []}, {"image_path": "q", "scene_area_km2": 1.0}]
+    (tmp_path / "m.json").write_text(json.dumps(scenes))
     good, bad = files.read_manifest(spark, str(tmp_path / "m.json"))
-    assert [(r.image_path, r.x_max) for r in good.collect()] == [("p", 3.0)] and bad.count() == 1
-    boxes_ = spark.createDataFrame([("s", 1.0, 2.0, 3.0, 4.0)], "scene_id string, x_min double, y_min double, x_max double, y_max double")
-    files.write_manifest(boxes_, f"{tmp_path}/out")
-    assert spark.read.json(f"{tmp_path}/out").first().ground_truth[0].bbox == [1.0, 2.0, 3.0, 4.0]
+    assert sorted((r.image_path, r.x_max or 0) for r in good.collect()) == [("e", 0), ("p", 3.0), ("p", 3.0)]
+    assert bad.count() == 2
+    (tmp_path / "none.json").write_text("[]")
+    with pytest.raises(ValueError):
+        files.read_manifest(spark, str(tmp_path / "none.json"))
+    labels = spark.createDataFrame([(k % 5, 1.0 * k, 2.0, 3.0, 4.0, True, "HIGH") for k in range(12)], "scene_id long, x_min double, y_min double, x_max double, y_max double, is_vessel boolean, confidence string")
+    archive = spark.createDataFrame([(k, f"/s/{k}", 1.5) for k in range(7)], "scene_id long, image_path string, scene_area_km2 double")
+    files.write_manifest(labels, archive, f"{tmp_path}/out", 2)
+    good, bad = files.read_manifest(spark, f"{tmp_path}/out")
+    assert sorted((r.image_path, r.x_min) for r in good.collect()) == sorted((f"/s/{k % 5}", float(k)) for k in range(12)) and bad.count() == 0
 
 
 def test_bundle_and_verification(spark, tmp_path):
