@@ -31,7 +31,7 @@ from .text import blocks, utf8
 #: Mean chunk length in bytes, a power of two.
 CHUNK = 256
 #: Entries kept of chunks, joins and words in one task.
-CHUNKS_KEPT, JOINS_KEPT, WORDS_KEPT = 60_000, 60_000, 500_000
+CHUNKS_KEPT, JOINS_KEPT, WORDS_KEPT = 20_000, 20_000, 240_000
 
 #: Ids joined by a space, and tokens joined by a space.
 Tokens = tuple[str, str]
@@ -55,7 +55,9 @@ class Encoder:
         for name, i in vocabulary.items():
             self.names[i] = name
         self.lengths = np.array([len(name.removesuffix("</w>")) for name in self.names], np.int64)
+        #: Words met since the table was last half full, and those of the half before.
         self.words: dict[bytes, Tokens] = {}
+        self.older: dict[bytes, Tokens] = {}
         self.chunks: dict[bytes, Chunk] = {}
         self.joins: dict[tuple[bytes, bytes, bytes], Tokens] = {}
         self.reused = self.seen = 0
@@ -82,7 +84,8 @@ class Encoder:
 
     def of_words(self, wanted: Iterable[bytes]) -> dict[bytes, Tokens]:
         """Tokens of different words: known ones from the table, the others encoded together, some hundreds in a line."""
-        found = {w: self.words.get(w) for w in wanted}
+        young, older = self.words, self.older
+        found = {w: young.get(w) or older.get(w) for w in wanted}
         missing = [w for w, t in found.items() if t is None]
         fresh: dict[bytes, Tokens] = {}
         for k in range(0, len(missing), 512):
@@ -93,10 +96,10 @@ class Encoder:
                 fresh[w] = " ".join(numbers[at:end]), " ".join(names[at:end])
                 at = end
         found.update(fresh)
-        if len(self.words) + len(fresh) > WORDS_KEPT:
-            self.words.clear()
-        if len(fresh) <= WORDS_KEPT:
-            self.words.update(fresh)
+        if len(young) + len(found) > WORDS_KEPT // 2:  # words that come again move on, the others go with their half
+            self.older, self.words = young, {}
+        if len(found) <= WORDS_KEPT // 2:
+            self.words.update(found)
         return found
 
     def of_chunks(self, pieces: list[bytes]) -> dict[bytes, Chunk]:

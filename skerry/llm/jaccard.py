@@ -44,7 +44,7 @@ PERCENT = 80
 #: Largest size for which subsets are considered.
 LIGHT = 12
 #: Bytes of text in a group and shingles in a bucket of counts.
-GROUP_BYTES, BUCKET = 6_000_000, 1_000_000
+GROUP_BYTES, BUCKET = 4_000_000, 1_000_000
 #: Kinds of rows that a group gives: a list that holds a set, a subset of a set, a text with its set.
 LIST, SUBSET, TEXT = 0, 1, 2
 PARITY = 8
