@@ -27,7 +27,7 @@ def tips(dets: DataFrame, zones: DataFrame, min_conf: float = 0.7, least: int =
     return out.withColumn("priority", F.least(F.lit(2), F.greatest("zone_priority", raised))).withColumn("reason", name)
 
 
-def cooldown(events: DataFrame, key: str, minutes: int, id_: str = "id", at: str = "created_at", fold_rows: int = 5_000) -> DataFrame:
+def cooldown(events: DataFrame, key: str, minutes: int, id_: str = "id", at: str = "created_at", fold_rows: int = 50_000) -> DataFrame:
     """Of each key's events in order of time those at least `minutes` after the last one kept; of one instant the least id.
 
     Keys with up to `fold_rows` instants are folded in one row. Where a key has more, every event points to the first one
