@@ -2,15 +2,59 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .fixpoint import cut
+
+#: Rows of a group up to which its different values are held in one task while a percentile is taken.
+HELD = 1_000_000
+
 
 def _p(x: str, q: float) -> Column:
     return F.percentile(x, F.lit(q))
 
 
+def same(left: DataFrame, right: DataFrame, by: Sequence[str], how: str = "inner") -> DataFrame:
+    """Both tables by equal keys, nulls included; the keys of the left one stay."""
+    if not by:
+        return left.crossJoin(F.broadcast(right))
+    named = right.withColumnsRenamed({k: f"_key_{k}" for k in by})
+    test = reduce(and_, [left[k].eqNullSafe(named[f"_key_{k}"]) for k in by])
+    return left.join(named, test, how).drop(*[f"_key_{k}" for k in by])
+
+
+def small(df: DataFrame, rows: int = 300_000) -> DataFrame:
+    """The table written once, marked for broadcast if it has no more than `rows` rows; else a join shuffles."""
+    out = cut(df)
+    return F.broadcast(out) if out.count() <= rows else out
+
+
+def quantiles(df: DataFrame, value: str, by: Sequence[str] = (), held: int = HELD, **shares: float) -> DataFrame:
+    """Exact percentiles of each group, with linear interpolation; nulls do not count, a group without values has none.
+
+    Groups of up to `held` rows take the aggregate, which gathers the different values of a group in one task. Where a group
+    has more, different values are counted, numbered by a running sum over a range partitioning, and each rank is the least
+    value that reaches it: every step is dealt evenly however large a group is."""
+    rows = df.select(*by, F.col(value).cast("double").alias("_v")).where("_v is not null")
+    most = rows.groupBy(*by).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    if most <= held:
+        return rows.groupBy(*by).agg(*[_p("_v", q).alias(k) for k, q in shares.items()])
+    counted = running_sum(rows.groupBy(*by, "_v").agg(F.count("*").alias("_n")), [F.col("_v")], {"_upto": F.col("_n")}, by=by)
+    total = counted.groupBy(*by).agg(F.max("_upto").alias("_total"))
+    at = {k: (F.col("_total") - 1) * F.lit(q) for k, q in shares.items()}
+    ends = {f"_{end}_{k}": F.min(F.when(F.col("_upto") > rank(x), F.col("_v"))) for k, x in at.items() for end, rank in (("low", F.floor), ("high", F.ceil))}
+    found = same(counted, small(total), by).groupBy(*by).agg(F.max("_total").alias("_total"), *[x.alias(k) for k, x in ends.items()])
+    low, high = (lambda k: F.col(f"_low_{k}")), (lambda k: F.col(f"_high_{k}"))
+    between = lambda k, x: (F.ceil(x) - x) * low(k) + (x - F.floor(x)) * high(k)
+    return found.select(*by, *[F.when(low(k) == high(k), low(k)).otherwise(between(k, x)).alias(k) for k, x in at.items()])
+
+
 def benchmarks(runs: DataFrame, model: str | None = None, profile: str | None = None) -> DataFrame:
     """Successful runs by model and profile; exact percentiles."""
     df = runs.where("status = 'success'")
@@ -18,10 +62,12 @@ def benchmarks(runs: DataFrame, model: str | None = None, profile: str | None =
         df = df.where(F.col("model_name") == model)
     if profile is not None:
         df = df.where(F.col("constraint_profile") == profile)
-    return df.groupBy("model_name", "model_version", "model_size_mb", "compression_technique", "constraint_profile").agg(
-        F.count("*").alias("runs"), F.avg("inference_ms").alias("avg_inference_ms"), _p("inference_ms", 0.5).alias("p50_inference_ms"), _p("inference_ms", 0.95).alias("p95_inference_ms"),
+    by = ["model_name", "model_version", "model_size_mb", "compression_technique", "constraint_profile"]
+    means = df.groupBy(*by).agg(
+        F.count("*").alias("runs"), F.avg("inference_ms").alias("avg_inference_ms"),
         F.avg("peak_ram_mb").alias("avg_peak_ram_mb"), F.avg("cpu_usage_pct").alias("avg_cpu_pct"), F.avg("num_detections").alias("avg_detections"), F.avg("avg_confidence").alias("avg_confidence"),
     )
+    return same(means, quantiles(df, "inference_ms", by, p50_inference_ms=0.5, p95_inference_ms=0.95), by, "left")
 
 
 def profile_comparison(runs: DataFrame, by: tuple[str, ...] = ("image_id", "model_name")) -> DataFrame:
@@ -78,9 +124,13 @@ def resource_summary(samples: DataFrame) -> DataFrame:
 
 
 def latency_summary(df: DataFrame, value: str, *by: str) -> DataFrame:
-    return df.groupBy(*by).agg(
-        F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max"), _p(value, 0.5).alias("p50"), _p(value, 0.95).alias("p95"), _p(value, 0.99).alias("p99")
-    )
+    moments = df.groupBy(*by).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max"))
+    return same(moments, quantiles(df, value, by, p50=0.5, p95=0.95, p99=0.99), by, "left")
+
+
+def daily_percentiles(runs: DataFrame, value: str = "inference_ms") -> DataFrame:
+    days = runs.select(F.date_trunc("day", F.col("created_at").cast("timestamp")).cast("timestamp_ntz").alias("day"), value)
+    return quantiles(days, value, ["day"], p50=0.5, p95=0.95, p99=0.99)
 
 
 def gcp_affine_fit(gcps: DataFrame, least: int = 4) -> DataFrame:
@@ -100,17 +150,19 @@ def gcp_affine_fit(gcps: DataFrame, least: int = 4) -> DataFrame:
     return fit.drop("m_pixel", "m_line", "m_lon", "m_lat").join(rmse, "scene_id")
 
 
-def running_sum(df: DataFrame, order: list[Column], values: dict[str, Column], partitions: int | None = None) -> DataFrame:
-    """Cumulative sums over one global order without a single-partition window: rows are range-partitioned by the order,
-    summed inside each partition, and moved up by what the partitions before hold (one row each)."""
+def running_sum(df: DataFrame, order: list[Column], values: dict[str, Column], partitions: int | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """Cumulative sums over one order (of each group, with `by`) without a window over all rows or over a group: rows are
+    range-partitioned by the order, summed inside each partition, and moved up by what the partitions before hold (one row
+    for each partition and group in it). The partitioned rows are written once: range bounds come from a sample, so a
+    second reading of the plan could draw other bounds."""
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id())
-    inside = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    sums = parts.select("*", *[F.sum(v).over(inside).alias(k) for k, v in values.items()])
-    totals = sums.groupBy("_part").agg(*[F.max(F.col(k)).alias(f"_t_{k}") for k in values])
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("_part", *[F.coalesce(F.sum(f"_t_{k}").over(before), F.lit(0)).alias(f"_o_{k}") for k in values])
-    out = sums.join(F.broadcast(offsets), "_part")
+    parts = df.repartitionByRange(n, *by, *order).withColumn("_part", F.spark_partition_id())
+    inside = Window.partitionBy("_part", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    sums = cut(parts.select("*", *[F.sum(v).over(inside).alias(k) for k, v in values.items()]))
+    totals = sums.groupBy("_part", *by).agg(*[F.sum(v).alias(f"_t_{k}") for k, v in values.items()])
+    before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("_part", *by, *[F.coalesce(F.sum(f"_t_{k}").over(before), F.lit(0)).alias(f"_o_{k}") for k in values])
+    out = same(sums, small(offsets), ["_part", *by])
     return out.select(*df.columns, *[(F.col(k) + F.col(f"_o_{k}")).alias(k) for k in values])
 
 
@@ -119,11 +171,8 @@ def pr_curve(scored: DataFrame, total_gt: DataFrame, by: str | None = None) -> D
     one row (per `by`) with n_gt. With `by` the sums run inside each group."""
     order = [F.desc("confidence"), F.col("det_id")]
     values = {"tp_sum": F.col("tp").cast("long"), "seen": F.lit(1).cast("long")}
-    if by:
-        w = Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        cumulative = scored.select("*", *[F.sum(v).over(w).alias(k) for k, v in values.items()]).join(F.broadcast(total_gt), by)
-    else:
-        cumulative = running_sum(scored, order, values).crossJoin(F.broadcast(total_gt))
+    cumulative = running_sum(scored, order, values, by=[by] if by else [])
+    cumulative = same(cumulative, small(total_gt), [by]) if by else cumulative.crossJoin(F.broadcast(total_gt))
     return cumulative.withColumn("precision", F.col("tp_sum") / F.col("seen")).withColumn("recall", F.coalesce(F.try_divide("tp_sum", "n_gt"), F.lit(0.0)))
 
 
@@ -133,10 +182,16 @@ def average_precision(curve: DataFrame) -> DataFrame:
 
 
 def drift_zscore(runs: DataFrame, n: int = 20, threshold: float = 2.5, by: str = "model_name") -> DataFrame:
-    """The last n runs against all before: detections first, then confidence; population standard deviation."""
-    recent = Window.partitionBy(by).orderBy(F.desc("created_at"), F.desc("id"))
-    ranked = runs.withColumn("_r", F.row_number().over(recent))
-    last, past = F.col("_r") <= n, F.col("_r") > n
+    """The last n runs against all before: detections first, then confidence; population standard deviation. Runs of one
+    time and id count as one place: if they are the n-th, all are among the last.
+
+    The n-th last run of each group is found by a limit that each task applies before the shuffle; all rows are then held
+    against it and summed, so no group is sorted in one task."""
+    place = F.struct("created_at", "id")
+    recent = top_per_group(runs.select(by, place.alias("_place")), by, n, F.desc("_place"))
+    ranked = same(runs, small(recent.groupBy(by).agg(F.min("_place").alias("_nth"))), [by])
+    last = place >= F.col("_nth")
+    past = ~last
 
     def test(x: str) -> list[Column]:
         return [F.avg(F.when(last, F.col(x))).alias(f"{x}_recent"), F.avg(F.when(past, F.col(x))).alias(f"{x}_past"), F.stddev_pop(F.when(past, F.col(x))).alias(f"{x}_std"), F.count(F.when(past, F.col(x))).alias(f"{x}_n")]

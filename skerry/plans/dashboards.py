@@ -1,8 +1,12 @@
-"""Reports on the stored runs, detections and cues. Each is one statement; both engines run it."""
+"""Reports on the stored runs, detections and cues. Most are one statement that both engines run."""
 
 from __future__ import annotations
 
-from .registry import statement
+from pyspark.sql import functions as F
+
+from skerry.operators import runs as R
+
+from .registry import query, statement
 
 _KB = "(2 + num_detections / 2)"
 
@@ -12,11 +16,16 @@ statement("d2_map_rows", "SELECT d.det_id, d.longitude, d.latitude, d.confidence
 statement("d2_by_source", "SELECT source, count(*) AS n, count(DISTINCT execution_id) AS runs, round(avg(confidence), 6) AS avg_confidence, min(created_at) AS first_seen, max(created_at) AS last_seen FROM fx_detections GROUP BY source")
 statement("d3_best_chips", "SELECT det_id, scene_id, confidence FROM fx_detections WHERE NOT on_land AND NOT cluster_anomaly AND source <> 'cfar' ORDER BY confidence DESC, det_id LIMIT 24")
 statement("d3_scenes_processed", "SELECT scene_id, count(*) AS detections, max(created_at) AS last_seen FROM fx_detections GROUP BY scene_id")
-statement(
-    "d4_daily_percentiles",
-    "SELECT CAST(date_trunc('day', created_at) AS TIMESTAMP_NTZ) AS day, round(percentile(inference_ms, 0.5), 5) AS p50, round(percentile(inference_ms, 0.95), 5) AS p95, round(percentile(inference_ms, 0.99), 5) AS p99 FROM fx_executions GROUP BY 1",
+
+
+@query(
     "SELECT CAST(date_trunc('day', created_at) AS TIMESTAMP) AS day, round(quantile_cont(inference_ms, 0.5), 5) AS p50, round(quantile_cont(inference_ms, 0.95), 5) AS p95, round(quantile_cont(inference_ms, 0.99), 5) AS p99 FROM fx_executions GROUP BY 1",
+    "fx_executions",
 )
+def d4_daily_percentiles(runs):
+    return R.daily_percentiles(runs).select("day", *[F.round(c, 5).alias(c) for c in ("p50", "p95", "p99")])
+
+
 statement("d5_detections_per_run_source", "SELECT execution_id, source, count(*) AS n FROM fx_detections GROUP BY execution_id, source")
 statement("d5_error_rate", "SELECT constraint_profile, round(CAST(sum(CASE WHEN status = 'error' THEN 1 ELSE 0 END) AS DOUBLE) / nullif(count(*), 0), 6) AS error_rate, concat(CAST(sum(CASE WHEN status = 'success' THEN 1 ELSE 0 END) AS STRING), '/', CAST(count(*) AS STRING)) AS done FROM fx_executions GROUP BY constraint_profile")
 statement("d5_model_sizes", "SELECT model_name, model_version, max(model_size_mb) AS size_mb FROM fx_executions GROUP BY model_name, model_version")

@@ -5,7 +5,6 @@ event_type, value) and returns one. `finished` runs a stream over all files ther
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -13,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from skerry.operators.fixpoint import folder
+
 SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double"
 
 
@@ -31,8 +32,7 @@ def timed(events: DataFrame) -> DataFrame:
 def finished(df: DataFrame, mode: str = "append") -> DataFrame:
     """The result after all files: appended rows, or the last full state."""
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/skerry-scratch"
-    path = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    path = folder(spark)
     writer = df.writeStream.option("checkpointLocation", f"{path}/state").trigger(availableNow=True).outputMode(mode)
     if mode == "append":
         query = writer.format("parquet").option("path", f"{path}/out").start()
@@ -61,10 +61,15 @@ def last_value(events: DataFrame, *by: str) -> DataFrame:
 
 
 def cooled(events: DataFrame, key: str, minutes: int, late: str = "1 day") -> DataFrame:
-    """The events that come at least `minutes` after the last one kept of their key; the state is one time for each key."""
+    """The events that come at least `minutes` after the last one kept of their key; events later than `late` are dropped.
+
+    The state is one time for each key. It goes once the watermark is `minutes` past it, as any event to come is then kept."""
     gap = pd.Timedelta(minutes=minutes)
 
     def step(key_: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         last = pd.Timestamp(state.get[0], unit="us") if state.exists else None
         rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
         kept = []
@@ -73,9 +78,12 @@ def cooled(events: DataFrame, key: str, minutes: int, late: str = "1 day") -> Da
                 last = at
                 kept.append(i)
         state.update((int(last.value // 1000),))
+        over = -(-int((last + gap).value) // 1_000_000)
+        state.setTimeoutTimestamp(max(over, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"key": [key_[0]] * len(kept), "event_id": kept})
 
-    return events.withColumn("key", F.col(key)).groupBy("key").applyInPandasWithState(step, "key long, event_id long", "last long", "append", GroupStateTimeout.NoTimeout)
+    keyed = events.withWatermark("at", late).withColumn("key", F.col(key))
+    return keyed.groupBy("key").applyInPandasWithState(step, "key long, event_id long", "last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def orphans(events: DataFrame, minutes: int, late: str = "10 minutes") -> DataFrame:
@@ -129,8 +137,7 @@ def rolling_drift(events: DataFrame, n: int = 20) -> DataFrame:
     from skerry.operators.runs import drift_zscore
 
     spark = events.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/skerry-scratch"
-    path = f"{base.rstrip('/')}/drift-{uuid.uuid4().hex}"
+    path = folder(spark)
 
     def batch(df: DataFrame, number: int) -> None:
         df.write.mode("overwrite").parquet(f"{path}/history/batch={number}")

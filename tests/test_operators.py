@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from skerry.functions import exprs as X
 from skerry.operators import boxes, fixpoint, provenance, raster, runs, tasking
 from skerry.sources import files
+from skerry.streaming import streams
 
 
 def overlap(a, b):
@@ -167,6 +168,18 @@ def test_drift_without_variance(spark):
     assert runs.drift_zscore(df.limit(12), 10).count() == 0
 
 
+def test_percentiles_by_running_sums_equal_the_aggregate(spark):
+    rnd = random.Random(5)
+    rows = [(g, rnd.choice([None, round(rnd.gauss(0, 9), 1), 3.0])) for g in ("a", "b", None) for _ in range(400)] + [("one", 2.5), ("none", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    shares = {"p0": 0.0, "p50": 0.5, "p95": 0.95, "p100": 1.0}
+    for by in (["g"], []):
+        plain, dealt = ({tuple(r) for r in runs.quantiles(df, "v", by, held, **shares).collect()} for held in (10_000, 0))
+        key = lambda rows: sorted([tuple(None if x is None else x if isinstance(x, str) else round(x, 9) for x in r) for r in rows], key=repr)
+        assert key(plain) == key(dealt)
+        assert len(plain) == (4 if by else 1)
+
+
 def test_stats_of_nothing(spark):
     empty = spark.createDataFrame([], "confidence double, source string, longitude double, latitude double")
     got = runs.detection_stats(empty).first()
@@ -248,6 +261,42 @@ def test_snapshot_keeps_the_old_version(spark, tmp_path):
     assert sorted((r.id, r.v) for r in new.collect()) == [(1, "a"), (2, "c"), (3, "d")] and old.count() == 2
 
 
+def event_files(folder, batches):
+    """One file for each batch of (event_id, hour, user_id, event_type), read in this order."""
+    import os
+    from datetime import datetime, timedelta
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    for k, rows in enumerate(batches):
+        table = pa.table({
+            "event_id": pa.array([r[0] for r in rows], pa.int64()), "ts": pa.array([datetime(2024, 1, 1) + timedelta(hours=r[1]) for r in rows], pa.timestamp("us")),
+            "user_id": pa.array([r[2] for r in rows], pa.int64()), "event_type": [r[3] for r in rows], "value": [1.0] * len(rows),
+        })
+        pq.write_table(table, f"{folder}/{k}.parquet")
+        os.utime(f"{folder}/{k}.parquet", (1_700_000_000 + 10 * k,) * 2)
+    return str(folder)
+
+
+def test_orphans_are_reaped_and_recover(spark, tmp_path):
+    path = event_files(tmp_path, [
+        [(1, 0.0, 1, "view"), (2, 0.0, 2, "view"), (3, 0.5, 2, "purchase"), (4, 0.2, 3, "click"), (5, 0.1, 4, "view")],
+        [(6, 5.0, 9, "purchase")],
+        [(7, 5.1, 8, "purchase")],
+        [(8, 5.2, 1, "purchase"), (9, 5.2, 7, "view")],
+    ])
+    got = streams.finished(streams.orphans(streams.read_events(spark, path, 1), 60))
+    # 1 and 4 start and do not end in time, 1 ends after all, 7 is still within its time, 2 ended in time
+    assert sorted(map(tuple, got.collect())) == [(1, "reaped"), (1, "recovered"), (4, "reaped")]
+
+
+def test_cooled_forgets_keys_without_changing_the_result(spark, tmp_path):
+    batches = [[(1, 0.0, 1, "view"), (2, 0.5, 1, "view"), (3, 0.1, 2, "view")], [(4, 1.0, 1, "view")], [(5, 9.0, 3, "view")], [(6, 9.1, 3, "view"), (7, 9.5, 1, "view")], [(8, 9.8, 1, "view"), (9, 10.6, 2, "view")]]
+    got = streams.finished(streams.cooled(streams.read_events(spark, event_files(tmp_path, batches), 1), "user_id", 60, "1 hour"))
+    assert sorted(map(tuple, got.collect())) == [(1, 1), (1, 4), (1, 7), (2, 3), (2, 9), (3, 5)]
+
+
 def test_entry_registers_queries():
     import __spark_entry__ as entry
 
