@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from skerry.functions import exprs as X
 
-from .fixpoint import greedy_keep, greedy_match, ranked
+from .fixpoint import cut, greedy_keep, greedy_match, ranked
 from .pairs import box_pairs, point_pairs
 
 BOX = ["x_min", "y_min", "x_max", "y_max"]
@@ -41,16 +41,29 @@ def _stronger() -> Column:
     return ranked(F.col("a.confidence"), F.col("a.det_id")) < ranked(F.col("b.confidence"), F.col("b.det_id"))
 
 
-def _kept(dets: DataFrame, pairs: DataFrame) -> DataFrame:
+def _strongest(slim: DataFrame, on: list[str], able: Column) -> DataFrame:
+    """Of able rows with equal keys and place the strongest, and all other rows. Rows in one place are in conflict with each
+    other and with the same others, so the loop keeps no more than that one, and pairs of equal rows are never built."""
+    able = F.coalesce(able, F.lit(False))
+    for k in on:
+        able = able & F.col(k).isNotNull()
+    first = F.min(F.struct(ranked(F.col("confidence"), F.col("det_id")).alias("rank"), "det_id", "confidence")).alias("first")
+    one = slim.where(able).groupBy(*on).agg(first).select(*on, "first.det_id", "first.confidence")
+    return cut(one.unionByName(slim.where(~able)))
+
+
+def _kept(dets: DataFrame, slim: DataFrame, pairs: DataFrame) -> DataFrame:
     edges = pairs.select(F.col("a.det_id").alias("strong"), F.col("b.det_id").alias("weak"))
-    keep = greedy_keep(dets.select(F.col("det_id").alias("id")), edges)
+    keep = greedy_keep(slim.select(F.col("det_id").alias("id")), edges)
     return dets.join(keep.withColumnRenamed("id", "det_id"), "det_id", "left_semi")
 
 
 def nms(dets: DataFrame, threshold: float = 0.3, keys: tuple[str, ...] = ("scene_id",), cell: float = 64.0) -> DataFrame:
     """Greedy non-maximum suppression by confidence inside each key; an overlap of the threshold itself suppresses."""
     slim = dets.select(*keys, "det_id", "confidence", *BOX)
-    return _kept(dets, box_pairs(slim, slim, list(keys), cell, _stronger() & (X.iou("a", "b") >= threshold)))
+    if threshold <= 1:
+        slim = _strongest(slim, [*keys, *BOX], X.area(*[F.col(c) for c in BOX]) > 0)
+    return _kept(dets, slim, box_pairs(slim, slim, list(keys), cell, _stronger() & (X.iou("a", "b") >= threshold)))
 
 
 def merge_tiles(dets: DataFrame, tile: int = 640, per_row: int = 4, threshold: float = 0.3) -> DataFrame:
@@ -65,7 +78,8 @@ def geo_dedup(dets: DataFrame, degrees: float = 5e-4, keys: tuple[str, ...] = ("
     placed = dets.where("longitude is not null and latitude is not null")
     slim = placed.select(*keys, "det_id", "confidence", "longitude", "latitude")
     near = (F.abs(F.col("a.longitude") - F.col("b.longitude")) <= degrees) & (F.abs(F.col("a.latitude") - F.col("b.latitude")) <= degrees)
-    return _kept(placed, point_pairs(slim, slim, list(keys), degrees * 1.01, _stronger() & near)).unionByName(dets.where("longitude is null or latitude is null"))
+    slim = _strongest(slim, [*keys, "longitude", "latitude"], ~F.isnan("longitude") & ~F.isnan("latitude"))
+    return _kept(placed, slim, point_pairs(slim, slim, list(keys), degrees * 1.01, _stronger() & near)).unionByName(dets.where("longitude is null or latitude is null"))
 
 
 def matches(preds: DataFrame, truths: DataFrame, keys: tuple[str, ...] = ("scene_id",), threshold: float = 0.5, mode: str = "iou", cell: float = 64.0) -> DataFrame:

@@ -53,6 +53,29 @@ def test_nms_threshold_is_inclusive_and_touching_boxes_stay(spark):
     assert boxes.nms(df.where("false")).count() == 0
 
 
+def test_suppression_of_boxes_in_one_place_equals_the_loop(spark):
+    rnd = random.Random(8)
+    places = [(0.0, 0.0, 4.0, 4.0), (1.0, 0.0, 5.0, 4.0), (2.0, 2.0, 2.0, 6.0), (3.0, 0.0, 7.0, 4.0)]  # the third has no area
+    rows = [(i, i % 2, rnd.choice([0.4, 0.5, 0.6]), *rnd.choice(places)) for i in range(120)]
+    want = set()
+    for s in (0, 1):
+        kept = []
+        for r in sorted((r for r in rows if r[1] == s), key=lambda r: (-r[2], r[0])):
+            if all(overlap(r[3:], k[3:]) < 0.5 for k in kept):
+                kept.append(r)
+        want |= {r[0] for r in kept}
+    more = [(900, None, 0.5, 0.0, 0.0, 4.0, 4.0), (901, None, 0.4, 0.0, 0.0, 4.0, 4.0), (902, 0, 0.4, None, 0.0, 4.0, 4.0), (903, 0, 0.4, None, 0.0, 4.0, 4.0)]
+    got = {r.det_id for r in boxes.nms(spark.createDataFrame(rows + more, SCHEMA), 0.5, cell=3.0).collect()}
+    assert got == want | {900, 901, 902, 903}  # rows without a scene or a place pass
+
+
+def test_crowded_places_make_no_pairs(spark):
+    many = spark.range(20_000).select(F.col("id").alias("det_id"), F.lit(1).alias("scene_id"), F.rand(1).alias("confidence"), *[F.lit(float(v)).alias(c) for c, v in zip(boxes.BOX, (0, 0, 9, 9), strict=True)], F.lit(1.0).alias("longitude"), F.lit(2.0).alias("latitude"))
+    best = many.orderBy(F.desc("confidence")).first()["det_id"]
+    assert [r.det_id for r in boxes.nms(many).collect()] == [best]
+    assert [r.det_id for r in boxes.geo_dedup(many).collect()] == [best]
+
+
 def test_matching_equals_the_loop(spark):
     preds, truths = cases(2), [(r[0], r[1], *r[3:]) for r in cases(3)]
     want = set()
