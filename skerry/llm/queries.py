@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, html, jaccard, line_dedup, mil, pii, quality_rules, sharding, substring
+from . import bpe, decontaminate, divergence, html, jaccard, line_dedup, mil, pii, prefix_trie, quality_rules, sharding, substring, suffix_array
 from .frames import table
 
 
@@ -56,10 +56,26 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.nodes(table(spark, sf_dir, "conversations"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_array.deduplicated(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_pii, op2_jaccard_join, op3_quality_rules, op4_line_dedup, op5_html_extraction, op6_sharding, op7_decontamination, op8_quality_classifier, op9_substring_dedup, op10_bpe]
+    own = [
+        op1_pii, op2_jaccard_join, op3_quality_rules, op4_line_dedup, op5_html_extraction, op6_sharding, op7_decontamination, op8_quality_classifier, op9_substring_dedup,
+        op10_bpe, op11_prefix_trie, op12_source_divergence, op13_suffix_array,
+    ]
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The others cannot be said in SQL, or only over all pairs."""
+    return {"op11_prefix_trie": prefix_trie.SQL, "op12_source_divergence": divergence.SQL, "op13_suffix_array": suffix_array.SQL}
