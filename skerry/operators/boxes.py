@@ -52,8 +52,8 @@ def _strongest(slim: DataFrame, on: list[str], able: Column) -> DataFrame:
     return cut(one.unionByName(slim.where(~able)))
 
 
-def _kept(dets: DataFrame, slim: DataFrame, pairs: DataFrame) -> DataFrame:
-    edges = pairs.select(F.col("a.det_id").alias("strong"), F.col("b.det_id").alias("weak"))
+def _kept(dets: DataFrame, slim: DataFrame, pairs: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    edges = pairs.select(F.xxhash64(*keys).alias("grp"), ranked(F.col("a.confidence"), F.col("a.det_id")).alias("rank"), F.col("a.det_id").alias("strong"), F.col("b.det_id").alias("weak"))
     keep = greedy_keep(slim.select(F.col("det_id").alias("id")), edges)
     return dets.join(keep.withColumnRenamed("id", "det_id"), "det_id", "left_semi")
 
@@ -63,7 +63,7 @@ def nms(dets: DataFrame, threshold: float = 0.3, keys: tuple[str, ...] = ("scene
     slim = dets.select(*keys, "det_id", "confidence", *BOX)
     if threshold <= 1:
         slim = _strongest(slim, [*keys, *BOX], X.area(*[F.col(c) for c in BOX]) > 0)
-    return _kept(dets, slim, box_pairs(slim, slim, list(keys), cell, _stronger() & (X.iou("a", "b") >= threshold)))
+    return _kept(dets, slim, box_pairs(slim, slim, list(keys), cell, _stronger() & (X.iou("a", "b") >= threshold)), keys)
 
 
 def merge_tiles(dets: DataFrame, tile: int = 640, per_row: int = 4, threshold: float = 0.3) -> DataFrame:
@@ -79,7 +79,7 @@ def geo_dedup(dets: DataFrame, degrees: float = 5e-4, keys: tuple[str, ...] = ("
     slim = placed.select(*keys, "det_id", "confidence", "longitude", "latitude")
     near = (F.abs(F.col("a.longitude") - F.col("b.longitude")) <= degrees) & (F.abs(F.col("a.latitude") - F.col("b.latitude")) <= degrees)
     slim = _strongest(slim, [*keys, "longitude", "latitude"], ~F.isnan("longitude") & ~F.isnan("latitude"))
-    return _kept(placed, slim, point_pairs(slim, slim, list(keys), degrees * 1.01, _stronger() & near)).unionByName(dets.where("longitude is null or latitude is null"))
+    return _kept(placed, slim, point_pairs(slim, slim, list(keys), degrees * 1.01, _stronger() & near), keys).unionByName(dets.where("longitude is null or latitude is null"))
 
 
 def matches(preds: DataFrame, truths: DataFrame, keys: tuple[str, ...] = ("scene_id",), threshold: float = 0.5, mode: str = "iou", cell: float = 64.0) -> DataFrame:
@@ -92,7 +92,7 @@ def matches(preds: DataFrame, truths: DataFrame, keys: tuple[str, ...] = ("scene
     else:
         mid = lambda df: df.withColumn("longitude", (F.col("x_min") + F.col("x_max")) / 2).withColumn("latitude", (F.col("y_min") + F.col("y_max")) / 2)
         pairs, score = point_pairs(mid(p), mid(g), list(keys), threshold, X.center_distance("a", "b") <= threshold), -X.center_distance("a", "b")
-    found = pairs.select(F.col("a.det_id").alias("p"), ranked(F.col("a.confidence"), F.col("a.det_id")).alias("rank"), F.col("b.gt_id").alias("g"), score.alias("score"))
+    found = pairs.select(F.xxhash64(*keys).alias("grp"), F.col("a.det_id").alias("p"), ranked(F.col("a.confidence"), F.col("a.det_id")).alias("rank"), F.col("b.gt_id").alias("g"), score.alias("score"))
     return greedy_match(found).select(F.col("p").alias("det_id"), F.col("g").alias("gt_id"))
 
 
@@ -103,7 +103,7 @@ def fuse(dets: DataFrame, threshold: float = 0.3, keys: tuple[str, ...] = ("scen
     c, y = dets.where("source = 'cfar'"), dets.where("source = 'yolo'")
     slim = ["det_id", *keys, *BOX]
     pairs = box_pairs(c.select(*slim), y.select(*slim), list(keys), 64.0, X.iou("a", "b") >= threshold)
-    m = greedy_match(pairs.select(F.col("a.det_id").alias("p"), F.col("a.det_id").alias("rank"), F.col("b.det_id").alias("g"), X.iou("a", "b").alias("score")))
+    m = greedy_match(pairs.select(F.xxhash64(*keys).alias("grp"), F.col("a.det_id").alias("p"), ranked(F.lit(0.0), F.col("a.det_id")).alias("rank"), F.col("b.det_id").alias("g"), X.iou("a", "b").alias("score")))
     own = X.snr_to_confidence(F.col("snr"))
     fused = c.join(m, c["det_id"] == m["p"]).select("det_id", "g", own.alias("own")).join(y.select(F.col("det_id").alias("g"), F.col("confidence").alias("score")), "g")
     fused = fused.select("det_id", F.lit("fused").alias("source"), F.least(F.lit(1.0), F.col("score") / 2 + F.col("own") / 2).alias("confidence"))

@@ -61,9 +61,14 @@ def k6_once(events: DataFrame) -> DataFrame:
     return S.finished(S.once(doubled).select("event_id", "user_id"))
 
 
-@stream("WITH r AS (SELECT event_type AS model_name, value AS x, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS k FROM events), s AS (SELECT model_name, abs(avg(x) FILTER (WHERE k <= 20) - avg(x) FILTER (WHERE k > 20)) / stddev_pop(x) FILTER (WHERE k > 20) AS z FROM r GROUP BY model_name) SELECT model_name, round(z, 4) AS z_score FROM s")
+@stream(
+    """WITH r AS (SELECT event_type AS model_name, value AS x, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS k FROM events),
+    s AS (SELECT model_name, abs(avg(x) FILTER (WHERE k <= 20) - avg(x) FILTER (WHERE k > 20)) / stddev_pop(x) FILTER (WHERE k > 20) AS z FROM r GROUP BY model_name)
+    SELECT model_name, round(z, 4) AS z_score, z > 0.2 AS is_drifting FROM s"""
+)
 def k7_rolling_drift(events: DataFrame) -> DataFrame:
-    return S.rolling_drift(events).select("model_name", F.round("z_score", 4).alias("z_score"))
+    """In several batches: the state after the last one."""
+    return S.latest(S.rolling_drift(S.as_runs(events), 20, 0.2), "model_name").select("model_name", F.round("z_score", 4).alias("z_score"), "is_drifting")
 
 
 @stream("WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 1 HOUR THEN 0 ELSE 1 END AS fresh FROM events), s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM g) SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, s")

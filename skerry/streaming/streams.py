@@ -10,6 +10,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from skerry.operators.fixpoint import folder
@@ -131,19 +133,133 @@ def sessions(events: DataFrame, key: str, gap: str = "1 hour", late: str = "2 ho
     return out.select(key, F.col("w.start").cast("timestamp_ntz").alias("start"), "n")
 
 
-def rolling_drift(events: DataFrame, n: int = 20) -> DataFrame:
-    """Stand-in for a nightly job: each micro-batch's rows join the history, and the drift test runs over both. Returns the
-    verdicts after the last batch."""
-    from skerry.operators.runs import drift_zscore
-
-    spark = events.sparkSession
+#: A part of a group: rows k_n and k_c with a count and a confidence, their means and sums of squared deviations. A part with
+#: a time is one row that may still be among the last ones.
+_PART = "model_name string, created_at timestamp_ntz, id long, k_n long, mean_n double, m2_n double, k_c long, mean_c double, m2_c double"
+_VERDICT = "model_name string, metric string, z_score double, is_drifting boolean, recommendation string"
+
+
+def merged(parts: pd.DataFrame, x: str) -> tuple[int, float, float]:
+    """Count, mean and sum of squared deviations of parts together."""
+    k = parts[f"k_{x}"].to_numpy()
+    n = int(k.sum())
+    if not n:
+        return 0, 0.0, 0.0
+    of = k > 0
+    k, mean = k[of], parts[f"mean_{x}"].to_numpy()[of]
+    middle = float((k * mean).sum() / n)
+    return n, middle, float(parts[f"m2_{x}"].to_numpy()[of].sum() + (k * (mean - middle) ** 2).sum())
+
+
+def condensed(parts: pd.DataFrame, n: int) -> tuple[pd.DataFrame, pd.DataFrame]:
+    """The last n timed rows of one group, by time and id, and one part for all others. Rows that share the n-th place all
+    stay, as in `runs.drift_zscore`."""
+    timed_ = parts[parts["created_at"].notna()].sort_values(["created_at", "id"])
+    if len(timed_) > n:
+        nth = timed_.iloc[-n]
+        late = (timed_["created_at"] > nth["created_at"]) | (timed_["created_at"] == nth["created_at"]) & (timed_["id"] >= nth["id"])
+        last, past = timed_[late], timed_[~late]
+    else:
+        last, past = timed_, timed_.iloc[:0]
+    past = pd.concat([parts[parts["created_at"].isna()], past])
+    whole = {"model_name": parts["model_name"].iloc[0], "created_at": pd.NaT, "id": 0}
+    for x in ("n", "c"):
+        whole[f"k_{x}"], whole[f"mean_{x}"], whole[f"m2_{x}"] = merged(past, x)
+    return last, pd.DataFrame([whole | {"id": len(past[past["created_at"].notna()]) + int(past[past["created_at"].isna()]["id"].sum())}])
+
+
+def drift_parts(runs: DataFrame, n: int) -> DataFrame:
+    """Each batch of rows of a task as parts, so that no more than n rows and one part of it are shuffled for each group."""
+
+    def condense(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            for _, own in rows.groupby("model_name", sort=False):
+                last, past = condensed(own, n)
+                yield last
+                if past["id"].iloc[0]:
+                    yield past
+
+    number = lambda c: (F.col(c).isNotNull().cast("long"), F.coalesce(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0))
+    cells = [F.col("model_name"), F.col("created_at"), F.col("id"), *number("num_detections"), *number("avg_confidence")]
+    names = [f.split()[0] for f in _PART.split(", ")]
+    # a row without a time or group has no place in the order
+    rows = runs.where("model_name is not null and created_at is not null and id is not null").select(*[c.alias(k) for c, k in zip(cells, names, strict=True)])
+    return rows.mapInPandas(condense, _PART)
+
+
+class Drift(StatefulProcessor):
+    """The state of a group: the last n rows, and one mergeable part for all rows before them. Its size does not depend on how
+    many rows or batches there were."""
+
+    def __init__(self, n: int, threshold: float):
+        self.n, self.threshold = n, threshold
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        row = _PART.removeprefix("model_name string, ")
+        self.last, self.past = handle.getListState("last", row), handle.getValueState("past", row)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        names = [f.split()[0] for f in _PART.split(", ")]
+        held = [tuple(r) for r in self.last.get()]
+        if self.past.exists():
+            held.append(tuple(self.past.get()))
+        parts = pd.DataFrame([(key[0], *r) for r in held], columns=names) if held else None
+        for batch in rows:
+            parts = pd.concat(condensed(batch if parts is None else pd.concat([parts, batch]), self.n))
+        last, past = condensed(parts, self.n)
+        rest = names[1:]
+        plain = lambda r: tuple(None if pd.isna(v) else v.to_pydatetime() if isinstance(v, pd.Timestamp) else v.item() if hasattr(v, "item") else v for v in r)
+        self.last.put([plain(r) for r in last[rest].itertuples(index=False)])
+        self.past.update(plain(next(past[rest].itertuples(index=False))))
+        if len(last) + past["id"].iloc[0] >= self.n + 5:
+            yield self.verdict(key[0], last, past)
+
+    def verdict(self, name: str, last: pd.DataFrame, past: pd.DataFrame) -> pd.DataFrame:
+        def z(x: str) -> float | None:
+            (k, recent, _), (m, before, m2) = merged(last, x), merged(past, x)
+            if not k or not m:
+                return None
+            apart, deviation = abs(recent - before), (m2 / m) ** 0.5
+            return apart / deviation if deviation else 0.0 if not apart else float("inf")
+
+        z_n, z_c = z("n"), z("c") if past["k_c"].iloc[0] >= 3 else 0.0
+        by_confidence = not (z_n is not None and z_n > self.threshold) and z_c is not None and z_c > self.threshold
+        score = z_c if by_confidence else z_n
+        over = None if score is None else score / self.threshold
+        advice = "continue" if over is None or over <= 1 else "recalibrate" if over <= 1.5 else "switch_model" if over <= 2 else "alert_ground"
+        return pd.DataFrame({"model_name": [name], "metric": ["avg_confidence" if by_confidence else "num_detections"], "z_score": [score], "is_drifting": [None if over is None else over > 1], "recommendation": [advice]})
+
+
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
+
+def rolling_drift(runs: DataFrame, n: int = 20, threshold: float = 2.5) -> DataFrame:
+    """The drift test after each batch, for the groups that got rows: `runs.drift_zscore` over all rows so far, from state
+    alone. runs: (model_name, created_at, id, num_detections, avg_confidence), in any order."""
+    parts = drift_parts(runs, n)
+    return parts.groupBy("model_name").transformWithStateInPandas(Drift(n, threshold), T.StructType.fromDDL(_VERDICT), "Update", "None")
+
+
+def as_runs(events: DataFrame) -> DataFrame:
+    """Events as runs of a model."""
+    return events.select(F.col("event_type").alias("model_name"), F.col("ts").alias("created_at"), F.col("event_id").alias("id"), F.col("value").alias("num_detections"), (F.col("value") / 100).alias("avg_confidence"))
+
+
+def latest(df: DataFrame, key: str) -> DataFrame:
+    """The last row of each key of a stream in update mode, with the RocksDB store that arbitrary state needs."""
+    spark = df.sparkSession
     path = folder(spark)
+    before = spark.conf.get(_PROVIDER)
 
-    def batch(df: DataFrame, number: int) -> None:
-        df.write.mode("overwrite").parquet(f"{path}/history/batch={number}")
-        history = spark.read.parquet(f"{path}/history")
-        runs = history.select(F.col("event_id").alias("id"), F.col("ts").alias("created_at"), F.col("event_type").alias("model_name"), F.col("value").alias("num_detections"), (F.col("value") / 100).alias("avg_confidence"))
-        drift_zscore(runs, n, 0.2).write.mode("overwrite").parquet(f"{path}/verdicts")
+    def batch(rows: DataFrame, number: int) -> None:
+        rows.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/out/part={number}")
 
-    events.writeStream.option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(batch).start().awaitTermination()
-    return spark.read.parquet(f"{path}/verdicts")
+    spark.conf.set(_PROVIDER, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        query = df.writeStream.option("checkpointLocation", f"{path}/state").trigger(availableNow=True).outputMode("update").foreachBatch(batch).start()
+    finally:
+        spark.conf.set(_PROVIDER, before)
+    query.awaitTermination()
+    schema = T.StructType([*df.schema.fields, T.StructField("batch", T.IntegerType())])
+    rows = spark.read.schema(schema).parquet(f"{path}/out/part=*")
+    return rows.groupBy(key).agg(F.max_by(F.struct(*[c for c in df.columns if c != key]), "batch").alias("_r")).select(key, "_r.*")
