@@ -166,8 +166,9 @@ def postprocess(dets: DataFrame, scenes: DataFrame, mask: DataFrame, footprint:
 
     fused = dets.drop("source", "confidence", "longitude", "latitude").join(fuse(dets), "det_id")
     placed = pixel_to_geo(fused, scenes.drop("n_rows", "n_cols")).withColumnsRenamed({"geo_lon": "longitude", "geo_lat": "latitude"})
-    inner = edge_swath_filter(placed, scenes.select("scene_id", "n_rows", "n_cols"), buffer_px)
-    flagged = cluster_anomaly(column_density_filter(geo_dedup(inner)))
+    # each of the next steps reads its input twice or more: it is written once instead
+    inner = cut(edge_swath_filter(placed, scenes.select("scene_id", "n_rows", "n_cols"), buffer_px))
+    flagged = cluster_anomaly(cut(column_density_filter(cut(geo_dedup(inner)))))
     marked = land_lookup(flagged, mask)
     verdict = X.quality_verdict(~X.point_in_convex_polygon("longitude", "latitude", footprint), "mask_on_land", "is_cluster", "source")
     return marked.select("det_id", "scene_id", "source", F.round(X.finite_or_null("confidence"), 6).alias("confidence"), "longitude", "latitude", *BOX, verdict.alias("verdict"))
