@@ -122,6 +122,31 @@ def ring_to_bbox(ring: Column) -> Column:
     return F.struct(F.array_min(lons).alias("lon_min"), F.array_min(lats).alias("lat_min"), F.array_max(lons).alias("lon_max"), F.array_max(lats).alias("lat_max"))
 
 
+def ring_to_geojson(ring: Column) -> Column:
+    """A ring of (lon, lat) as the text of a GeoJSON polygon; a null ring gives null."""
+    points = F.transform(ring, lambda p: F.array(p["lon"].cast("double"), p["lat"].cast("double")))
+    return F.when(ring.isNotNull(), F.to_json(F.struct(F.lit("Polygon").alias("type"), F.array(points).alias("coordinates"))))
+
+
+def geojson_to_ring(text: Column | str) -> Column:
+    """struct(ring, problem) of the text of a GeoJSON polygon: its outer ring, and why there is none (`not JSON`, `not a
+    polygon`, `empty`, `point without two numbers`) or `open` if its last point is not its first. Null text gives nulls."""
+    read = F.from_json(c(text), "type string, coordinates array<array<array<double>>>, _broken string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"})
+    outer = F.get(read["coordinates"], F.lit(0))
+    bad = F.exists(outer, lambda p: (F.size(p) < 2) | F.get(p, F.lit(0)).isNull() | F.get(p, F.lit(1)).isNull() | p.isNull())
+    first, last = F.get(outer, F.lit(0)), F.try_element_at(outer, F.lit(-1))
+    problem = (
+        F.when(c(text).isNull(), None)
+        .when(read.isNull() | read["_broken"].isNotNull(), "not JSON")
+        .when(~read["type"].eqNullSafe(F.lit("Polygon")), "not a polygon")
+        .when(outer.isNull() | (F.size(outer) == 0), "empty")
+        .when(bad, "point without two numbers")
+        .when(F.slice(first, 1, 2) != F.slice(last, 1, 2), "open")
+    )
+    points = F.transform(outer, lambda p: F.struct(F.get(p, F.lit(0)).alias("lon"), F.get(p, F.lit(1)).alias("lat")))
+    return F.struct(F.when(problem.isNull() | (problem == "open"), points).alias("ring"), problem.alias("problem"))
+
+
 def labelled_box(lon: Column | str, lat: Column | str, boxes: Sequence[tuple[str, Sequence[float]]], default: str = "other") -> Column:
     """The label of the first box that holds the point."""
     out = F

@@ -37,6 +37,41 @@ def geo_to_pixel(points: DataFrame, scenes: DataFrame) -> DataFrame:
     return out.select(*points.columns, F.floor((u * F.col("f2") - v * F.col("c2")) / det).alias("px"), F.floor((v * F.col("c1") - u * F.col("f1")) / det).alias("py"))
 
 
+def aoi_window(scenes: DataFrame, areas: DataFrame) -> DataFrame:
+    """The pixel window of an area of interest (lon_min, lat_min, lon_max, lat_max) in each of its scenes, and the transform of
+    the crop. The four corners go through the inverse of the affine, which may be turned, and the box around them is clamped
+    to the scene. Where it misses the scene (`crops` false), or a corner has no place, the whole scene stays.
+
+    A degenerate transform is inverted along its axes; an axis without a scale has all corners at 0."""
+    c1, c2, f1, f2 = (F.col(k) for k in ("c1", "c2", "f1", "f2"))
+    det = c1 * f2 - c2 * f1
+    flat = F.abs(det) < 1e-20
+    corners = [(F.col(x) - F.col("c0"), F.col(y) - F.col("f0")) for x in ("lon_min", "lon_max") for y in ("lat_min", "lat_max")]
+    along = lambda v, scale: F.coalesce(F.try_divide(v, scale), F.lit(0.0))
+    cols = [F.when(flat, along(u, c1)).otherwise(F.try_divide(f2 * u - c2 * v, det)) for u, v in corners]
+    rows = [F.when(flat, along(v, f2)).otherwise(F.try_divide(c1 * v - f1 * u, det)) for u, v in corners]
+    whole = lambda x: x.cast("long")  # noqa: E731  towards zero
+    ends = {
+        "col_start": F.greatest(F.lit(0), whole(F.least(*cols))), "col_end": F.least(F.col("n_cols"), whole(F.greatest(*cols)) + 1),
+        "row_start": F.greatest(F.lit(0), whole(F.least(*rows))), "row_end": F.least(F.col("n_rows"), whole(F.greatest(*rows)) + 1),
+    }
+    out = areas.join(scenes, "scene_id").withColumns({f"_{k}": v for k, v in ends.items()})
+    crops = F.coalesce((F.col("_col_start") < F.col("_col_end")) & (F.col("_row_start") < F.col("_row_end")), F.lit(False))
+    last = {"col_start": F.lit(0), "col_end": F.col("n_cols"), "row_start": F.lit(0), "row_end": F.col("n_rows")}
+    out = out.withColumns({k: F.when(crops, F.col(f"_{k}")).otherwise(v).cast("long") for k, v in last.items()} | {"crops": crops})
+    origin = [(F.col("c0") + F.col("col_start") * c1 + F.col("row_start") * c2).alias("new_c0"), (F.col("f0") + F.col("col_start") * f1 + F.col("row_start") * f2).alias("new_f0")]
+    return out.select(*areas.columns, "crops", *last, *origin)
+
+
+def tile_local(dets: DataFrame, size: int = 640, per_row: int = 4, slack: float = 1.5) -> DataFrame:
+    """Boxes in tile coordinates: one that ends beyond `slack` tiles is taken for a box in scene coordinates and moved by its
+    tile's place."""
+    beyond = (F.col("x_max") > size * slack) | (F.col("y_max") > size * slack)
+    col, row = (F.col("tile_index") % per_row) * size, F.floor(F.col("tile_index") / per_row) * size
+    moved = {"x_min": col, "x_max": col, "y_min": row, "y_max": row}
+    return dets.withColumns({k: F.when(beyond, F.col(k) - by).otherwise(F.col(k)) for k, by in moved.items()})
+
+
 def _stronger() -> Column:
     return ranked(F.col("a.confidence"), F.col("a.det_id")) < ranked(F.col("b.confidence"), F.col("b.det_id"))
 

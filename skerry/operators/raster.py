@@ -5,7 +5,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -13,14 +15,26 @@ from pyspark.sql.window import Window
 from .fixpoint import components, cut
 from .pairs import point_pairs
 from .relations import interpolated
+from .runs import small
+
+
+def window_sums(pixels: DataFrame, values: dict[str, tuple[int, Column]]) -> DataFrame:
+    """Sums over the (2 half + 1)-wide square around each pixel, of the pixels that exist, for several (half, value) at once:
+    one pass along rows and one along columns carry all of them, so pixels are dealt twice whatever the number of sums."""
+    along = Window.partitionBy("scene_id", "px_row").orderBy("px_col")
+    down = Window.partitionBy("scene_id", "px_col").orderBy("px_row")
+    rows = pixels.select("*", *[F.sum(v).over(along.rangeBetween(-half, half)).alias(f"_{k}") for k, (half, v) in values.items()])
+    return rows.select(*pixels.columns, *[F.sum(f"_{k}").over(down.rangeBetween(-half, half)).alias(k) for k, (half, _) in values.items()])
 
 
 def box_sums(pixels: DataFrame, half: int, values: dict[str, Column]) -> DataFrame:
-    """Sums of the values over the (2 half + 1)-wide square around each pixel, of the pixels that exist."""
-    along = Window.partitionBy("scene_id", "px_row").orderBy("px_col").rangeBetween(-half, half)
-    down = Window.partitionBy("scene_id", "px_col").orderBy("px_row").rangeBetween(-half, half)
-    rows = pixels.select("*", *[F.sum(v).over(along).alias(f"_{k}") for k, v in values.items()])
-    return rows.select(*pixels.columns, *[F.sum(f"_{k}").over(down).alias(k) for k in values])
+    """As `window_sums`, with one width."""
+    return window_sums(pixels, {k: (half, v) for k, v in values.items()})
+
+
+def extents(pixels: DataFrame) -> DataFrame:
+    """The last row and column of each scene: one row a scene, broadcast behind a count."""
+    return small(pixels.groupBy("scene_id").agg(F.max("px_row").alias("_h"), F.max("px_col").alias("_w")))
 
 
 def calibrate(pixels: DataFrame, lut: DataFrame) -> DataFrame:
@@ -37,8 +51,7 @@ def to_uint8(linear: Column) -> Column:
 
 def mirrored(pixels: DataFrame, half: int) -> DataFrame:
     """Adds the reflected border (edge pixel repeated) that a centred window needs."""
-    size = pixels.groupBy("scene_id").agg(F.max("px_row").alias("_h"), F.max("px_col").alias("_w"))
-    joined = pixels.join(size, "scene_id")
+    joined = pixels.join(extents(pixels), "scene_id")
     places = lambda x, top: F.array_compact(F.array(F.col(x), F.when(F.col(x) < half, -1 - F.col(x)), F.when(F.col(top) - F.col(x) < half, 2 * F.col(top) + 1 - F.col(x))))
     return joined.select("scene_id", F.explode(places("px_row", "_h")).alias("px_row"), "px_col", "value", "_h", "_w").select("scene_id", "px_row", F.explode(places("px_col", "_w")).alias("px_col"), "value", "_h", "_w")
 
@@ -50,7 +63,7 @@ def lee_filter(pixels: DataFrame, size: int = 7) -> DataFrame:
     sums = box_sums(mirrored(pixels, half), half, {"s": F.col("value"), "q": F.col("value") * F.col("value")})
     inner = sums.where((F.col("px_row") >= 0) & (F.col("px_col") >= 0) & (F.col("px_row") <= F.col("_h")) & (F.col("px_col") <= F.col("_w"))).withColumn("m", F.col("s") / n)
     local = inner.withColumn("v", F.greatest(F.col("q") / n - F.col("m") * F.col("m"), F.lit(0.0)))
-    noise = local.groupBy("scene_id").agg(F.avg("v").alias("noise"))
+    noise = small(local.groupBy("scene_id").agg(F.avg("v").alias("noise")))
     k = F.col("v") / (F.col("v") + F.col("noise"))
     return local.join(noise, "scene_id").select("scene_id", "px_row", "px_col", F.when(F.col("noise") == 0, F.col("value")).otherwise(F.col("m") + k * (F.col("value") - F.col("m"))).alias("filtered"))
 
@@ -102,10 +115,9 @@ def ca_cfar(pixels: DataFrame, guard: int = 2, training: int = 6, pfa: float = 1
     count in the ring of others."""
     n = (2 * training + 1) ** 2 - (2 * guard + 1) ** 2
     alpha = n * (pfa ** (-1 / n) - 1)
-    size = pixels.groupBy("scene_id").agg(F.max("px_row").alias("_h"), F.max("px_col").alias("_w"))
     of = {"": F.col("value")} if deviations is None else {"": F.col("value"), "2": F.col("value") * F.col("value")}
-    outer = box_sums(pixels, training, {f"_outer{k}": v for k, v in of.items()})
-    both = box_sums(outer, guard, {f"_inner{k}": v for k, v in of.items()}).join(size, "scene_id")
+    sums = {f"{name}{k}": (half, v) for k, v in of.items() for name, half in (("_outer", training), ("_inner", guard))}
+    both = window_sums(pixels, sums).join(extents(pixels), "scene_id")
     inside = F.col("px_row").between(training, F.col("_h") - training) & F.col("px_col").between(training, F.col("_w") - training)
     mean = (F.col("_outer") - F.col("_inner")) / n
     threshold = alpha * mean
@@ -117,22 +129,43 @@ def ca_cfar(pixels: DataFrame, guard: int = 2, training: int = 6, pfa: float = 1
     return both.where(inside).select("scene_id", "px_row", "px_col", "value", mean.alias("background"), snr.alias("snr"), hit.alias("hit"))
 
 
-def os_cfar(pixels: DataFrame, guard: int = 1, training: int = 3, q: float = 0.75, k: float = 2.0) -> DataFrame:
-    """Ordered-statistic hits: x > k times the training value at int(q (n - 1)) in order. Only pixels above k times the least
-    value of their window, which every hit is, get their neighbourhood joined."""
-    along = Window.partitionBy("scene_id", "px_row").orderBy("px_col").rangeBetween(-training, training)
-    down = Window.partitionBy("scene_id", "px_col").orderBy("px_row").rangeBetween(-training, training)
-    low = pixels.withColumn("_m", F.min("value").over(along)).withColumn("_m", F.min("_m").over(down))
-    size = pixels.groupBy("scene_id").agg(F.max("px_row").alias("_h"), F.max("px_col").alias("_w"))
-    inside = F.col("px_row").between(training, F.col("_h") - training) & F.col("px_col").between(training, F.col("_w") - training)
-    able = low.join(size, "scene_id").where(inside & (F.col("value") > k * F.col("_m")))
-    ring = [(r, c) for r in range(-training, training + 1) for c in range(-training, training + 1) if max(abs(r), abs(c)) > guard]
-    offsets = F.explode(F.array(*[F.struct(F.lit(r).alias("r"), F.lit(c).alias("c")) for r, c in ring]))
-    wanted = able.select("scene_id", F.col("px_row").alias("row"), F.col("px_col").alias("col"), F.col("value").alias("x"), offsets.alias("o"))
-    wanted = wanted.select("scene_id", "row", "col", "x", (F.col("row") + F.col("o.r")).alias("px_row"), (F.col("col") + F.col("o.c")).alias("px_col"))
-    grouped = wanted.join(pixels, ["scene_id", "px_row", "px_col"]).groupBy("scene_id", "row", "col", "x").agg(F.sort_array(F.collect_list("value")).alias("v"))
-    at = F.get(F.col("v"), F.floor(q * (F.size("v") - 1)).cast("int"))
-    return grouped.where(F.col("x") > k * at).select("scene_id", F.col("row").alias("px_row"), F.col("col").alias("px_col"), F.col("x").alias("value"))
+def tiled(pixels: DataFrame, size: int, halo: int) -> DataFrame:
+    """Each pixel in its tile of size * size and, near an edge, in the neighbours that see it within the halo."""
+    if not 0 <= halo <= size:
+        raise ValueError("the halo must not be wider than a tile")
+    first = lambda x: F.greatest(F.floor((F.col(x) - halo) / size), F.when(F.col(x) >= 0, 0))  # noqa: E731  no tiles before the scene
+    near = lambda x: F.explode(F.sequence(first(x).cast("int"), F.floor((F.col(x) + halo) / size).cast("int")))
+    return pixels.withColumn("_tr", near("px_row")).withColumn("_tc", near("px_col"))
+
+
+def os_cfar(pixels: DataFrame, guard: int = 1, training: int = 3, q: float = 0.75, k: float = 2.0, size: int = 256) -> DataFrame:
+    """Ordered-statistic hits: x > k times the training value at int(q (n - 1)) in order, of pixels whose window lies inside
+    the scene. A task holds a tile with its halo as an array and sorts the windows of a few lines at a time; a pixel without
+    a value is missing in the windows of others."""
+    side = np.arange(-training, training + 1)
+    ring = np.maximum(np.abs(side[:, None]), np.abs(side[None, :])) > guard
+    span = 2 * training + 1
+
+    def hits(key: tuple, t: pa.Table) -> pa.Table:
+        top, left = key[1].as_py() * size - training, key[2].as_py() * size - training
+        grid = np.full((size + 2 * training, size + 2 * training), np.nan)
+        grid[t.column("px_row").to_numpy() - top, t.column("px_col").to_numpy() - left] = t.column("value").to_numpy()
+        windows, found = np.lib.stride_tricks.sliding_window_view(grid, (span, span)), []
+        for low in range(0, size, 32):
+            v = np.sort(windows[low : low + 32][..., ring], axis=-1)  # missing ones come last
+            n = np.count_nonzero(~np.isnan(v), axis=-1)
+            at = np.floor(q * (np.maximum(n, 1) - 1)).astype(int)
+            chosen = np.take_along_axis(v, at[..., None], axis=-1)[..., 0]
+            x = grid[training + low : training + low + len(v), training : training + size]
+            rows, cols = np.nonzero((n > 0) & (x > k * chosen))
+            found.append((rows + low + top + training, cols + left + training, x[rows, cols]))
+        row, col, value = (np.concatenate(x) for x in zip(*found, strict=True))
+        h, w = t.column("_h")[0].as_py(), t.column("_w")[0].as_py()
+        inside = (row >= training) & (row <= h - training) & (col >= training) & (col <= w - training)
+        return pa.table({"scene_id": pa.array([key[0].as_py()] * int(inside.sum()), pa.int64()), "px_row": pa.array(row[inside], pa.int32()), "px_col": pa.array(col[inside], pa.int32()), "value": value[inside]})
+
+    rows = pixels.select("scene_id", F.col("px_row").cast("int").alias("px_row"), F.col("px_col").cast("int").alias("px_col"), F.col("value").cast("double").alias("value")).where("value is not null")
+    return tiled(rows.join(extents(pixels), "scene_id"), size, training).groupBy("scene_id", "_tr", "_tc").applyInArrow(hits, "scene_id long, px_row int, px_col int, value double")
 
 
 def dbscan(points: DataFrame, eps: float, least: int) -> DataFrame:
@@ -150,13 +183,14 @@ def dbscan(points: DataFrame, eps: float, least: int) -> DataFrame:
 
 
 def hit_clusters(hits: DataFrame, eps: float = 1.5, least: int = 3, min_snr: float = 0.0) -> DataFrame:
-    """Boxes of clustered hits (scene_id, px_row, px_col, value, snr) with their mean and largest value and mean ratio. A
+    """Boxes of clustered hits (scene_id, px_row, px_col, value, snr) with their centre (halves to even), mean and largest value
+    and mean ratio. A
     cluster is named by its first core pixel, row * 2^32 + column."""
     ids = hits.withColumn("point_id", F.shiftleft(F.col("px_row").cast("long"), 32) + F.col("px_col"))
     labels = dbscan(ids.select("scene_id", "point_id", F.col("px_col").cast("double").alias("x"), F.col("px_row").cast("double").alias("y")), eps, least)
     out = ids.join(labels, ["scene_id", "point_id"]).where("cluster is not null").groupBy("scene_id", "cluster").agg(
         F.min("px_col").alias("x_min"), F.min("px_row").alias("y_min"), F.max("px_col").alias("x_max"), F.max("px_row").alias("y_max"),
-        F.count("*").alias("n"), F.avg("value").alias("mean_value"), F.max("value").alias("max_value"), F.avg("snr").alias("mean_snr"),
+        F.bround(F.avg("px_col")).cast("int").alias("x_center"), F.bround(F.avg("px_row")).cast("int").alias("y_center"), F.count("*").alias("n"), F.avg("value").alias("mean_value"), F.max("value").alias("max_value"), F.avg("snr").alias("mean_snr"),
     )
     return out.where(F.col("mean_snr") >= min_snr)
 
@@ -175,7 +209,7 @@ def cfar_score(pixels: DataFrame, guard: int = 2, training: int = 6) -> DataFram
     mean = F.col("s") / F.col("n")
     deviation = F.sqrt(F.greatest(F.col("q") / F.col("n") - mean * mean, F.lit(0.0)))
     raw = sums.withColumn("raw", F.greatest(F.lit(0.0), F.coalesce(F.try_divide(F.col("value") - mean, deviation), F.lit(0.0))))
-    ends = raw.groupBy("scene_id").agg(F.min("raw").alias("_lo"), F.max("raw").alias("_hi"))
+    ends = small(raw.groupBy("scene_id").agg(F.min("raw").alias("_lo"), F.max("raw").alias("_hi")))
     return raw.join(ends, "scene_id").select("scene_id", "px_row", "px_col", F.coalesce(F.try_divide(F.col("raw") - F.col("_lo"), F.col("_hi") - F.col("_lo")), F.lit(0.0)).alias("score"))
 
 

@@ -237,6 +237,22 @@ def run_energy(runs: DataFrame, processors: DataFrame) -> DataFrame:
     return runs.crossJoin(F.broadcast(processors)).withColumn("joules", joules).withColumn("wh", joules / 3600)
 
 
+def stage_energy(runs: DataFrame, processors: DataFrame, stages: dict[str, str]) -> DataFrame:
+    """A row for each run, processor and stage: joules, and the stage's share of the run's total in percent.
+
+    stages: name and column of milliseconds. A missing time is none, a missing load is full, loads end at one. Of a run without
+    joules every share is 0."""
+    load = F.least(F.coalesce(F.col("cpu_usage_pct") / 100, F.lit(1.0)), F.lit(1.0))
+    joules = {k: F.coalesce(F.col(c), F.lit(0.0)) / 1000 * F.col("tdp_watts") * load for k, c in stages.items()}
+    both = runs.crossJoin(small(processors.select("processor", "tdp_watts"), 10_000))
+    ledger = both.select("id", "processor", *[v.alias(f"_{k}") for k, v in joules.items()])
+    total = sum((F.col(f"_{k}") for k in stages), F.lit(0.0))
+    rows = F.explode(F.array(*[F.struct(F.lit(k).alias("stage"), F.col(f"_{k}").alias("joules")) for k in stages])).alias("s")
+    out = ledger.select("id", "processor", total.alias("total_joules"), rows)
+    share = F.coalesce(F.try_divide(F.col("s.joules") * 100, F.col("total_joules")), F.lit(0.0))
+    return out.select("id", "processor", "s.stage", "s.joules", share.alias("share_pct"), "total_joules", (F.col("total_joules") / 3600).alias("total_wh"))
+
+
 def orbit_budget(energy: DataFrame, satellites: DataFrame, images: int = 10) -> DataFrame:
     """energy: groups with joules for each image."""
     available, each = F.col("payload_w") * F.col("period_min") / 60 * F.col("sunlit"), F.col("joules") / 3600

@@ -135,3 +135,32 @@ def replay_chain(cues: DataFrame, runs: DataFrame, dets: DataFrame, k: int = 12)
     out = cues.where("execution_id is not null").select("id", "target_zone", "triggered_by", "execution_id").join(t0, "triggered_by").join(t1, "execution_id")
     seconds = (F.unix_micros(F.col("at1").cast("timestamp")) - F.unix_micros(F.col("at0").cast("timestamp"))) / 1e6
     return out.withColumn("gap_s", seconds).withColumn("uplift", F.col("conf1") - F.col("conf0"))
+
+
+def replay_record(cues: DataFrame, runs: DataFrame, dets: DataFrame, k: int = 12) -> DataFrame:
+    """The whole record of each cue (id, triggered_by, triggering, execution_id, ...): both runs' times, its triggering
+    detections (the ids in the array `triggering`) and the best k of the run that answered it, as arrays of (confidence, det_id)
+    with higher confidence, then lower id first, their mean confidences to four decimals and the uplift; what is missing is
+    null, a list empty.
+
+    Only detections that a cue names or whose run a cue names are ranked. Arrays hold what the cue lists, or k."""
+    from .runs import top_per_group
+
+    both = lambda conf, det: F.struct((-F.col(conf)).alias("c"), F.col(det).alias("i"))
+    listed = lambda found: F.transform(F.sort_array(found), lambda s: F.struct((-s["c"]).alias("confidence"), s["i"].alias("det_id")))
+    slim = dets.select("det_id", "execution_id", "confidence")
+    named = cues.select("id", F.explode("triggering").alias("det_id")).distinct()
+    first = named.join(slim, "det_id").groupBy("id").agg(listed(F.collect_list(both("confidence", "det_id"))).alias("triggering_detections"), F.avg("confidence").alias("_t0"))
+    answered = cues.where("execution_id is not null").select("execution_id").distinct()
+    best = top_per_group(slim.join(answered, "execution_id", "left_semi"), "execution_id", k, F.desc("confidence"), F.col("det_id"))
+    last = best.groupBy("execution_id").agg(listed(F.collect_list(both("confidence", "det_id"))).alias("confirming_detections"), F.avg("confidence").alias("_t1"))
+    at = lambda run, name: runs.select(F.col("id").alias(run), F.col("created_at").alias(name))
+    out = cues.join(first, "id", "left").join(last, "execution_id", "left").join(at("triggered_by", "t0_at"), "triggered_by", "left").join(at("execution_id", "t1_at"), "execution_id", "left")
+    none = F.expr("cast(array() as array<struct<confidence: double, det_id: bigint>>)")
+    gap = lambda a, b: (F.unix_micros(F.col(a).cast("timestamp")) - F.unix_micros(F.col(b).cast("timestamp"))) / 1e6
+    known = F.col("_t0").isNotNull() & F.col("_t1").isNotNull()
+    return out.select(
+        *cues.columns, "t0_at", "t1_at", gap("created_at", "t0_at").alias("t0_to_cue_s"), gap("t1_at", "t0_at").alias("t0_to_t1_s"),
+        *[F.coalesce(c, none).alias(c) for c in ("triggering_detections", "confirming_detections")],
+        *[F.when(known, F.round(x, 4)).alias(n) for n, x in (("avg_confidence_t0", F.col("_t0")), ("avg_confidence_t1", F.col("_t1")), ("confidence_uplift", F.col("_t1") - F.col("_t0")))],
+    )

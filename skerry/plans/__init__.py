@@ -2,7 +2,7 @@
 
 
 def load() -> tuple[dict, dict]:
-    from . import aggregates, dashboards, lineage, relational, spatial, streams  # noqa: F401
+    from . import aggregates, archive, dashboards, lineage, relational, spatial, streams  # noqa: F401
     from .registry import ORACLES, QUERIES
 
     return dict(QUERIES), dict(ORACLES)

@@ -194,16 +194,18 @@ def r2_to_db_uint8(pixels, lut):
     return P.calibrate(pixels, lut).select("scene_id", "px_row", "px_col", P.to_uint8(F.col("sigma0")).alias("grey"))
 
 
-_MIRROR = "(SELECT px_row, px_col, unnest([px_row, CASE WHEN px_row < 3 THEN -1 - px_row END, CASE WHEN h - px_row < 3 THEN 2 * h + 1 - px_row END]) AS r, value, h, w FROM fx_pixels, (SELECT max(px_row) AS h, max(px_col) AS w FROM fx_pixels))"
-_MIRROR2 = f"(SELECT r, unnest([px_col, CASE WHEN px_col < 3 THEN -1 - px_col END, CASE WHEN w - px_col < 3 THEN 2 * w + 1 - px_col END]) AS c, value, h, w FROM {_MIRROR} m WHERE r IS NOT NULL)"
+_SIZES = "(SELECT p.*, h, w FROM fx_two_scenes p JOIN (SELECT scene_id, max(px_row) AS h, max(px_col) AS w FROM fx_two_scenes GROUP BY scene_id) s ON p.scene_id = s.scene_id)"
+_MIRROR = f"(SELECT scene_id, px_col, unnest([px_row, CASE WHEN px_row < 3 THEN -1 - px_row END, CASE WHEN h - px_row < 3 THEN 2 * h + 1 - px_row END]) AS r, value, h, w FROM {_SIZES} z)"
+_MIRROR2 = f"(SELECT scene_id, r, unnest([px_col, CASE WHEN px_col < 3 THEN -1 - px_col END, CASE WHEN w - px_col < 3 THEN 2 * w + 1 - px_col END]) AS c, value, h, w FROM {_MIRROR} m WHERE r IS NOT NULL)"
 
 
 @query(
-    f"""WITH a AS (SELECT * FROM {_MIRROR2} m WHERE c IS NOT NULL), s AS (SELECT r, c, value, h, w, sum(value) OVER (PARTITION BY r ORDER BY c RANGE BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS s1, sum(value * value) OVER (PARTITION BY r ORDER BY c RANGE BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS q1 FROM a),
-    t AS (SELECT r, c, value, h, w, sum(s1) OVER (PARTITION BY c ORDER BY r RANGE BETWEEN 3 PRECEDING AND 3 FOLLOWING) / 49 AS m, sum(q1) OVER (PARTITION BY c ORDER BY r RANGE BETWEEN 3 PRECEDING AND 3 FOLLOWING) / 49 AS q FROM s),
-    v AS (SELECT r, c, value, m, greatest(q - m * m, 0) AS v FROM t WHERE r BETWEEN 0 AND h AND c BETWEEN 0 AND w), n AS (SELECT avg(v) AS noise FROM v)
-    SELECT CAST(0 AS BIGINT) AS scene_id, r AS px_row, c AS px_col, round(m + v / (v + noise) * (value - m), 4) AS filtered FROM v, n""",
-    "fx_pixels",
+    f"""WITH a AS (SELECT * FROM {_MIRROR2} m WHERE c IS NOT NULL),
+    s AS (SELECT *, sum(value) OVER along AS s1, sum(value * value) OVER along AS q1 FROM a WINDOW along AS (PARTITION BY scene_id, r ORDER BY c RANGE BETWEEN 3 PRECEDING AND 3 FOLLOWING)),
+    t AS (SELECT *, sum(s1) OVER down / 49 AS m, sum(q1) OVER down / 49 AS q FROM s WINDOW down AS (PARTITION BY scene_id, c ORDER BY r RANGE BETWEEN 3 PRECEDING AND 3 FOLLOWING)),
+    v AS (SELECT *, greatest(q - m * m, 0) AS v FROM t WHERE r BETWEEN 0 AND h AND c BETWEEN 0 AND w), n AS (SELECT scene_id, avg(v) AS noise FROM v GROUP BY scene_id)
+    SELECT v.scene_id, r AS px_row, c AS px_col, round(m + v / (v + noise) * (value - m), 4) AS filtered FROM v JOIN n ON v.scene_id = n.scene_id""",
+    "fx_two_scenes",
 )
 def r3_lee_filter(pixels):
     return P.lee_filter(pixels, 7).withColumn("filtered", F.round("filtered", 4))
@@ -240,21 +242,19 @@ def r5_tile_bounds(dets, scenes):
     return out.select("scene_id", "row_off", "col_off", *[F.round(c, 6).alias(c) for c in ("lon_min", "lon_max", "lat_min", "lat_max")])
 
 
-@query(
-    f"""WITH h AS (SELECT max(px_row) AS h, max(px_col) AS w FROM fx_pixels), o AS (SELECT * FROM (SELECT unnest(range(-6, 7)) AS dr) a, (SELECT unnest(range(-6, 7)) AS dc) b WHERE greatest(abs(dr), abs(dc)) > 2),
-    s AS (SELECT p.px_row, p.px_col, p.value, sum(q.value) / 144 AS m FROM fx_pixels p, h, o JOIN fx_pixels q ON q.px_row = p.px_row + dr AND q.px_col = p.px_col + dc WHERE p.px_row BETWEEN 6 AND h - 6 AND p.px_col BETWEEN 6 AND w - 6 GROUP BY ALL)
-    SELECT px_row, px_col, round(m, 7) AS background, value > 144 * (pow(0.01, -1 / CAST(144 AS DOUBLE)) - 1) * m AS hit FROM s""",
-    "fx_pixels",
-)
-def r6_ca_cfar(pixels):
-    return P.ca_cfar(pixels).select("px_row", "px_col", F.round("background", 7).alias("background"), "hit")
-
-
 _RING = """WITH h AS (SELECT scene_id, max(px_row) AS h, max(px_col) AS w FROM fx_two_scenes GROUP BY 1), o AS (SELECT * FROM (SELECT unnest(range(-6, 7)) AS dr) a, (SELECT unnest(range(-6, 7)) AS dc) b WHERE greatest(abs(dr), abs(dc)) > 2),
     s AS (SELECT p.scene_id, p.px_row, p.px_col, p.value, sum(q.value) / 144 AS m, sum(q.value * q.value) / 144 AS m2 FROM fx_two_scenes p JOIN h ON p.scene_id = h.scene_id, o JOIN fx_two_scenes q ON q.px_row = p.px_row + dr AND q.px_col = p.px_col + dc AND q.scene_id = p.scene_id
       WHERE p.px_row BETWEEN 6 AND h - 6 AND p.px_col BETWEEN 6 AND w - 6 GROUP BY ALL)"""
 
 
+@query(
+    f"{_RING} SELECT scene_id, px_row, px_col, round(m, 7) AS background, value > 144 * (pow(0.01, -1 / CAST(144 AS DOUBLE)) - 1) * m AS hit FROM s",
+    "fx_two_scenes",
+)
+def r6_ca_cfar(pixels):
+    return P.ca_cfar(pixels).select("scene_id", "px_row", "px_col", F.round("background", 7).alias("background"), "hit")
+
+
 @query(
     f"{_RING} SELECT scene_id, px_row, px_col, value > m + 1.5 * sqrt(greatest(m2 - m * m, 0)) AND px_col % 5 <> 0 AS hit FROM s",
     "fx_two_scenes",
@@ -264,13 +264,14 @@ def r6_gaussian_cfar(pixels):
 
 
 @query(
-    """WITH h AS (SELECT max(px_row) AS h, max(px_col) AS w FROM fx_pixels), o AS (SELECT * FROM (SELECT unnest(range(-3, 4)) AS dr) a, (SELECT unnest(range(-3, 4)) AS dc) b WHERE greatest(abs(dr), abs(dc)) > 1),
-    s AS (SELECT p.px_row, p.px_col, p.value, list_sort(list(q.value)) AS v FROM fx_pixels p, h, o JOIN fx_pixels q ON q.px_row = p.px_row + dr AND q.px_col = p.px_col + dc WHERE p.px_row BETWEEN 3 AND h - 3 AND p.px_col BETWEEN 3 AND w - 3 GROUP BY ALL)
-    SELECT px_row, px_col, value FROM s WHERE value > 2 * v[CAST(floor(0.75 * (len(v) - 1)) AS INT) + 1]""",
-    "fx_pixels",
+    f"""WITH o AS (SELECT * FROM (SELECT unnest(range(-3, 4)) AS dr) a, (SELECT unnest(range(-3, 4)) AS dc) b WHERE greatest(abs(dr), abs(dc)) > 1),
+    s AS (SELECT p.scene_id, p.px_row, p.px_col, p.value, list_sort(list(q.value)) AS v FROM {_SIZES} p, o JOIN fx_two_scenes q ON q.scene_id = p.scene_id AND q.px_row = p.px_row + dr AND q.px_col = p.px_col + dc
+      WHERE p.px_row BETWEEN 3 AND h - 3 AND p.px_col BETWEEN 3 AND w - 3 GROUP BY ALL)
+    SELECT scene_id, px_row, px_col, value FROM s WHERE value > 2 * v[CAST(floor(0.75 * (len(v) - 1)) AS INT) + 1]""",
+    "fx_two_scenes",
 )
 def r7_os_cfar(pixels):
-    return P.os_cfar(pixels).select("px_row", "px_col", "value")
+    return P.os_cfar(pixels)
 
 
 def cluster_oracle(points: str, out: str, head: str = "WITH RECURSIVE ") -> str:

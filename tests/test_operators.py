@@ -263,21 +263,6 @@ def test_labels_and_manifest(spark, tmp_path):
     assert sorted((r.image_path, r.x_min) for r in good.collect()) == sorted((f"/s/{k % 5}", float(k)) for k in range(12)) and bad.count() == 0
 
 
-def test_bundle_and_verification(spark, tmp_path):
-    runs_ = spark.createDataFrame([(1, "ok")], "id long, status string")
-    dets = spark.createDataFrame([(5, 1, 1.0, 2.0, 0.0, 0.0, 1.0, 1.0)], "det_id long, execution_id long, longitude double, latitude double, x_min double, y_min double, x_max double, y_max double")
-    settings = spark.createDataFrame([("DB_PASSWORD", "x"), ("DB_URL", "pg://u:secret@h")], "key string, value string")
-    counts = provenance.evidence_bundle(spark, runs_, dets, settings, f"{tmp_path}/bundle").first()
-    assert (counts.executions, counts.detections) == (1, 1)
-    assert {r.value for r in spark.read.json(f"{tmp_path}/bundle/settings").collect()} == {"***", "pg://u:***@h"}
-    feature = json.loads(spark.read.text(f"{tmp_path}/bundle/features").first()[0])
-    assert feature["geometry"] == {"type": "Point", "coordinates": [1.0, 2.0]} and feature["properties"]["det_id"] == 5
-    listed = files.file_inventory(spark, f"{tmp_path}/bundle").cache()
-    assert provenance.bundle_verdict(provenance.compared(listed, listed)).first().verdict == "PASS"
-    other = listed.withColumn("sha256", F.lit("0"))
-    assert provenance.bundle_verdict(provenance.compared(listed, other)).first().verdict == "FAIL"
-
-
 def test_snapshot_keeps_the_old_version(spark, tmp_path):
     old = spark.createDataFrame([(1, "a"), (2, "b")], "id long, v string")
     new = files.write_snapshot(old, spark.createDataFrame([(2, "c"), (3, "d")], "id long, v string"), ["id"], f"{tmp_path}/v2")
