@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .runs import same, small
 
 def canonical(*columns: str) -> Column:
     """A row as text that does not depend on types' printing: null is a word of its own."""
@@ -15,12 +16,30 @@ def sha(x: Column) -> Column:
     return F.sha2(x.cast("binary"), 256)
 
 
-def result_hash(dets: DataFrame, by: str, *columns: str) -> DataFrame:
-    """One hash for each group, the same for any order of its rows: rows are hashed, the hashes of each of 256 buckets are
-    sorted and hashed, and then the buckets', so a large group is never gathered as a whole."""
+def result_hash(dets: DataFrame, by: str, *columns: str, most: int = 5_000) -> DataFrame:
+    """One hash for each group, the same for any order of its rows: a tree over the rows' hashes by their leading digits.
+
+    Rows are hashed; hashes that share their leading digits are sorted and hashed together, and so on up by two digits a level
+    until one is left. A group has two digits at the bottom, and two more each time that `most` rows a bucket would be
+    exceeded, by its own count; so no task gathers more than about `most` hashes of a bucket or the 256 below a node."""
     rows = dets.select(by, sha(canonical(*columns)).alias("_h"))
-    buckets = rows.groupBy(by, F.substring("_h", 1, 2).alias("_b")).agg(sha(F.array_join(F.array_sort(F.collect_list("_h")), ",")).alias("_h"))
-    return buckets.groupBy(by).agg(sha(F.array_join(F.array_sort(F.collect_list(F.concat("_b", "_h"))), ",")).alias("output_hash"))
+    largest = rows.groupBy(by).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    digits = lambda n: 2 + 2 * sum((n > most * 256**k).cast("int") for k in range(1, 7))
+    joined = lambda x: sha(F.array_join(F.array_sort(F.collect_list(x)), ",")).alias("_h")
+    if largest <= most * 256:
+        level = rows.groupBy(by, F.substring("_h", 1, 2).alias("_b")).agg(joined("_h"))
+        return level.groupBy(by).agg(joined(F.concat("_b", "_h")).alias("output_hash"))
+    sizes = small(rows.groupBy(by).agg(digits(F.count("*")).alias("_d")))
+    deep = same(rows, sizes, [by])
+    level = deep.groupBy(by, "_d", F.expr("substring(_h, 1, _d)").alias("_b")).agg(joined("_h"))
+    depth = 2
+    while most * 256 ** (depth // 2) < largest:
+        depth += 2
+    for d in range(depth, 2, -2):
+        # groups that are not so deep pass unchanged
+        up = level.where(F.length("_b") == d).groupBy(by, "_d", F.substring("_b", 1, d - 2).alias("_p")).agg(joined(F.concat("_b", "_h"))).withColumnRenamed("_p", "_b")
+        level = level.where(F.length("_b") < d).unionByName(up)
+    return level.groupBy(by).agg(joined(F.concat("_b", "_h")).alias("output_hash"))
 
 
 def params_hash(params: Column) -> Column:

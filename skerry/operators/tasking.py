@@ -15,18 +15,24 @@ def eligible(dets: DataFrame, min_conf: float = 0.7) -> DataFrame:
 
 
 def tips(dets: DataFrame, zones: DataFrame, min_conf: float = 0.7, least: int = 2, margin: float = 0.05) -> DataFrame:
-    """A tip for each run and zone with enough eligible detections."""
+    """A tip for each run and zone with enough eligible detections; `tip_detections` has their ids."""
     held = points_in_zones(eligible(dets, min_conf), zones)
     out = held.groupBy("execution_id", "zone_id").agg(
         F.count("*").alias("n"), F.avg("confidence").alias("conf"), F.max("priority").alias("zone_priority"), F.min("created_at").alias("created_at"),
         (F.min("longitude") - margin).alias("lon_min"), (F.min("latitude") - margin).alias("lat_min"), (F.max("longitude") + margin).alias("lon_max"), (F.max("latitude") + margin).alias("lat_max"),
-        F.array_sort(F.collect_list("det_id")).alias("det_ids"),
     ).where(F.col("n") >= least)
     raised = F.when((F.col("n") >= 5) & (F.col("conf") >= 0.85), 2).when((F.col("n") >= 3) | (F.col("conf") >= 0.8), 1).otherwise(0)
     name = F.concat(F.when(F.col("conf") >= 0.85, "high_confidence").otherwise("moderate_confidence"), F.lit("_in_"), F.col("zone_id"), F.when(F.col("n") >= 5, "_cluster_detected").otherwise(""))
     return out.withColumn("priority", F.least(F.lit(2), F.greatest("zone_priority", raised))).withColumn("reason", name)
 
 
+def tip_detections(dets: DataFrame, zones: DataFrame, min_conf: float = 0.7, least: int = 2) -> DataFrame:
+    """(execution_id, zone_id, det_id): the detections behind each tip, as rows, however many a crowded zone has."""
+    held = points_in_zones(eligible(dets, min_conf), zones).select("execution_id", "zone_id", "det_id")
+    enough = held.groupBy("execution_id", "zone_id").agg(F.count("*").alias("n")).where(F.col("n") >= least).drop("n")
+    return held.join(enough, ["execution_id", "zone_id"], "left_semi")
+
+
 def cooldown(events: DataFrame, key: str, minutes: int, id_: str = "id", at: str = "created_at", fold_rows: int = 50_000) -> DataFrame:
     """Of each key's events in order of time those at least `minutes` after the last one kept; of one instant the least id.
 

@@ -98,6 +98,15 @@ def t1_tips(dets, zones):
     return T.tips(dets, zones, 0.4).select("execution_id", "zone_id", "n", F.round("lon_min", 6).alias("lon_min"), F.round("lat_max", 6).alias("lat_max"), "priority", "reason")
 
 
+@query(
+    """WITH h AS (SELECT d.execution_id, z.zone_id, d.det_id, count(*) OVER (PARTITION BY d.execution_id, z.zone_id) AS n FROM fx_detections d JOIN fx_zones z ON d.longitude BETWEEN z.lon_min AND z.lon_max AND d.latitude BETWEEN z.lat_min AND z.lat_max
+      WHERE NOT on_land AND NOT cluster_anomaly AND source IN ('yolo', 'fused') AND confidence >= 0.4) SELECT execution_id, zone_id, det_id FROM h WHERE n >= 2""",
+    "fx_detections", "fx_zones",
+)
+def t1_tip_detections(dets, zones):
+    return T.tip_detections(dets, zones, 0.4)
+
+
 @query(
     """WITH RECURSIVE f AS (SELECT target_zone, created_at, min(id) AS id FROM fx_cues GROUP BY ALL), t AS (SELECT *, row_number() OVER (PARTITION BY target_zone ORDER BY created_at, id) AS rk FROM f),
     w AS (SELECT target_zone, id, rk, created_at AS last, TRUE AS keep FROM t WHERE rk = 1 UNION ALL SELECT t.target_zone, t.id, t.rk, CASE WHEN t.created_at >= w.last + INTERVAL 60 MINUTE THEN t.created_at ELSE w.last END, t.created_at >= w.last + INTERVAL 60 MINUTE FROM w JOIN t ON t.target_zone = w.target_zone AND t.rk = w.rk + 1)

@@ -50,8 +50,13 @@ def k4_cooled_tips(events: DataFrame) -> DataFrame:
     return S.finished(S.cooled(events, "user_id", 24 * 60))
 
 
-@stream()
+@stream(
+    """WITH e AS (SELECT user_id, ts, event_type FROM events WHERE event_type IN ('view', 'purchase')), l AS (SELECT user_id, max(ts) AS ts, arg_max(event_type, ts) AS event_type FROM e GROUP BY user_id)
+    SELECT user_id AS run, 'reaped' AS verdict FROM l WHERE event_type = 'view' AND ts + INTERVAL 70 MINUTE < (SELECT max(ts) FROM e)"""
+)
 def k5_orphans(events: DataFrame) -> DataFrame:
+    """All events in one batch: what has not ended by its last event is reaped once event time is an hour past it, less ten
+    minutes of lateness."""
     return S.finished(S.orphans(events, 60))
 
 

@@ -5,6 +5,7 @@ event_type, value) and returns one. `finished` runs a stream over all files ther
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -31,8 +32,9 @@ def timed(events: DataFrame) -> DataFrame:
     return events.withColumn("at", F.col("ts").cast("timestamp"))
 
 
-def finished(df: DataFrame, mode: str = "append") -> DataFrame:
-    """The result after all files: appended rows, or the last full state."""
+def finished(df: DataFrame, mode: str = "append", report: dict[str, int] | None = None) -> DataFrame:
+    """The result after all files: appended rows, or the last full state. `report` gets the number of batches, and of rows
+    that came behind the watermark and were dropped (`late_rows`), from the query's progress."""
     spark = df.sparkSession
     path = folder(spark)
     writer = df.writeStream.option("checkpointLocation", f"{path}/state").trigger(availableNow=True).outputMode(mode)
@@ -41,6 +43,9 @@ def finished(df: DataFrame, mode: str = "append") -> DataFrame:
     else:
         query = writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{path}/out")).start()
     query.awaitTermination()
+    if report is not None:
+        steps = [json.loads(p.json) for p in query.recentProgress]
+        report |= {"batches": len(steps), "late_rows": sum(s["numRowsDroppedByWatermark"] for p in steps for s in p["stateOperators"])}
     return spark.read.schema(df.schema).parquet(f"{path}/out")
 
 
@@ -74,11 +79,12 @@ def cooled(events: DataFrame, key: str, minutes: int, late: str = "1 day") -> Da
             return
         last = pd.Timestamp(state.get[0], unit="us") if state.exists else None
         rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        kept = []
-        for at, i in zip(rows["ts"], rows["event_id"], strict=True):
-            if last is None or at - last >= gap:
-                last = at
-                kept.append(i)
+        times, ids = rows["ts"], rows["event_id"].tolist()
+        kept, k = [], 0 if last is None else int(times.searchsorted(last + gap))
+        while k < len(ids):  # from one kept event to the next, whatever lies between
+            last = times.iloc[k]
+            kept.append(ids[k])
+            k = max(k + 1, int(times.searchsorted(last + gap)))
         state.update((int(last.value // 1000),))
         over = -(-int((last + gap).value) // 1_000_000)
         state.setTimeoutTimestamp(max(over, state.getCurrentWatermarkMs() + 1))

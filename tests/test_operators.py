@@ -231,6 +231,17 @@ def test_result_hash_ignores_order(spark):
     assert a == b and len(set(a.values())) == 3
 
 
+def test_deep_hashes_ignore_order_and_match_shallow_ones(spark):
+    df = spark.range(3000).selectExpr("if(id < 2900, 0, id % 3) as g", "id")
+    shallow = {r.g: r.output_hash for r in provenance.result_hash(df, "g", "id").collect()}
+    deep = {r.g: r.output_hash for r in provenance.result_hash(df, "g", "id", most=5).collect()}
+    again = {r.g: r.output_hash for r in provenance.result_hash(df.orderBy(F.desc("id")).repartition(3), "g", "id", most=5).collect()}
+    assert deep == again and len(set(deep.values())) == 3
+    assert {g for g in deep if deep[g] == shallow[g]} == {1, 2}  # the others have no more rows than one bucket may
+    other = provenance.result_hash(df.withColumn("id", F.when(F.col("id") == 77, -1).otherwise(F.col("id"))), "g", "id", most=5)
+    assert {r.g for r in other.collect() if r.output_hash != deep[r.g]} == {0}
+
+
 def test_csv_round_trip_and_inventory(spark, tmp_path):
     df = spark.sql("select 1L id, timestamp_ntz'2024-01-02 03:04:05' created_at, 'i' image_id, 'm' model_name, 'v' model_version, 'success' status, 1.5D inference_ms, 3 num_detections, '{\"type\":\"Point\",\"coordinates\":[1,2]}' footprint union all select 2L, null, null, 'm', 'v', 'error', null, null, null")
     files.write_csv(df, f"{tmp_path}/out")
@@ -305,6 +316,14 @@ def test_cooled_forgets_keys_without_changing_the_result(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == [(1, 1), (1, 4), (1, 7), (2, 3), (2, 9), (3, 5)]
 
 
+def test_late_rows_are_counted(spark, tmp_path):
+    batches = [[(1, 0.0, 1, "view")], [(2, 20.0, 2, "view")], [(3, 1.0, 3, "view"), (4, 1.5, 3, "view"), (5, 19.95, 4, "view")], [(6, 40.0, 5, "purchase")]]
+    report = {}
+    got = streams.finished(streams.orphans(streams.read_events(spark, event_files(tmp_path, batches), 1), 60), report=report)
+    assert report["late_rows"] == 2 and report["batches"] >= 4
+    assert sorted(map(tuple, got.collect())) == [(1, "reaped"), (2, "reaped"), (4, "reaped")]
+
+
 def test_entry_registers_queries():
     import __spark_entry__ as entry
 
