@@ -42,7 +42,7 @@ from .text import _BYTES, U64, blocks, mix, prefix_hash, span_hash, utf8
 
 LENGTH, GRAM, COVER = 100, 24, 31
 #: Bytes of text cut at once, packed together, aimed at in a bucket and in a group, and most of different pieces sorted in one.
-CUT, PACK, BUCKET, GROUP_BYTES, LIMIT = 1 << 20, 24_000_000, 6_000_000, 6_000_000, 48_000_000
+CUT, PACK, BUCKET, GROUP_BYTES, LIMIT = 1 << 20, 12_000_000, 6_000_000, 6_000_000, 48_000_000
 #: Suffixes of a block; times a bucket is dealt before the last level.
 BLOCK, LEVELS = 500_000, 3
 
