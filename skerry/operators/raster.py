@@ -49,6 +49,12 @@ def to_uint8(linear: Column) -> Column:
     return F.floor((db + 25) / 25 * 255).cast("int")
 
 
+def from_db(db: Column) -> Column:
+    """Decibels, held to [-50, 30], back to linear power; no-data (-1000 or less) is 0."""
+    held = F.least(F.greatest(db, F.lit(-50.0)), F.lit(30.0))
+    return F.when(db <= -1000, 0.0).when(db.isNotNull(), F.pow(F.lit(10.0), held / 10))
+
+
 def mirrored(pixels: DataFrame, half: int) -> DataFrame:
     """Adds the reflected border (edge pixel repeated) that a centred window needs."""
     joined = pixels.join(extents(pixels), "scene_id")

@@ -125,6 +125,23 @@ def edge_swath_filter(dets: DataFrame, scenes: DataFrame, buffer_px: float) -> D
     return dets.join(scenes, "scene_id", "left").where(F.col("n_rows").isNull() | inside).drop("n_rows", "n_cols")
 
 
+def edge_swath_by_tiles(dets: DataFrame, tiles: DataFrame, scenes: DataFrame, buffer_px: float) -> DataFrame:
+    """As `edge_swath_filter`, for boxes in tile coordinates. A scene's size is the one stated in scenes (scene_id, n_rows,
+    n_cols), else as far as its tiles (scene_id, tile_index, row_off, col_off, tile_rows, tile_cols) reach. Detections of
+    unknown tiles, and of scenes without a size, pass; without a buffer all do."""
+    if buffer_px <= 0:
+        return dets
+    reach = tiles.groupBy("scene_id").agg(F.max(F.col("row_off") + F.col("tile_rows")).alias("_h"), F.max(F.col("col_off") + F.col("tile_cols")).alias("_w"))
+    stated = scenes.select("scene_id", "n_rows", "n_cols").where("n_rows is not null and n_cols is not null")
+    known = F.col("n_rows").isNotNull()
+    size = reach.join(stated, "scene_id", "left").select("scene_id", F.when(known, F.col("n_rows")).otherwise(F.col("_h")).alias("_h"), F.when(known, F.col("n_cols")).otherwise(F.col("_w")).alias("_w"))
+    place = tiles.select("scene_id", "tile_index", "row_off", "col_off").join(size, "scene_id")
+    cx, cy = F.col("col_off") + (F.col("x_min") + F.col("x_max")) / 2, F.col("row_off") + (F.col("y_min") + F.col("y_max")) / 2
+    near = (cx < buffer_px) | (cx > F.col("_w") - buffer_px) | (cy < buffer_px) | (cy > F.col("_h") - buffer_px)
+    drop = F.coalesce((F.col("_h") > 0) & (F.col("_w") > 0) & near, F.lit(False))
+    return dets.join(place, ["scene_id", "tile_index"], "left").where(~drop).select(*dets.columns)
+
+
 def column_density_filter(dets: DataFrame, least_rows: int = 15, most_in_column: int = 8) -> DataFrame:
     """Scenes with more than `least_rows` detections lose those whose longitude, to three decimals, comes `most_in_column`
     times or more. Counts are joined back, so a crowded scene is not gathered in one task."""

@@ -8,6 +8,8 @@ from skerry.functions import exprs as X
 from skerry.operators import boxes as B
 from skerry.operators import bundle, fixpoint
 from skerry.operators import provenance as H
+from skerry.operators import raster as P
+from skerry.operators import relations as L
 from skerry.operators import runs as R
 from skerry.operators import tasking as T
 
@@ -122,3 +124,27 @@ def t6_replay_record(cues, runs, dets):
     mean = lambda c: F.aggregate(c, F.lit(0.0), lambda a, s: a + s["confidence"]) / F.size(c)
     uplift = F.when(F.col("confidence_uplift").isNotNull(), F.round(mean("confirming_detections") - mean("triggering_detections"), 6))
     return out.select("id", text("triggering_detections").alias("triggering"), text("confirming_detections").alias("confirming"), uplift.alias("uplift"), "t0_to_t1_s")
+
+
+_TILES = "(SELECT DISTINCT scene_id, tile_index, floor(tile_index / 4) * 640 AS row_off, (tile_index % 4) * 640 AS col_off FROM fx_detections WHERE tile_index <> 6)"
+
+
+@query(
+    f"""WITH z AS (SELECT scene_id, CASE WHEN scene_id % 2 = 0 THEN 1000 ELSE max(row_off + 640) END AS h, CASE WHEN scene_id % 2 = 0 THEN 2000 ELSE max(col_off + 640) END AS w FROM {_TILES} t GROUP BY scene_id),
+    d AS (SELECT d.det_id, col_off + (x_min + x_max) / 2 AS cx, row_off + (y_min + y_max) / 2 AS cy, h, w FROM fx_detections d LEFT JOIN {_TILES} t ON t.scene_id = d.scene_id AND t.tile_index = d.tile_index LEFT JOIN z ON z.scene_id = t.scene_id)
+    SELECT det_id FROM d WHERE cx IS NULL OR (cx BETWEEN 40 AND w - 40 AND cy BETWEEN 40 AND h - 40)""",
+    "fx_detections",
+)
+def p8_edge_by_tiles(dets):
+    """Every other scene states its size; one tile is not listed."""
+    place = {"row_off": F.floor(F.col("tile_index") / 4) * 640, "col_off": (F.col("tile_index") % 4) * 640, "tile_rows": F.lit(640), "tile_cols": F.lit(640)}
+    tiles = dets.where("tile_index <> 6").select("scene_id", "tile_index").distinct().withColumns(place)
+    scenes = dets.where("scene_id % 2 = 0").select("scene_id", F.lit(1000).alias("n_rows"), F.lit(2000).alias("n_cols")).distinct()
+    return L.edge_swath_by_tiles(dets, tiles, scenes, 40).select("det_id")
+
+
+@query("SELECT scene_id, px_row, px_col, round(CASE WHEN px_col % 7 = 0 THEN 0 ELSE pow(10.0, least(greatest(value - 60, -50), 30) / 10) END, 6) AS linear FROM fx_two_scenes", "fx_two_scenes")
+def r2_from_db(pixels):
+    """Every seventh column holds no data."""
+    db = F.when(F.col("px_col") % 7 == 0, -9999.0).otherwise(F.col("value") - 60)
+    return pixels.select("scene_id", "px_row", "px_col", F.round(P.from_db(db), 6).alias("linear"))

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skerry.functions import exprs as X
-from skerry.operators import boxes, bundle, raster, runs, tasking
+from skerry.operators import boxes, bundle, raster, relations, runs, tasking
 from skerry.sources import fixtures
 
 SF = "/root/testdata/sf0.01"
@@ -147,3 +147,18 @@ def test_ordered_statistic_equals_plain_windows(spark, size):
     got = raster.os_cfar(df, k=1.2, size=size).collect()
     assert {tuple(r) for r in got} == want and len(got) == len(want) > 20
     assert raster.tiled(df, size, 3).count() <= df.count() * (4 if size == 7 else 1.1)
+
+
+def test_edges_by_stated_and_inferred_sizes(spark):
+    dets = spark.createDataFrame([(1, 1, 0, 5.0), (2, 1, 0, 50.0), (3, 1, 1, 95.0), (4, 1, 1, 50.0), (5, 2, 0, 50.0), (6, 2, 9, 1.0), (7, 3, 0, 1.0)], "det_id long, scene_id long, tile_index long, m double")
+    dets = dets.select("det_id", "scene_id", "tile_index", *[F.col("m").alias(c) for c in ("x_min", "x_max")], *[F.lit(50.0).alias(c) for c in ("y_min", "y_max")])
+    tiles = spark.createDataFrame([(1, 0, 0, 0, 100, 100), (1, 1, 0, 100, 100, 100), (2, 0, 0, 0, 100, 100), (3, 0, 0, 0, 0, 0)], "scene_id long, tile_index long, row_off int, col_off int, tile_rows int, tile_cols int")
+    stated = spark.createDataFrame([(2, 100, 55), (1, None, 9)], "scene_id long, n_rows int, n_cols int")
+    kept = lambda buffer: sorted(r.det_id for r in relations.edge_swath_by_tiles(dets, tiles, stated, buffer).collect())
+    # 1 and 3 are near the ends of the tiles of scene 1, 5 near the stated end of 2; 6 has no tile, 7's scene no size
+    assert kept(10) == [2, 4, 6, 7] and kept(0) == [1, 2, 3, 4, 5, 6, 7]
+
+
+def test_decibels_come_back(spark):
+    df = spark.createDataFrame([(-1000.0,), (-9999.0,), (-80.0,), (0.0,), (10.0,), (99.0,), (None,)], "db double")
+    assert [r[0] for r in df.select(raster.from_db(F.col("db"))).collect()] == pytest.approx([0.0, 0.0, 1e-5, 1.0, 10.0, 1000.0, None])
