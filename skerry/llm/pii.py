@@ -15,7 +15,8 @@ they are taken out. A word is a run of letters, for terms (of four letters or mo
 of all texts.
 
 Null and empty texts have no spans. Rows equal in doc_id and text have the same spans; a null doc_id changes nothing.
-Very long texts are read whole. Contexts that are equal count once, so copies of a document are no evidence. An empty
+Very long texts are read whole, in time that grows with
+n log n for n spans or words. Contexts that are equal count once, so copies of a document are no evidence. An empty
 table gives no rows. Other columns are ignored.
 """
 
@@ -40,6 +41,8 @@ NEEDS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
 _BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 TERM = r"\p{L}{4,}+"
 SPAN = "array<struct<start:int,end:int,value:string>>"
+#: Code points in a chunk of a text; cuts in a block of those that are put together at once.
+CHUNK, BLOCK = 2048, 128
 
 
 @dataclass(frozen=True)
@@ -65,18 +68,43 @@ def valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
+def _bound(value: Column, use) -> Column:
+    """use(value), with value computed once: what a function of array elements names twice it would compute twice."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def running(lengths: Column) -> Column:
+    """Running sums of an array, by doubling distances."""
+    distances = F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(F.size(lengths), F.lit(1)))).cast("int"))
+
+    def step(sums: Column, k: Column) -> Column:
+        return F.transform(sums, lambda x, i: x + F.coalesce(F.get(sums, i - F.pow(F.lit(2), k).cast("int")), F.lit(0)))
+
+    return F.aggregate(distances, lengths, step)
+
+
 def found(text: Column, pattern: str) -> Column:
     """All matches with their places in code points: what lies between matches and the matches themselves add up."""
-    gaps, values = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("spans"))
 
-    def step(acc: Column, pair: Column) -> Column:
-        begin = acc["at"] + F.length(pair["gap"])
-        end = begin + F.length(pair["value"])
-        return F.struct(end.alias("at"), F.array_append(acc["spans"], F.struct(begin.alias("start"), end.alias("end"), pair["value"].alias("value"))).alias("spans"))
+    def places(m: Column) -> Column:
+        lengths = F.zip_with(F.slice(m["gaps"], F.lit(1), F.size(m["values"])), m["values"], lambda g, v: F.length(g) + F.length(v))
+        ends = _bound(lengths, running)
+        return F.zip_with(ends, m["values"], lambda e, v: F.struct((e - F.length(v)).alias("start"), e.alias("end"), v.alias("value")))
 
-    pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(values)), values, lambda g, v: F.struct(g.alias("gap"), v.alias("value")))
-    return F.when(F.size(values) == 0, F.array().cast(SPAN)).otherwise(F.aggregate(pairs, start, step)["spans"])
+    both = F.struct(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("values"))
+    return _bound(both, lambda m: F.when(F.size(m["values"]) > 0, places(m)).otherwise(F.array().cast(SPAN)))
+
+
+def chunks(text: Column) -> Column:
+    """The text in chunks of CHUNK code points, so that a place in a long one is found without counting from its start."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+
+
+def piece(chunks: Column, start: Column, length: Column) -> Column:
+    """`length` code points from `start` on (from 0) of a text in chunks."""
+    first = F.floor(start / CHUNK).cast("int")
+    last = F.floor((start + length) / CHUNK).cast("int")
+    return F.substring(F.array_join(F.slice(chunks, first + 1, last - first + 1), ""), start - first * CHUNK + 1, length)
 
 
 def base_spans(text: Column, kind: str) -> Column:
@@ -99,13 +127,13 @@ def with_classes(entity: Column) -> Column:
     return F.array_compact(F.array(entity, kind, domain))
 
 
-def terms_near(text: Column, span: Column, reach: int) -> Column:
-    """Whole words of the context of a span, with their places in the text."""
+def terms_near(chunks: Column, size: Column, span: Column, reach: int) -> Column:
+    """Whole words of the context of a span, with their places in the text of `size` code points."""
     low = F.greatest(F.lit(0), span["start"] - reach)
-    before = F.substring(text, low + 1, span["start"] - low)
-    after = F.substring(text, span["end"] + 1, F.lit(reach))
+    before = piece(chunks, low, span["start"] - low)
+    after = piece(chunks, span["end"], F.lit(reach))
     left = F.filter(found(before, TERM), lambda t: ((t["start"] > 0) | (low == 0)) & (t["end"] < F.length(before)))
-    right = F.filter(found(after, TERM), lambda t: (t["start"] > 0) & (t["end"] < F.least(F.lit(reach), F.length(text) - span["end"])))
+    right = F.filter(found(after, TERM), lambda t: (t["start"] > 0) & (t["end"] < F.least(F.lit(reach), size - span["end"])))
 
     def placed(shift: Column):
         return lambda t: F.struct((t["start"] + shift).alias("start"), (t["end"] + shift).alias("end"), F.lower(t["value"]).alias("term"))
@@ -116,14 +144,14 @@ def terms_near(text: Column, span: Column, reach: int) -> Column:
 def scan(docs: DataFrame, options: Disclosure) -> DataFrame:
     """doc_id, rid, the base spans of each kind, and each entity with its context and terms."""
     text = body()
-    rows = docs.select("doc_id", text.alias("text"))
+    rows = docs.select("doc_id", text.alias("text")).withColumns({"chunks": chunks(F.col("text")), "size": F.length("text")})
     for kind in PATTERNS:
         rows = rows.withColumn(kind, base_spans(F.col("text"), kind))
 
     def context(kind: str):
         def one(s: Column) -> Column:
-            near = F.substring(F.col("text"), F.greatest(F.lit(1), s["start"] + 1 - options.reach), F.lit(2 * options.reach) + s["end"] - s["start"])
-            return F.struct(entity(kind, s["value"]).alias("entity"), F.xxhash64(near).alias("context"), terms_near(F.col("text"), s, options.reach).alias("terms"))
+            near = piece(F.col("chunks"), F.greatest(F.lit(0), s["start"] - options.reach), F.lit(2 * options.reach) + s["end"] - s["start"])
+            return F.struct(entity(kind, s["value"]).alias("entity"), F.xxhash64(near).alias("context"), terms_near(F.col("chunks"), F.col("size"), s, options.reach).alias("terms"))
 
         return one
 
@@ -140,7 +168,9 @@ def disclosing(docs: DataFrame, scanned: DataFrame, options: Disclosure) -> Data
     if pairs.isEmpty():
         return pairs.select("entity", "term", F.lit(0.0).alias("disclosure"))
     words = docs.where("text is not null").select(F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("term")).where("term <> ''")
-    counts = settle(words.groupBy("term").agg(F.count("*").alias("n_t")))
+    # words that are no candidate only add to the total: they are one group
+    wanted = broadcast_if_small(pairs.select("term").distinct().withColumn("wanted", F.lit(True)), 300_000)
+    counts = settle(words.join(wanted, "term", "left").groupBy(F.when(F.col("wanted"), F.col("term")).alias("term")).agg(F.count("*").alias("n_t")))
     total = counts.agg(F.sum("n_t").alias("n")).first()["n"] or 0
     share = 1 - F.log(F.greatest(F.col("n_t"), F.col("n_te")) / F.col("n_te")) / F.log(F.lit(float(max(total, 2))) / F.col("n_e"))
     # contexts with the term if its occurrences were dealt to places at random; a context has some reach / 3 words
@@ -186,21 +216,27 @@ def digest(docs: DataFrame, options: Disclosure | None = None) -> DataFrame:
 
 
 def sanitised(docs: DataFrame, options: Disclosure | None = None) -> DataFrame:
-    """The columns of docs with text sanitised: base spans become <KIND>, terms become <TERM> or go."""
+    """The columns of docs with text sanitised: base spans become <KIND>, terms become <TERM> or go.
+
+    A span within another goes with it; where two overlap in part both labels stand. Nothing that a span covers stays."""
     options = options or Disclosure()
     rows = personal_data(docs, options).drop("doc_id").dropDuplicates(["rid"])
-    one = lambda kind, label: F.transform(F.col(kind), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), label(s).alias("label")))
+    one = lambda kind, label: F.transform(F.col(kind), lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("longest"), s["end"].alias("end"), label(s).alias("label")))
     named = [one(kind, lambda s, k=kind: F.lit(f"<{k.upper()}>")) for kind in PATTERNS]
-    terms = F.coalesce(one("term", lambda s: F.when(s["disclosure"] >= options.remove, F.lit("")).otherwise(F.lit("<TERM>"))), F.array().cast("array<struct<start:int,end:int,label:string>>"))
-    cuts = rows.select(F.col("rid").alias("_rid"), F.array_sort(F.concat(*named, terms)).alias("_cuts"))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    terms = F.coalesce(one("term", lambda s: F.when(s["disclosure"] >= options.remove, F.lit("")).otherwise(F.lit("<TERM>"))), F.array().cast("array<struct<start:int,longest:int,end:int,label:string>>"))
+    cuts = rows.select(F.col("rid").alias("_skerry_rid"), F.array_sort(F.concat(*named, terms)).alias("_skerry_cuts"))
 
     def step(acc: Column, s: Column) -> Column:
-        clear = s["start"] >= acc["at"]  # of spans that overlap the first stands
-        out = F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), s["label"])
-        return F.struct(F.when(clear, s["end"]).otherwise(acc["at"]).alias("at"), F.when(clear, out).otherwise(acc["out"]).alias("out"))
-
-    joined = docs.withColumn("_rid", F.xxhash64("doc_id", body())).join(cuts, "_rid", "left")
-    folded = F.aggregate("_cuts", start, step)
-    text = F.when(F.size("_cuts") > 0, F.concat(folded["out"], F.substring(F.col("text"), folded["at"] + 1, F.length("text")))).otherwise(F.col("text"))
-    return joined.withColumn("text", text).select(*docs.columns)
+        more = s["end"] > acc["at"]  # else the span lies within one before
+        out = F.concat(acc["out"], piece(F.col("_skerry_chunks"), acc["at"], F.greatest(F.lit(0), s["start"] - acc["at"])), s["label"])
+        return F.struct(F.greatest(s["end"], acc["at"]).alias("at"), F.when(more, out).otherwise(acc["out"]).alias("out"))
+
+    def block(acc: Column, k: Column) -> Column:
+        done = F.aggregate(F.slice("_skerry_cuts", k * BLOCK + 1, F.lit(BLOCK)), F.struct(acc["at"].alias("at"), F.lit("").alias("out")), step)
+        return _bound(done, lambda d: F.struct(d["at"].alias("at"), F.array_append(acc["parts"], d["out"]).alias("parts")))
+
+    joined = docs.withColumn("_skerry_rid", F.xxhash64("doc_id", body())).join(cuts, "_skerry_rid", "left").withColumn("_skerry_chunks", chunks(body()))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
+    folded = F.aggregate(F.sequence(F.lit(0), F.floor((F.size("_skerry_cuts") - 1) / BLOCK).cast("int")), start, block)
+    whole = _bound(folded, lambda f: F.concat(F.array_join(f["parts"], ""), piece(F.col("_skerry_chunks"), f["at"], F.greatest(F.lit(0), F.length("text") - f["at"]))))
+    return joined.withColumn("text", F.when(F.size("_skerry_cuts") > 0, whole).otherwise(F.col("text"))).select(*[F.col(f"`{c}`") for c in docs.columns])
