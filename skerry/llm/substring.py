@@ -10,8 +10,8 @@ a passage that a third of all documents share costs an entry for each group, not
 are settled on the spot. Hashes travel packed, one row for each group and bucket of hashes; up to the last level 32 bits of
 a hash within its bucket, as a chance hit there only adds a candidate, at the last level all 64.
 
-Null and empty texts have no words and lose none. A null doc_id counts as the largest; doc_id is of an integer type, as its
-order decides. Rows with equal doc_id are one document: they take nothing from each other. A very long text is processed
+Null and empty texts have no words and lose none. A null doc_id counts as the largest long; doc_id is of an integer type, as
+its order decides. Rows without one are counted by text and dealt by it, so a third of all rows may lack it. Rows with equal doc_id are one document: they take nothing from each other. A very long text is processed
 whole, in one group. Other columns, whatever their names, are ignored. An empty table gives no rows.
 """
 
@@ -177,8 +177,12 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, seed: int = SEED, group_
         raise TypeError(f"doc_id must be of an integer type, not {kind_of_id.simpleString()}")
     size = docs.agg(F.sum(F.octet_length("text")).alias("s")).first()["s"] or 0
     n_groups, buckets = max(1, -(-size // group_bytes)), max(1, size // (6 * BUCKET))
-    rows = docs.select(F.col("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("id"), "text")
-    rows = rows.withColumn("grp", F.pmod(F.xxhash64("id"), F.lit(n_groups)).cast("int")).select("grp", "id", "text", F.col("doc_id").isNull().alias("nameless"))
+    named = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), "text", F.lit(1).cast("long").alias("copies"), F.lit(False).alias("nameless"))
+    nameless = docs.where("doc_id is null").groupBy("text").agg(F.count("*").alias("copies"))
+    nameless = nameless.select(F.lit(_LAST).alias("id"), "text", "copies", F.lit(True).alias("nameless"))
+    # rows of one id take nothing from each other wherever they are, so those without an id are dealt by their texts
+    key = F.when(F.col("nameless"), F.xxhash64("text")).otherwise(F.xxhash64("id"))
+    rows = named.unionByName(nameless).withColumn("grp", F.pmod(key, F.lit(n_groups)).cast("int"))
     grouped = rows.groupBy("grp")
     *before, _ = levels(window, seed)
     half = before[-1] if before else window
@@ -225,6 +229,7 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, seed: int = SEED, group_
             kept.append(b" ".join(found))
         out = {
             "doc_id": pa.array(g.ids, mask=g.docs.column("nameless").to_numpy()),
+            "copies": g.docs.column("copies"),
             "n_words": pa.array(g.n_words.astype(np.int64)),
             "n_removed": pa.array(n_removed.astype(np.int64)),
             "kept_sha256": pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string()),
@@ -237,6 +242,7 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, seed: int = SEED, group_
         later = docs.sparkSession.createDataFrame([], _FULL)
     else:
         later = grouped.cogroup(known.groupBy("grp")).applyInArrow(last, _FULL).groupBy("bucket").applyInArrow(judged, _FULL)
-    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept string" if with_text else "")
+    schema = "doc_id long, copies long, n_words long, n_removed long, kept_sha256 string" + (", kept string" if with_text else "")
     out = grouped.cogroup(later.groupBy("grp")).applyInArrow(finish, schema)
+    out = out.withColumn("copies", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).drop("copies")
     return out.withColumn("doc_id", F.col("doc_id").cast(kind_of_id))

@@ -2,7 +2,7 @@
 
 import re
 
-from skerry.llm import pii
+from skerry.llm import pii, substring
 
 from .test_contracts import base, sha
 
@@ -34,3 +34,17 @@ def test_terms_that_overlap_an_entity_leave_none_of_it(spark):
     rows += [(100 + k, f"plain words of number{chr(97 + k % 26)}{chr(97 + k // 26)}") for k in range(400)]
     clean = {r.doc_id: r.text for r in pii.sanitised(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert all("user" not in clean[k] and "@" not in clean[k] and "<EMAIL>" in clean[k] for k in range(4))
+
+
+def test_rows_without_an_id_are_spread_and_take_nothing_from_each_other(spark):
+    passage = " ".join(f"p{k}" for k in range(20))
+    rows = [(None, f"own{k % 50} {passage} tail{k % 50}") for k in range(200)] + [(None, None)] * 3 + [(None, "")] * 2
+    for named in ([], [(5, f"head {passage}"), (7, f"x {passage} y")]):
+        df = spark.createDataFrame(rows + named, "doc_id long, text string").repartition(4)
+        got = substring.deduplicated(df, group_bytes=500).collect()
+        assert len(got) == len(rows) + len(named)
+        without = sorted((r.n_words, r.n_removed, r.kept_sha256) for r in got if r.doc_id is None)
+        kept = lambda t: t.replace(f" {passage} ", " ") if named else t
+        want = sorted((len((t or "").split()), 20 if named and t else 0, sha(kept(t or ""))) for _, t in rows)
+        assert without == want
+        assert {r.doc_id: r.n_removed for r in got if r.doc_id} == ({5: 0, 7: 20} if named else {})
