@@ -78,12 +78,19 @@ def profile_comparison(runs: DataFrame, by: tuple[str, ...] = ("image_id", "mode
 
 
 def detection_stats(dets: DataFrame) -> DataFrame:
-    """One row, of zeros when there are no detections."""
+    """One row, of zeros when there are no detections. The extent is that of the boxes `bbox_geo` (west, south, east, north)
+    where the table has this column and it holds four values, else that of the centres; null without any."""
     n = lambda test: F.count_if(test)
+
+    def side(k: int, centre: str):
+        if "bbox_geo" not in dets.columns:
+            return F.col(centre)
+        return F.when(F.size("bbox_geo") == 4, F.get("bbox_geo", F.lit(k))).otherwise(F.col(centre))
+
     return dets.agg(
         F.count("*").alias("n"), F.coalesce(F.avg("confidence"), F.lit(0.0)).alias("avg_confidence"), F.coalesce(F.min("confidence"), F.lit(0.0)).alias("min_confidence"), F.coalesce(F.max("confidence"), F.lit(0.0)).alias("max_confidence"),
         n(F.col("source") == "cfar").alias("n_cfar"), n(F.col("source") == "yolo").alias("n_yolo"), n(F.col("source") == "fused").alias("n_fused"),
-        F.min("longitude").alias("lon_min"), F.min("latitude").alias("lat_min"), F.max("longitude").alias("lon_max"), F.max("latitude").alias("lat_max"),
+        F.min(side(0, "longitude")).alias("lon_min"), F.min(side(1, "latitude")).alias("lat_min"), F.max(side(2, "longitude")).alias("lon_max"), F.max(side(3, "latitude")).alias("lat_max"),
     )
 
 

@@ -32,6 +32,20 @@ def a3_detection_stats(dets):
     return rounded(R.detection_stats(dets))
 
 
+@query(
+    """WITH b AS (SELECT *, source <> 'cfar' AS boxed, (x_max - x_min) / 20000.0 AS w, (y_max - y_min) / 20000.0 AS h FROM fx_detections)
+    SELECT count(*) AS n, round(avg(confidence), 6) AS avg_confidence, min(confidence) AS min_confidence, max(confidence) AS max_confidence,
+    count(*) FILTER (WHERE source = 'cfar') AS n_cfar, count(*) FILTER (WHERE source = 'yolo') AS n_yolo, count(*) FILTER (WHERE source = 'fused') AS n_fused,
+    round(min(longitude - CASE WHEN boxed THEN w ELSE 0 END), 6) AS lon_min, round(min(latitude - CASE WHEN boxed THEN h ELSE 0 END), 6) AS lat_min,
+    round(max(longitude + CASE WHEN boxed THEN w ELSE 0 END), 6) AS lon_max, round(max(latitude + CASE WHEN boxed THEN h ELSE 0 END), 6) AS lat_max FROM b""",
+    "fx_detections",
+)
+def a3_extent_by_box(dets):
+    w, h = (F.col("x_max") - F.col("x_min")) / 20000.0, (F.col("y_max") - F.col("y_min")) / 20000.0
+    box = F.array(F.col("longitude") - w, F.col("latitude") - h, F.col("longitude") + w, F.col("latitude") + h)
+    return rounded(R.detection_stats(dets.withColumn("bbox_geo", F.when(F.col("source") != "cfar", box))))
+
+
 @query("SELECT source, count(*) AS total, count(*) FILTER (WHERE on_land) AS on_land, count(*) FILTER (WHERE cluster_anomaly) AS anomaly, count(*) FILTER (WHERE on_land AND cluster_anomaly) AS both, count(*) FILTER (WHERE NOT on_land AND NOT cluster_anomaly) AS clean, round(avg(confidence), 6) AS avg_conf, min(confidence) AS min_conf, max(confidence) AS max_conf FROM fx_detections GROUP BY source", "fx_detections")
 def a4_operational_metrics(dets):
     return rounded(R.operational_metrics(dets))

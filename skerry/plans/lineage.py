@@ -149,6 +149,22 @@ def s6_geojson_features(dets):
     return files.features(dets.select("det_id", "source", F.col("tile_index").cast("long").alias("longitude"), F.col("execution_id").alias("latitude"), *[F.lit(None).cast("long").alias(k) for k in ("x_min", "y_min", "x_max", "y_max")]))
 
 
+@query(
+    """SELECT det_id, concat('{"type":"Feature","geometry":', CASE source WHEN 'cfar' THEN concat('{"type":"LineString","coordinates":[[0,0],[', CAST(tile_index AS VARCHAR), ',1]]}')
+    WHEN 'yolo' THEN concat('{"type":"Point","coordinates":[', CAST(tile_index AS VARCHAR), ',', CAST(execution_id AS VARCHAR), ']}')
+    ELSE concat('{"type":"Polygon","coordinates":[[[0,0],[', CAST(tile_index AS VARCHAR), ',0],[', CAST(tile_index AS VARCHAR), ',1],[0,1],[0,0]]]}') END,
+    ',"properties":{"det_id":', CAST(det_id AS VARCHAR), ',"source":"', source, '","x_min":0,"y_min":0,"x_max":', CAST(tile_index AS VARCHAR), ',"y_max":1}}') AS feature FROM fx_detections""",
+    "fx_detections",
+)
+def s6_geometry_first(dets):
+    tile, source = F.col("tile_index").cast("long"), F.col("source")
+    line = F.concat(F.lit('{"type":"LineString","coordinates":[[0,0],['), tile.cast("string"), F.lit(",1]]}"))
+    geometry = F.when(source == "cfar", line).when(source == "yolo", F.lit(" "))
+    centre = [F.when(source != "fused", c).alias(n) for c, n in ((tile, "longitude"), (F.col("execution_id").cast("long"), "latitude"))]
+    box = [F.lit(0).cast("long").alias("x_min"), F.lit(0).cast("long").alias("y_min"), tile.alias("x_max"), F.lit(1).cast("long").alias("y_max")]
+    return files.features(dets.select("det_id", "source", geometry.alias("geometry"), *centre, *box))
+
+
 @query("SELECT scene_id AS item_id, round(min(longitude), 6) AS lon_min, round(max(latitude), 6) AS lat_max, 'ascending' AS orbit_state, max(created_at) AS datetime FROM fx_detections GROUP BY scene_id", "fx_detections")
 def s8_stac_items(dets):
     scenes = dets.groupBy("scene_id").agg(F.min("longitude").alias("a"), F.min("latitude").alias("b"), F.max("longitude").alias("c"), F.max("latitude").alias("d"), F.max("created_at").alias("created_at"))

@@ -83,9 +83,12 @@ def box_geometry(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
 
 
 def features(df: DataFrame) -> DataFrame:
-    """A GeoJSON feature for each detection: its point if it has one, else its box; the rest are properties."""
-    rest = F.to_json(F.struct(*[c for c in df.columns if c not in ("longitude", "latitude")]))
+    """A GeoJSON feature for each detection: its `geometry` (GeoJSON text, if the table has this column) if it is not empty,
+    else its point if it has one, else its box; the rest are properties."""
+    rest = F.to_json(F.struct(*[c for c in df.columns if c not in ("longitude", "latitude", "geometry")]))
     geometry = F.when(F.col("longitude").isNotNull() & F.col("latitude").isNotNull(), F.to_json(point_geometry(F.col("longitude"), F.col("latitude")))).otherwise(F.to_json(box_geometry(*map(F.col, ("x_min", "y_min", "x_max", "y_max")))))
+    if "geometry" in df.columns:
+        geometry = F.coalesce(F.nullif(F.trim("geometry"), F.lit("")), geometry)
     return df.select(F.col("det_id"), F.concat(F.lit('{"type":"Feature","geometry":'), geometry, F.lit(',"properties":'), rest, F.lit("}")).alias("feature"))
 
 

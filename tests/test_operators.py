@@ -329,3 +329,17 @@ def test_entry_registers_queries():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_extent_by_boxes_and_features_by_geometry(spark):
+    rows = [("cfar", 0.5, 1.0, 2.0, [0.0, 1.5, 3.0, 2.5]), ("yolo", 0.7, 9.0, -2.0, None), ("fused", 0.9, 4.0, 5.0, [1.0]), ("fused", None, None, None, None)]
+    dets = spark.createDataFrame(rows, "source string, confidence double, longitude double, latitude double, bbox_geo array<double>")
+    got = runs.detection_stats(dets).first()
+    assert (got.lon_min, got.lat_min, got.lon_max, got.lat_max) == (0.0, -2.0, 9.0, 5.0)
+    got = runs.detection_stats(dets.where("false")).first()
+    assert got.n == 0 and got.lon_min is None
+    rows = [(1, '{"type":"Point","coordinates":[7,8]}', 1, 2), (2, "", 1, 2), (3, None, None, 2)]
+    found = files.features(spark.createDataFrame(rows, "det_id int, geometry string, longitude long, latitude long").selectExpr("*", "0L x_min", "0L y_min", "4L x_max", "5L y_max"))
+    got = {r.det_id: json.loads(r.feature) for r in found.collect()}
+    assert got[1]["geometry"]["coordinates"] == [7, 8] and got[2]["geometry"]["coordinates"] == [1, 2] and got[3]["geometry"]["type"] == "Polygon"
+    assert all("geometry" not in f["properties"] for f in got.values())
