@@ -122,12 +122,13 @@ def suspect_runs(dets: DataFrame, most: int = 100) -> DataFrame:
     return dets.groupBy("scene_id", "tile_index").agg(F.count("*").alias("n"), F.count_if(F.col("source").isin("yolo", "fused")).alias("confirmed")).where((F.col("n") > most) & (F.col("confirmed") == 0))
 
 
-def resource_summary(samples: DataFrame) -> DataFrame:
-    order = Window.partitionBy("run_id").orderBy("ts", "ram_mb", "cpu_pct")
+def resource_summary(samples: DataFrame, held: int = HELD) -> DataFrame:
+    """Peaks and means of each run, and the 95th percentile of the seconds between its samples; gaps are written once."""
+    order = Window.partitionBy("run_id").orderBy("ts")
     gap = F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lag("ts").over(order).cast("timestamp"))
-    return samples.withColumn("gap_s", gap / 1e6).groupBy("run_id").agg(
-        F.count("*").alias("n"), F.max("ram_mb").alias("peak_ram"), F.avg("ram_mb").alias("avg_ram"), F.max("cpu_pct").alias("peak_cpu"), F.avg("cpu_pct").alias("avg_cpu"), _p("gap_s", 0.95).alias("p95_gap_s")
-    )
+    gaps = cut(samples.select("run_id", (gap / 1e6).alias("gap_s")))
+    stats = samples.groupBy("run_id").agg(F.count("*").alias("n"), F.max("ram_mb").alias("peak_ram"), F.avg("ram_mb").alias("avg_ram"), F.max("cpu_pct").alias("peak_cpu"), F.avg("cpu_pct").alias("avg_cpu"))
+    return same(stats, quantiles(gaps, "gap_s", ["run_id"], held, p95_gap_s=0.95), ["run_id"], "left")
 
 
 def latency_summary(df: DataFrame, value: str, *by: str) -> DataFrame:

@@ -343,3 +343,11 @@ def test_extent_by_boxes_and_features_by_geometry(spark):
     got = {r.det_id: json.loads(r.feature) for r in found.collect()}
     assert got[1]["geometry"]["coordinates"] == [7, 8] and got[2]["geometry"]["coordinates"] == [1, 2] and got[3]["geometry"]["type"] == "Polygon"
     assert all("geometry" not in f["properties"] for f in got.values())
+
+
+def test_gaps_of_samples_dealt_or_held(spark):
+    rows = [(r, f"2024-01-01 00:{k // 60:02d}:{k % 60:02d}", float(k % 7), float(k % 5)) for r in ("a", "b", None) for k in range(0, 900, 3 if r else 7)] + [("one", "2024-01-01 00:00:00", 1.0, 2.0)]
+    samples = spark.createDataFrame(rows, "run_id string, ts string, ram_mb double, cpu_pct double").withColumn("ts", F.to_timestamp_ntz("ts"))
+    held, dealt = ({r.run_id: r for r in runs.resource_summary(samples, n).collect()} for n in (10_000, 0))
+    assert held == dealt and len(held) == 4
+    assert held["a"].p95_gap_s == 3.0 and held[None].p95_gap_s == 7.0 and held["one"].p95_gap_s is None and held["a"].n == 300
