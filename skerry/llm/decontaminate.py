@@ -8,8 +8,8 @@ collapsed, so re-wrapped or re-cased copies match too.
 Items shorter than `least_chars`, which chance would match within any budget, have a budget of 0 and must stand between
 word ends, so they are one piece that is looked up exactly.
 
-The benchmark is handled in blocks of a fixed size, each broadcast in turn, so its size has no bound; each block is one
-more pass over the documents. Null and empty texts and items match nothing. Rows with equal doc_id or item_id count as
+The benchmark is handled in blocks of a fixed size; each block is broadcast, is read from the whole benchmark and is one
+more pass over the documents. All broadcasts live until the result is computed, so the driver's memory bounds the size. Null and empty texts and items match nothing. Rows with equal doc_id or item_id count as
 one, with the best match, of equal ones the one that ends first. Very long texts are scanned whole. An empty table on
 either side gives no matches. Ids are of any type; other columns, whatever their names, are ignored or, in
 `clean_documents`, kept.
