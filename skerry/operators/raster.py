@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 from .fixpoint import components, cut
 from .pairs import point_pairs
 from .relations import interpolated
-from .runs import small
+from .runs import HELD, quantiles, small
 
 
 def window_sums(pixels: DataFrame, values: dict[str, tuple[int, Column]]) -> DataFrame:
@@ -223,15 +223,16 @@ def optical_scale(reflectance: Column) -> Column:
     return F.floor(F.least(F.greatest(reflectance * 255 / 3000, F.lit(0.0)), F.lit(255.0))).cast("int")
 
 
-def chip_pixels(pixels: DataFrame, chips: DataFrame, cell: int = 64) -> DataFrame:
+def chip_pixels(pixels: DataFrame, chips: DataFrame, cell: int = 64, most: int = HELD) -> DataFrame:
     """The pixels inside each chip (scene_id, chip_id, r0, c0, r1, c1; ends open), log-scaled and stretched from the 2nd to
-    the 98th percentile. Chips meet pixels by grid cell."""
+    the 98th percentile. Chips meet pixels by grid cell; what they hold is written once, and chips of any size have exact
+    percentiles."""
     spans = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / cell), F.floor((F.col(hi) - 1) / cell)))
     tiled = chips.withColumn("_r", spans("r0", "r1")).withColumn("_c", spans("c0", "c1"))
     p = pixels.withColumn("_r", F.floor(F.col("px_row") / cell)).withColumn("_c", F.floor(F.col("px_col") / cell))
     inside = (F.col("px_row") >= F.col("r0")) & (F.col("px_row") < F.col("r1")) & (F.col("px_col") >= F.col("c0")) & (F.col("px_col") < F.col("c1"))
-    held = p.join(tiled, ["scene_id", "_r", "_c"]).where(inside).select("scene_id", "chip_id", "px_row", "px_col", F.log1p(F.greatest(F.col("value"), F.lit(0.0))).alias("v"))
-    ends = held.groupBy("scene_id", "chip_id").agg(F.percentile("v", F.lit(0.02)).alias("lo"), F.percentile("v", F.lit(0.98)).alias("hi"))
+    held = cut(p.join(tiled, ["scene_id", "_r", "_c"]).where(inside).select("scene_id", "chip_id", "px_row", "px_col", F.log1p(F.greatest(F.col("value"), F.lit(0.0))).alias("v")))
+    ends = quantiles(held, "v", ["scene_id", "chip_id"], most, lo=0.02, hi=0.98)
     scaled = F.coalesce(F.try_divide(F.least(F.greatest("v", "lo"), F.col("hi")) - F.col("lo"), F.col("hi") - F.col("lo")), F.lit(0.0)) * 255
     return held.join(ends, ["scene_id", "chip_id"]).select("scene_id", "chip_id", "px_row", "px_col", scaled.alias("grey"))
 

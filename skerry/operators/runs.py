@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from skerry.functions.exprs import labelled_box, point_in_bbox
+
 from .fixpoint import cut
 
 #: Rows of a group up to which its different values are held in one task while a percentile is taken.
@@ -21,7 +23,8 @@ def _p(x: str, q: float) -> Column:
 
 
 def same(left: DataFrame, right: DataFrame, by: Sequence[str], how: str = "inner") -> DataFrame:
-    """Both tables by equal keys, nulls included; the keys of the left one stay."""
+    """Both tables by equal keys, nulls included; the keys of the left one stay. Without keys the right table is one row of
+    totals."""
     if not by:
         return left.crossJoin(F.broadcast(right))
     named = right.withColumnsRenamed({k: f"_key_{k}" for k in by})
@@ -35,6 +38,11 @@ def small(df: DataFrame, rows: int = 300_000) -> DataFrame:
     return F.broadcast(out) if out.count() <= rows else out
 
 
+def dimension(df: DataFrame, rows: int = 10_000) -> DataFrame:
+    """A table of settings, marked for broadcast if it has no more than `rows` rows; it is counted as it stands."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def quantiles(df: DataFrame, value: str, by: Sequence[str] = (), held: int = HELD, **shares: float) -> DataFrame:
     """Exact percentiles of each group, with linear interpolation; nulls do not count, a group without values has none.
 
@@ -94,6 +102,26 @@ def detection_stats(dets: DataFrame) -> DataFrame:
     )
 
 
+def scene_summary(dets: DataFrame, areas: Sequence[tuple[str, tuple[float, float, float, float]]], frame: tuple[float, float, float, float], held: int = HELD) -> DataFrame:
+    """A row for each scene: detections, vessels (`is_vessel`, where null counts as one), the median of latitude and longitude,
+    the extent, the first of the areas (name, (west, south, east, north)) that holds the medians, else 'other', and whether
+    the frame does. Edges are inside; a scene without places has null extents, area 'other' and is outside."""
+    counts = dets.groupBy("scene_id").agg(
+        F.count("*").alias("n"), F.count_if(F.coalesce("is_vessel", F.lit(True))).alias("n_vessels"),
+        F.min("longitude").alias("lon_min"), F.min("latitude").alias("lat_min"), F.max("longitude").alias("lon_max"), F.max("latitude").alias("lat_max"),
+    )
+    lat, lon = quantiles(dets, "latitude", ["scene_id"], held, lat=0.5), quantiles(dets, "longitude", ["scene_id"], held, lon=0.5)
+    out = same(same(counts, lat, ["scene_id"], "left"), lon, ["scene_id"], "left")
+    area = F.coalesce(labelled_box("lon", "lat", list(areas)), F.lit("other"))
+    return out.withColumn("area", area).withColumn("in_frame", F.coalesce(point_in_bbox("lon", "lat", frame), F.lit(False)))
+
+
+def area_histogram(summary: DataFrame) -> DataFrame:
+    """Scenes and detections of each area, all and those whose middle is in the frame. summary: rows of `scene_summary`."""
+    inside = F.when(F.col("in_frame"), F.col("n")).otherwise(0)
+    return summary.groupBy("area").agg(F.count("*").alias("scenes"), F.sum("n").alias("detections"), F.count_if("in_frame").alias("scenes_in_frame"), F.sum(inside).alias("detections_in_frame"))
+
+
 def operational_metrics(dets: DataFrame) -> DataFrame:
     land, odd = F.col("on_land"), F.col("cluster_anomaly")
     return dets.groupBy("source").agg(
@@ -215,7 +243,7 @@ def drift_zscore(runs: DataFrame, n: int = 20, threshold: float = 2.5, by: str =
 
 def profile_retention(runs: DataFrame, profiles: DataFrame, least: float = 0.8) -> DataFrame:
     """Mean detections of each profile against the ground profile's, and the first profile that falls below `least`."""
-    mean = runs.where("status = 'success'").groupBy("model_name", F.col("constraint_profile").alias("profile")).agg(F.avg("num_detections").alias("detections")).join(F.broadcast(profiles.select("profile", "profile_rank")), "profile")
+    mean = runs.where("status = 'success'").groupBy("model_name", F.col("constraint_profile").alias("profile")).agg(F.avg("num_detections").alias("detections")).join(dimension(profiles.select("profile", "profile_rank")), "profile")
     by = Window.partitionBy("model_name")
     ground = F.first_value("detections").over(by.orderBy("profile_rank").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     kept = mean.withColumn("retention", F.try_divide(F.col("detections"), ground))
@@ -242,7 +270,7 @@ def claim_cues(cues: DataFrame, n: int) -> DataFrame:
 
 def run_energy(runs: DataFrame, processors: DataFrame) -> DataFrame:
     joules = F.col("inference_ms") / 1000 * F.col("tdp_watts") * F.least(F.col("cpu_usage_pct") / 100, F.lit(1.0))
-    return runs.crossJoin(F.broadcast(processors)).withColumn("joules", joules).withColumn("wh", joules / 3600)
+    return runs.crossJoin(dimension(processors)).withColumn("joules", joules).withColumn("wh", joules / 3600)
 
 
 def stage_energy(runs: DataFrame, processors: DataFrame, stages: dict[str, str]) -> DataFrame:
@@ -252,7 +280,7 @@ def stage_energy(runs: DataFrame, processors: DataFrame, stages: dict[str, str])
     joules every share is 0."""
     load = F.least(F.coalesce(F.col("cpu_usage_pct") / 100, F.lit(1.0)), F.lit(1.0))
     joules = {k: F.coalesce(F.col(c), F.lit(0.0)) / 1000 * F.col("tdp_watts") * load for k, c in stages.items()}
-    both = runs.crossJoin(small(processors.select("processor", "tdp_watts"), 10_000))
+    both = runs.crossJoin(dimension(processors.select("processor", "tdp_watts")))
     ledger = both.select("id", "processor", *[v.alias(f"_{k}") for k, v in joules.items()])
     total = sum((F.col(f"_{k}") for k in stages), F.lit(0.0))
     rows = F.explode(F.array(*[F.struct(F.lit(k).alias("stage"), F.col(f"_{k}").alias("joules")) for k in stages])).alias("s")
@@ -264,7 +292,7 @@ def stage_energy(runs: DataFrame, processors: DataFrame, stages: dict[str, str])
 def orbit_budget(energy: DataFrame, satellites: DataFrame, images: int = 10) -> DataFrame:
     """energy: groups with joules for each image."""
     available, each = F.col("payload_w") * F.col("period_min") / 60 * F.col("sunlit"), F.col("joules") / 3600
-    out = energy.crossJoin(F.broadcast(satellites)).withColumn("available_wh", available).withColumn("max_images", F.coalesce(F.floor(F.try_divide(available, each)), F.lit(0)))
+    out = energy.crossJoin(dimension(satellites)).withColumn("available_wh", available).withColumn("max_images", F.coalesce(F.floor(F.try_divide(available, each)), F.lit(0)))
     return out.withColumn("utilisation_pct", F.coalesce(F.try_divide(images * each, available) * 100, F.lit(0.0))).withColumn("feasible", F.col("max_images") >= 1)
 
 
@@ -272,7 +300,7 @@ def downlink(runs: DataFrame, links: DataFrame, result_kb: Column, extra_kb: flo
     per_s, window_s = F.col("mbps") / 8, F.col("window_min") * 60
     total_kb = result_kb + extra_kb
     raw, small = F.col("image_size_mb") / per_s, total_kb / 1024 / per_s
-    out = runs.crossJoin(F.broadcast(links))
+    out = runs.crossJoin(dimension(links))
     return out.select(
         *runs.columns, "link", raw.alias("raw_s"), (window_s / raw).alias("raw_per_window"), (window_s / raw * F.col("passes")).alias("raw_per_day"), small.alias("small_s"), (window_s / small * F.col("passes")).alias("small_per_day"),
         (F.col("image_size_mb") * 1024 / total_kb).alias("ratio"), ((1 - total_kb / (F.col("image_size_mb") * 1024)) * 100).alias("saving_pct"), (raw / small).alias("multiplier"),
@@ -285,7 +313,7 @@ def latency_scenarios(runs: DataFrame, orbits: DataFrame, links: DataFrame, chai
     per_s = F.col("mbps") / 8
     without = wait + F.col("image_size_mb") / per_s + (F.col("ingest_min") + F.col("processing_min") + F.col("dissemination_min")) * 60
     with_ = F.col("inference_ms") / 1000 + wait + result_kb / 1024 / per_s + 120
-    out = runs.crossJoin(F.broadcast(orbits)).crossJoin(F.broadcast(links)).crossJoin(F.broadcast(chains))
+    out = runs.crossJoin(dimension(orbits)).crossJoin(dimension(links)).crossJoin(dimension(chains))
     return out.withColumn("without_s", without).withColumn("with_s", with_).withColumn("speed_up", without / with_).withColumn("saved_s", without - with_)
 
 
@@ -302,7 +330,7 @@ def select_model(requests: DataFrame, models: DataFrame, reserve_pct: float = 20
     fastest if urgent, the largest if high, else the best size for its energy; a signal-processing fallback; or none."""
     m = models.select("name", "size_mb", (F.col("size_mb") * 0.00005).alias("model_wh"), (F.col("size_mb") * 5.0).alias("model_ms"))
     able = requests.where(F.col("energy_wh") / F.col("battery_wh") * 100 >= reserve_pct)
-    fits = able.join(F.broadcast(m), (F.col("size_mb") * 3 <= F.col("ram_mb")) & (F.col("model_wh") <= F.col("energy_wh")))
+    fits = able.join(dimension(m), (F.col("size_mb") * 3 <= F.col("ram_mb")) & (F.col("model_wh") <= F.col("energy_wh")))
     key = F.when(F.col("priority") >= 2, -F.col("model_ms")).when(F.col("priority") == 1, F.col("size_mb")).otherwise(F.round(F.col("size_mb") / F.col("model_wh"), 3))
     best = fits.groupBy("req_id").agg(F.max_by(F.struct("name", "model_wh"), F.struct(key, F.col("name"))).alias("best"))
     out = requests.join(best, "req_id", "left")

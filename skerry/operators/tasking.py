@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -33,12 +37,13 @@ def tip_detections(dets: DataFrame, zones: DataFrame, min_conf: float = 0.7, lea
     return held.join(enough, ["execution_id", "zone_id"], "left_semi")
 
 
-def cooldown(events: DataFrame, key: str, minutes: int, id_: str = "id", at: str = "created_at", fold_rows: int = 50_000) -> DataFrame:
+def cooldown(events: DataFrame, key: str, minutes: int, id_: str = "id", at: str = "created_at", fold_rows: int = 5_000_000) -> DataFrame:
     """Of each key's events in order of time those at least `minutes` after the last one kept; of one instant the least id.
+    Events without a key are a key of their own.
 
-    Keys with up to `fold_rows` instants are folded in one row. Where a key has more, every event points to the first one
-    that is late enough after it, and the pointers are followed from each key's first event in rounds that double the
-    steps, so no task holds a key."""
+    Keys with up to `fold_rows` instants are read in order of time by one task each, which keeps one instant in memory. Where
+    a key has more, which would take one task long, every event points to the first one that is late enough after it, and the
+    pointers are followed from each key's first event in rounds that double the steps, so no task reads a key."""
     micros = F.unix_micros(F.col(at).cast("timestamp"))
     firsts = cut(events.groupBy(F.col(key).alias("_key"), micros.alias("_t")).agg(F.min(id_).alias("_id")))
     most = firsts.groupBy("_key").agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first()["n"] or 0
@@ -47,17 +52,30 @@ def cooldown(events: DataFrame, key: str, minutes: int, id_: str = "id", at: str
 
 
 def _folded(firsts: DataFrame, gap: int) -> DataFrame:
-    start = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<bigint>").alias("kept"))
-
-    def step(acc: Column, e: Column) -> Column:
-        keep = acc["last"].isNull() | (e["_t"] >= acc["last"] + gap)
-        return F.struct(F.when(keep, e["_t"]).otherwise(acc["last"]).alias("last"), F.when(keep, F.array_append(acc["kept"], e["_id"])).otherwise(acc["kept"]).alias("kept"))
-
-    folded = firsts.groupBy("_key").agg(F.aggregate(F.array_sort(F.collect_list(F.struct("_t", "_id"))), start, step)["kept"].alias("kept"))
-    return folded.select("_key", F.explode("kept").alias("_id"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, due = None, None  # the key being read, and the first instant that it may keep
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            code = batch.column(0).dictionary_encode(null_encoding="encode").indices.to_numpy()
+            t, kept = batch.column(1).to_numpy(), []
+            edges = [0, *(np.flatnonzero(code[1:] != code[:-1]) + 1).tolist(), len(code)]
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                name = batch.column(0)[a].as_py()
+                if due is None or name != now:
+                    now, due = name, t[a]
+                i = a + int(np.searchsorted(t[a:b], due))
+                while i < b:
+                    kept.append(i)
+                    due = t[i] + gap
+                    i += int(np.searchsorted(t[i:b], due))
+            yield batch.select(["_key", "_id"]).take(pa.array(kept, pa.int64()))
+
+    return firsts.repartition("_key").sortWithinPartitions("_key", "_t").select("_key", "_t", "_id").mapInArrow(run, firsts.select("_key", "_id").schema)
 
 
 def _followed(firsts: DataFrame, gap: int) -> DataFrame:
+    firsts = firsts.withColumn("_key", F.struct("_key"))  # in a struct, a key that is null meets itself in joins
     # the first event at or after t + gap is in the slice of time of t + gap, or the first of the next slice that has any
     cell = lambda t: F.floor(t / gap)
     slices = firsts.groupBy("_key", cell(F.col("_t")).alias("_slice")).agg(F.min("_t").alias("_first"))
@@ -78,7 +96,7 @@ def _followed(firsts: DataFrame, gap: int) -> DataFrame:
         reached = cut(reached.unionByName(reached.join(jumps, ["_key", "_t"]).select("_key", F.col("_next").alias("_t"))).distinct())
         hop = jumps.select("_key", F.col("_t").alias("_next"), F.col("_next").alias("_far"))
         jumps = cut(jumps.join(hop, ["_key", "_next"]).select("_key", "_t", F.col("_far").alias("_next")))
-    return firsts.join(reached, ["_key", "_t"], "left_semi").select("_key", "_id")
+    return firsts.join(reached, ["_key", "_t"], "left_semi").select("_key._key", "_id")
 
 
 def resolve_search_zone(cues: DataFrame, zones: DataFrame, default: str = "gibraltar") -> DataFrame:

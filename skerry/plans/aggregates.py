@@ -81,11 +81,26 @@ def a10_latency_summary(runs):
 
 
 statement("a11_value_report", "SELECT constraint_profile, count(*) AS runs, round(avg(image_size_mb), 4) AS avg_mb, round(avg(2 + num_detections / 2), 4) AS avg_kb, round(avg(image_size_mb) * 1024 / avg(2 + num_detections / 2), 3) AS ratio, round(sum(image_size_mb - (2 + num_detections / 2) / 1024) / 1024, 4) AS saved_gb FROM fx_executions WHERE image_size_mb > 0 AND status = 'success' GROUP BY constraint_profile")
-statement(
-    "a12_scene_summary",
-    "SELECT scene_id, count(*) AS n, sum(CASE WHEN source <> 'cfar' THEN 1 ELSE 0 END) AS n_vessels, round(median(latitude), 6) AS lat, round(median(longitude), 6) AS lon, CASE WHEN median(longitude) < -5.5 THEN 'west' ELSE 'east' END AS aoi FROM fx_detections GROUP BY scene_id",
-    "SELECT scene_id, count(*) AS n, CAST(sum(CASE WHEN source <> 'cfar' THEN 1 ELSE 0 END) AS BIGINT) AS n_vessels, round(median(latitude), 6) AS lat, round(median(longitude), 6) AS lon, CASE WHEN median(longitude) < -5.5 THEN 'west' ELSE 'east' END AS aoi FROM fx_detections GROUP BY scene_id",
-)
+_AREAS = [("strait", (-5.5053, 35.8, -5.4947, 36.1)), ("west", (-6.0, 35.0, -5.5003, 35.8997)), ("north", (-6.0, 35.8997, -5.0, 36.5))]
+_SCENES = """SELECT *, CASE WHEN lon BETWEEN -5.5053 AND -5.4947 AND lat BETWEEN 35.8 AND 36.1 THEN 'strait' WHEN lon BETWEEN -6.0 AND -5.5003 AND lat BETWEEN 35.0 AND 35.8997 THEN 'west'
+    WHEN lon BETWEEN -6.0 AND -5.0 AND lat BETWEEN 35.8997 AND 36.5 THEN 'north' ELSE 'other' END AS area, lon >= -5.5203 AND lon <= -5.4803 AND lat >= 35.8803 AND lat <= 35.9203 AS in_frame
+    FROM (SELECT scene_id, count(*) AS n, count(*) FILTER (WHERE source <> 'cfar') AS n_vessels, median(latitude) AS lat, median(longitude) AS lon, min(longitude) AS lon_min, min(latitude) AS lat_min, max(longitude) AS lon_max,
+    max(latitude) AS lat_max FROM fx_detections GROUP BY scene_id) m"""
+
+
+def _scenes(dets):
+    vessels = dets.select("scene_id", "latitude", "longitude", (F.col("source") != "cfar").alias("is_vessel"))
+    return R.scene_summary(vessels, _AREAS, (-5.5203, 35.8803, -5.4803, 35.9203))
+
+
+@query(f"SELECT scene_id, n, n_vessels, area, in_frame, round(lat, 6) AS lat, round(lon, 6) AS lon, round(lon_min, 6) AS lon_min, round(lat_min, 6) AS lat_min, round(lon_max, 6) AS lon_max, round(lat_max, 6) AS lat_max FROM ({_SCENES}) s", "fx_detections")
+def a12_scene_summary(dets):
+    return rounded(_scenes(dets))
+
+
+@query(f"SELECT area, count(*) AS scenes, CAST(sum(n) AS BIGINT) AS detections, count(*) FILTER (WHERE in_frame) AS scenes_in_frame, CAST(coalesce(sum(n) FILTER (WHERE in_frame), 0) AS BIGINT) AS detections_in_frame FROM ({_SCENES}) s GROUP BY area", "fx_detections")
+def a12_area_histogram(dets):
+    return R.area_histogram(_scenes(dets))
 
 
 @query(

@@ -99,16 +99,16 @@ def b7_match_by_centre(dets, truths):
     return B.matches(dets, truths, threshold=6.0, mode="center")
 
 
-_FUSED = match_oracle(
+_FUSED_ROWS = match_oracle(
     "SELECT * FROM fx_detections WHERE source = 'cfar'", "SELECT det_id AS gt_id, scene_id, tile_index, x_min, y_min, x_max, y_max FROM fx_detections WHERE source = 'yolo'", "scene_id, tile_index", f"{IOU} DESC", f"{IOU} >= 0.3", "det_id",
     """, m AS (SELECT det_id, gt FROM w WHERE gt IS NOT NULL)
-    SELECT c.det_id, 'fused' AS source, round(least(1, y.confidence / 2 + (1 - exp(-c.snr / 10)) / 2), 6) AS confidence FROM m JOIN fx_detections c ON c.det_id = m.det_id JOIN fx_detections y ON y.det_id = m.gt
-    UNION ALL SELECT det_id, source, round((1 - exp(-snr / 10)) * 0.6, 6) FROM fx_detections WHERE source = 'cfar' AND det_id NOT IN (SELECT det_id FROM m)
-    UNION ALL SELECT det_id, source, round(confidence, 6) FROM fx_detections WHERE source = 'yolo' AND det_id NOT IN (SELECT gt FROM m)""",
+    SELECT c.det_id, 'fused' AS source, least(1, y.confidence / 2 + (1 - exp(-c.snr / 10)) / 2) AS confidence FROM m JOIN fx_detections c ON c.det_id = m.det_id JOIN fx_detections y ON y.det_id = m.gt
+    UNION ALL SELECT det_id, source, (1 - exp(-snr / 10)) * 0.6 FROM fx_detections WHERE source = 'cfar' AND det_id NOT IN (SELECT det_id FROM m)
+    UNION ALL SELECT det_id, source, confidence FROM fx_detections WHERE source = 'yolo' AND det_id NOT IN (SELECT gt FROM m)""",
 )
 
 
-@query(_FUSED, "fx_detections")
+@query(f"SELECT det_id, source, round(confidence, 6) AS confidence FROM ({_FUSED_ROWS}) f", "fx_detections")
 def b8_fuse(dets):
     return B.fuse(dets).select("det_id", "source", F.round("confidence", 6).alias("confidence"))
 
@@ -170,9 +170,24 @@ def b13_chip_pixels(pixels):
     return P.chip_pixels(pixels, chips).withColumn("grey", F.round("grey", 4))
 
 
-@query(None, "fx_detections", "fx_land", "fx_transforms")
+# the steps of the batch job one after the other, as the queries above have them
+_PLACED = f"""SELECT d.det_id, d.scene_id, f.source, f.confidence, {_CENTRE["c"]} AS longitude, {_CENTRE["f"]} AS latitude, (x_min + x_max) / 2 AS cx, (y_min + y_max) / 2 AS cy, n_rows, n_cols
+    FROM fx_detections d JOIN ({_FUSED_ROWS}) f ON d.det_id = f.det_id JOIN fx_transforms t ON d.scene_id = t.scene_id"""
+_LON3 = "round(CAST(CAST(longitude AS VARCHAR) AS DECIMAL(24, 17)), 3)"  # halves as they are written
+_FOOTPRINT = [(-5.95, 35.65), (-5.55, 35.65), (-5.55, 36.15), (-5.95, 36.15)]
+_POSTPROCESS = f"""WITH placed AS MATERIALIZED (SELECT det_id, scene_id, source, confidence, longitude, latitude FROM ({_PLACED}) p WHERE cx BETWEEN 40 AND n_cols - 40 AND cy BETWEEN 40 AND n_rows - 40),
+    single AS MATERIALIZED (SELECT p.* FROM placed p JOIN ({greedy_oracle("placed", "abs(a.longitude - b.longitude) <= 0.0005 AND abs(a.latitude - b.latitude) <= 0.0005")}) k USING (det_id)),
+    level AS MATERIALIZED (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY scene_id, {_LON3}) AS in_column, count(*) OVER (PARTITION BY scene_id) AS in_scene FROM single) t WHERE NOT (in_scene > 15 AND in_column >= 8)),
+    near AS (SELECT a.det_id, count(*) AS n FROM level a JOIN level b ON a.scene_id = b.scene_id WHERE sqrt((a.longitude - b.longitude) * (a.longitude - b.longitude) + (a.latitude - b.latitude) * (a.latitude - b.latitude)) <= 0.01 GROUP BY a.det_id)
+    SELECT l.det_id, l.scene_id, l.source, round(l.confidence, 6) AS confidence, round(l.longitude, 6) AS longitude,
+    CASE WHEN NOT (longitude BETWEEN -5.95 AND -5.55 AND latitude BETWEEN 35.65 AND 36.15) THEN 'outside_footprint' WHEN m.cell_x IS NOT NULL THEN 'land_artifact' WHEN n.n >= 8 THEN 'cluster_artifact'
+    WHEN source IN ('yolo', 'fused') THEN 'valid_sea_target' ELSE 'candidate' END AS verdict FROM level l JOIN near n ON n.det_id = l.det_id
+    LEFT JOIN fx_land m ON m.cell_x = CAST(floor(longitude / CAST(0.05 AS DOUBLE)) AS INT) AND m.cell_y = CAST(floor(latitude / CAST(0.05 AS DOUBLE)) AS INT)"""
+
+
+@query(_POSTPROCESS, "fx_detections", "fx_land", "fx_transforms")
 def b14_postprocess(dets, mask, scenes):
-    out = B.postprocess(dets, scenes, mask, [(-5.95, 35.65), (-5.55, 35.65), (-5.55, 36.15), (-5.95, 36.15)], buffer_px=40)
+    out = B.postprocess(dets, scenes, mask, _FOOTPRINT, buffer_px=40)
     return out.select("det_id", "scene_id", "source", "confidence", F.round("longitude", 6).alias("longitude"), "verdict")
 
 
@@ -358,6 +373,21 @@ def w11_box_sum(pixels):
     return P.box_sums(pixels, 2, {"total": F.col("value")}).select("px_row", "px_col", F.round("total", 4).alias("total"))
 
 
-@query(None, "fx_pixels")
+# of every column the lowest and the highest row; a corner is where the steepest way back is less steep than the least steep way on
+_HULL = """WITH e AS (SELECT scene_id, px_col AS x, min(px_row) AS lo, max(px_row) AS hi FROM fx_two_scenes WHERE value > -1000 AND value <> 0 {} GROUP BY scene_id, px_col),
+    big AS (SELECT scene_id, min(x) AS x0, max(x) AS x1 FROM e JOIN (SELECT scene_id FROM fx_two_scenes WHERE value > -1000 AND value <> 0 {} GROUP BY scene_id HAVING count(*) >= 100) b USING (scene_id) GROUP BY scene_id),
+    s AS (SELECT a.scene_id, a.x, a.lo, a.hi, max(CASE WHEN b.x < a.x THEN (a.lo - b.lo) / CAST(a.x - b.x AS DOUBLE) END) AS lo_back, min(CASE WHEN b.x > a.x THEN (b.lo - a.lo) / CAST(b.x - a.x AS DOUBLE) END) AS lo_on,
+    min(CASE WHEN b.x < a.x THEN (a.hi - b.hi) / CAST(a.x - b.x AS DOUBLE) END) AS hi_back, max(CASE WHEN b.x > a.x THEN (b.hi - a.hi) / CAST(b.x - a.x AS DOUBLE) END) AS hi_on FROM e a JOIN e b ON a.scene_id = b.scene_id GROUP BY ALL),
+    c AS (SELECT s.scene_id, 0 AS upper, x, lo AS y FROM s JOIN big USING (scene_id) WHERE (lo_back IS NULL OR lo_on IS NULL OR lo_back < lo_on) AND NOT (x = x1 AND lo = hi)
+    UNION ALL SELECT s.scene_id, 1, x, hi FROM s JOIN big USING (scene_id) WHERE (hi_back IS NULL OR hi_on IS NULL OR hi_back > hi_on) AND NOT (x = x0 AND lo = hi))
+    SELECT scene_id, CAST(row_number() OVER (PARTITION BY scene_id ORDER BY upper, CASE WHEN upper = 0 THEN x ELSE -x END) - 1 AS INT) AS vertex, CAST(x AS INT) AS col, CAST(y AS INT) AS row FROM c"""
+
+
+@query(_HULL.format("", ""), "fx_two_scenes")
 def a16_convex_footprint(pixels):
     return P.convex_footprint(pixels)
+
+
+@query(_HULL.format("AND value > 60", "AND value > 60"), "fx_two_scenes")
+def a16_bright_footprint(pixels):
+    return P.convex_footprint(pixels.where("value > 60"))

@@ -139,6 +139,40 @@ def test_cooldown_by_pointers_equals_the_fold(spark):
         assert folded == sorted(want)
 
 
+def test_cooldown_without_a_key_is_a_key(spark):
+    rows = [(k, None if k % 2 else "z", 60 * k) for k in range(40)]
+    df = spark.createDataFrame(rows, "id long, z string, s long").selectExpr("id", "z", "timestamp_seconds(s) as created_at")
+    want = sorted([(i, "z") for i in range(0, 40, 10)] + [(i, "") for i in range(1, 40, 10)])
+    for held in (5_000_000, 3):
+        assert sorted((r.id, r.z or "") for r in tasking.cooldown(df, "z", 10, fold_rows=held).collect()) == want
+    assert tasking.cooldown(df.where("false"), "z", 10).count() == 0
+
+
+def test_scene_summary_and_areas(spark):
+    rows = [(1, 10.0, 50.0, True), (1, 12.0, 52.0, False), (1, 14.0, 51.0, None), (2, None, None, True), (3, 30.0, 10.0, True), (3, 31.0, 10.0, True)]
+    df = spark.createDataFrame(rows, "scene_id long, longitude double, latitude double, is_vessel boolean")
+    areas = [("first", (12.0, 51.0, 13.0, 60.0)), ("second", (0.0, 0.0, 40.0, 60.0))]
+    for held in (1_000_000, 1):
+        out = runs.scene_summary(df, areas, (12.0, 40.0, 20.0, 51.0), held)
+        got = {r.scene_id: (r.n, r.n_vessels, r.lon, r.lat, r.lon_min, r.lat_max, r.area, r.in_frame) for r in out.collect()}
+        assert got == {1: (3, 2, 12.0, 51.0, 10.0, 52.0, "first", True), 2: (1, 1, None, None, None, None, "other", False), 3: (2, 2, 30.5, 10.0, 30.0, 10.0, "second", False)}
+    assert sorted(map(tuple, runs.area_histogram(out).collect())) == [("first", 1, 3, 1, 3), ("other", 1, 1, 0, 0), ("second", 1, 2, 0, 0)]
+
+
+def test_chips_of_any_size_have_exact_percentiles(spark):
+    pixels = spark.range(900).selectExpr("id % 2 as scene_id", "cast(floor(id / 60) as int) as px_row", "cast(floor(id / 2) % 30 as int) as px_col", "cast(id * 37 % 101 as double) as value")
+    chips = spark.createDataFrame([(0, 1, 0, 0, 15, 30), (1, 1, 2, 3, 9, 20)], "scene_id long, chip_id long, r0 int, c0 int, r1 int, c1 int")
+    by_sums, by_group = (sorted(map(tuple, raster.chip_pixels(pixels, chips, 8, most).collect())) for most in (10, 1_000_000))
+    assert len(by_sums) == 450 + 7 * 17 and [r[:4] for r in by_sums] == [r[:4] for r in by_group]
+    assert max(abs(a[4] - b[4]) for a, b in zip(by_sums, by_group, strict=True)) < 1e-9
+
+
+def test_settings_are_broadcast_behind_a_count(spark):
+    few = spark.range(5).select(F.col("id").alias("k"))
+    plans = [spark.range(10).crossJoin(runs.dimension(few, n))._jdf.queryExecution().optimizedPlan().toString() for n in (5, 4)]
+    assert ["strategy=broadcast" in p for p in plans] == [True, False]
+
+
 def test_postprocess_equals_the_loop(spark):
     """Fusion aside, which has an oracle: place, swath edge, doubles, stripes, clusters, land, footprint."""
     rnd = random.Random(3)

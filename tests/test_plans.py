@@ -15,7 +15,7 @@ CHOSEN = [
     "f1_search_detections", "f1_search_page", "f3_search_executions", "f6_catalogue_search", "p6_reset_mapping_failures", "f10_prev_next_offsets", "p2_point_in_convex_polygon", "p5_quality_verdict", "p9_column_density_filter", "j5_full_outer", "j7_points_in_zones", "j9_interpolated_lut",
     "a1_benchmarks", "a9_resource_summary", "a13_gcp_affine_fit", "w1_pr_curve", "w2_average_precision", "w3_drift_zscore", "w6_sample_detections", "w11_box_sum", "e5_downlink", "e9_select_model", "e10_budget_verdict",
     "d4_daily_percentiles", "d6_variant_matrix", "b4_nms", "b6_geo_dedup", "b7_greedy_match", "b8_fuse", "b9_cluster_anomaly", "b11_evaluate", "r3_lee_filter", "r6_ca_cfar", "r7_os_cfar", "r13_score_tiles", "b2_pixel_to_geo", "b10_reproducibility_diff", "r4_flush_tiles", "r5_tile_bounds", "r8_dbscan", "r9_cfar_clusters", "s1_executions_round_trip", "s4_manifest_round_trip", "s7_provenance_properties",
-    "h1_result_hash", "h7_cards_for_models", "t1_tips", "t2_cooldown", "t6_replay_chain", "s6_geojson_features", "c1_parse_bbox", "c2_parse_interval", "k1_runs_per_status", "k4_cooled_tips", "k7_rolling_drift", "k8_sessions", "a10_latency_summary",
+    "h1_result_hash", "h7_cards_for_models", "t1_tips", "t2_cooldown", "t6_replay_chain", "s6_geojson_features", "c1_parse_bbox", "c2_parse_interval", "k1_runs_per_status", "k4_cooled_tips", "k7_rolling_drift", "k8_sessions", "a10_latency_summary", "a12_scene_summary", "a12_area_histogram", "a16_bright_footprint", "b13_chip_pixels", "b14_postprocess",
 ]
 
 
