@@ -8,8 +8,12 @@ collapsed, so re-wrapped or re-cased copies match too.
 Items shorter than `least_chars`, which chance would match within any budget, have a budget of 0 and must stand between
 word ends, so they are one piece that is looked up exactly.
 
-The benchmark is handled in blocks of a fixed size; each block is broadcast, is read from the whole benchmark and is one
-more pass over the documents. All broadcasts live until the result is computed, so the driver's memory bounds the size. Null and empty texts and items match nothing. Rows with equal doc_id or item_id count as
+The benchmark is written once as normalised items, dealt to blocks of a bounded size by the item's hash, and read from there
+block by block. A block is broadcast and is one pass over the documents; its result is written and its broadcast dropped
+before the next block is read, so the driver and every task hold one block, however large the benchmark is. A benchmark of
+one block stays a lazy pass without a written result.
+
+Null and empty texts and items match nothing. Rows with equal doc_id or item_id count as
 one, with the best match, of equal ones the one that ends first. Very long texts are scanned whole. An empty table on
 either side gives no matches. Ids are of any type; other columns, whatever their names, are ignored or, in
 `clean_documents`, kept.
@@ -26,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .frames import numbered, with_fields
+from .frames import numbered, settle, shared_dir, with_fields
 
 #: Edits allowed, as a share of the item's length.
 ERROR_RATE = 0.08
@@ -114,16 +118,49 @@ class Matcher:
         return best
 
 
-def _shared_blocks(spark: SparkSession, benchmark: DataFrame, block_bytes: int) -> Iterator[Broadcast]:
-    """The benchmark's normalised items, in broadcasts of about block_bytes each."""
-    items = benchmark.select("item_id", "text").where("text is not null and item_id is not null")
-    size = items.agg(F.sum(F.octet_length("text")).alias("s")).first()["s"] or 0
-    n_blocks = max(1, -(-size // block_bytes))
-    for block in range(n_blocks):
-        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == block)
-        rows = sorted({(r["item_id"], t) for r in part.collect() if (t := normal(r["text"]))})
-        if rows:
-            yield spark.sparkContext.broadcast(rows)
+class Blocks:
+    """The benchmark's normalised items (item_id, text), in blocks of about `block_bytes`. `shared` gives each as a broadcast;
+    a broadcast of several is dropped when the next one is asked for, by when its result must have been written."""
+
+    def __init__(self, benchmark: DataFrame, block_bytes: int):
+        items = benchmark.select("item_id", "text").where("text is not null and item_id is not null")
+        self.spark = benchmark.sparkSession
+        size = items.agg(F.sum(F.octet_length("text")).alias("s")).first()["s"] or 0
+        self.n = max(1, -(-size // block_bytes))
+        self.items, self.kind = items, items.schema["item_id"].dataType
+
+    def _written(self) -> str:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                texts = pa.array([normal(t.as_py()) for t in batch.column(1)], pa.string())
+                yield pa.RecordBatch.from_arrays([batch.column(0), texts], names=["item_id", "text"])
+
+        path = shared_dir(self.spark)
+        place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(self.spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+        block = F.pmod(F.xxhash64("item_id", "text"), F.lit(self.n)).alias("block")
+        every = self.items.mapInArrow(run, self.items.schema).where("text <> ''").select("item_id", "text", block)
+        every.repartition("block").write.partitionBy("block").parquet(path)
+        return path
+
+    def shared(self) -> Iterator[Broadcast]:
+        if self.n == 1:
+            rows = sorted({(r["item_id"], t) for r in self.items.collect() if (t := normal(r["text"]))})
+            if rows:
+                yield self.spark.sparkContext.broadcast(rows)
+            return
+        schema = T.StructType([self.items.schema["item_id"], self.items.schema["text"], T.StructField("block", T.LongType())])
+        every = self.spark.read.schema(schema).parquet(self._written())
+        for block in range(self.n):
+            rows = sorted({(r["item_id"], r["text"]) for r in every.where(F.col("block") == block).collect()})
+            if rows:
+                out = self.spark.sparkContext.broadcast(rows)
+                yield out
+                out.destroy()
+
+    def kept(self, found: DataFrame) -> DataFrame:
+        """What one block gave: written when others follow."""
+        return found if self.n == 1 else settle(found)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RATE, least_chars: int = LEAST_CHARS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -133,7 +170,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERRO
     schema = T.StructType([schema[0], benchmark.schema["item_id"], *schema[1:]])
     texts = docs.select("doc_id", "text").where("text is not null")
     out, kind = None, to_arrow_type(benchmark.schema["item_id"].dataType)
-    for shared in _shared_blocks(spark, benchmark, block_bytes):
+    parts = Blocks(benchmark, block_bytes)
+    for shared in parts.shared():
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(shared.value, error_rate, least_chars)
@@ -145,7 +183,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERRO
                     a, b, c, d = zip(*hits, strict=True)
                     yield pa.RecordBatch.from_arrays([pa.array(a, batch.schema.field(0).type), pa.array(b, kind), pa.array(c, pa.int32()), pa.array(d, pa.int64())], names=["doc_id", "item_id", "edits", "match_end"])
 
-        found = texts.mapInArrow(run, schema)
+        found = parts.kept(texts.mapInArrow(run, schema))
         out = found if out is None else out.unionByName(found)
     if out is None:
         return spark.createDataFrame([], schema)
@@ -154,10 +192,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERRO
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RATE, least_chars: int = LEAST_CHARS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of docs, all columns, whose own text holds no benchmark item: a filter without any shuffle."""
+    """The rows of docs, all columns, whose own text holds no benchmark item: a filter without any shuffle. Of several blocks
+    each reads what the ones before it left."""
     kept, names = docs, docs.columns
     place = names.index("text")
-    for shared in _shared_blocks(docs.sparkSession, benchmark, block_bytes):
+    parts = Blocks(benchmark, block_bytes)
+    for shared in parts.shared():
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(shared.value, error_rate, least_chars)
@@ -165,5 +205,5 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, error_rate: float = E
                 clean = pa.array([not matcher.find(normal(t.as_py())) for t in batch.column(place)], pa.bool_())
                 yield pa.RecordBatch.from_arrays(batch.filter(clean).columns, names=names)
 
-        kept = numbered(kept).mapInArrow(run, docs.schema)
+        kept = parts.kept(numbered(kept).mapInArrow(run, docs.schema))
     return kept

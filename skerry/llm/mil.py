@@ -5,7 +5,8 @@ repetition, line breaks, word lengths) and a hashed word histogram; a gated atte
 the passages, and a logistic layer scores the weighted sum.
 
 The weights are fitted on a bounded sample: the `sample` labelled documents with the smallest hash of doc_id, with every
-passage of their texts. Scoring reads every passage of every text.
+passage of their texts, as far as `sample_bytes` bytes of text in all allow (see `train`). Scoring reads every passage of
+every text.
 
 Null and empty texts have one empty passage and get a score like any other. Labels that are null are left out; a doc_id
 labelled more than once takes its mean label, and of several texts under one labelled doc_id the one with the smallest
@@ -23,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .frames import body, numbered, with_fields
 from .text import U64, blocks, mix, utf8, words
@@ -30,6 +32,8 @@ from .text import U64, blocks, mix, utf8, words
 PASSAGE_WORDS = 64
 BUCKETS = 32
 SURFACE = 16
+#: Bytes of text that the driver fits on at most; their passages take up to one and a half times as much.
+SAMPLE_BYTES = 128_000_000
 #: One class for each byte: 0 upper case, 1 lower case, 2 digits, 3 symbols, 4 shouts, 5 stops, 6 other marks, 7 line breaks, 8 beyond ASCII, 9 blanks, 10 the rest.
 CLASSES = 11
 _CLASS = np.full(256, 10, np.int64)
@@ -159,13 +163,21 @@ def crc_part(doc_id: str | Column = "doc_id") -> Column:
     return F.crc32((F.col(doc_id) if isinstance(doc_id, str) else doc_id).cast("string").cast("binary")) % 4
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = 4000, held_out: int = 2, seed: int = 7) -> Model:
-    """Fits on at most `sample` labelled texts whose crc32(doc_id) mod 4 is not `held_out`."""
+def train(docs: DataFrame, labels: DataFrame, sample: int = 4000, held_out: int = 2, seed: int = 7, sample_bytes: int = SAMPLE_BYTES) -> Model:
+    """Fits on at most `sample` labelled texts whose crc32(doc_id) mod 4 is not `held_out`, those with the smallest hash of
+    doc_id. Should they have more than `sample_bytes` bytes in all, texts above a sixteenth of that are left out, then those
+    with the largest hashes until the rest fits: whole texts, none is cut."""
     known = labels.where((crc_part() != held_out) & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.avg("quality").alias("y"))
     chosen = known.orderBy(F.xxhash64(F.col("doc_id"), F.lit(seed)), "doc_id").limit(sample)
     texts = docs.select("doc_id", body().alias("text")).join(F.broadcast(chosen), "doc_id")  # `sample` rows are broadcast
     one = F.min(F.struct(F.xxhash64("text").alias("hash"), "text"))["text"].alias("text")
-    texts = texts.groupBy("doc_id").agg(F.first("y").alias("y"), one).select("y", "text")
+    texts = texts.groupBy("doc_id").agg(F.first("y").alias("y"), one)
+    if (texts.agg(F.sum(F.octet_length("text")).alias("s")).first()["s"] or 0) > sample_bytes:
+        sizes = texts.select("doc_id", F.octet_length("text").alias("size")).where(F.col("size") <= sample_bytes / 16)  # `sample` rows at most
+        upto = F.sum("size").over(Window.orderBy(F.xxhash64(F.col("doc_id"), F.lit(seed)), "doc_id"))
+        within = sizes.select("doc_id", upto.alias("upto")).where(F.col("upto") <= sample_bytes).select("doc_id")
+        texts = texts.join(F.broadcast(within), "doc_id", "left_semi")
+    texts = texts.select("y", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
