@@ -123,10 +123,28 @@ def reset_mapping_failures(cues: DataFrame, zones: tuple[str, ...]) -> DataFrame
 
 
 def admit_cues(new: DataFrame, queue: DataFrame, minutes: int = 60) -> DataFrame:
-    """New cues whose zone has no open cue within the cooldown before them."""
-    open_ = queue.where("status in ('pending', 'processing')").select(F.col("target_zone").alias("_zone"), F.col("created_at").alias("_at"))
-    recent = (F.col("target_zone") == F.col("_zone")) & (F.col("created_at") > F.col("_at")) & (F.col("created_at") < F.col("_at") + F.make_dt_interval(mins=F.lit(minutes)))
-    return new.join(open_, recent, "left_anti")
+    """New cues whose zone has no open cue within the cooldown before them.
+
+    Time is cut into slots as long as the cooldown: an open cue that bars a new one is in the new one's slot, where any
+    earlier one does, so the first decides, or in the slot before, where the last one decides. Each zone and slot has one row."""
+    if minutes <= 0:
+        return new
+    width, at = minutes * 60_000_000, F.col("created_at")
+
+    def slot(df: DataFrame) -> Column:
+        # a time without a zone as it stands on the clock, whatever the session's zone
+        instant = F.concat(at.cast("string"), F.lit("Z")) if dict(df.dtypes)["created_at"] == "timestamp_ntz" else at
+        micros = F.unix_micros(instant.cast("timestamp"))
+        return micros - F.pmod(micros, F.lit(width))
+
+    open_ = queue.where("status in ('pending', 'processing')").select(F.col("target_zone").alias("_zone"), slot(queue).alias("_slot"), at.alias("_at"))
+    ends = open_.groupBy("_zone", "_slot").agg(F.min("_at").alias("_first"), F.max("_at").alias("_last"))
+    # a slot's first serves the slot itself, its last the next one
+    both = ends.select("_zone", "_slot", "_first").unionByName(ends.select("_zone", (F.col("_slot") + width).alias("_slot"), F.col("_last").alias("_before")), allowMissingColumns=True)
+    ends = both.groupBy("_zone", "_slot").agg(F.max("_first").alias("_first"), F.max("_before").alias("_before"))
+    barred = (at > F.col("_first")) | (at < F.col("_before") + F.make_dt_interval(mins=F.lit(minutes)))
+    same = (F.col("target_zone") == F.col("_zone")) & (F.col("_new_slot") == F.col("_slot"))
+    return new.withColumn("_new_slot", slot(new)).join(ends, same & barred, "left_anti").drop("_new_slot")
 
 
 def finish_cues(queue: DataFrame, outcomes: DataFrame, now: str, retry_minutes: int = 15) -> DataFrame:
