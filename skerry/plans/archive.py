@@ -61,7 +61,7 @@ _ROWS = ", ".join(f"(c1 * ({y} - f0) - f1 * ({x} - c0)) / det" for x, y in _CORN
     "fx_detections", "fx_transforms",
 )
 def b3_aoi_window(dets, scenes):
-    shift = 0.1 * (F.col("scene_id") % 9)
+    shift = (F.col("scene_id") % 9) / 10  # the double next to so many tenths, which 0.1 times the number may miss
     areas = dets.groupBy("scene_id").agg(F.min("longitude").alias("a"), F.min("latitude").alias("lat_min"), F.max("longitude").alias("b"), (F.max("latitude") - 0.05).alias("lat_max"))
     areas = areas.select("scene_id", (F.col("a") + shift).alias("lon_min"), "lat_min", (F.col("b") + shift).alias("lon_max"), "lat_max")
     out = B.aoi_window(scenes, areas)
