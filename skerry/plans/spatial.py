@@ -226,12 +226,12 @@ def r3_lee_filter(pixels):
     return P.lee_filter(pixels, 7).withColumn("filtered", F.round("filtered", 4))
 
 
-@query("SELECT px_row, px_col, CAST(t.r AS BIGINT) AS tile_row, CAST(u.c AS BIGINT) AS tile_col FROM fx_pixels p JOIN (SELECT unnest(range(0, 400)) AS r) t ON p.px_row BETWEEN t.r * 24 AND t.r * 24 + 31 JOIN (SELECT unnest(range(0, 400)) AS c) u ON p.px_col BETWEEN u.c * 24 AND u.c * 24 + 31", "fx_pixels")
+@query("SELECT px_row, px_col, CAST(t.r AS BIGINT) AS tile_row, CAST(u.c AS BIGINT) AS tile_col FROM fx_pixels p JOIN (SELECT unnest(range(0, max(px_row) // 24 + 1)) AS r FROM fx_pixels) t ON p.px_row BETWEEN t.r * 24 AND t.r * 24 + 31 JOIN (SELECT unnest(range(0, max(px_col) // 24 + 1)) AS c FROM fx_pixels) u ON p.px_col BETWEEN u.c * 24 AND u.c * 24 + 31", "fx_pixels")
 def r4_assign_tiles(pixels):
     return P.assign_tiles(pixels, 32, 8).select("px_row", "px_col", "tile_row", "tile_col")
 
 
-_FLUSH = "SELECT DISTINCT off FROM (SELECT k * 24 AS off FROM (SELECT unnest(range(0, 4000)) AS k) s, e WHERE k * 24 <= e.top UNION ALL SELECT top FROM e) u"
+_FLUSH = "SELECT DISTINCT off FROM (SELECT k * 24 AS off FROM (SELECT unnest(range(0, top // 24 + 1)) AS k, top FROM e) s WHERE k * 24 <= top UNION ALL SELECT top FROM e) u"
 
 
 @query(
