@@ -144,14 +144,15 @@ def _matched_by_rounds(candidates: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(id, comp) of all ends of the edges (a, b): the least id that each reaches, by labels that move along edges and jump."""
+    """(id, comp) of all ends of the edges (a, b): the least id that each reaches, by labels that move along edges and jump.
+    The labels are written small: joins say that they sort, or every round would send them through the driver."""
     both = cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = cut(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("comp")))
     while True:
-        near = both.join(labels, both["b"] == labels["id"]).groupBy("a").agg(F.min("comp").alias("near"))
-        moved = labels.join(near, labels["id"] == near["a"]).select("id", F.col("comp").alias("before"), F.least("comp", "near").alias("comp"))
+        near = both.join(labels.hint("merge"), both["b"] == labels["id"]).groupBy("a").agg(F.min("comp").alias("near"))
+        moved = labels.join(near.hint("merge"), labels["id"] == near["a"]).select("id", F.col("comp").alias("before"), F.least("comp", "near").alias("comp"))
         jump = labels.select(F.col("id").alias("to"), F.col("comp").alias("next"))
-        new = cut(moved.join(jump, moved["comp"] == F.col("to")).select("id", "before", F.least("comp", "next").alias("comp")))
+        new = cut(moved.join(jump.hint("merge"), moved["comp"] == F.col("to")).select("id", "before", F.least("comp", "next").alias("comp")))
         labels = new.select("id", "comp")
         if new.where("comp <> before").isEmpty():
             return labels

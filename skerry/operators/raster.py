@@ -176,16 +176,17 @@ def os_cfar(pixels: DataFrame, guard: int = 1, training: int = 3, q: float = 0.7
 
 def dbscan(points: DataFrame, eps: float, least: int) -> DataFrame:
     """(scene_id, point_id, cluster): the least core id of the cluster; a border point joins the least adjacent cluster;
-    noise is null. points: (scene_id, point_id, x, y); ids may come again in other scenes."""
+    noise is null. points: (scene_id, point_id, x, y); ids may come again in other scenes. No side of a join is broadcast: all
+    of them grow with the points."""
     near = point_pairs(points, points, ["scene_id"], eps, F.sqrt(F.pow(F.col("a.x") - F.col("b.x"), F.lit(2)) + F.pow(F.col("a.y") - F.col("b.y"), F.lit(2))) <= eps, "x", "y")
     key = lambda end: F.struct("scene_id", F.col(f"{end}.point_id").alias("point_id")).alias(end)
     edges = cut(near.select(key("a"), key("b")))
-    core = edges.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") >= least).select(F.col("a").alias("core"))
+    core = edges.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") >= least).select(F.col("a").alias("core")).hint("merge")
     between = edges.join(core, edges["a"] == core["core"], "left_semi").join(core, edges["b"] == core["core"], "left_semi").select("a", "b")
     comp = components(between).withColumnRenamed("id", "b")
-    joined = edges.join(comp, "b").groupBy("a").agg(F.min("comp.point_id").alias("border"), F.min(F.when(F.col("a") == F.col("b"), F.col("comp.point_id"))).alias("own"))
+    joined = edges.join(comp.hint("merge"), "b").groupBy("a").agg(F.min("comp.point_id").alias("border"), F.min(F.when(F.col("a") == F.col("b"), F.col("comp.point_id"))).alias("own"))
     labels = joined.select("a.scene_id", "a.point_id", F.coalesce("own", "border").alias("cluster"))
-    return points.select("scene_id", "point_id").join(labels, ["scene_id", "point_id"], "left")
+    return points.select("scene_id", "point_id").join(labels.hint("merge"), ["scene_id", "point_id"], "left")
 
 
 def hit_clusters(hits: DataFrame, eps: float = 1.5, least: int = 3, min_snr: float = 0.0) -> DataFrame:
@@ -194,7 +195,7 @@ def hit_clusters(hits: DataFrame, eps: float = 1.5, least: int = 3, min_snr: flo
     cluster is named by its first core pixel, row * 2^32 + column."""
     ids = hits.withColumn("point_id", F.shiftleft(F.col("px_row").cast("long"), 32) + F.col("px_col"))
     labels = dbscan(ids.select("scene_id", "point_id", F.col("px_col").cast("double").alias("x"), F.col("px_row").cast("double").alias("y")), eps, least)
-    out = ids.join(labels, ["scene_id", "point_id"]).where("cluster is not null").groupBy("scene_id", "cluster").agg(
+    out = ids.join(labels.hint("merge"), ["scene_id", "point_id"]).where("cluster is not null").groupBy("scene_id", "cluster").agg(
         F.min("px_col").alias("x_min"), F.min("px_row").alias("y_min"), F.max("px_col").alias("x_max"), F.max("px_row").alias("y_max"),
         F.bround(F.avg("px_col")).cast("int").alias("x_center"), F.bround(F.avg("px_row")).cast("int").alias("y_center"), F.count("*").alias("n"), F.avg("value").alias("mean_value"), F.max("value").alias("max_value"), F.avg("snr").alias("mean_snr"),
     )

@@ -56,3 +56,17 @@ def test_areas_are_moved_by_whole_tenths(spark):
 def test_tiles_of_tall_scenes(spark, tmp_path, name, last):
     duckdb.connect().execute(f"copy (select event_id, cast(event_id % 7 as double) as value from range(0, {last}, 9973) r(event_id)) to '{tmp_path}/events.parquet' (format parquet)")
     against_oracle(spark, name, tmp_path)
+
+
+def test_clusters_send_no_table_through_the_driver(spark, monkeypatch):
+    from skerry.operators import fixpoint, raster
+
+    plain, seen = fixpoint.cut, []
+    for module in (fixpoint, raster):
+        monkeypatch.setattr(module, "cut", lambda df: seen.append(physical(df)) or plain(df))
+    rows = [(s, (r << 32) + c, float(c), float(r)) for s in range(2) for r in range(0, 40, 2) for c in range(30) if c % 10 < 7]
+    points = spark.createDataFrame(rows, "scene_id long, point_id long, x double, y double")
+    out = raster.dbscan(points, 1.0, 2)
+    assert {(r.scene_id, r.point_id): r.cluster for r in out.collect()} == {(s, p): p - p % 10 if p < 1 << 32 else (p >> 32 << 32) + (p % (1 << 32)) // 10 * 10 for s, p, _, _ in rows}
+    joins = [x for plan in [*seen, physical(out)] for x in plan.splitlines() if "Join" in x and "_cx" not in x]
+    assert len(joins) > 6 and not [x for x in joins if "Broadcast" in x]
