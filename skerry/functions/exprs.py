@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -128,23 +128,36 @@ def ring_to_geojson(ring: Column) -> Column:
     return F.when(ring.isNotNull(), F.to_json(F.struct(F.lit("Polygon").alias("type"), F.array(points).alias("coordinates"))))
 
 
+def once(x: Column, use: Callable[[Column], Column]) -> Column:
+    """`use` of a column that is worked out once for each row, however often it is used."""
+    return F.get(F.transform(F.array(x), use), F.lit(0))
+
+
 def geojson_to_ring(text: Column | str) -> Column:
     """struct(ring, problem) of the text of a GeoJSON polygon: its outer ring, and why there is none (`not JSON`, `not a
-    polygon`, `empty`, `point without two numbers`) or `open` if its last point is not its first. Null text gives nulls."""
-    read = F.from_json(c(text), "type string, coordinates array<array<array<double>>>, _broken string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"})
-    outer = F.get(read["coordinates"], F.lit(0))
-    bad = F.exists(outer, lambda p: (F.size(p) < 2) | F.get(p, F.lit(0)).isNull() | F.get(p, F.lit(1)).isNull() | p.isNull())
-    first, last = F.get(outer, F.lit(0)), F.try_element_at(outer, F.lit(-1))
-    problem = (
-        F.when(c(text).isNull(), None)
-        .when(read.isNull() | read["_broken"].isNotNull(), "not JSON")
-        .when(~read["type"].eqNullSafe(F.lit("Polygon")), "not a polygon")
-        .when(outer.isNull() | (F.size(outer) == 0), "empty")
-        .when(bad, "point without two numbers")
-        .when(F.slice(first, 1, 2) != F.slice(last, 1, 2), "open")
-    )
-    points = F.transform(outer, lambda p: F.struct(F.get(p, F.lit(0)).alias("lon"), F.get(p, F.lit(1)).alias("lat")))
-    return F.struct(F.when(problem.isNull() | (problem == "open"), points).alias("ring"), problem.alias("problem"))
+    polygon`, `empty`, `point without two numbers`) or `open` if its last point is not its first. Null text gives nulls. A
+    text is read once."""
+
+    def parts(given: Column) -> Column:
+        read = F.from_json(given["text"], "type string, coordinates array<array<array<double>>>, _broken string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"})
+        return once(F.struct(given["text"].isNull().alias("none"), read.alias("read")), found)
+
+    def found(x: Column) -> Column:
+        read, outer = x["read"], F.get(x["read"]["coordinates"], F.lit(0))
+        bad = F.exists(outer, lambda p: (F.size(p) < 2) | F.get(p, F.lit(0)).isNull() | F.get(p, F.lit(1)).isNull() | p.isNull())
+        first, last = F.get(outer, F.lit(0)), F.try_element_at(outer, F.lit(-1))
+        problem = (
+            F.when(x["none"], None)
+            .when(read.isNull() | read["_broken"].isNotNull(), "not JSON")
+            .when(~read["type"].eqNullSafe(F.lit("Polygon")), "not a polygon")
+            .when(outer.isNull() | (F.size(outer) == 0), "empty")
+            .when(bad, "point without two numbers")
+            .when(F.slice(first, 1, 2) != F.slice(last, 1, 2), "open")
+        )
+        points = F.transform(outer, lambda p: F.struct(F.get(p, F.lit(0)).alias("lon"), F.get(p, F.lit(1)).alias("lat")))
+        return once(F.struct(problem.alias("problem"), points.alias("points")), lambda y: F.struct(F.when(y["problem"].isNull() | (y["problem"] == "open"), y["points"]).alias("ring"), y["problem"].alias("problem")))
+
+    return once(F.struct(c(text).alias("text")), parts)
 
 
 def labelled_box(lon: Column | str, lat: Column | str, boxes: Sequence[tuple[str, Sequence[float]]], default: str = "other") -> Column:
