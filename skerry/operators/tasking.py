@@ -185,7 +185,8 @@ def replay_record(cues: DataFrame, runs: DataFrame, dets: DataFrame, k: int = 12
     with higher confidence, then lower id first, their mean confidences to four decimals and the uplift; what is missing is
     null, a list empty.
 
-    Only detections that a cue names or whose run a cue names are ranked. Arrays hold what the cue lists, or k."""
+    Only detections that a cue names or whose run a cue names are ranked. Arrays hold what the cue lists, or k. Cues without an
+    answer, which most may be, have no key to meet by and are dealt by their ids."""
     from .runs import top_per_group
 
     both = lambda conf, det: F.struct((-F.col(conf)).alias("c"), F.col(det).alias("i"))
@@ -197,7 +198,10 @@ def replay_record(cues: DataFrame, runs: DataFrame, dets: DataFrame, k: int = 12
     best = top_per_group(slim.join(answered, "execution_id", "left_semi"), "execution_id", k, F.desc("confidence"), F.col("det_id"))
     last = best.groupBy("execution_id").agg(listed(F.collect_list(both("confidence", "det_id"))).alias("confirming_detections"), F.avg("confidence").alias("_t1"))
     at = lambda run, name: runs.select(F.col("id").alias(run), F.col("created_at").alias(name))
-    out = cues.join(first, "id", "left").join(last, "execution_id", "left").join(at("triggered_by", "t0_at"), "triggered_by", "left").join(at("execution_id", "t1_at"), "execution_id", "left")
+    out = cues.join(first, "id", "left")
+    for key, found in (("triggered_by", at("triggered_by", "t0_at")), ("execution_id", last.join(at("execution_id", "t1_at"), "execution_id", "full_outer"))):
+        deal = F.when(F.col(key).isNull(), F.xxhash64("id")).otherwise(F.xxhash64(key))
+        out = out.withColumn("_deal", deal).join(found.withColumn("_deal", F.xxhash64(key)), [key, "_deal"], "left").drop("_deal")
     none = F.expr("cast(array() as array<struct<confidence: double, det_id: bigint>>)")
     gap = lambda a, b: (F.unix_micros(F.col(a).cast("timestamp")) - F.unix_micros(F.col(b).cast("timestamp"))) / 1e6
     known = F.col("_t0").isNotNull() & F.col("_t1").isNotNull()

@@ -70,3 +70,26 @@ def test_clusters_send_no_table_through_the_driver(spark, monkeypatch):
     assert {(r.scene_id, r.point_id): r.cluster for r in out.collect()} == {(s, p): p - p % 10 if p < 1 << 32 else (p >> 32 << 32) + (p % (1 << 32)) // 10 * 10 for s, p, _, _ in rows}
     joins = [x for plan in [*seen, physical(out)] for x in plan.splitlines() if "Join" in x and "_cx" not in x]
     assert len(joins) > 6 and not [x for x in joins if "Broadcast" in x]
+
+
+def test_a_ring_is_read_once(spark):
+    dets = fixtures.view(spark, "/root/testdata/sf0.001", "fx_detections")
+    from skerry.plans.archive import c3_geojson_ring
+
+    assert physical(c3_geojson_ring(dets)).count("from_json") == 1
+
+
+def test_unanswered_cues_are_not_in_one_task(spark, monkeypatch):
+    cues = spark.range(2000).selectExpr("id", "timestamp_ntz'2024-01-01' as created_at", "if(id % 10 = 0, id, cast(null as bigint)) as triggered_by", "if(id % 10 = 0, id, cast(null as bigint)) as execution_id", "array(id) as triggering")
+    runs = spark.range(2000).selectExpr("id", "timestamp_ntz'2024-01-01' as created_at")
+    dets = spark.range(2000).selectExpr("id as det_id", "id as execution_id", "0.5D as confidence")
+    old = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = tasking.replay_record(cues, runs, dets).withColumn("task", F.spark_partition_id())
+        rows = out.groupBy("task").agg(F.count("*").alias("n"), F.count("t1_at").alias("known")).collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert sum(r.n for r in rows) == 2000 and sum(r.known for r in rows) == 200 and max(r.n for r in rows) < 1000
