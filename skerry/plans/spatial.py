@@ -70,17 +70,17 @@ def b3_geo_to_pixel(dets):
 
 @query(greedy_oracle("fx_detections", f"{IOU} >= 0.3"), "fx_detections")
 def b4_nms(dets):
-    return B.nms(dets).select("scene_id", "det_id")
+    return B.nms(dets.select("scene_id", "det_id", "confidence", *B.BOX)).select("scene_id", "det_id")
 
 
 @query(greedy_oracle("(SELECT det_id, scene_id, confidence, x_min + (tile_index % 4) * 640 AS x_min, x_max + (tile_index % 4) * 640 AS x_max, y_min + floor(tile_index / 4) * 640 AS y_min, y_max + floor(tile_index / 4) * 640 AS y_max FROM fx_detections)", f"{IOU} >= 0.3"), "fx_detections")
 def b5_merge_tiles(dets):
-    return B.merge_tiles(dets).select("scene_id", "det_id")
+    return B.merge_tiles(dets.select("scene_id", "det_id", "confidence", "tile_index", *B.BOX)).select("scene_id", "det_id")
 
 
 @query(greedy_oracle("fx_detections", "abs(a.longitude - b.longitude) <= 0.0101 AND abs(a.latitude - b.latitude) <= 0.0101"), "fx_detections")
 def b6_geo_dedup(dets):
-    return B.geo_dedup(dets, 0.0101).select("scene_id", "det_id")
+    return B.geo_dedup(dets.select("scene_id", "det_id", "confidence", "longitude", "latitude"), 0.0101).select("scene_id", "det_id")
 
 
 _TRUTH = "SELECT gt_id, scene_id, x_min, y_min, x_max, y_max FROM fx_ground_truth"
@@ -118,7 +118,7 @@ _NEAR = "SELECT a.scene_id, a.longitude, a.latitude, sum(b.k) AS n FROM (SELECT
 
 @query(f"SELECT d.det_id, n.n >= 4 AS is_cluster FROM fx_detections d JOIN ({_NEAR}) n ON d.scene_id = n.scene_id AND d.longitude = n.longitude AND d.latitude = n.latitude", "fx_detections")
 def b9_cluster_anomaly(dets):
-    return B.cluster_anomaly(dets, 0.0101, 4).select("det_id", "is_cluster")
+    return B.cluster_anomaly(dets.select("scene_id", "det_id", "longitude", "latitude"), 0.0101, 4).select("det_id", "is_cluster")
 
 
 def _two_runs(dets):

@@ -93,3 +93,55 @@ def test_unanswered_cues_are_not_in_one_task(spark, monkeypatch):
         for k, v in old.items():
             spark.conf.set(k, v)
     assert sum(r.n for r in rows) == 2000 and sum(r.known for r in rows) == 200 and max(r.n for r in rows) < 1000
+
+
+def odd_boxes(seed):
+    """Scenes with copies, ties, missing values, NaN and no key."""
+    draw = random.Random(seed)
+    rows = []
+    for k in range(260):
+        x, y = float(draw.randrange(60)), float(draw.randrange(40))
+        scene = draw.choice([0, 1, 2, 3, None])
+        edge = draw.choice([None, float("nan")]) if scene == 3 and draw.random() < 0.2 else x
+        rows.append((k, scene, draw.randrange(2), draw.choice(["cfar", "yolo", "fused"]), draw.choice([None, 0.5, draw.random()]), 3.0 * draw.random(), edge, y, x + draw.choice([0.0, 6.0, 9.0]), y + 8.0, draw.choice([edge, x]) / 10 if edge else None, y / 10))
+    return rows
+
+
+ODD = "det_id long, scene_id long, tile_index int, source string, confidence double, snr double, x_min double, y_min double, x_max double, y_max double, longitude double, latitude double"
+STEPS = {
+    "nms": lambda B, d: B.nms(d), "merge": lambda B, d: B.merge_tiles(d), "dedup": lambda B, d: B.geo_dedup(d, 0.3), "cluster": lambda B, d: B.cluster_anomaly(d, 0.5, 4).drop("neighbours"), "fuse": lambda B, d: B.fuse(d),
+    "iou": lambda B, d: B.matches(d, d.withColumnRenamed("det_id", "gt_id"), threshold=0.4), "centre": lambda B, d: B.matches(d.where("det_id % 2 = 0"), d.where("det_id % 2 = 1").withColumnRenamed("det_id", "gt_id"), threshold=4.0, mode="center"),
+}
+
+
+@pytest.mark.parametrize("step", STEPS)
+def test_scenes_as_a_whole_equal_joins(spark, monkeypatch, step):
+    from skerry.operators import boxes, scenes
+
+    df = spark.createDataFrame(odd_boxes(7), ODD)
+    plain, seen = scenes.solved, []
+    for limit in (50_000, 60, -1):  # all whole, some left to joins, all left to joins
+        monkeypatch.setattr(scenes, "solved", lambda *a, limit=limit: plain(*a, limit=limit))
+        out = STEPS[step](boxes, df)
+        seen.append(sorted((tuple(r[c] for c in sorted(out.columns)) for r in out.collect()), key=repr))
+    assert repr(seen[0]) == repr(seen[1]) == repr(seen[2]) and seen[0]
+
+
+def test_pairs_come_in_bounded_parts(monkeypatch):
+    import numpy as np
+
+    from skerry.operators import scenes
+
+    monkeypatch.setattr(scenes, "PAIRS", 50)
+    draw = random.Random(5)
+    group, low = np.array([draw.randrange(3) for _ in range(60)]), np.array([float(draw.randrange(20)) for _ in range(60)])
+    parts = list(scenes.reaching(group, low, low + 3))
+    got = sorted((min(i, j), max(i, j)) for a, b in parts for i, j in zip(a.tolist(), b.tolist(), strict=True))
+    assert got == [(i, j) for i in range(60) for j in range(i + 1, 60) if group[i] == group[j] and abs(low[i] - low[j]) <= 3]
+    assert max(len(a) for a, _ in parts) <= 60
+
+
+@pytest.mark.parametrize("name", ["b4_nms", "b5_merge_tiles", "b6_geo_dedup", "b9_cluster_anomaly", "b10_reproducibility_diff"])
+def test_rows_of_a_scene_are_dealt_once(spark, name):
+    plan = physical(QUERIES[name](spark, "/root/testdata/sf0.001")).split("== Initial Plan ==")[0]
+    assert plan.count("REPARTITION_BY_NUM") == 1 and "Generate" not in plan and "_cx" not in plan
